@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, licenses, mixing
+from . import chat, exact_dedup, licenses, minhash, mixing
 
 QUERIES = {
+    "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
 
 #: DuckDB SQL, where SQL expresses the operator.
 ORACLES = {
+    "op2_minhash_near_dedup": minhash.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_license_scan": licenses.ORACLE,
