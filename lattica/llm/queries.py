@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, licenses, minhash, mixing
+from . import chat, exact_dedup, licenses, minhash, mixing, sentencepieces, token_counts
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_bpe_token_counts": token_counts.op8_bpe_token_counts,
+    "op9_sentencepiece": sentencepieces.op9_sentencepiece,
     "op10_license_scan": licenses.op10_license_scan,
 }
 
