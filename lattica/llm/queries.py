@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, licenses, minhash, mixing, sentencepieces, token_counts
+from . import chat, exact_dedup, licenses, minhash, mixing, sentencepieces, token_counts, toxicity
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op4_source_mixing": mixing.op4_source_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_bpe_token_counts": token_counts.op8_bpe_token_counts,
