@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, licenses, minhash, mixing, sentencepieces, token_counts, toxicity
+from . import chat, exact_dedup, licenses, minhash, mixing, sentencepieces, stupid_backoff, token_counts, toxicity
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+    "op3_stupid_backoff": stupid_backoff.op3_stupid_backoff,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_formatting": chat.op6_chat_formatting,
@@ -17,6 +18,7 @@ QUERIES = {
 
 #: DuckDB SQL, where SQL expresses the operator.
 ORACLES = {
+    "op3_stupid_backoff": stupid_backoff.ORACLE,
     "op2_minhash_near_dedup": minhash.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
