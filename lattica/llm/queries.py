@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, licenses, minhash, mixing, sentencepieces, stupid_backoff, token_counts, toxicity
+from . import ann, chat, exact_dedup, licenses, minhash, mixing, sentencepieces, stupid_backoff, token_counts, toxicity
 
 QUERIES = {
+    "op1_posting_list_search": ann.op1_posting_list_search,
     "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
     "op3_stupid_backoff": stupid_backoff.op3_stupid_backoff,
     "op4_source_mixing": mixing.op4_source_mixing,
