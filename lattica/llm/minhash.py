@@ -54,7 +54,7 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _sketch(width: int):
-    schema = "id long, n_shingles long, digest binary, bands array<long>"
+    schema = "id long, text_key long, n_shingles long, digest binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +65,7 @@ def _sketch(width: int):
                     bands.append(band_keys(signatures(sets)))
                     sets.clear()
 
-            for s in shingle_sets(batch.column(1), width):
+            for s in shingle_sets(batch.column(2), width):
                 counts.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sets.append(s)
@@ -74,7 +74,7 @@ def _sketch(width: int):
             flush()
             keys = np.concatenate(bands) if bands else np.zeros((0, BINS // ROWS), np.uint64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BINS // ROWS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), flat], ["id", "n_shingles", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), flat], ["id", "text_key", "n_shingles", "digest", "bands"])
 
     return run, schema
 
@@ -135,7 +135,7 @@ def _meet(percent: int):
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept.
+    """Per row of docs: doc_id, n_shingles, component_id, kept, text_key (xxhash64, tells apart rows that share an id).
 
     Words are runs of characters other than space and U+0009 to U+000D, A-Z in lower case. A text's set holds its
     distinct shingles of width words, or a shorter text as a whole; null and wordless texts have an empty set and
@@ -152,7 +152,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     rows = pick(docs, id=id_col, text=text_col)
     run, schema = _sketch(width)
-    sketch = materialise(rows.select(F.col("id").cast("long"), "text").mapInArrow(run, schema))
+    sketch = materialise(rows.select(F.col("id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))), "text").mapInArrow(run, schema))
     filled = sketch.where("n_shingles > 0")
     classes = materialise(filled.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
 
@@ -209,16 +209,16 @@ def _finish(sketch: DataFrame, classes: DataFrame, of_class: DataFrame, broadcas
     named = classes.select("digest", "rep", "size").join(of_class, "digest", "left")
     facts = materialise(named.where("size > 1 OR component_id IS NOT NULL").select("digest", "size", F.coalesce("component_id", "rep").alias("component_id")))
     total, n_facts = sketch.count(), facts.count()
-    slim = sketch.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
+    slim = sketch.select("id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
     out = attach(slim.where("digest IS NOT NULL"), facts, "digest", "size", total, n_facts, F.col("id"), broadcast_keys)
-    empty = slim.where("digest IS NULL").select("id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
-    every = out.select("id", "n_shingles", "component_id").unionByName(empty)
+    empty = slim.where("digest IS NULL").select("id", "text_key", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    every = out.select("id", "text_key", "n_shingles", "component_id").unionByName(empty)
     found = F.coalesce("component_id", "id")
-    return every.select(F.col("id").alias("doc_id"), "n_shingles", found.alias("component_id"), F.col("id").eqNullSafe(found).alias("kept"))
+    return every.select(F.col("id").alias("doc_id"), "n_shingles", found.alias("component_id"), F.col("id").eqNullSafe(found).alias("kept"), "text_key")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_dedup(table(spark, sf_dir, "documents"), width=3, percent=85).drop("text_key")
 
 
 ORACLE = """
