@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,33 +41,31 @@ def best_paths(nodes: DataFrame, top_k: int = 1) -> DataFrame:
 
     up counts from the leaf. Paths rank by the sum of their scores, then by length, then by the smaller leaf.
     A node whose parent is absent is a root; nodes on or below a cycle have no root and are left out.
-    Self-joins double the reach: after round k a node knows its 2^k-th ancestor, so depth d takes log2(d) rounds.
+    Self-joins double the reach: after round k a node knows its 2^k-th ancestor, so depth d takes log2(d) rounds,
+    and only nodes that haven't met their root take part in the next.
     """
     same = lambda a, b: [F.col(a[0]) == F.col(b[0]), F.col(a[1]) == F.col(b[1])]
     known = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     jump = nodes.join(known, same(("tree", "parent"), ("_t", "_n")), "left").select("tree", "node", F.col("_n").alias("anc"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth"))
-    jumps, most = [materialise(jump)], None
-    while True:
-        last = jumps[-1]
-        n, open_ = last.agg(F.count(F.lit(1)), F.count("anc")).first()
-        most = n if most is None else most
-        if open_ == 0 or 2 ** (len(jumps) - 1) > most:  # any path is shorter than the table: what is open is a cycle
-            break
-        above = last.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("anc").alias("_a"), F.col("total").alias("_s"), F.col("depth").alias("_d"))
-        jumps.append(
-            materialise(
-                last.join(above, same(("tree", "anc"), ("_t", "_n")), "left").select(
-                    "tree", "node", F.col("_a").alias("anc"), (F.col("total") + F.coalesce("_s", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")
-                )
-            )
-        )
+    level = materialise(jump)
+    done, open_, jumps = [level.where("anc IS NULL")], level.where("anc IS NOT NULL"), []
+    n, left = level.agg(F.count(F.lit(1)), F.count("anc")).first()
+    while left and 2 ** len(jumps) <= n:  # any path is shorter than the table: what stays open then is a cycle
+        jumps.append(open_)
+        above = reduce(DataFrame.unionByName, done, open_).select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("anc").alias("_a"), F.col("total").alias("_s"), F.col("depth").alias("_d"))
+        met = open_.join(above, same(("tree", "anc"), ("_t", "_n")))
+        level = materialise(met.select("tree", "node", F.col("_a").alias("anc"), (F.col("total") + F.col("_s")).alias("total"), (F.col("depth") + F.col("_d")).alias("depth")))
+        done.append(level.where("anc IS NULL"))
+        open_ = level.where("anc IS NOT NULL")
+        left = open_.count()
+    rooted = reduce(DataFrame.unionByName, done)
     parents = nodes.where("parent IS NOT NULL").select(F.col("tree").alias("_t"), F.col("parent").alias("_n"))
-    leaves = jumps[-1].where("anc IS NULL").join(parents, same(("tree", "node"), ("_t", "_n")), "left_anti")
+    leaves = rooted.join(parents, same(("tree", "node"), ("_t", "_n")), "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), F.asc("node"))
     path = leaves.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top_k).select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     path = materialise(path)
-    for k, jump in enumerate(jumps[:-1] if len(jumps) > 1 else []):
-        step = jump.where("anc IS NOT NULL").select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "anc")
+    for k, jump in enumerate(jumps):
+        step = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "anc")
         reached = path.join(step, same(("tree", "node"), ("_t", "_n"))).select("tree", "leaf", F.col("anc").alias("node"), (F.col("up") + 2**k).alias("up"))
         path = materialise(path.unionByName(reached))
     return path
