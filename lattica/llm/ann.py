@@ -39,8 +39,13 @@ class Index:
     def search(self, vectors: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """For each vector the lists nearest to it and their distances, beam of them, by best-first search in the graph.
 
-        A search ends when the nearest node that isn't expanded is further than the beam's last.
+        A search ends when the nearest node that isn't expanded is further than the beam's last. Vectors go in batches:
+        a step gathers EXPAND nodes' neighbours for each of them.
         """
+        found = [self._search(vectors[i : i + BLOCK], beam) for i in range(0, len(vectors), BLOCK)]
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+    def _search(self, vectors: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         n, k = len(vectors), len(self.centroids)
         beam = min(beam, k)
         rows = np.arange(n)
