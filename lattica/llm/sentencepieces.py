@@ -7,6 +7,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +22,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words whose identifiers a Python worker keeps, and threads that encode a batch.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_200_000
 THREADS = 2
 #: Characters of text that are encoded at a time.
 BATCH_CHARS = 1 << 20
@@ -145,13 +146,10 @@ class Codec:
         self.odd: set[str] = set()
 
     def _learn(self, new: list[str]) -> None:
-        """Encode new words, each of markers followed by other characters, in one go; compare with the library."""
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            self.odd.clear()
+        """Encode new words in one go and compare with the library. Words come without their first marker."""
         step = max(1, len(new) // THREADS + 1)
         groups = [new[i : i + step] for i in range(0, len(new), step)]
-        texts = ["".join(g)[1:].replace(MARK, " ") for g in groups]  # the normaliser puts the first marker back
+        texts = [" ".join(g).replace(MARK, " ") for g in groups]  # the normaliser puts the markers back
         mine = self.backend.encode_batch_fast(texts, add_special_tokens=False)
         theirs = self.library.encode(texts, num_threads=THREADS)
         for group, a, b in zip(groups, mine, theirs):
@@ -177,19 +175,19 @@ class Codec:
             theirs = self.library.encode(texts, num_threads=THREADS)
             return [np.asarray(y, np.int32) for y in theirs], [x.ids == y for x, y in zip(mine, theirs)]
         # the marker itself, in a text, can't be told from a space; such texts go by the whole
-        split = [self.words.findall(MARK + t.replace(" ", MARK)) if t and MARK not in t else [] for t in texts]
-        distinct = {w for ws in split for w in ws}
-        if len(distinct) + len(self.known) > CACHED_WORDS:
+        split = [self._split(t) if t and MARK not in t else [] for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.known)
+        if len(new) + len(self.known) > CACHED_WORDS:
             self.known.clear()
             self.odd.clear()
-        new = [w for w in distinct if w not in self.known]
-        solid = [w for w in new if w[-1] != MARK]
-        if solid:
-            self._learn(solid)
-        for w in (w for w in new if w[-1] == MARK):
-            a, b = self.backend.encode_batch_fast([" " * (len(w) - 1)], add_special_tokens=False)[0].ids if len(w) > 1 else self._lone(), self._spaces(len(w))
-            self.known[w] = np.asarray(b, np.int32).tobytes()
-            if list(a) != list(b):
+            new = set(chain.from_iterable(split))
+        spaces = {w for w in new if not w or w[-1] == MARK}
+        if len(new) > len(spaces):
+            self._learn(list(new - spaces))
+        for w in spaces:  # at the end of a text: only spaces, the first of them taken for the word's start
+            mine, theirs = (x(" " * len(w)) if w else self._lone() for x in (self._backend_ids, self.library.encode))
+            self.known[w] = np.asarray(theirs, np.int32).tobytes()
+            if list(mine) != list(theirs):
                 self.odd.add(w)
         get = self.known.__getitem__
         ids = [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in split]
@@ -197,14 +195,20 @@ class Codec:
         for i, t in enumerate(texts):
             if MARK in t:
                 ids[i] = np.asarray(self.library.encode(t), np.int32)
-                same[i] = self.backend.encode_batch_fast([t], add_special_tokens=False)[0].ids == ids[i].tolist()
+                same[i] = self._backend_ids(t) == ids[i].tolist()
         return ids, same
 
+    def _split(self, text: str) -> list[str]:
+        """Words without the first of their markers; single spaces between other characters are all that texts have mostly."""
+        if text[0] != " " and text[-1] != " " and "  " not in text:
+            return text.split(" ")
+        return [w[1:] for w in self.words.findall(MARK + text.replace(" ", MARK))]
+
     def _lone(self) -> list[int]:
         return [self.library.piece_to_id(MARK)]
 
-    def _spaces(self, n: int) -> list[int]:
-        return self.library.encode(" " * (n - 1)) if n > 1 else self._lone()
+    def _backend_ids(self, text: str) -> list[int]:
+        return self.backend.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def decode(self, ids: np.ndarray) -> str:
         """Pieces with markers as spaces, byte pieces as bytes; the first space, put there by encoding, goes."""
