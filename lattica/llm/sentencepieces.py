@@ -22,10 +22,10 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words whose identifiers a Python worker keeps, and threads that encode a batch.
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 400_000
 THREADS = 2
-#: Characters of text that are encoded at a time.
-BATCH_CHARS = 1 << 20
+#: Characters of text that are encoded at a time, and rows that are unpacked at a time.
+BATCH_CHARS, BATCH_ROWS = 1 << 20, 256
 
 
 @dataclass
@@ -223,22 +223,24 @@ def _encoder(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = public_tokenizers.path(name)
         codec = _codecs.get(path) or _codecs.setdefault(path, Codec(path))
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= BATCH_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                part = texts[at:end]
-                ids, same = codec.encode(part)
-                trips = [codec.decode(x) == t for x, t in zip(ids, part)]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sizes), lists, pa.array(trips), pa.array(same)], ["doc_id", "n_tokens", "token_ids", "round_trip", "parity"])
-                at = end
+        for whole in batches:
+            for first in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(first, BATCH_ROWS)
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                at = 0
+                while at < len(texts):
+                    end, chars = at, 0
+                    while end < len(texts) and (end == at or chars + len(texts[end]) <= BATCH_CHARS):
+                        chars += len(texts[end])
+                        end += 1
+                    part = texts[at:end]
+                    ids, same = codec.encode(part)
+                    trips = [codec.decode(x) == t for x, t in zip(ids, part)]
+                    sizes = np.array([len(x) for x in ids], np.int64)
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sizes), lists, pa.array(trips), pa.array(same)], ["doc_id", "n_tokens", "token_ids", "round_trip", "parity"])
+                    at = end
 
     return run
 
