@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import zstandard
@@ -18,6 +19,8 @@ GRAM, SEGMENTS, LONGEST = 5, 64, 16
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: How much of the text that follows a segment in its class must agree for the segment to grow.
 AGREE = 0.6
+#: How many times as frequent a segment is in its class as in the other, for a sure sign and for a hint.
+PURE, HINT = 20.0, 3.0
 
 
 def normal(text: str) -> bytes:
@@ -71,37 +74,36 @@ def hash_bytes(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data)
 
 
-def train_segments(mine: Sequence[bytes], others: Sequence[bytes]) -> list[bytes]:
+def train_segments(mine: Sequence[bytes], others: Sequence[bytes], purity: float = PURE, below: float = float("inf")) -> list[bytes]:
     """Byte strings that texts of one class hold and the other's don't, from the most frequent on.
 
-    An n-gram counts if its share of texts of the class is at least 20 times that among the others (with half a text
-    added to either). A chosen n-gram grows to the right, then to the left, while most of its places agree on the next
+    An n-gram counts if its share of texts of the class is purity times that among the others at least, and less than
+    below times (with half a text added to either). A chosen n-gram grows to the right, then to the left, while most of its places agree on the next
     byte and the n-gram that this adds is rare among the others, too. N-grams that overlap a segment are part of it.
     """
     if not mine:
         return []
-    sets = [_grams(t) for t in mine]
-    codes, counts = np.unique(np.concatenate(sets), return_counts=True)
+    codes, counts = np.unique(np.concatenate([_grams(t) for t in mine]), return_counts=True)
     least = max(3, len(mine) // 200)
-    codes = codes[counts >= least]
+    codes, counts = codes[counts >= least], counts[counts >= least]
     if not len(codes):
         return []
     often = np.zeros(len(codes), np.int64)
     for t in others:
-        often += np.isin(codes, _grams(t), assume_unique=True)
-    share = {int(c): (n + 0.5) / (len(others) + 1) for c, n in zip(codes, often)}
-    holders: dict[int, set[int]] = defaultdict(set)
-    for i, s in enumerate(sets):
-        for c in codes[np.isin(codes, s, assume_unique=True)].tolist():
-            holders[c].add(i)
-    pure = {c: h for c, h in holders.items() if (len(h) + 0.5) / (len(mine) + 1) >= 20 * share[c]}
+        grams = _grams(t)
+        at = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
+        often[at[codes[at] == grams]] += 1
+    elsewhere = (often + 0.5) / (len(others) + 1)
+    here = (counts + 0.5) / (len(mine) + 1)
+    share = dict(zip(codes.tolist(), elsewhere.tolist()))
+    pure = np.flatnonzero((here >= purity * elsewhere) & (here < below * elsewhere))
     segments: list[bytes] = []
     known: set[bytes] = set()
-    for best in sorted(pure, key=lambda c: (-len(pure[c]), share[c], c)):
-        spelled = _spelled(best)
+    for best in pure[np.lexsort((codes[pure], elsewhere[pure], -counts[pure]))].tolist():
+        spelled = _spelled(codes[best])
         if known & {spelled[:-1], spelled[1:]}:
             continue
-        segment = _grow(spelled, [mine[i] for i in sorted(pure[best])[:400]], share)
+        segment = _grow(spelled, list(islice((t for t in mine if spelled in t), 400)), share)
         segments.append(segment)
         known |= {segment[i : i + GRAM - 1] for i in range(len(segment) - GRAM + 2)}
         if len(segments) == SEGMENTS:
@@ -133,10 +135,10 @@ def dictionary(segments: list[bytes]) -> bytes:
 
 
 class Margins:
-    """Bytes that windows save with the first dictionary against the second."""
+    """Bytes that windows save with a class's dictionaries against the other class's."""
 
-    def __init__(self, mine: bytes, others: bytes) -> None:
-        self.mine, self.others = self._compressor(mine), self._compressor(others)
+    def __init__(self, sure: bytes, hints: bytes, others: bytes) -> None:
+        self.sure, self.hints, self.others = (self._compressor(d) for d in (sure, hints, others))
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -145,8 +147,14 @@ class Margins:
         known.precompute_compress(compression_params=settings)
         return zstandard.ZstdCompressor(dict_data=known, compression_params=settings)
 
-    def of(self, text: str) -> tuple[int, int]:
-        """The largest margin of a window, and the sum of all positive ones."""
-        a, b, anchor = self.mine.compress, self.others.compress, ANCHOR
-        margins = [len(b(w + anchor)) - len(a(w + anchor)) for w in windows(normal(text))]
-        return max(margins), sum(m for m in margins if m > 0)
+    def of(self, text: str) -> tuple[int, int, int]:
+        """The largest margin of a window by sure signs, the sum of positive ones by hints, and how many windows there are."""
+        sure, hints, others, anchor = self.sure.compress, self.hints.compress, self.others.compress, ANCHOR
+        largest, total, n = -len(anchor), 0, 0
+        for window in windows(normal(text)):
+            window += anchor
+            plain = len(others(window))
+            largest = max(largest, plain - len(sure(window)))
+            total += max(0, plain - len(hints(window)))
+            n += 1
+        return largest, total, n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 from . import compression
 from .common import pick, table
 
-#: Documents and characters that are sampled from each class, all on the driver; a part of them calibrates.
-SAMPLE_DOCS, SAMPLE_CHARS, CALIBRATE = 4000, 12_000_000, 0.3
+#: Documents and characters that are sampled from each class, all on the driver. Thresholds are
+#: calibrated on margins of each of FOLDS parts under dictionaries of the others.
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 12_000_000
+FOLDS = 3
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 
@@ -20,10 +24,16 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 class Scorer:
-    """Dictionaries of both classes, and the share of toxic documents by the largest margin of a window."""
+    """Dictionaries of both classes, and the share of toxic documents by what they save.
+
+    curve has the share by the largest margin of a window with the dictionary of sure signs; hint_curve, for documents
+    that this leaves in doubt, by how far the bytes that all windows save with the dictionary of hints exceed what
+    ordinary text of that length saves by chance (rate a window). The larger share is the score.
+    """
 
-    def __init__(self, toxic: list[bytes], ordinary: list[bytes], curve: list[float]) -> None:
-        self.toxic, self.ordinary, self.curve = toxic, ordinary, curve
+    def __init__(self, sure: list[bytes], hints: list[bytes], ordinary: list[bytes]) -> None:
+        self.sure, self.hints, self.ordinary = sure, hints, ordinary
+        self.curve, self.hint_curve, self.rate = [0.0], [0.0], 0.0
         self._margins: compression.Margins | None = None
 
     def __getstate__(self) -> dict:
@@ -32,39 +42,52 @@ class Scorer:
     @property
     def margins(self) -> compression.Margins:
         if self._margins is None:
-            self._margins = compression.Margins(compression.dictionary(self.toxic), compression.dictionary(self.ordinary))
+            self._margins = compression.Margins(*map(compression.dictionary, (self.sure, self.hints, self.ordinary)))
         return self._margins
 
+    def excess(self, total: int, windows: int) -> int:
+        """Half deviations above chance. A hit saves some three bytes."""
+        expected = self.rate * windows
+        return math.floor(2 * (total - expected) / math.sqrt(3 * expected + 9))
+
     def score(self, text: str | None) -> float:
-        largest, total = self.margins.of(text or "")
-        share = self.curve[max(0, min(largest, len(self.curve) - 1))]
+        largest, total, windows = self.margins.of(text or "")
+        share = max(_at(self.curve, largest), _at(self.hint_curve, self.excess(total, windows)))
         return min(1.0, share + 1e-3 * (1 - 1 / (1 + total)))
 
 
-def calibrated(margins: list[tuple[int, bool]], weights: dict[bool, float], bins: int = 16) -> list[float]:
-    """Share of toxic documents by margin, never falling: neighbours that would fall are pooled."""
-    hits, all_ = [0.0] * bins, [0.0] * bins
-    for margin, toxic in margins:
-        k = max(0, min(margin, bins - 1))
+def _at(curve: list[float], place: int) -> float:
+    return curve[max(0, min(place, len(curve) - 1))]
+
+
+def calibrated(places: list[tuple[int, bool]], weights: dict[bool, float], bins: int = 16) -> list[float]:
+    """Share of toxic documents by place on a scale, never falling: neighbours that would fall are pooled."""
+    hits, all_, seen = [0.0] * bins, [0.0] * bins, [0] * bins
+    for place, toxic in places:
+        k = max(0, min(place, bins - 1))
         hits[k] += weights[toxic] * toxic
         all_[k] += weights[toxic]
+        seen[k] += 1
     pools: list[list[float]] = []
-    for h, n in zip(hits, all_):
-        pools.append([h, n, 1])
+    for h, n, docs in zip(hits, all_, seen):
+        pools.append([h, n, docs, 1])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last)]
     base = sum(hits) / sum(all_) if sum(all_) else 0.0
     out: list[float] = []
-    for h, n, width in pools:
-        out += [(h + base) / (n + 1)] * int(width)
+    for h, n, docs, width in pools:
+        share, spread = (h + base) / (n + 1), 1.64 / math.sqrt(docs + 1)
+        # what the share is at least, with a confidence of 0.95: a few documents prove little
+        out += [max(0.0, (share + spread**2 / 2 - spread * math.sqrt(share * (1 - share) + spread**2 / 4)) / (1 + spread**2))] * int(width)
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None) -> Scorer:
     """Fit on a seeded, bounded sample of labelled documents (SAMPLE_DOCS and SAMPLE_CHARS of either class).
 
-    keep is a condition on "id". Labels other than 0 and 1 are left out; a document that has both counts as toxic.
+    keep is a condition on "id". Labels other than 0 and 1 are left out; a document that has both counts as toxic; of
+    rows that repeat an id the smallest text is read.
     With no toxic or no ordinary documents every text gets the same score, their share.
     """
     rows = pick(docs, id=id_col, text=text_col).where("id IS NOT NULL AND text IS NOT NULL")
@@ -76,34 +99,40 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     for toxic in (True, False):
         some = sized.where(F.col("toxic") == int(toxic)).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).collect()
         left = SAMPLE_CHARS
-        for r in some:
+        for r in {r["id"]: r for r in some}.values():
             if r["chars"] <= left:
                 chosen.append((r["id"], toxic))
                 left -= r["chars"]
     spark = docs.sparkSession
     wanted = spark.createDataFrame(chosen, "id long, toxic boolean")
-    texts = rows.join(F.broadcast(wanted), "id").select("id", "toxic", "text").orderBy(F.xxhash64("id"), "id").collect()
-    sampled: dict[bool, list[bytes]] = {True: [], False: []}
-    rest: list[tuple[str, bool]] = []
-    for k in (True, False):
-        own = [r["text"] for r in texts if r["toxic"] == k]
-        cut = len(own) - int(len(own) * CALIBRATE)
-        sampled[k] = [compression.normal(t) for t in own[:cut]]
-        rest += [(t, k) for t in own[cut:]]
-    toxic, ordinary = compression.diverse(sampled[True]), compression.diverse(sampled[False])
-    segments = compression.train_segments(toxic, ordinary), compression.train_segments(ordinary[: 2 * len(toxic) + 100], toxic)
-    scorer = Scorer(*segments, [0.0])
-    if not rest or not segments[0]:
-        share = counts.get(True, 0) / max(1, sum(counts.values()))
-        scorer.curve = [share]
-        if not segments[0]:
-            return scorer
-    in_rest = {k: sum(t == k for _, t in rest) for k in (True, False)}
-    weights = {k: counts.get(k, 0) / in_rest[k] if in_rest[k] else 0.0 for k in (True, False)}
-    scorer.curve = calibrated([(scorer.margins.of(t)[0], k) for t, k in rest], weights) if rest else scorer.curve
+    texts = rows.join(F.broadcast(wanted), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id").collect()
+    every = [(r["text"], r["toxic"]) for r in texts]
+    in_sample = {k: sum(t == k for _, t in every) for k in (True, False)}
+    weights = {k: counts.get(k, 0) / in_sample[k] if in_sample[k] else 0.0 for k in (True, False)}
+    found = []
+    for fold in range(FOLDS):
+        own = _fitted([x for i, x in enumerate(every) if i % FOLDS != fold])
+        found += [(*own.margins.of(t), k) for t, k in every[fold::FOLDS]]
+    scorer = _fitted(every)
+    if not scorer.sure + scorer.hints:
+        scorer.curve = [counts.get(True, 0) / max(1, sum(counts.values()))]
+        return scorer
+    scorer.curve = calibrated([(m, k) for m, _, _, k in found], weights)
+    by_chance = [(total, n) for _, total, n, k in found if not k]
+    scorer.rate = sum(t for t, _ in by_chance) / max(1, sum(n for _, n in by_chance))
+    doubtful = [(scorer.excess(total, n), k) for m, total, n, k in found if _at(scorer.curve, m) < THRESHOLD]
+    scorer.hint_curve = calibrated(doubtful, weights)
     return scorer
 
 
+def _fitted(texts: list[tuple[str, bool]]) -> Scorer:
+    """Dictionaries of labelled texts; of ordinary ones as many as there are toxic ones, twice over, make theirs."""
+    toxic, ordinary = (compression.diverse(compression.normal(t) for t, k in texts if k == wanted) for wanted in (True, False))
+    sure = compression.train_segments(toxic, ordinary)
+    hints = compression.train_segments(toxic, ordinary, compression.HINT, compression.PURE)
+    return Scorer(sure, hints, compression.train_segments(ordinary[: 2 * len(toxic) + 100], toxic))
+
+
 def score_column(scorer: Scorer, text: Column) -> Column:
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
