@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from collections.abc import Callable
 
 import pandas as pd
@@ -42,8 +43,33 @@ def min_cost_flow(capacities: list[int], members: list[list[int]], quotas: list[
     """Words to take from each pattern: as much as meets the quotas, at the least sum of repetition costs.
 
     Copy c of a pattern costs c * c a word (convex, so all copies of one kind are used before the next), members are
-    the pattern's sources. Successive shortest paths with potentials, on integers.
+    the pattern's sources. Patterns that share no source, not even through others, are solved apart.
     """
+    parent = list(range(len(quotas)))
+
+    def find(q: int) -> int:
+        while parent[q] != q:
+            parent[q] = q = parent[parent[q]]
+        return q
+
+    for own in members:
+        for q in own[1:]:
+            parent[find(q)] = find(own[0])
+    groups: dict[int, list[int]] = defaultdict(list)
+    for p, own in enumerate(members):
+        groups[find(own[0])].append(p)
+    out = [0] * len(capacities)
+    for patterns in groups.values():
+        sources = sorted({q for p in patterns for q in members[p]})
+        place = {q: i for i, q in enumerate(sources)}
+        flows = _connected_flow([capacities[p] for p in patterns], [[place[q] for q in members[p]] for p in patterns], [quotas[q] for q in sources], copies)
+        for p, flow in zip(patterns, flows):
+            out[p] = flow
+    return out
+
+
+def _connected_flow(capacities: list[int], members: list[list[int]], quotas: list[int], copies: int) -> list[int]:
+    """Successive shortest paths with potentials, on integers."""
     n_p, n_q = len(capacities), len(quotas)
     start, end = n_p + n_q, n_p + n_q + 1
     graph: list[list[list[int]]] = [[] for _ in range(n_p + n_q + 2)]  # edges: to, capacity, cost, index of the way back
@@ -74,7 +100,10 @@ def min_cost_flow(capacities: list[int], members: list[list[int]], quotas: list[
                     cost[b], via[b] = new, (a, k)
                     heapq.heappush(heap, (new, b))
         if end not in cost:
-            return [sum(graph[b][back][1] for b, _, _, back in graph[start] if b == p) for p in range(n_p)]
+            taken = [0] * n_p
+            for p, _, _, back in graph[start]:
+                taken[p] += graph[p][back][1]
+            return taken
         furthest = max(cost.values())
         potential = [h + cost.get(a, furthest) for a, h in enumerate(potential)]
         flow, b = 1 << 62, end
@@ -156,9 +185,12 @@ def mix_sources(
         inside = slim.join(facts(), "pattern").where(F.col("p").isin(list(wide)) & F.col("h").between(F.col("lo"), F.col("hi") - 1))
         slot = F.expr(f"(h - lo) div ((hi - lo) div {SLOTS})")
         counts = inside.groupBy("p", slot.alias("slot")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).orderBy("p", "slot").collect()  # SLOTS rows a pattern
+        slots = defaultdict(list)
+        for r in counts:
+            slots[r["p"]].append(r)
         for p, s in wide.items():
             step, lo = (s["hi"] - s["lo"]) // SLOTS, s["lo"]
-            for r in (r for r in counts if r["p"] == p):
+            for r in slots[p]:
                 if r["words"] > s["rest"]:
                     s |= {"lo": lo + r["slot"] * step, "hi": lo + (r["slot"] + 1) * step, "n": r["n"]}
                     break
