@@ -18,6 +18,8 @@ ALPHA = 0.4
 ORDER = 3
 #: Bytes of text in a block of documents, and n-grams (of a block, all orders) in a part of the count table.
 BLOCK_BYTES, PART_GRAMS = 8_000_000, 1_500_000
+#: Bits of an n-gram hash beyond those that number the corpus: one n-gram in 2^27 shares its hash with another.
+SPARE_BITS = 27
 _SALT = mix(np.arange(1, 64, dtype=np.uint64))
 
 
@@ -168,7 +170,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stats = rows.agg(F.sum(F.octet_length("text").cast("long")), F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long"))).first()
     n_bytes, n_words = (int(x or 0) for x in stats)
     grams = max(2, 2 * n_words)
-    bits = min(64, 30 + math.ceil(math.log2(grams)))
+    bits = min(64, SPARE_BITS + math.ceil(math.log2(grams)))
     blocks, parts = max(1, math.ceil(n_bytes / BLOCK_BYTES)), max(1, math.ceil(grams / PART_GRAMS))
     kind = dict(rows.dtypes)["id"]
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
