@@ -7,15 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.geometry import AXES, brick_domain, cell_box, linear_index, width
+from lattica.functions.geometry import AXES, brick_domain, linear_index, width
+from lattica.operators.cells import levels
 from lattica.operators.range_join import join_boxes, join_points
 
 
-def tent(point: tuple[str, ...], low: tuple[Column, ...], w: Column) -> Column:
-    """Weight of a cell's basis function: 1 at its centre, 0 an edge away on any axis."""
-    return reduce(lambda a, b: a * b, [F.greatest(F.lit(0.0), 1 - F.abs(F.col(p) - (l + 0.5 * w)) / w) for p, l in zip(point, low)])
-
-
 def weighted_mean(hits: DataFrame, key: list[str]) -> DataFrame:
     """Mean of value by weight; keys whose weights add up to 0 are misses and have no row."""
     summed = hits.groupBy(*key).agg(F.sum(F.col("weight") * F.col("value")).alias("_wv"), F.sum("weight").alias("_w"))
@@ -23,10 +19,24 @@ def weighted_mean(hits: DataFrame, key: list[str]) -> DataFrame:
 
 
 def sample_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """(pid, value) by the basis functions of all cells that reach a point, of whatever level."""
-    boxes = cells.where("value IS NOT NULL AND NOT isnan(value)").select("x", "y", "z", "level", "value", *cell_box(0.5))
-    met = join_points(points, boxes)
-    return weighted_mean(met.withColumn("weight", tent(("px", "py", "pz"), tuple(F.col(a) for a in AXES), width("level"))), ["pid"])
+    """(pid, value) by the basis functions of all cells that reach a point, of whatever level.
+
+    Cells lie on their level's lattice, so on each level eight places can reach a point: they are looked up by an
+    equi-join, with the weight, which the place alone decides, already there.
+    """
+    known = levels(cells)
+    if not known:
+        return points.select("pid", F.lit(0.0).alias("value")).limit(0)
+    probes = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in known]))).withColumn("_w", width("_level"))
+    probes = probes.withColumns({f"_q{a}": F.col(f"p{a}") / F.col("_w") - 0.5 for a in AXES}).withColumns({f"_i{a}": F.floor(f"_q{a}") for a in AXES})
+    share = lambda a, o: (F.col(f"_q{a}") - F.col(f"_i{a}")) if o else (1 - (F.col(f"_q{a}") - F.col(f"_i{a}")))
+    corners = [
+        F.struct(*[((F.col(f"_i{a}") + o) * F.col("_w")).cast("int").alias(f"_{a}") for a, o in zip(AXES, at)], (share("x", at[0]) * share("y", at[1]) * share("z", at[2])).alias("weight"))
+        for at in ((k & 1, k >> 1 & 1, k >> 2) for k in range(8))
+    ]
+    probes = probes.select("pid", "_level", F.explode(F.array(*corners)).alias("c")).select("pid", "_level", "c.*").where("weight > 0")
+    side = cells.where("value IS NOT NULL AND NOT isnan(value)").select(F.col("level").alias("_level"), *[F.col(a).alias(f"_{a}") for a in AXES], "value")
+    return weighted_mean(probes.join(side, ["_level", "_x", "_y", "_z"]), ["pid"])
 
 
 def brick_hits(met: DataFrame) -> DataFrame:

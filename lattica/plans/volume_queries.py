@@ -21,7 +21,7 @@ from lattica.plans.geometry_queries import rounded
 from lattica.storage import materialise
 
 LOW, HIGH, DIMS = (0.0, 0.0, 0.0), (64.0, 64.0, 64.0), (8, 8, 8)
-BLOW, BHIGH, BDIMS = (-4.0, -4.0, -4.0), (124.0, 124.0, 124.0), (16, 16, 16)
+BLOW, BHIGH, BDIMS, RDIMS = (-4.0, -4.0, -4.0), (124.0, 124.0, 124.0), (16, 16, 16), (32, 32, 32)
 RAMP = ramp()
 
 
@@ -226,12 +226,12 @@ def j14_adjacent_bricks(s, d):
 
 def j15_rays_and_boxes(s, d):
     boxes = R(s, d, "bricks").select("brick_id", *G.brick_box())
-    return rounded(Y.box_hits(R(s, d, "rays"), boxes, "brick_id", BLOW, BHIGH, BDIMS), "t0", "t1")
+    return rounded(Y.box_hits(R(s, d, "rays"), boxes, "brick_id", BLOW, BHIGH, RDIMS), "t0", "t1")
 
 
 def o6_first_box(s, d):
     boxes = R(s, d, "bricks").select("brick_id", *G.brick_box())
-    return rounded(Y.first_hit(Y.box_hits(R(s, d, "rays"), boxes, "brick_id", BLOW, BHIGH, BDIMS), "brick_id"), "t0")
+    return rounded(Y.first_hit(Y.box_hits(R(s, d, "rays"), boxes, "brick_id", BLOW, BHIGH, RDIMS), "brick_id"), "t0")
 
 
 def j16_rays_and_triangles(s, d):
@@ -265,7 +265,7 @@ def w5_first_step(s, d):
 
 def w6_region_steps(s, d):
     regions = R(s, d, "bricks").select("brick_id", "level", *G.brick_box())
-    seg = Y.box_hits(R(s, d, "rays"), regions, "brick_id", BLOW, BHIGH, BDIMS).join(regions.select("brick_id", G.width("level").alias("w")), "brick_id")
+    seg = Y.box_hits(R(s, d, "rays"), regions, "brick_id", BLOW, BHIGH, RDIMS).join(regions.select("brick_id", G.width("level").alias("w")), "brick_id")
     st = Y.steps(seg, F.col("w") * 0.5).withColumn("a", Y.corrected(F.lit(0.3), F.col("w") * 0.5))
     return rounded(st.groupBy("ray_id").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a")), "a")
 
