@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import elements as E
 from lattica.functions import geometry as G
-from lattica.functions.transfer import lookup, majorant, ramp
+from lattica.functions.transfer import lookup, ramp
 from lattica.operators import bricks as B
 from lattica.operators import cells as C
 from lattica.operators import fields as S
