@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.storage import materialise, shared_dir
+
+__all__ = ["BROADCAST_KEYS", "attach", "materialise", "pick", "shared_dir", "table", "words"]
+
 #: Keys that a broadcast side may hold: at 40 bytes a key, some 40 MB on each executor.
 BROADCAST_KEYS = 1_000_000
 #: Keys above this share of all rows are hot: 512 of them at most, so they can always be broadcast.
@@ -32,24 +32,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{names.index(name)}").alias(own) for own, name in columns.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, as in local tests, below a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="lattica-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lattica-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it: this cuts the lineage, and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, n_facts: int, salt: Column, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Left-join facts, unique by key, to rows, of which weight says how many have that key.
 
@@ -72,9 +54,3 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int,
 def words(text: Column) -> Column:
     """How many runs of characters other than space and U+0009 to U+000D a text has; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
-
-
-def check_name(name: str) -> str:
-    if not re.fullmatch(r"\w+", name):
-        raise ValueError(f"not a plain column name: {name!r}")
-    return name
