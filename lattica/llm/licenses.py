@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,10 @@ RULES: list[tuple[str, list[str]]] = [
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A line's start up to its first letter or digit, with the comment words of batch files and m4.
+_LEADER = r"\n[^\p{L}\p{N}\n\u0001]*+(?:(?:rem|dnl)(?![\p{L}\p{N}_])[^\p{L}\p{N}\n\u0001]*+)?"
+
+
 def normal(sentence: str) -> str:
     plain = "".join(c if c.isascii() and c.isalnum() else " " for c in sentence.translate(str.maketrans(UPPER, LOWER)))
     return " ".join(plain.split())
@@ -67,28 +73,48 @@ def _compile(rules: list[tuple[str, list[str]]]) -> tuple[dict[str, int], list[t
     return ids, found
 
 
+def _pattern(sentences: Iterable[str]) -> str:
+    """Group 1: the longest of the sentences that ends with a line or sentence, its words in lines as they come; else one line."""
+    tree: dict = {}
+    for sentence in sentences:
+        node = tree
+        for word in sentence.split():
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def after(node: dict) -> str:
+        longer = either([word + after(n) for word, n in node.items() if word])
+        ends = ["(?= *+(?:[\n\u0001]|\\z))"] if "" in node else []
+        return either((["[ \n]++" + longer] if longer else []) + ends)
+
+    def either(options: list[str]) -> str:
+        return options[0] if len(options) == 1 else f"(?:{'|'.join(options)})" if options else ""
+
+    return f"({either([word + after(n) for word, n in tree.items()])})|[a-z0-9][^\n\u0001]*+"
+
+
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """Per row: doc_id, n_known (sentences of the rules that the text holds), licenses, n_matches.
 
-    Sentences end at . ! or ? before white space, or at an empty line; one that isn't known is read line by line.
+    What stands before a line's first letter or digit (white space, # * // -- ; and so on), and "rem" or "dnl", are
+    comment leaders. Sentences end at . ! or ? before white space, or at a line without letters or digits; a known
+    one is found from the start of any line or sentence to the end of any, over as many lines as it takes. Other
+    lines count as one unknown sentence each.
     Case, punctuation and spacing don't count. A rule matches where its sentences stand in a row; longer rules
     go first and use their sentences up, rules of one length in their order. licenses: the distinct names in
     alphabetical order, joined by commas, "" if none. Null and empty texts have none; repeated rows and null
     ids each give a row, other columns are ignored. Each row is on its own: nothing is shuffled.
     """
     ids, coded = _compile(RULES if rules is None else rules)
-    known = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
-
-    def number(sentence: Column) -> Column:
-        plain = F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
-        return F.coalesce(F.try_element_at(known, plain), F.lit(0))
+    known = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in ids.items())), F.lit(","), F.lit(":"))
 
-    def units(sentence: Column) -> Column:
-        whole = number(sentence)
-        return F.when(whole > 0, F.array(whole)).otherwise(F.transform(F.split(sentence, "\n"), number))
+    def number(found: Column) -> Column:
+        return F.when(found == "", 0).otherwise(F.try_element_at(known, F.regexp_replace(found, "[ \n]+", " ")).cast("int"))
 
-    marked = F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])[ \t\r\n]+|\n[ \t\r]*\n", "$1\u0001")
-    numbers = F.flatten(F.transform(F.split(marked, "\u0001"), units))
+    lines = F.regexp_replace(F.concat(F.lit("\n"), F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)), _LEADER, "\n")
+    marked = F.regexp_replace(lines, r"([.!?])[ \t\r\n]+|\n\n+", "\u0001")
+    plain = F.regexp_replace(marked, "[^a-z0-9\n\u0001]+", " ")
+    numbers = F.transform(F.regexp_extract_all(plain, F.lit(_pattern(ids)), F.lit(1)), number)
     out = pick(docs, doc_id=id_col, text=text_col).select("doc_id", numbers.alias("_numbers"))
     out = out.select("doc_id", F.size(F.filter("_numbers", lambda n: n > 0)).cast("long").alias("n_known"), F.array_join(F.transform("_numbers", lambda n: F.concat(F.lit("<"), n.cast("string"), F.lit(">"))), "").alias("_s"))
     hits = []

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import struct
+import textwrap
 from collections import Counter
 
 import pytest
@@ -105,6 +106,23 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.frame(spark, [])).collect() == []
 
 
+def commented(paragraphs, leader, width=60):
+    """Paragraphs as a comment: wrapped, a leader on every line, also on the empty ones."""
+    return f"\n{leader}\n".join("\n".join(f"{leader} {line}" for line in textwrap.wrap(p, width, break_on_hyphens=False)) for p in paragraphs)
+
+
+@pytest.mark.parametrize("leader", ["#", " *", "//", "--", ";", "!", "REM", "dnl", "%%"])
+def test_licences_in_comments(spark, leader):
+    apache, mit = licenses.RULES[0][1], licenses.RULES[1][1]
+    one = [f"Copyright 2018 X\n{leader}", apache[0], apache[1], apache[2], " ".join(apache[3:])]
+    two = ["Copyright (c) 2018 X", mit[0], mit[1], " ".join(mit[2:])]
+    glued = f"{leader} Copyright 2018 X\n" + commented([apache[0]], leader, 40) + f"\n{leader} " + apache[1] + f"\n{leader}   " + apache[2] + "\n" + commented([" ".join(apache[3:])], leader) + "\nimport x\n"
+    alone = f"int x;\n{leader} By me\n{leader} Licensed under\n{leader} CC BY 4.0\nint y;"
+    texts = [commented(one, leader) + "\nimport x\n", f"/*\n{commented(two, leader, 72)}\n */\nint x;", glued, alone, alone.replace("under", "under no")]
+    got = {r.doc_id: (r.n_known, r.licenses, r.n_matches) for r in licenses.scan_licenses(docs.frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: (5, "Apache-2.0", 1), 1: (4, "MIT", 1), 2: (5, "Apache-2.0", 1), 3: (1, "CC-BY-4.0", 1), 4: (0, "", 0)}
+
+
 MESSAGES = "tree_id long, node_id long, parent_id long, role string, text string, score double, TREE_ID int, key string"
 
 
