@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick, table
+from .license_rules import MORE
 
 _APACHE = [
     'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
@@ -29,8 +31,8 @@ _GPL = [
     "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "See the GNU General Public License for more details.",
 ]
-#: Licence and its sentences in order, as the licences' public notices word them. A parameter of scan_licenses.
-RULES: list[tuple[str, list[str]]] = [
+#: Licence and its sentences in order, as the licences' public notices word them. The SQL knows these.
+FIRST: list[tuple[str, list[str]]] = [
     ("Apache-2.0", _APACHE),
     ("MIT", _MIT),
     ("GPL-3.0-or-later", _GPL),
@@ -48,6 +50,8 @@ RULES: list[tuple[str, list[str]]] = [
     ("GPL-3.0-only", ["SPDX-License-Identifier: GPL-3.0-only"]),
     ("GPL-3.0-or-later", ["SPDX-License-Identifier: GPL-3.0-or-later"]),
 ]
+#: A parameter of scan_licenses.
+RULES = FIRST + MORE
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,6 +60,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LEADER = r"\n[^\p{L}\p{N}\n\u0001]*+(?:(?:rem|dnl)(?![\p{L}\p{N}_])[^\p{L}\p{N}\n\u0001]*+)?"
 
 
+_SPDX = "spdx license identifier "
+_HOLDER = r"(neither[ \n]+the[ \n]+name[ \n]+of)[ \n\u0001][a-z0-9 \n\u0001]{1,160}?[ \n\u0001]+nor[ \n]+the[ \n]+names[ \n]+of[ \n]+its[ \n]+contributors"
+
+
 def normal(sentence: str) -> str:
     plain = "".join(c if c.isascii() and c.isalnum() else " " for c in sentence.translate(str.maketrans(UPPER, LOWER)))
     return " ".join(plain.split())
@@ -74,7 +82,7 @@ def _compile(rules: list[tuple[str, list[str]]]) -> tuple[dict[str, int], list[t
 
 
 def _pattern(sentences: Iterable[str]) -> str:
-    """Group 1: the longest of the sentences that ends with a line or sentence, its words in lines as they come; else one line."""
+    """Group 1: the longest of the sentences that ends with a line or sentence, its words in lines as they come, or any SPDX line; else one line, numbers and letters of lists left out."""
     tree: dict = {}
     for sentence in sentences:
         node = tree
@@ -90,7 +98,8 @@ def _pattern(sentences: Iterable[str]) -> str:
     def either(options: list[str]) -> str:
         return options[0] if len(options) == 1 else f"(?:{'|'.join(options)})" if options else ""
 
-    return f"({either([word + after(n) for word, n in tree.items()])})|[a-z0-9][^\n\u0001]*+"
+    known = either([word + after(n) for word, n in tree.items()])
+    return f"({known}|{_SPDX}[^\n\u0001]*+)|(?!(?:[0-9]{{1,2}}|[a-z]) *+(?:[\n\u0001]|\\z))[a-z0-9][^\n\u0001]*+"
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
@@ -109,24 +118,49 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     known = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in ids.items())), F.lit(","), F.lit(":"))
 
     def number(found: Column) -> Column:
-        return F.when(found == "", 0).otherwise(F.try_element_at(known, F.regexp_replace(found, "[ \n]+", " ")).cast("int"))
+        return F.try_element_at(known, found).cast("int")
+
+    def part(x: Column) -> Column:
+        name = F.concat(F.lit(_SPDX), F.trim(x))
+        return F.coalesce(number(name), number(F.regexp_replace(name, " with .*", "")), F.lit(0))
 
+    def units(found: Column) -> Column:
+        whole = F.regexp_replace(found, "[ \n]+", " ")
+        parts = F.split(F.regexp_replace(F.trim(whole), f"^{_SPDX}", ""), " or (?!later)| and ")
+        return F.when(found == "", F.array(F.lit(0))).when(number(F.trim(whole)).isNotNull(), F.array(number(F.trim(whole)))).otherwise(F.transform(parts, part))
+
+    out = pick(docs, doc_id=id_col, text=text_col)
     lines = F.regexp_replace(F.concat(F.lit("\n"), F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)), _LEADER, "\n")
-    marked = F.regexp_replace(lines, r"([.!?])[ \t\r\n]+|\n\n+", "\u0001")
-    plain = F.regexp_replace(marked, "[^a-z0-9\n\u0001]+", " ")
-    numbers = F.transform(F.regexp_extract_all(plain, F.lit(_pattern(ids)), F.lit(1)), number)
-    out = pick(docs, doc_id=id_col, text=text_col).select("doc_id", numbers.alias("_numbers"))
+    out = out.select("doc_id", lines.alias("_l"))
+    plus = F.when(F.contains("_l", F.lit("spdx-license-identifier")), F.regexp_replace("_l", r"(?<=spdx-license-identifier:[^\n]{0,200}[a-z0-9])\+", " or later")).otherwise(F.col("_l"))
+    marked = F.regexp_replace(plus, r"([.!?])[ \t\r\n]+|\n\n+", "\u0001")
+    out = out.select("doc_id", F.regexp_replace(marked, "[^a-z0-9\n\u0001]+", " ").alias("_p"))
+    plain = F.regexp_replace("_p", _HOLDER, "$1 the copyright holder nor the names of its contributors")
+    out = out.select("doc_id", F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(_pattern(ids)), F.lit(1)), units)).alias("_numbers"))
     out = out.select("doc_id", F.size(F.filter("_numbers", lambda n: n > 0)).cast("long").alias("n_known"), F.array_join(F.transform("_numbers", lambda n: F.concat(F.lit("<"), n.cast("string"), F.lit(">"))), "").alias("_s"))
-    hits = []
-    rest = F.col("_s")
-    for n, (_, code) in enumerate(coded):
-        left = F.replace(rest, F.lit(code), F.lit("#"))
-        hits.append(((F.length(rest) - F.length(left)) / (len(code) - 1)).cast("long").alias(f"_m{n}"))
-        out = out.select("doc_id", "n_known", left.alias("_s"), *[f"_m{k}" for k in range(n)], hits[-1])
-        rest = F.col("_s")
-    names = F.array(*[F.when(F.col(f"_m{n}") > 0, F.lit(licence)) for n, (licence, _) in enumerate(coded)])
-    total = sum((F.col(f"_m{n}") for n in range(1, len(coded))), F.col("_m0"))
-    return out.select("doc_id", "n_known", F.array_join(F.array_sort(F.array_distinct(F.filter(names, lambda x: x.isNotNull()))), ",").alias("licenses"), total.alias("n_matches"))
+    # rules of several sentences one after another, each over what the ones before it left; a rule of one sentence is a number's name
+    several = [x for x in coded if x[1].count("<") > 1]
+    names: dict[str, str] = {}
+    for licence, code in coded:
+        if code.count("<") == 1:
+            names.setdefault(code[1:-1], licence)
+    none = F.struct(F.col("_s").alias("s"), F.array().cast("array<string>").alias("names"), F.lit(0).cast("long").alias("n"))
+
+    def use(state: Column, rule: Column) -> Column:
+        left = F.replace(state["s"], rule["code"], F.lit("#"))
+        n = ((F.length(state["s"]) - F.length(left)) / (F.length(rule["code"]) - 1)).cast("long")
+        return F.struct(left.alias("s"), F.when(n > 0, F.array_append(state["names"], rule["licence"])).otherwise(state["names"]).alias("names"), (state["n"] + n).alias("n"))
+
+    if several:
+        ordered = F.from_json(F.lit(json.dumps([{"licence": a, "code": b} for a, b in several])), "array<struct<licence:string,code:string>>")
+        used = F.when(F.col("n_known") > 0, F.aggregate(ordered, none, use)).otherwise(none)
+    else:
+        used = none
+    out = out.select("doc_id", "n_known", used.alias("_u"))
+    by_number = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    single = F.filter(F.transform(F.regexp_extract_all("_u.s", F.lit("<([1-9][0-9]*)>"), F.lit(1)), lambda n: F.try_element_at(by_number, n)), lambda x: x.isNotNull())
+    out = out.select("doc_id", "n_known", "_u", single.alias("_one"))
+    return out.select("doc_id", "n_known", F.array_join(F.array_sort(F.array_distinct(F.concat("_u.names", "_one"))), ",").alias("licenses"), (F.col("_u.n") + F.size("_one")).alias("n_matches"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +168,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    ids, coded = _compile(RULES)
+    ids, coded = _compile(FIRST)
     pairs = ", ".join(f"('{k}', {v})" for k, v in ids.items())
     plain = f"trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
     steps, last = [], "coded"

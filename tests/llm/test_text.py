@@ -11,6 +11,7 @@ import sentencepiece
 import tokenizers
 
 from lattica.llm import chat, licenses, sentencepieces, stupid_backoff, token_counts
+from lattica.llm.license_rules import SPDX
 from lattica.llm.token_counts import PairMerger
 
 from . import docs
@@ -123,6 +124,23 @@ def test_licences_in_comments(spark, leader):
     assert got == {0: (5, "Apache-2.0", 1), 1: (4, "MIT", 1), 2: (5, "Apache-2.0", 1), 3: (1, "CC-BY-4.0", 1), 4: (0, "", 0)}
 
 
+def test_more_licences(spark):
+    bsd = dict((n, r) for n, r in reversed(licenses.RULES) if n.startswith("BSD-") and len(r) > 1)
+    three = "\n".join([bsd["BSD-3-Clause"][0], *(f"  {i + 1}. {x}" for i, x in enumerate(bsd["BSD-3-Clause"][1:4])), "", bsd["BSD-3-Clause"][4]])
+    gnu = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    spdx = "// SPDX-License-Identifier: "
+    want = {
+        three: "BSD-3-Clause", three.replace("the copyright holder nor", "Google Inc. nor"): "BSD-3-Clause", "\n".join(bsd["BSD-2-Clause"]): "BSD-2-Clause", commented([gnu], "#"): "LGPL-2.1-or-later", mpl: "MPL-2.0",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "This is free and unencumbered software released into the public domain.": "Unlicense", "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n": "AGPL-3.0-only",
+        spdx + "ISC": "ISC", spdx + "GPL-2.0+": "GPL-2.0-or-later", spdx + "GPL-2.0": "GPL-2.0-only", spdx + "(MIT OR Apache-2.0)": "Apache-2.0,MIT", spdx + "GPL-2.0+ WITH Linux-syscall-note OR BSD-3-Clause\nint x;": "BSD-3-Clause,GPL-2.0-or-later", spdx + "Apache-2.0+": "Apache-2.0+", spdx + "None-Such": "",
+    }
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs.frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(want)])).collect()}
+    assert got == dict(enumerate(want.values()))
+    lines = [(i, f"/* SPDX-License-Identifier: {n} */", "en", "s", 1) for i, n in enumerate(SPDX)]
+    assert all(r.licenses for r in licenses.scan_licenses(docs.frame(spark, lines)).collect())
+
+
 MESSAGES = "tree_id long, node_id long, parent_id long, role string, text string, score double, TREE_ID int, key string"
 
 
