@@ -100,7 +100,7 @@ class Volume:
         lit = self.field.sample(points).select("pid.ray_id", "pid.t", colour["r"].alias("r"), colour["g"].alias("g"), colour["b"].alias("b"), rays.corrected(self._alpha(F.col("value")), F.lit(dt)).alias("a"))
         return rays.composite(lit)
 
-    def trace(self, lines: DataFrame, light: tuple[float, float, float], bounces: int = 4, scale: float = 1.0, seed: int = 1) -> DataFrame:
+    def trace(self, lines: DataFrame, light: tuple[float, float, float], bounces: int = 1024, scale: float = 1.0, seed: int = 1) -> DataFrame:
         return tracking.trace(lines, self.field.cells(), self.majorants(), self._alpha, self.low, self.high, self.dims, scale=scale, light=light, bounces=bounces, seed=seed)
 
     def render(self, view: dict, columns: int, rows: int, dt: float) -> DataFrame:

@@ -9,6 +9,7 @@ in any partitioning.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,15 +94,20 @@ def light_rays(points: DataFrame, light: tuple[float, float, float]) -> DataFram
     return points.withColumn("_far", far).where("_far > 0").select("ray_id", *[F.col(f"p{a}").alias(f"o{a}") for a in "xyz"], *[(x / F.col("_far")).alias(f"d{a}") for a, x in zip("xyz", d)], F.lit(0.0).alias("tmin"), F.col("_far").alias("tmax"), (1 / (F.col("_far") * F.col("_far"))).alias("falloff"))
 
 
-def trace(rays: DataFrame, cells: DataFrame, majorants: DataFrame, alpha: Callable[[Column], Column], low, high, dims, *, scale: float = 1.0, light: tuple[float, float, float], bounces: int = 4, roulette: float = 0.2, albedo: float = 0.8, seed: int = 1) -> DataFrame:
-    """(ray_id, radiance) of rays with unit directions: light from a point, scattered up to bounces times; 1 is direct lighting.
+def trace(rays: DataFrame, cells: DataFrame, majorants: DataFrame, alpha: Callable[[Column], Column], low, high, dims, *, scale: float = 1.0, light: tuple[float, float, float], bounces: int = 1024, roulette: float = 0.2, albedo: float = 0.8, seed: int = 1) -> DataFrame:
+    """(ray_id, radiance) of rays with unit directions: light from a point, scattered until no path is left; 1 bounce is direct lighting.
 
     A bounce finds free paths, adds the light that reaches the collisions through the volume, and goes on in a new
-    direction; a path of throughput below roulette survives with that probability. Each bounce is written, so plans
-    don't grow.
+    direction; a path of throughput below roulette survives with that probability, which ends all paths: bounces is
+    only a guard. Each bounce and its light are written, and the light is summed up now and then, so plans don't grow.
     """
+    cells, majorants = materialise(cells), materialise(majorants)
     paths = rays.withColumn("weight", F.lit(1.0))
-    gathered = None
+    gathered: list[DataFrame] = []
+
+    def total() -> DataFrame:
+        return reduce(DataFrame.unionByName, gathered).groupBy("ray_id").agg(F.sum("light").alias("light"))
+
     for bounce in range(bounces):
         own = seed + 10 * bounce
         hits = with_extinction(tentative(paths, majorants, low, high, dims, scale, own), paths, cells, alpha, scale)
@@ -109,12 +115,13 @@ def trace(rays: DataFrame, cells: DataFrame, majorants: DataFrame, alpha: Callab
         shadow = light_rays(met, light)
         through = transmittance(shadow, with_extinction(tentative(shadow, majorants, low, high, dims, scale, own + 3), shadow, cells, alpha, scale))
         lit = met.join(through, "ray_id").join(shadow.select("ray_id", "falloff"), "ray_id").select("ray_id", (F.col("weight") * albedo * F.col("transmittance") * F.col("falloff") / 12.566370614359172).alias("light"))
-        gathered = lit if gathered is None else gathered.unionByName(lit)
+        gathered.append(materialise(lit))
+        if len(gathered) == 16:
+            gathered = [materialise(total())]
         d = phase_direction(uniform("ray_id", F.lit(own + 5)), uniform("ray_id", F.lit(own + 6)), [F.col("dx"), F.col("dy"), F.col("dz")])
         on = met.select("ray_id", *[F.col(f"p{a}").alias(f"o{a}") for a in "xyz"], *[x.alias(f"d{a}") for a, x in zip("xyz", d)], F.lit(0.0).alias("tmin"), F.lit(1e20).alias("tmax"), (F.col("weight") * albedo).alias("weight"))
         survives = uniform("ray_id", F.lit(own + 7)) < roulette
         paths = materialise(on.where((F.col("weight") >= roulette) | survives).withColumn("weight", F.when(F.col("weight") < roulette, F.col("weight") / roulette).otherwise(F.col("weight"))))
         if paths.isEmpty():
             break
-    total = gathered.groupBy("ray_id").agg(F.sum("light").alias("radiance"))
-    return rays.select("ray_id").join(total, "ray_id", "left").select("ray_id", F.coalesce("radiance", F.lit(0.0)).alias("radiance"))
+    return rays.select("ray_id").join(total(), "ray_id", "left").select("ray_id", F.coalesce("light", F.lit(0.0)).alias("radiance"))

@@ -89,7 +89,7 @@ def t2_transmittance(s, d):
 
 
 def t5_path_traced(s, d):
-    return X.trace(_unit_rays(s, d), R(s, d, "cells"), _majorants(s, d), _alpha, LOW, HIGH, DIMS, scale=0.05, light=(32.0, 80.0, 32.0), bounces=3)
+    return X.trace(_unit_rays(s, d), R(s, d, "cells"), _majorants(s, d), _alpha, LOW, HIGH, DIMS, scale=0.05, light=(32.0, 80.0, 32.0))
 
 
 def t6_direct_light(s, d):

@@ -273,6 +273,18 @@ def test_tracking_agrees_with_the_integral(spark):
     assert abs(free - want) < 0.03 and abs(mean - want) < 0.02
 
 
+def test_paths_go_on_until_none_is_left(spark):
+    c = uniform(spark, 4, 4, 4).withColumn("value", F.lit(1.0))
+    r = spark.range(6).select(F.col("id").alias("ray_id"), F.lit(-1.0).alias("ox"), F.lit(2.0).alias("oy"), F.lit(2.0).alias("oz"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"), F.lit(0.0).alias("tmin"), F.lit(1e20).alias("tmax"))
+    m = grid.cell_ranges(c, (0, 0, 0), (4, 4, 4), (1, 1, 1)).withColumn("max_opacity", F.lit(1.0))
+
+    def radiance(**most):
+        return {x.ray_id: x.radiance for x in tracking.trace(r, c, m, lambda v: v, (0, 0, 0), (4, 4, 4), (1, 1, 1), scale=2.0, light=(2.0, 2.0, -1.0), albedo=0.7, **most).collect()}
+
+    four, all_ = radiance(bounces=4), radiance()
+    assert all(four[i] <= all_[i] for i in range(6)) and sum(four.values()) < sum(all_.values())
+
+
 def test_directions(spark):
     d = spark.range(4000).select(tracking.uniform("id", F.lit(1)).alias("u"), tracking.uniform("id", F.lit(2)).alias("v"))
     axis = [F.lit(0.0), F.lit(0.6), F.lit(-0.8)]
