@@ -1,12 +1,12 @@
-"""Compression distance: one zstandard dictionary a class, and the bytes that windows of a text save with each."""
+"""Compression distance: one zstandard dictionary a class, and the lengths of a text's windows under both."""
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Iterator, Sequence
-from itertools import islice
+from collections.abc import Collection, Iterable, Iterator, Sequence
 
 import numpy as np
+import xxhash
 import zstandard
 
 #: Window and step in bytes. Below 64 bytes zstandard writes literals as they are, so lengths differ by matches only;
@@ -14,13 +14,15 @@ import zstandard
 WINDOW, STEP = 60, 44
 #: Both dictionaries, and every window, end with these bytes: a sure match, without which short blocks are stored raw.
 ANCHOR = bytes(range(1, 9)) + bytes(range(14, 32))
-#: Bytes of the n-grams that dictionaries are built of, segments a dictionary has and their longest length.
-GRAM, SEGMENTS, LONGEST = 5, 64, 16
+#: Bytes of the n-grams that segments cover, the longest a segment grows, and the share of a segment's texts that must
+#: hold an n-gram for the segment to grow over it.
+GRAM, LONGEST, AGREE = 5, 16, 0.6
+#: The toxic dictionary holds what this share of toxic texts has, the ordinary one what DEPTH times fewer ordinary texts have.
+#: With few toxic texts it must be more: SURE standard deviations above the share below which the ordinary one has nothing.
+SUPPORT, DEPTH, SURE = 0.05, 2.0, 4.0
+#: zstandard indexes dictionaries by every third byte first; equal padding keeps the shared part's entries the same.
+ALIGN = 12
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-#: How much of the text that follows a segment in its class must agree for the segment to grow.
-AGREE = 0.6
-#: How many times as frequent a segment is in its class as in the other, for a sure sign and for a hint.
-PURE, HINT = 20.0, 3.0
 
 
 def normal(text: str) -> bytes:
@@ -48,10 +50,6 @@ def _grams(text: bytes) -> np.ndarray:
     return np.unique(code[~inner])
 
 
-def _spelled(code: int) -> bytes:
-    return int(code).to_bytes(GRAM, "big")
-
-
 def diverse(texts: Iterable[bytes]) -> list[bytes]:
     """Texts of which no earlier one shares two of its smallest shingle hashes: near copies would count many times."""
     seen: set[tuple[int, int, int]] = set()
@@ -59,7 +57,7 @@ def diverse(texts: Iterable[bytes]) -> list[bytes]:
     mults = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
     for text in texts:
         words = text.split()
-        shingles = np.array([hash_bytes(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
+        shingles = np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
         least = [int(((shingles ^ (shingles >> np.uint64(29))) * m >> np.uint64(7)).min()) for m in mults]
         keys = {(k, least[2 * k], least[2 * k + 1]) for k in range(3)}
         if not keys & seen:
@@ -68,93 +66,91 @@ def diverse(texts: Iterable[bytes]) -> list[bytes]:
     return out
 
 
-def hash_bytes(data: bytes) -> int:
-    import xxhash
+def held_by(texts: Sequence[bytes], folds: int) -> list[dict[bytes, int]]:
+    """How many texts hold each n-gram: for every fold (text i is in fold i % folds) among the texts outside it; last, among all."""
+    grams = [_grams(t) for t in texts]
+    codes, counts = np.unique(np.concatenate([*grams, np.zeros(0, np.uint64)]), return_counts=True)
+    codes, counts = codes[counts >= 3], counts[counts >= 3]
+    inside = np.zeros((folds + 1, len(codes)), np.int64)
+    for i, own in enumerate(grams):
+        place = np.minimum(np.searchsorted(codes, own), max(0, len(codes) - 1))
+        inside[i % folds, place[codes[place] == own] if len(codes) else []] += 1
+    names = [int(c).to_bytes(GRAM, "big") for c in codes.tolist()]
+    return [dict(zip(names, (counts - out).tolist())) for out in inside]
 
-    return xxhash.xxh3_64_intdigest(data)
 
+def train_segments(held_by: dict[bytes, int], least: float, covered: Collection[bytes] = ()) -> list[bytes]:
+    """Segments that cover the n-grams which at least so many texts of a class hold, the most frequent first.
 
-def train_segments(mine: Sequence[bytes], others: Sequence[bytes], purity: float = PURE, below: float = float("inf")) -> list[bytes]:
-    """Byte strings that texts of one class hold and the other's don't, from the most frequent on.
-
-    An n-gram counts if its share of texts of the class is purity times that among the others at least, and less than
-    below times (with half a text added to either). A chosen n-gram grows to the right, then to the left, while most of its places agree on the next
-    byte and the n-gram that this adds is rare among the others, too. N-grams that overlap a segment are part of it.
+    An n-gram that no segment covers yet, and that isn't in covered, starts the next segment; this grows to the right,
+    then to the left, over the n-gram most texts hold, while AGREE times as many hold it as hold the first one.
     """
-    if not mine:
-        return []
-    codes, counts = np.unique(np.concatenate([_grams(t) for t in mine]), return_counts=True)
-    least = max(3, len(mine) // 200)
-    codes, counts = codes[counts >= least], counts[counts >= least]
-    if not len(codes):
-        return []
-    often = np.zeros(len(codes), np.int64)
-    for t in others:
-        grams = _grams(t)
-        at = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
-        often[at[codes[at] == grams]] += 1
-    elsewhere = (often + 0.5) / (len(others) + 1)
-    here = (counts + 0.5) / (len(mine) + 1)
-    share = dict(zip(codes.tolist(), elsewhere.tolist()))
-    pure = np.flatnonzero((here >= purity * elsewhere) & (here < below * elsewhere))
-    segments: list[bytes] = []
-    known: set[bytes] = set()
-    for best in pure[np.lexsort((codes[pure], elsewhere[pure], -counts[pure]))].tolist():
-        spelled = _spelled(codes[best])
-        if known & {spelled[:-1], spelled[1:]}:
+    held = {gram: n for gram, n in held_by.items() if n >= least}
+    after: dict[bytes, list[tuple[int, bytes]]] = defaultdict(list)
+    before: dict[bytes, list[tuple[int, bytes]]] = defaultdict(list)
+    for gram, n in held.items():
+        after[gram[:-1]].append((n, gram[-1:]))
+        before[gram[1:]].append((n, gram[:1]))
+    most = [{key: max(near) for key, near in table.items()} for table in (after, before)]
+    known = set(covered)
+    segments = []
+    for gram in sorted(held, key=lambda g: (-held[g], g)):
+        if gram in known:
             continue
-        segment = _grow(spelled, list(islice((t for t in mine if spelled in t), 400)), share)
+        segment = gram
+        for right in (True, False):
+            while len(segment) < LONGEST and (segment[-1:] if right else segment[:1]) != b" ":
+                n, byte = most[0].get(segment[1 - GRAM :], (0, b"")) if right else most[1].get(segment[: GRAM - 1], (0, b""))
+                if not byte or n < AGREE * held[gram]:
+                    break
+                segment = segment + byte if right else byte + segment
         segments.append(segment)
-        known |= {segment[i : i + GRAM - 1] for i in range(len(segment) - GRAM + 2)}
-        if len(segments) == SEGMENTS:
-            break
+        known |= grams_of(segment)
     return segments
 
 
-def _grow(segment: bytes, texts: list[bytes], share: dict[int, float]) -> bytes:
-    for right in (True, False):
-        while len(segment) < LONGEST and not (segment[-1:] if right else segment[:1]) == b" ":
-            near: dict[bytes, int] = defaultdict(int)
-            for t in texts:
-                if (i := t.find(segment)) >= 0:
-                    near[t[i + len(segment) : i + len(segment) + 1] if right else t[i - 1 : i]] += 1
-            if not near:
-                break
-            byte, n = max(near.items(), key=lambda x: (x[1], x[0]))
-            longer = segment + byte if right else byte + segment
-            added = int.from_bytes(longer[-GRAM:] if right else longer[:GRAM], "big")
-            if not byte or n < AGREE * sum(near.values()) or share.get(added, 1.0) > 0.01:
-                break
-            segment = longer
-    return segment
+def grams_of(segment: bytes) -> set[bytes]:
+    return {segment[i : i + GRAM] for i in range(len(segment) - GRAM + 1)}
+
+
+def train(toxic: Sequence[bytes], ordinary: Sequence[bytes], folds: int) -> list[tuple[list[bytes], list[bytes]]]:
+    """Segments of the ordinary dictionary, from ordinary texts alone, and of the toxic one, from toxic texts alone.
+
+    One pair for each fold, from the texts outside it, and last one from all. Toxic texts are ordinary prose for the most
+    part. So the toxic dictionary takes over the ordinary one's content, and only what this doesn't cover is trained: the
+    same window then differs in length by what its class adds.
+    """
+    out = []
+    sizes = [[len(texts) - len(texts[f::folds]) for f in range(folds)] + [len(texts)] for texts in (ordinary, toxic)]
+    for n_ordinary, n_toxic, of_ordinary, of_toxic in zip(*sizes, held_by(ordinary, folds), held_by(toxic, folds)):
+        plain = train_segments(of_ordinary, max(3, SUPPORT / DEPTH * n_ordinary))
+        by_chance = SUPPORT / DEPTH * n_toxic
+        least = max(4, SUPPORT * n_toxic, by_chance + SURE * by_chance**0.5)
+        out.append((plain, train_segments(of_toxic, least, set().union(*map(grams_of, plain)))))
+    return out
 
 
 def dictionary(segments: list[bytes]) -> bytes:
-    """Segments, the most telling last, between bytes that normalised texts don't have; then the anchor."""
-    return b"".join(bytes([127]) + s for s in reversed(segments)) + bytes([127]) + ANCHOR
-
-
-class Margins:
-    """Bytes that windows save with a class's dictionaries against the other class's."""
-
-    def __init__(self, sure: bytes, hints: bytes, others: bytes) -> None:
-        self.sure, self.hints, self.others = (self._compressor(d) for d in (sure, hints, others))
-
-    @staticmethod
-    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-        settings = zstandard.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=14, search_log=4, min_match=GRAM, target_length=0, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_dict_id=False)
-        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        known.precompute_compress(compression_params=settings)
-        return zstandard.ZstdCompressor(dict_data=known, compression_params=settings)
-
-    def of(self, text: str) -> tuple[int, int, int]:
-        """The largest margin of a window by sure signs, the sum of positive ones by hints, and how many windows there are."""
-        sure, hints, others, anchor = self.sure.compress, self.hints.compress, self.others.compress, ANCHOR
-        largest, total, n = -len(anchor), 0, 0
-        for window in windows(normal(text)):
-            window += anchor
-            plain = len(others(window))
-            largest = max(largest, plain - len(sure(window)))
-            total += max(0, plain - len(hints(window)))
-            n += 1
-        return largest, total, n
+    """Segments, the most telling last, each after a byte that normalised texts don't have."""
+    content = b"".join(bytes([127]) + s for s in reversed(segments))
+    return bytes([127]) * (-len(content) % ALIGN) + content
+
+
+class Lengths:
+    """Lengths of windows compressed with either class's dictionary."""
+
+    def __init__(self, ordinary: list[bytes], toxic: list[bytes]) -> None:
+        shared = dictionary(ordinary) + bytes([127]) + ANCHOR
+        self.ordinary, self.toxic = compressor(shared), compressor(dictionary(toxic) + shared)
+
+    def margins(self, text: bytes) -> list[int]:
+        """For each window of a whole normalised text, by how many bytes the toxic dictionary makes it shorter."""
+        ordinary, toxic = self.ordinary.compress, self.toxic.compress
+        return [len(ordinary(w)) - len(toxic(w)) for w in (window + ANCHOR for window in windows(text))]
+
+
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    settings = zstandard.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=4, min_match=GRAM, target_length=0, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_dict_id=False)
+    known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(compression_params=settings)
+    return zstandard.ZstdCompressor(dict_data=known, compression_params=settings)

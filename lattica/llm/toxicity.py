@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +15,11 @@ from .common import pick, table
 #: Documents and characters that are sampled from each class, all on the driver. Thresholds are
 #: calibrated on margins of each of FOLDS parts under dictionaries of the others.
 SAMPLE_DOCS, SAMPLE_CHARS = 4000, 12_000_000
-FOLDS = 3
+FOLDS = 6
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
+#: Steps of the evidence scale, and where it ends: more than TOP standard deviations count as TOP.
+STEPS, TOP = 8, 16
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -24,43 +27,40 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 class Scorer:
-    """Dictionaries of both classes, and the share of toxic documents by what they save.
+    """Dictionaries of both classes, and the share of toxic documents by the margins of their windows.
 
-    curve has the share by the largest margin of a window with the dictionary of sure signs; hint_curve, for documents
-    that this leaves in doubt, by how far the bytes that all windows save with the dictionary of hints exceed what
-    ordinary text of that length saves by chance (rate a window). The larger share is the score.
+    Evidence is how far the sum of a document's positive margins, and how far their number, exceed what ordinary text of
+    that length has by chance (saved bytes and hits a window), in standard deviations, added. curve has the share of toxic
+    documents by evidence.
     """
 
-    def __init__(self, sure: list[bytes], hints: list[bytes], ordinary: list[bytes]) -> None:
-        self.sure, self.hints, self.ordinary = sure, hints, ordinary
-        self.curve, self.hint_curve, self.rate = [0.0], [0.0], 0.0
-        self._margins: compression.Margins | None = None
+    def __init__(self, ordinary: list[bytes], toxic: list[bytes]) -> None:
+        self.ordinary, self.toxic = ordinary, toxic
+        self.curve, self.saved, self.hits = [0.0], 0.0, 0.0
+        self._lengths: compression.Lengths | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_margins": None}  # compressors are made anew in each worker
+        return self.__dict__ | {"_lengths": None}  # compressors are made anew in each worker
 
-    @property
-    def margins(self) -> compression.Margins:
-        if self._margins is None:
-            self._margins = compression.Margins(*map(compression.dictionary, (self.sure, self.hints, self.ordinary)))
-        return self._margins
+    def positive(self, text: bytes) -> tuple[int, int, int]:
+        """Of a normalised text: the sum of positive margins, how many are positive, and how many windows there are."""
+        if self._lengths is None:
+            self._lengths = compression.Lengths(self.ordinary, self.toxic)
+        margins = self._lengths.margins(text)
+        above = [m for m in margins if m > 0]
+        return sum(above), len(above), len(margins)
 
-    def excess(self, total: int, windows: int) -> int:
-        """Half deviations above chance. A hit saves some three bytes."""
-        expected = self.rate * windows
-        return math.floor(2 * (total - expected) / math.sqrt(3 * expected + 9))
+    def place(self, saved: int, hits: int, windows: int) -> int:
+        """Evidence in steps of 1 / STEPS. A hit saves some three bytes."""
+        by_sum, by_hits = self.saved * windows, self.hits * windows
+        return math.floor(STEPS * ((saved - by_sum) / math.sqrt(3 * by_sum + 9) + (hits - by_hits) / math.sqrt(by_hits + 0.5)))
 
     def score(self, text: str | None) -> float:
-        largest, total, windows = self.margins.of(text or "")
-        share = max(_at(self.curve, largest), _at(self.hint_curve, self.excess(total, windows)))
-        return min(1.0, share + 1e-3 * (1 - 1 / (1 + total)))
+        found = self.positive(compression.normal(text or ""))
+        return min(1.0, self.curve[max(0, min(self.place(*found), len(self.curve) - 1))] + 1e-3 * (1 - 1 / (1 + found[0])))
 
 
-def _at(curve: list[float], place: int) -> float:
-    return curve[max(0, min(place, len(curve) - 1))]
-
-
-def calibrated(places: list[tuple[int, bool]], weights: dict[bool, float], bins: int = 16) -> list[float]:
+def calibrated(places: list[tuple[int, bool]], weights: dict[bool, float], bins: int = TOP * STEPS) -> list[float]:
     """Share of toxic documents by place on a scale, never falling: neighbours that would fall are pooled."""
     hits, all_, seen = [0.0] * bins, [0.0] * bins, [0] * bins
     for place, toxic in places:
@@ -77,10 +77,10 @@ def calibrated(places: list[tuple[int, bool]], weights: dict[bool, float], bins:
     base = sum(hits) / sum(all_) if sum(all_) else 0.0
     out: list[float] = []
     for h, n, docs, width in pools:
-        share, spread = (h + base) / (n + 1), 1.64 / math.sqrt(docs + 1)
-        # what the share is at least, with a confidence of 0.95: a few documents prove little
+        share, spread = (h + base) / (n + 1), 1 / math.sqrt(docs + 1)
+        # what the share is at least, with a confidence of 0.84: a few documents prove little
         out += [max(0.0, (share + spread**2 / 2 - spread * math.sqrt(share * (1 - share) + spread**2 / 4)) / (1 + spread**2))] * int(width)
-    return out
+    return list(accumulate(out, max))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None) -> Scorer:
@@ -106,33 +106,21 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     wanted = spark.createDataFrame(chosen, "id long, toxic boolean")
     texts = rows.join(F.broadcast(wanted), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id").collect()
-    every = [(r["text"], r["toxic"]) for r in texts]
-    in_sample = {k: sum(t == k for _, t in every) for k in (True, False)}
-    weights = {k: counts.get(k, 0) / in_sample[k] if in_sample[k] else 0.0 for k in (True, False)}
-    found = []
-    for fold in range(FOLDS):
-        own = _fitted([x for i, x in enumerate(every) if i % FOLDS != fold])
-        found += [(*own.margins.of(t), k) for t, k in every[fold::FOLDS]]
-    scorer = _fitted(every)
-    if not scorer.sure + scorer.hints:
+    # near copies count once, also so that they don't stand on both sides of a fold
+    distinct = {toxic: compression.diverse(compression.normal(r["text"]) for r in texts if r["toxic"] == toxic) for toxic in (True, False)}
+    weights = {toxic: counts.get(toxic, 0) / max(1, len(own)) for toxic, own in distinct.items()}
+    *parts, scorer = [Scorer(*pair) for pair in compression.train(distinct[True], distinct[False], FOLDS)]
+    found = [(part.positive(t), toxic) for toxic, own in distinct.items() for f, part in enumerate(parts) for t in own[f::FOLDS]]
+    if not scorer.toxic:
         scorer.curve = [counts.get(True, 0) / max(1, sum(counts.values()))]
         return scorer
-    scorer.curve = calibrated([(m, k) for m, _, _, k in found], weights)
-    by_chance = [(total, n) for _, total, n, k in found if not k]
-    scorer.rate = sum(t for t, _ in by_chance) / max(1, sum(n for _, n in by_chance))
-    doubtful = [(scorer.excess(total, n), k) for m, total, n, k in found if _at(scorer.curve, m) < THRESHOLD]
-    scorer.hint_curve = calibrated(doubtful, weights)
+    by_chance = [e for e, toxic in found if not toxic]
+    windows = max(1, sum(n for _, _, n in by_chance))
+    scorer.saved, scorer.hits = sum(s for s, _, _ in by_chance) / windows, sum(h for _, h, _ in by_chance) / windows
+    scorer.curve = calibrated([(scorer.place(*e), toxic) for e, toxic in found], weights)
     return scorer
 
 
-def _fitted(texts: list[tuple[str, bool]]) -> Scorer:
-    """Dictionaries of labelled texts; of ordinary ones as many as there are toxic ones, twice over, make theirs."""
-    toxic, ordinary = (compression.diverse(compression.normal(t) for t, k in texts if k == wanted) for wanted in (True, False))
-    sure = compression.train_segments(toxic, ordinary)
-    hints = compression.train_segments(toxic, ordinary, compression.HINT, compression.PURE)
-    return Scorer(sure, hints, compression.train_segments(ordinary[: 2 * len(toxic) + 100], toxic))
-
-
 def score_column(scorer: Scorer, text: Column) -> Column:
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
@@ -145,7 +133,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     """Per row: doc_id, held_out, score, predicted (1 where score >= THRESHOLD).
 
     Labels of held-out documents (crc32 of the id as text leaves 1 by 3) are never read. A null text is empty; empty
-    texts score what margin 0 means. The whole text is scored, window by window, from its bytes alone. Null ids are
+    texts score what no margin means. The whole text is scored, window by window, from its bytes alone. Null ids are
     not held out; repeated rows each give a row; other columns are ignored; an empty table gives no rows.
     """
     scorer = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, keep=~is_held_out(F.col("id")))

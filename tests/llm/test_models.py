@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lattica.llm import ann, mixing, queries, toxicity
+from lattica.llm import ann, compression, mixing, queries, toxicity
 from lattica.llm.mixing import min_cost_flow, water_fill
 
 from . import docs
@@ -115,6 +115,60 @@ def test_toxicity_on_held_out_documents(spark):
     assert not any(r.predicted for r in got if r.doc_id is None or r.doc_id >= 5000)
 
 
+def plainly_scored(scorer, text):
+    """Scores anew: every window compressed by a compressor of its own, everything else written out."""
+    import math
+
+    import zstandard
+
+    anchor = bytes([1, 2, 3, 4, 5, 6, 7, 8]) + bytes(range(14, 32))
+
+    def content(segments):
+        joined = b"".join(b"\x7f" + x for x in segments[::-1])
+        while len(joined) % 12:
+            joined = b"\x7f" + joined
+        return joined
+
+    plain = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    data = (" " + " ".join(w for w in plain.split(" ") if w) + " ").encode()
+    lengths = []
+    for own in (content(scorer.ordinary), content(scorer.toxic) + content(scorer.ordinary)):
+        settings = zstandard.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=4, min_match=5, target_length=0, strategy=1, write_content_size=False, write_dict_id=False)
+        known = zstandard.ZstdCompressionDict(own + b"\x7f" + anchor, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        starts, at = [0], 44
+        while at + 16 < len(data):
+            starts.append(at)
+            at += 44
+        lengths.append([len(zstandard.ZstdCompressor(dict_data=known, compression_params=settings).compress(data[i : i + 60] + anchor)) for i in starts])
+    margins = [a - b for a, b in zip(*lengths) if a > b]
+    chance = scorer.saved * len(lengths[0]), scorer.hits * len(lengths[0])
+    evidence = (sum(margins) - chance[0]) / math.sqrt(3 * chance[0] + 9) + (len(margins) - chance[1]) / math.sqrt(chance[1] + 0.5)
+    return min(1.0, scorer.curve[min(max(math.floor(8 * evidence), 0), 127)] + 0.001 * (1 - 1 / (1 + sum(margins))))
+
+
+def test_toxicity_scores_are_brute_force(spark):
+    some, labels = toxic_rows(300, 11)
+    some += [(9000, None, "en", "s", 1), (9001, "", "en", "s", 1), (9002, "Ünïcode ### grobble " * 700, "en", "s", 1)]
+    frames = docs.frame(spark, some), spark.createDataFrame(labels, LABELS)
+    scorer = toxicity.train(*frames, keep=~toxicity.is_held_out(toxicity.F.col("id")))
+    assert scorer.toxic and scorer.ordinary and len(scorer.curve) == 128 and scorer.curve == sorted(scorer.curve)
+    texts = {i: t for i, t, *_ in some}
+    for r in toxicity.score_toxicity(*frames).collect():
+        assert r.score == pytest.approx(plainly_scored(scorer, texts[r.doc_id]), abs=1e-12)
+
+
+def test_dictionaries_cover_their_own_class():
+    ordinary = [b" the cat sat on a mat %d " % i for i in range(40)]
+    toxic = [b" the cat sat grobble on a mat %d " % i for i in range(40)]
+    *folds, (plain, marked) = compression.train(toxic, ordinary, 4)
+    assert len(folds) == 4 and b" grobble " in marked and not any(b"grob" in s for s in plain)
+    counts = compression.held_by(toxic, 4)
+    assert counts[-1][b"grobb"] == 40 and all(c[b"grobb"] == 30 for c in counts[:-1])
+    assert compression.train([], [], 2) == [([], [])] * 3
+    margins = compression.Lengths(plain, marked).margins(b" the cat sat grobble on a mat ")
+    assert max(margins) > 0 and compression.Lengths(plain, marked).margins(b" the cat sat on a mat ") == [0]
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     some, labels = toxic_rows(400, 5)
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t, c) for i, q, t, c in labels]
