@@ -9,12 +9,15 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise, pick, table, words
 
 #: Documents at a pattern's boundary that are chosen one by one; a pattern that has more is cut by its hash first.
 BOUNDARY = 4096
 SLOTS = 64
+#: Rows of one id and text that are numbered by one task, where only some of them are taken.
+PIECE = 100_000
 #: Sources and membership patterns are counted on the driver; more than this is an error, not a collect.
 MAX_PATTERNS = 100_000
 TOP = 1 << 60
@@ -119,45 +122,63 @@ def _connected_flow(capacities: list[int], members: list[list[int]], quotas: lis
 
 def _fill(rest: dict[int, int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def chosen(units: pd.DataFrame) -> pd.DataFrame:
-        """First fit in seeded order; then one more unit if that comes nearer."""
-        units = units.sort_values(["h", "id", "size"], na_position="first")
+        """First fit in seeded order, as many of a unit's rows as fit; then one more row if that comes nearer."""
+        units = units.sort_values(["h", "size"])
         left = rest[int(units["p"].iloc[0])]
-        words_of = (units["size"] * units["m"]).to_numpy()
-        take = [False] * len(units)
-        for i, n in enumerate(words_of):
-            if n <= left:
-                take[i], left = True, left - n
-        over = [(abs(n - left), i) for i, n in enumerate(words_of) if not take[i]]
+        sizes, rows = units["size"].tolist(), units["m"].tolist()
+        more = []
+        for size, m in zip(sizes, rows):
+            more.append(min(m, left // size) if size else m)
+            left -= more[-1] * size
+        over = [(abs(size - left), i) for i, (size, m) in enumerate(zip(sizes, rows)) if more[i] < m]
         if over and min(over)[0] < left:
-            take[min(over)[1]] = True
-        return units.loc[take, ["p", "h", "id", "size"]]
+            more[min(over)[1]] += 1
+        return units.assign(more=pd.Series(more, index=units.index, dtype="int64"))[["p", "h", "size", "m", "more"]]
 
     return chosen
 
 
+def _some_of(units: DataFrame) -> DataFrame:
+    """Rows of units of which only a part is taken once more: exactly `more` of each unit's rows, numbered in pieces of PIECE rows."""
+    unit = ["p", "h", "size"]
+    dealt = units.withColumn("piece", F.pmod(F.xxhash64("at"), F.ceil(F.col("m") / PIECE).cast("long")))
+    sizes = dealt.groupBy(*unit, "piece").agg(F.count(F.lit(1)).alias("n"), F.first("more").alias("_more"))
+    before = F.sum("n").over(Window.partitionBy(*unit).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    quota = sizes.select(*unit, "piece", (F.col("_more") - F.coalesce(before, F.lit(0))).alias("quota"))
+    numbered = dealt.join(quota, [*unit, "piece"]).withColumn("place", F.row_number().over(Window.partitionBy(*unit, "piece").orderBy("at")))
+    return numbered.withColumn("more", (F.col("place") <= F.col("quota")).cast("long")).select(*units.columns)
+
+
 def mix_sources(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies: int = 3, seed: int = 7, weight: Callable[[int], float] = lambda i: 1 + i % 3
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies: int = 3, seed: int = 7, weight: Callable[[int], float] = lambda i: 1 + i % 3, carry: bool = False
 ) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, taken, copies_taken.
+    """Per row: doc_id, size, source_size, target, taken, copies_taken; with carry also row, a struct of all columns by position.
 
     source_col is a string, or an array of strings where sources overlap; a null is a source of its own, the last
     by order. weight gives the weight of the i-th source by code point. size counts words; a null text has none.
     source_size and target are those of the row's source (with several: of the first). No row is taken more than
-    copies times, whole rows only. Rows that repeat an id, a size and a membership are chosen together. Rows whose
-    size is 0 are taken 0 words (and one copy where their whole pattern is taken once or more). Empty tables give
-    no rows; other columns are ignored.
+    copies times, whole rows only. Rows that repeat an id (null ids, too) count one by one; of rows that agree in id and
+    text any may be the ones that are taken once more. Rows whose size is 0 are taken 0 words; they have one copy where
+    their pattern's words are all taken once or more, or where the cut by hash leaves them inside. Empty tables give no
+    rows; other columns are ignored.
 
     Method: sizes are summed by membership pattern (map-side first, so a source with a third of all rows is a row a
     task) and min_cost_flow routes them to the sources' targets. A pattern takes all its rows k times and a part once
     more: those whose seeded hash is below a bound that level-wise histograms find. The rows in the slot of the
-    bound, at most BOUNDARY ids of a pattern, are filled in first-fit by one task a pattern. Reruns agree.
+    bound (units: an id and text, with how many rows have them), about BOUNDARY of a pattern, are filled in first-fit by
+    one task a pattern. Reruns agree.
     """
     rows = pick(docs, id=id_col, text=text_col, source=source_col)
+    if carry:
+        names = [f"_c{i}" for i in range(len(docs.columns))]
+        rows = pick(docs.toDF(*names).withColumn("_row", F.struct(*names)), id=names[docs.columns.index(id_col)], text=names[docs.columns.index(text_col)], source=names[docs.columns.index(source_col)], row="_row")
+    carried = ["row"] if carry else []
     sources = F.col("source") if dict(rows.dtypes)["source"].startswith("array") else F.array("source")
     sources = F.when(F.size(F.coalesce(sources, F.array())) > 0, sources).otherwise(F.array(F.lit(None).cast("string")))
     members = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.coalesce(F.concat(F.lit("s"), F.hex(F.encode(s, "UTF-8"))), F.lit("~")))))
-    slim = rows.select("id", words(F.col("text")).alias("size"), F.array_join(members, ",").alias("pattern"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(TOP)).alias("h"))
+    slim = rows.select("id", words(F.col("text")).alias("size"), F.array_join(members, ",").alias("pattern"), F.pmod(F.xxhash64("id", F.coalesce("text", F.lit("")), F.lit(seed)), F.lit(TOP)).alias("h"), *carried)
     slim = materialise(slim)
+    slim = slim.select("*", F.struct("_metadata.file_name", "_metadata.row_index").alias("at"))  # a row's place in the written table
 
     summed = slim.groupBy("pattern").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(summed) > MAX_PATTERNS:
@@ -198,18 +219,29 @@ def mix_sources(
             else:
                 s |= {"lo": s["hi"], "n": 0, "rest": 0}
 
-    placed = slim.join(facts(), "pattern")
+    placed = slim.join(facts(), "pattern").withColumn("more", (F.col("h") < F.col("lo")).cast("long"))
     at_bound = F.col("h").between(F.col("lo"), F.col("hi") - 1)
-    units = placed.where(at_bound).groupBy("p", "h", "id", "size").agg(F.count(F.lit(1)).alias("m"))
-    picked = units.groupBy("p").applyInPandas(_fill({s["p"]: s["rest"] for s in state}), units.select("p", "h", "id", "size").schema)
-    picked = picked.select(F.col("p").alias("_p"), F.col("h").alias("_h"), F.col("id").alias("_id"), F.col("size").alias("_size"), F.lit(1).alias("_more"))
-    same = (F.col("p") == F.col("_p")) & (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size"))
-    taken = placed.join(picked, same, "left").withColumn("times", F.col("k") + F.when(F.col("h") < F.col("lo"), 1).otherwise(F.coalesce("_more", F.lit(0))))
+    units = placed.where(at_bound).groupBy("p", "h", "size").agg(F.count(F.lit(1)).alias("m"))
+    filled = units.groupBy("p").applyInPandas(_fill({s["p"]: s["rest"] for s in state}), "p int, h long, size long, m long, more long")
+    facts_of = ["id", "size", "p", "k", "more", *carried]
+    # only the rows at a bound are shuffled: a few thousand of a pattern
+    bound = placed.where(at_bound).drop("more").join(filled, ["p", "h", "size"])
+    split = (F.col("more") > 0) & (F.col("more") < F.col("m"))
+    taken = placed.where(~at_bound).select(*facts_of).unionByName(bound.where(~split).withColumn("more", (F.col("more") > 0).cast("long")).select(*facts_of))
+    taken = taken.unionByName(_some_of(bound.where(split).select(*facts_of, "h", "at", "m")).select(*facts_of))
+    taken = taken.withColumn("times", F.col("k") + F.col("more"))
     of_source = spark.createDataFrame([(p, sizes[b[0]], targets[b[0]]) for p, b in enumerate(belongs)], "p int, source_size long, target double")
     return taken.join(F.broadcast(of_source), "p").select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), F.col("times").cast("int").alias("copies_taken")
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), F.col("times").cast("int").alias("copies_taken"), *carried
     )
 
 
+def take(docs: DataFrame, **options: object) -> DataFrame:
+    """The rows of docs, all their columns, as often as mix_sources takes them."""
+    taken = mix_sources(docs, carry=True, **options).where("copies_taken > 0")
+    repeated = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies_taken"))))
+    return repeated.select(*[F.col(f"row._c{i}").alias(name) for i, name in enumerate(docs.columns)])
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))

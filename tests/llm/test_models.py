@@ -39,6 +39,34 @@ def test_flow_meets_quotas_at_least_cost():
     assert min_cost_flow([0, 3], [[0], [1]], [2, 2], 3) == [0, 2]
 
 
+def best_flow(capacities, members, quotas, copies):
+    """The largest total and, at that, the least cost, over all ways to share words."""
+    import itertools
+
+    ways = [[w for w in itertools.product(range(copies * c + 1), repeat=len(own)) if sum(w) <= copies * c] for c, own in zip(capacities, members)]
+    best = (1, 0)
+    for chosen in itertools.product(*ways):
+        into = [0] * len(quotas)
+        for own, way in zip(members, chosen):
+            for q, w in zip(own, way):
+                into[q] += w
+        if all(i <= q for i, q in zip(into, quotas)):
+            cost = sum((k // c) ** 2 for c, way in zip(capacities, chosen) if c for k in range(sum(way)))
+            best = min(best, (-sum(into), cost))
+    return best
+
+
+def test_flow_is_as_good_as_any():
+    rnd = random.Random(8)
+    for _ in range(60):
+        n_q = rnd.randint(1, 3)
+        members = [sorted(rnd.sample(range(n_q), rnd.randint(1, n_q))) for _ in range(rnd.randint(1, 3))]
+        capacities, quotas = [rnd.randint(0, 2) for _ in members], [rnd.randint(0, 5) for _ in range(n_q)]
+        taken = min_cost_flow(capacities, members, quotas, 2)
+        cost = sum((k // c) ** 2 for c, t in zip(capacities, taken) if c for k in range(t))
+        assert (-sum(taken), cost) == best_flow(capacities, members, quotas, 2)
+
+
 def check_mix(rows, copies=3):
     by = {}
     for r in rows:
@@ -79,6 +107,30 @@ def test_mixing_overlapping_sources(spark):
     got = {r.doc_id: r for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()}
     assert got[4].source_size == got[5].source_size == 30
     assert all(r.size == 10 and r.taken <= 30 for r in got.values())
+    # x and y have 20 words each, no source 30; weights 1, 2, 3 give 70 / 6 each, so 11.7, 23.3 and 35; the five rows' 50 words are 5 / 7 of these
+    assert [got[k].target for k in (1, 2, 4)] == pytest.approx([70 / 6, 70 / 6, 35])
+    assert sum(r.taken for r in got.values()) == pytest.approx(50, abs=10) and got[4].taken + got[5].taken >= 20
+
+
+@pytest.mark.parametrize("boundary", [4096, 20])
+def test_mixing_takes_repeated_ids_one_by_one(spark, monkeypatch, boundary):
+    monkeypatch.setattr(mixing, "BOUNDARY", boundary)
+    monkeypatch.setattr(mixing, "PIECE", 70)
+    rows = [(None, "w " * 10, "en", "a", 1)] * 1000 + [(i, "v " * 10, "en", "b", 1) for i in range(1000)] + [(5, f"u{i} " * 10, "en", "c", 1) for i in range(1000)]
+    by = check_mix(mixing.mix_sources(docs.frame(spark, rows)).collect())
+    assert sorted((round(target), taken) for (_, target), (_, taken, _) in by.items()) == [(5000, 5000), (10000, 10000), (15000, 15000)]
+
+
+def test_mixing_carries_rows(spark):
+    rows = docs.rows() + [(7, "seven seven", "en", "s1", 1), (7, "another text of seven", "en", "s1", 2), (7, "another text of seven", "fr", "s1", 3)]
+    frame = docs.frame(spark, rows)
+    taken = mixing.mix_sources(frame).collect()
+    got = mixing.take(frame)
+    assert got.columns == frame.columns
+    count = lambda values: sorted(map(str, values))
+    size = lambda t: len((t or "").encode().split())
+    assert count((r[0], size(r[1])) for r in got.collect()) == count((r.doc_id, r.size) for r in taken for _ in range(r.copies_taken))
+    assert {str(r) for r in got.collect()} <= {str(r) for r in frame.collect()}
 
 
 def toxic_rows(n, seed):
@@ -248,6 +300,7 @@ def test_pipeline_stages(spark, tmp_path):
     copies = [(2000 + i, some[i + 1][1], "en", "s0", 1) for i in range(0, 40, 7)]
     near = [(3000 + i, " ".join(["n%d" % k for k in range(120)]) + f" end{i}", "en", "s1", 1) for i in range(9)]
     odd = [(4000, None, None, None, None), (4001, "", "en", "s0", 0), (None, "no id here at all", "en", "s2", 3), (3001, near[1][1], "en", "s1", 1)]
+    odd += [(5000, "one text of an id", "en", "s1", 1), (5000, "quite another text of that id", "en", "s1", 2), (None, "a second text without an id", "en", "s2", 3)]
     columns = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(some + copies + near + odd, columns).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([x[:3] for x in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -270,10 +323,11 @@ def test_pipeline_stages(spark, tmp_path):
     for r in kept[0]:
         best[r.text or ""] = max(best.get(r.text or "", -1), -1 if r.doc_id is None else r.doc_id)
     assert {(r.text or "", -1 if r.doc_id is None else r.doc_id) for r in kept[1]} == set(best.items())
-    stays = {str(x[0]) for x in expected_near([(r.doc_id, r.text) for r in kept[1]], 5, 80) if x[3]}
-    assert {str(i) for i in ids[2]} == stays and len(ids[2]) == len(stays)
-    taken = {r.doc_id: r.copies_taken for r in mixing.mix_sources(spark.read.parquet(f"{tmp_path}/2")).collect()}
-    assert sorted(map(str, ids[3])) == sorted(str(i) for i, k in taken.items() for _ in range(k))
+    stays = [str(x[0]) for x in expected_near([(r.doc_id, r.text) for r in kept[1]], 5, 80) if x[3]]
+    assert sorted(str(i) for i in ids[2]) == sorted(stays)
+    taken = mixing.mix_sources(spark.read.parquet(f"{tmp_path}/2"), carry=True).collect()
+    assert len({r.doc_id for r in taken}) < len(taken)  # some rows share an id
+    assert sorted(map(str, map(tuple, kept[3]))) == sorted(str(tuple(r.row)) for r in taken for _ in range(r.copies_taken))
     assert sorted(map(str, ids[4])) == sorted(map(str, ids[3])) and all(r.round_trip and r.parity for r in kept[4])
 
 
