@@ -25,7 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keep the document with the largest id; of rows that repeat that id, too, one."""
+    """Of equal texts keep the document with the largest id; of rows that repeat that id, too, one.
+
+    Null texts equal the empty one; a null id is smaller than any. Rows that share an id but not the text stay apart.
+    """
     verdicts = materialise(exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
     left = docs.withColumn("_own", F.sha2(F.coalesce("text", F.lit("")), 256))
     same = left["doc_id"].eqNullSafe(F.col("_id")) & (left["_own"] == F.col("_sha"))
@@ -39,17 +42,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 or more on five-word shingles connect, keep the one with the smallest id."""
+    """Of documents that links of 0.8 or more on five-word shingles connect, keep the one with the smallest id.
+
+    Null, empty and wordless texts link to nothing and stay. Rows that share an id stay or go each by its own text; a
+    null id stays only where no linked document has an id.
+    """
     verdicts = minhash.near_dedup(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     left = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
     return left.join(verdicts, left["doc_id"].eqNullSafe(F.col("_id")) & (left["_own"] == F.col("_key")), "left_semi").drop("_own")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take the documents that the sources' targets ask for; one that is taken k times is in the result k times."""
-    taken = mixing.mix_sources(docs).where("copies_taken > 0").select(F.col("doc_id").alias("_id"), "copies_taken").distinct()
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies_taken")))).select(*docs.columns)
+    """Take the documents that the sources' targets ask for; one that is taken k times is in the result k times.
+
+    Rows that share an id, null ids too, are taken each by itself. Rows without words are in the result where the mix
+    takes a copy of them; of an empty table nothing is.
+    """
+    return mixing.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
