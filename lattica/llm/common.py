@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.storage import materialise, shared_dir
 
-__all__ = ["BROADCAST_KEYS", "attach", "materialise", "pick", "shared_dir", "table", "words"]
+__all__ = ["BROADCAST_KEYS", "attach", "materialise", "pick", "release", "shared_dir", "table", "words"]
 
 #: Keys that a broadcast side may hold: at 40 bytes a key, some 40 MB on each executor.
 BROADCAST_KEYS = 1_000_000
@@ -51,6 +54,15 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int,
     return joined.select(*[F.col(c) for c in rows.columns], *[found[c].alias(c) for c in values])
 
 
+def release() -> None:
+    """Give memory that a Python worker has freed back to the machine: workers stay alive for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def words(text: Column) -> Column:
     """How many runs of characters other than space and U+0009 to U+000D a text has; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -12,20 +11,18 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pick, table
+from .common import pick, release, table
 
 MARK = "▁"
 #: SentencePiece.Type and TrainerSpec.ModelType of the public model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words whose identifiers a Python worker keeps, and threads that encode a batch.
-CACHED_WORDS = 400_000
-THREADS = 2
-#: Characters of text that are encoded at a time, and rows that are unpacked at a time.
-BATCH_CHARS, BATCH_ROWS = 1 << 20, 256
+#: Threads that encode a batch, bytes of text in a batch, and bytes that words and their identifiers may take in a worker.
+THREADS, BATCH_BYTES, KEPT_BYTES = 2, 1 << 21, 1 << 25
 
 
 @dataclass
@@ -122,98 +119,82 @@ def build_tokenizer(model: Model):
 
 
 class Codec:
-    """Encodes and decodes batches, and tells where the library's result isn't the rebuilt one.
+    """Encodes and decodes batches with the rebuilt tokenizer, and tells where the sentencepiece library differs.
 
-    Where no piece holds a space marker behind another character, and the normaliser changes nothing but spaces,
-    merges never cross the start of a word. Each distinct word is then encoded once (all new words of a batch as
-    one text, by the tokenizers backend) and compared with sentencepiece; texts are made of their words.
+    Where no piece holds a space marker behind another character, and the normaliser changes nothing but spaces, merges
+    never cross the start of a word. Texts with single spaces only are then made of their words; distinct words are
+    encoded, compared and decoded once, and kept, in flat arrays of KEPT_BYTES at most, for the batches that follow. All
+    other texts, and all texts of other models, go by the whole.
     """
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             data = f.read()
-        self.model = parse_model(data)
-        self.backend = build_tokenizer(self.model)
+        m = self.model = parse_model(data)
+        self.backend = build_tokenizer(m)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
-        pieces = [p for p, _, _ in self.model.pieces]
-        m = self.model
+        pieces = [p for p, _, _ in m.pieces]
         self.by_word = m.kind == BPE and m.dummy_prefix and m.mark_spaces and not m.squeeze_spaces and not m.charsmap and all(MARK not in p.lstrip(MARK) for p in pieces) and MARK in pieces and not any(kind == USER_DEFINED for _, _, kind in m.pieces)
-        self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.opens = np.array([p.startswith(MARK) for p in pieces])
-        self.closes = np.array([p.endswith(MARK) for p in pieces])
-        self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
-        self.known: dict[str, bytes] = {}
-        self.odd: set[str] = set()
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode new words in one go and compare with the library. Words come without their first marker."""
-        step = max(1, len(new) // THREADS + 1)
-        groups = [new[i : i + step] for i in range(0, len(new), step)]
-        texts = [" ".join(g).replace(MARK, " ") for g in groups]  # the normaliser puts the markers back
-        mine = self.backend.encode_batch_fast(texts, add_special_tokens=False)
+        self._forget()
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(identifiers of all texts, how many each has, whether decoding gives it again, whether the library agrees)."""
+        mine = [e.ids for e in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.library.encode(texts, num_threads=THREADS)
-        for group, a, b in zip(groups, mine, theirs):
-            a, b = np.array(a.ids, np.int32), np.array(b, np.int32)
-            cut = self._cut(b, len(group))
-            self.known.update(zip(group, cut))
-            if not np.array_equal(a, b):
-                self.odd.update(w for w, x, y in zip(group, self._cut(a, len(group)), cut) if x != y)
-
-    def _cut(self, ids: np.ndarray, n: int) -> list[bytes]:
-        """The identifiers of each of n words: a word starts at a marker that doesn't follow one."""
-        starts = np.flatnonzero(self.opens[ids] & np.r_[True, ~self.closes[ids[:-1]]])
-        if len(starts) != n:
-            raise ValueError(f"{len(starts)} words came back of {n}")
-        raw = ids.tobytes()
-        ends = (4 * starts).tolist() + [len(raw)]
-        return [raw[i:j] for i, j in zip(ends, ends[1:])]
+        again = self.backend.decode_batch(mine, skip_special_tokens=False)
+        counts = np.array([len(x) for x in mine], np.int64)
+        ids = np.fromiter(chain.from_iterable(mine), np.int32, int(counts.sum()))
+        return ids, counts, np.array([x == t for x, t in zip(again, texts)], bool), np.array([x == y for x, y in zip(mine, theirs)], bool)
+
+    def _learnt(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As _whole, of self.words, which hold the given ones."""
+        if self.words.nbytes + sum(x.nbytes for x in self.facts) > KEPT_BYTES:
+            self._forget()
+        new = words.filter(pc.invert(pc.is_in(words, value_set=self.words)))
+        if len(new):
+            self.facts = tuple(np.concatenate(pair) for pair in zip(self.facts, self._whole(new.to_pylist())))
+            self.words = pa.concat_arrays([self.words, new])
+        return self.facts
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.facts = tuple(np.zeros(0, kind) for kind in (np.int32, np.int64, bool, bool))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As _whole, of an array without nulls."""
+        if not self.by_word:
+            return self._whole(texts.to_pylist())
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        # the marker itself, in a text, can't be told from a space
+        whole = np.asarray(pc.or_(pc.or_(odd, pc.match_substring(texts, MARK)), pc.equal(pc.utf8_length(texts), 0)))
+        split = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+        coded = split.flatten().dictionary_encode()
+        word_ids, sizes, trips, same = self._learnt(coded.dictionary)
+        word_at = np.cumsum(sizes) - sizes
+        place = np.asarray(pc.index_in(coded.dictionary, value_set=self.words), np.int64)
+        codes, bounds = place[np.asarray(coded.indices)], np.asarray(split.offsets) - split.offsets[0].as_py()
+        n = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = word_ids[np.repeat(word_at[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        faults = [np.concatenate([[0], np.cumsum(~good[codes])]) for good in (trips, same)]
+        if not whole.any():
+            return ids, np.diff(ends[bounds]), np.diff(faults[0][bounds]) == 0, np.diff(faults[1][bounds]) == 0
+        out = [np.zeros(len(whole), np.int64), np.zeros(len(whole), bool), np.zeros(len(whole), bool)]
+        other_ids, *others = self._whole(texts.filter(pa.array(whole)).to_pylist())
+        for mine, plain, other in zip(out, (np.diff(ends[bounds]), np.diff(faults[0][bounds]) == 0, np.diff(faults[1][bounds]) == 0), others):
+            mine[~whole], mine[whole] = plain, other
+        every = np.zeros(int(out[0].sum()), np.int32)
+        from_whole = np.repeat(whole, out[0])
+        every[~from_whole], every[from_whole] = ids, other_ids
+        return every, *out
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Identifiers as the library has them, and whether the rebuilt tokenizer gave the same."""
-        if not self.by_word:
-            mine = self.backend.encode_batch_fast(texts, add_special_tokens=False)
-            theirs = self.library.encode(texts, num_threads=THREADS)
-            return [np.asarray(y, np.int32) for y in theirs], [x.ids == y for x, y in zip(mine, theirs)]
-        # the marker itself, in a text, can't be told from a space; such texts go by the whole
-        split = [self._split(t) if t and MARK not in t else [] for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.known)
-        if len(new) + len(self.known) > CACHED_WORDS:
-            self.known.clear()
-            self.odd.clear()
-            new = set(chain.from_iterable(split))
-        spaces = {w for w in new if not w or w[-1] == MARK}
-        if len(new) > len(spaces):
-            self._learn(list(new - spaces))
-        for w in spaces:  # at the end of a text: only spaces, the first of them taken for the word's start
-            mine, theirs = (x(" " * len(w)) if w else self._lone() for x in (self._backend_ids, self.library.encode))
-            self.known[w] = np.asarray(theirs, np.int32).tobytes()
-            if list(mine) != list(theirs):
-                self.odd.add(w)
-        get = self.known.__getitem__
-        ids = [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in split]
-        same = [not self.odd or self.odd.isdisjoint(ws) for ws in split]
-        for i, t in enumerate(texts):
-            if MARK in t:
-                ids[i] = np.asarray(self.library.encode(t), np.int32)
-                same[i] = self._backend_ids(t) == ids[i].tolist()
-        return ids, same
-
-    def _split(self, text: str) -> list[str]:
-        """Words without the first of their markers; single spaces between other characters are all that texts have mostly."""
-        if text[0] != " " and text[-1] != " " and "  " not in text:
-            return text.split(" ")
-        return [w[1:] for w in self.words.findall(MARK + text.replace(" ", MARK))]
-
-    def _lone(self) -> list[int]:
-        return [self.library.piece_to_id(MARK)]
-
-    def _backend_ids(self, text: str) -> list[int]:
-        return self.backend.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        """Identifiers of each text, and whether the library has the same."""
+        ids, counts, _, same = self.batch(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(counts)[:-1]), same.tolist()
 
     def decode(self, ids: np.ndarray) -> str:
-        """Pieces with markers as spaces, byte pieces as bytes; the first space, put there by encoding, goes."""
-        text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        return self.backend.decode(ids.tolist(), skip_special_tokens=False)
 
 
 _codecs: dict[str, Codec] = {}
@@ -224,23 +205,17 @@ def _encoder(name: str):
         path = public_tokenizers.path(name)
         codec = _codecs.get(path) or _codecs.setdefault(path, Codec(path))
         for whole in batches:
-            for first in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(first, BATCH_ROWS)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                at = 0
-                while at < len(texts):
-                    end, chars = at, 0
-                    while end < len(texts) and (end == at or chars + len(texts[end]) <= BATCH_CHARS):
-                        chars += len(texts[end])
-                        end += 1
-                    part = texts[at:end]
-                    ids, same = codec.encode(part)
-                    trips = [codec.decode(x) == t for x, t in zip(ids, part)]
-                    sizes = np.array([len(x) for x in ids], np.int64)
-                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sizes), lists, pa.array(trips), pa.array(same)], ["doc_id", "n_tokens", "token_ids", "round_trip", "parity"])
-                    at = end
+            texts = whole.column(1).fill_null("")
+            chars = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(texts), np.int64))])
+            at = 0
+            while at < whole.num_rows:
+                end = min(whole.num_rows, max(at + 1, int(np.searchsorted(chars, chars[at] + BATCH_BYTES, "right")) - 1))
+                ids, counts, trips, same = codec.batch(texts.slice(at, end - at))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, end - at), pa.array(counts), lists, pa.array(trips), pa.array(same)], ["doc_id", "n_tokens", "token_ids", "round_trip", "parity"])
+                at = end
+        release()
 
     return run
 
@@ -248,10 +223,11 @@ def _encoder(name: str):
 def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
     """Per row: doc_id, n_tokens, token_ids, round_trip (decoding gives the text again), parity.
 
-    token_ids are those of the sentencepiece library, without begin or end; parity tells that the rebuilt tokenizer
-    gave the same. A null text is empty and has no tokens; its round trip is true. Rows are on their own, so repeated
+    token_ids are those of the rebuilt tokenizer, without begin or end; parity tells that the sentencepiece library
+    has the same. A null text is empty and has no tokens; its round trip is true. Rows are on their own, so repeated
     rows and null ids each give a row; other columns are ignored; an empty table gives no rows. Whole texts are
-    encoded, in batches of about BATCH_CHARS characters, so memory is bounded by that and the longest text.
+    encoded, in batches of about BATCH_BYTES; what is kept between batches has KEPT_BYTES at most, so memory is bounded
+    by these and the longest text.
     """
     rows = pick(docs, id=id_col, text=text_col)
     kind = dict(rows.dtypes)["id"]

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import pick, table
 
-#: Words whose counts a Python worker keeps; beyond, it starts anew.
-CACHED_WORDS = 1_000_000
+#: Words whose counts a Python worker keeps; beyond, it starts anew. Longer words than KEPT_CHARS aren't kept: 250 MB at most.
+CACHED_WORDS, KEPT_CHARS = 1_000_000, 64
 #: What byte-level BPE splits text by before it merges: a fixed pattern of the public vocabulary.
 PATTERN = public_tokenizers.PATTERN
 
@@ -54,9 +54,11 @@ class PairMerger(dict):
         self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = n = self.merged(word.encode())
+        n = self.merged(word.encode())
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
     def merged(self, word: bytes) -> int:

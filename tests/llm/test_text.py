@@ -39,6 +39,26 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(docs.frame(spark, [])).collect() == []
 
 
+def test_merger_keeps_only_short_words(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHED_WORDS", 50)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    merger = token_counts.PairMerger(path)
+    library = tokenizers.Tokenizer.from_file(path)
+    for text in fuzz(60) + ["x" * 5000, "ab" * 3000 + " " + "7" * 900]:
+        assert merger.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+        assert len(merger) <= 50 and all(len(w) <= token_counts.KEPT_CHARS for w in merger)
+
+
+def test_sentencepiece_keeps_bounded_words(monkeypatch):
+    codec = sentencepieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(sentencepieces, "KEPT_BYTES", 2000)
+    for k in range(0, 300, 25):
+        texts = fuzz(300)[k : k + 25] + ["", " a  b ", "plain words only", "▁mark"]
+        ids, same = codec.encode(texts)
+        assert [x.tolist() for x in ids] == codec.library.encode(texts) and all(same)
+        assert len(codec.words) <= 2000 + sum(map(len, texts))
+
+
 def test_sentencepiece_equals_the_library(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
