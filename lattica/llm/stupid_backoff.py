@@ -3,87 +3,162 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import pick, table
-from .shingles import mix, text_chunks, word_hashes
+from .common import pick, release, table
+from .shingles import CHUNK_BYTES, mix, text_chunks, word_hashes
 
 ALPHA = 0.4
 ORDER = 3
-#: Bytes of text in a block of documents, and n-grams (of a block, all orders) in a part of the count table.
-BLOCK_BYTES, PART_GRAMS = 8_000_000, 1_500_000
-#: Bits of an n-gram hash beyond those that number the corpus: one n-gram in 2^27 shares its hash with another.
-SPARE_BITS = 27
+#: Bytes of text in a block of documents, n-grams (of a block, all orders) in a part of the count table, and bytes of
+#: text that a task gathers before it packs them by block.
+BLOCK_BYTES, PART_GRAMS, GATHER_BYTES = 8_000_000, 1_500_000, 32_000_000
+#: N-gram hashes have so many bits that the expected number of pairs that share one, in the whole corpus, is below
+#: 2 ** -SAFE; LEAST_BITS at least.
+SAFE, LEAST_BITS = 6, 64
 _SALT = mix(np.arange(1, 64, dtype=np.uint64))
+_MORE = mix(np.arange(101, 164, dtype=np.uint64)) | np.uint64(1)
+
+
+def hash_bits(grams: int) -> int:
+    """Bits for a corpus with at most so many n-grams: at n of them, n * n / 2 pairs share b bits with probability 2 ** -b each."""
+    return max(LEAST_BITS, math.ceil(2 * math.log2(max(2, grams)) - 1 + SAFE))
 
 
 def _pack(values: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, compressed: the high ones of small numbers take next to nothing."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return len(values).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    if len(values) < 16:  # as few as these would only grow
+        return b"\0" + planes
+    return b"\1" + len(values).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=8 * n + 1), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view("<u8")
+    if data[:1] == b"\0":
+        n, planes = len(data) // 8, data[1:]
+    else:
+        n = int.from_bytes(data[1:9], "little")
+        planes = zstandard.ZstdDecompressor().decompress(data[9:], max_output_size=8 * n + 1)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).reshape(-1).view("<u8")
+
+
+def _gathered() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts of a block, one after another in one compressed value, and their ids."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        block = rows.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0])
+        values, ids = [], []
+        for first, end in zip(starts, np.r_[starts[1:], len(order)]):
+            part = rows.take(pa.array(order[first:end]))
+            texts = part.column("text").combine_chunks()
+            lengths = np.asarray(pc.binary_length(texts), np.int64)
+            values.append(len(lengths).to_bytes(8, "little") + zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + b"".join(data.tobytes() for _, _, data, _ in text_chunks(texts))))
+            ids.append(part.column("id").combine_chunks())
+        offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+        every = pa.concat_arrays(ids)
+        return pa.RecordBatch.from_arrays([pa.array(block[order][starts], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), every), pa.array(values, pa.binary())], ["block", "ids", "texts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= GATHER_BYTES:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+        release()
+
+    return run
+
+
+def _texts(values: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of runs of texts, as _gathered packed them."""
+    for value in values:
+        data = value.as_py()
+        n = int.from_bytes(data[:8], "little")
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(data[8:]), np.uint8)
+        ends = np.r_[0, np.cumsum(raw[: 8 * n].view(np.int64))]
+        raw = raw[8 * n :]
+        first = 0
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK_BYTES, "right")) - 1)
+            yield raw[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
+            first = last
 
 
 class _Grams:
-    """All n-grams of a block's texts, by order: their hashes by place, and which text each place is in."""
+    """All n-grams of a block's texts, order by order, by place: their hashes (heads, and tails of the bits beyond 64)."""
 
     def __init__(self, texts: pa.ChunkedArray, bits: int) -> None:
-        self.by_order: list[tuple[np.ndarray, np.ndarray]] = []
-        pieces: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
-        owners: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
-        lengths: list[np.ndarray] = []
-        doc = 0
-        for chunk in texts.chunks:
-            for _, _, data, offsets in text_chunks(chunk):
-                words, at = word_hashes(data, offsets)
-                n = np.diff(at)
-                lengths.append(n)
-                owner = np.repeat(np.arange(doc, doc + len(n)), n)
-                left = np.repeat(at[1:], n) - np.arange(len(words))  # words from here to the text's end
-                gram = np.zeros(len(words), np.uint64)
-                for k in range(ORDER):
-                    gram = mix(gram[: len(words) - k] * np.uint64(0x9E3779B97F4A7C15) + words[k:] + _SALT[k]) if len(words) > k else gram[:0]
-                    fits = left[: len(gram)] > k
-                    pieces[k].append(gram[fits] >> np.uint64(64 - bits))
-                    owners[k].append(owner[: len(gram)][fits])
-                doc += len(n)
-        self.lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        none = np.zeros(0, np.uint64)
-        self.by_order = [(np.concatenate(p) if p else none, np.concatenate(o) if o else none.astype(np.int64)) for p, o in zip(pieces, owners)]
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate([h for h, _ in self.by_order]), return_counts=True)
-
-
-def _bounds(parts: int, bits: int) -> np.ndarray:
-    return np.array([(p << bits) // parts for p in range(1, parts)], np.uint64)
+        heads: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
+        tails: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
+        lengths: list[np.ndarray] = [np.zeros(0, np.int64)]
+        for data, offsets in _texts(texts):
+            words, at = word_hashes(data, offsets)
+            n = np.diff(at)
+            lengths.append(n)
+            left = np.repeat(at[1:], n) - np.arange(len(words))  # words from here to the text's end
+            head, tail = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+            for k in range(ORDER):
+                end = max(0, len(words) - k)
+                fits = left[:end] > k
+                head = mix(head[:end] * np.uint64(0x9E3779B97F4A7C15) + words[k:] + _SALT[k])
+                heads[k].append(head[fits])
+                if bits > 64:
+                    tail = mix(tail[:end] * np.uint64(0xD6E8FEB86659FD93) + words[k:] * _MORE[k])
+                    tails[k].append(tail[fits] >> np.uint64(128 - bits))
+        self.lengths = np.concatenate(lengths)
+        none = [np.zeros(0, np.uint64)]
+        self.sizes = [sum(map(len, h)) for h in heads]
+        self.heads = np.concatenate(none + [x for h in heads for x in h])
+        self.tails = np.concatenate(none + [x for t in tails for x in t]) if bits > 64 else None
+
+
+def _distinct(heads: np.ndarray, tails: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Distinct hashes in order, and which of them each one is."""
+    if tails is None:
+        unique, which = np.unique(heads, return_inverse=True)
+        return unique, None, which
+    order = np.lexsort((tails, heads))
+    heads, tails = heads[order], tails[order]
+    new = np.r_[True, (heads[1:] != heads[:-1]) | (tails[1:] != tails[:-1])][: len(heads)]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return heads[new], tails[new], which
 
 
 def _explode(parts: int, bits: int) -> Callable[[pa.Table], pa.Table]:
-    """A block's distinct n-grams with their counts, cut at the bounds of the count table's parts."""
+    """A block's distinct n-grams with their counts, cut by the part of the count table that their hashes fall in."""
 
     def run(block: pa.Table) -> pa.Table:
-        grams, counts = _Grams(block.column("text"), bits).distinct()
-        cuts = np.concatenate([[0], np.searchsorted(grams, _bounds(parts, bits)), [len(grams)]])
-        rows = [(p, i, j) for p, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i]
+        grams = _Grams(block.column("texts"), bits)
+        heads, tails, which = _distinct(grams.heads, grams.tails)
+        counts = np.bincount(which, minlength=len(heads))
+        part = (heads >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+        cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(part)]))[: len(starts)]
         number = block.column("block")[0].as_py()
         return pa.table(
             {
-                "part": pa.array([p for p, _, _ in rows], pa.int32()),
-                "block": pa.array([number] * len(rows), pa.int32()),
-                "grams": pa.array([_pack(np.diff(grams[i:j], prepend=np.uint64(0))) for _, i, j in rows], pa.binary()),
-                "counts": pa.array([_pack(counts[i:j]) for _, i, j in rows], pa.binary()),
+                "part": pa.array(part[starts].astype(np.int32)),
+                "block": pa.array([number] * len(starts), pa.int32()),
+                "grams": pa.array([_pack(np.diff(heads[i:j], prepend=np.uint64(0))) for i, j in cuts], pa.binary()),
+                "tails": pa.array([None if tails is None else _pack(tails[i:j]) for i, j in cuts], pa.binary()),
+                "counts": pa.array([_pack(counts[i:j]) for i, j in cuts], pa.binary()),
             }
         )
 
@@ -92,43 +167,37 @@ def _explode(parts: int, bits: int) -> Callable[[pa.Table], pa.Table]:
 
 def _count(part: pa.Table) -> pa.Table:
     """Counts in all blocks of one part's n-grams; each block gets what the others have of its own."""
-    blobs = [(b.as_py(), np.cumsum(_unpack(g.as_py()), dtype=np.uint64), _unpack(c.as_py())) for b, g, c in zip(part.column("block"), part.column("grams"), part.column("counts"))]
-    grams, place = np.unique(np.concatenate([g for _, g, _ in blobs]), return_inverse=True)
-    counts = np.concatenate([c for _, _, c in blobs])
-    total = np.zeros(len(grams), np.uint64)
-    np.add.at(total, place, counts)
-    elsewhere = total[place] - counts
-    ends = np.cumsum([len(g) for _, g, _ in blobs])
-    number = part.column("part")[0].as_py()
-    return pa.table(
-        {
-            "block": pa.array([b for b, _, _ in blobs], pa.int32()),
-            "part": pa.array([number] * len(blobs), pa.int32()),
-            "elsewhere": pa.array([_pack(x) for x in np.split(elsewhere, ends[:-1])], pa.binary()),
-        }
-    )
-
-
-def _score(bits: int, all_words: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    heads = [np.cumsum(_unpack(g.as_py()), dtype=np.uint64) for g in part.column("grams")]
+    tails = [_unpack(t.as_py()) for t in part.column("tails") if t.is_valid]
+    counts = np.concatenate([_unpack(c.as_py()) for c in part.column("counts")]).astype(np.int64)
+    ends = np.cumsum([len(g) for g in heads])
+    unique, _, which = _distinct(np.concatenate(heads), np.concatenate(tails) if tails else None)
+    total = np.bincount(which, counts, len(unique)).astype(np.int64)  # exact up to 2 ** 53
+    elsewhere = total[which] - counts
+    return pa.table({"block": part.column("block"), "part": part.column("part"), "elsewhere": pa.array([_pack(x) for x in np.split(elsewhere, ends[:-1])], pa.binary())})
+
+
+def _score(bits: int, all_words: int, kind: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        grams = _Grams(docs.column("text"), bits)
-        distinct, here = grams.distinct()
+        grams = _Grams(docs.column("texts"), bits)
+        lengths, sizes = grams.lengths, grams.sizes
+        heads, _, which = _distinct(grams.heads, grams.tails)
+        grams.heads = grams.tails = None
         blobs = sorted(zip(found.column("part").to_pylist(), found.column("elsewhere").to_pylist()))
         elsewhere = np.concatenate([_unpack(b) for _, b in blobs]) if blobs else np.zeros(0, np.uint64)
-        total = (here + elsewhere.astype(np.int64)).astype(np.int64)
-        n_docs, words = len(grams.lengths), int(grams.lengths.sum())
-        starts = np.concatenate([[0], np.cumsum(grams.lengths)])[:-1]
+        total = np.bincount(which, minlength=len(heads)) + elsewhere.astype(np.int64)
+        n_docs, words = len(lengths), int(lengths.sum())
+        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         # counts without the document's own, at the place of each n-gram's first word; -1 where none begins
         others: list[np.ndarray] = []
-        for k, (hashes, owner) in enumerate(grams.by_order):
-            place = np.searchsorted(distinct, hashes)
-            _, which, own = np.unique(owner * max(1, len(distinct)) + place, return_inverse=True, return_counts=True)
+        for k, place in enumerate(np.split(which, np.cumsum(sizes)[:-1])):
+            each = np.maximum(lengths - k, 0)
+            _, own, repeats = np.unique(np.repeat(np.arange(n_docs), each) * max(1, len(heads)) + place, return_inverse=True, return_counts=True)
             at = np.full(words, -1, np.int64)
-            sizes = np.maximum(grams.lengths - k, 0)
-            first = np.arange(len(hashes)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes)
-            at[np.repeat(starts, sizes) + first] = total[place] - own[which]
+            first = np.arange(len(place)) - np.repeat(np.cumsum(each) - each, each)
+            at[np.repeat(starts, each) + first] = total[place] - repeats[own]
             others.append(at)
-        rest = np.repeat(all_words - grams.lengths, grams.lengths).astype(np.float64)
+        rest = np.repeat(all_words - lengths, lengths).astype(np.float64)
         seen = others[0] > 0
         log = np.where(seen, np.log(np.maximum(others[0], 1)) - np.log(np.maximum(rest, 1)), math.log(ALPHA) - np.log(rest + 1))
         order = seen.astype(np.int64)
@@ -141,11 +210,11 @@ def _score(bits: int, all_words: int) -> Callable[[pa.Table, pa.Table], pa.Table
             better = np.log(np.maximum(whole, 1)) - np.log(np.maximum(context, 1))
             log = np.where(hit, better, np.where(fits, log + math.log(ALPHA), log))
             order = np.where(hit, k + 1, order)
-        owner = np.repeat(np.arange(n_docs), grams.lengths)
+        owner = np.repeat(np.arange(n_docs), lengths)
         summed = np.bincount(owner, log, n_docs)
         by = [np.bincount(owner[order == k], minlength=n_docs).astype(np.int64) for k in range(ORDER + 1)]
-        ids = docs.column("id")
-        return pa.table({"doc_id": ids, "n_words": pa.array(grams.lengths.astype(np.int64)), "log_score": pa.array(np.round(summed, 6) + 0.0)} | {f"n_order{k}": pa.array(by[k]) for k in range(ORDER + 1)})
+        ids = pa.concat_arrays([pa.array([], kind), *(x.values for x in docs.column("ids") if x.values is not None)])
+        return pa.table({"doc_id": ids, "n_words": pa.array(lengths.astype(np.int64)), "log_score": pa.array(np.round(summed, 6) + 0.0)} | {f"n_order{k}": pa.array(by[k]) for k in range(ORDER + 1)})
 
     return run
 
@@ -161,23 +230,27 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     count as rows, and each is in the others' counts; null ids are scored like any; other columns are ignored; an
     empty table gives no rows.
 
-    Method: documents are hashed to blocks. A block's n-grams are exploded and counted; they travel as sorted hashes
-    (bits of them as the corpus needs, 64 at most), packed by part of the hash range. A part of the count table
-    joins what all blocks have of its range, and gives back to each block how often the others have its n-grams. A
-    block then sums its documents' scores. A very common n-gram is one entry a block, however often it occurs.
+    N-grams are told apart by hashes of 64 bits or more (hash_bits), words by 64 bits.
+
+    Method: documents are hashed to blocks, their texts packed. A block's n-grams are exploded and counted; they travel
+    as sorted hashes, packed by part of the hash range, to the count table, which is partitioned by hash. A part joins
+    what all blocks have of its range, and gives back to each block how often the others have its n-grams. A block then
+    sums its documents' scores. A very common n-gram is one entry a block, however often it occurs.
     """
     rows = pick(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     stats = rows.agg(F.sum(F.octet_length("text").cast("long")), F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long"))).first()
     n_bytes, n_words = (int(x or 0) for x in stats)
-    grams = max(2, 2 * n_words)
-    bits = min(64, SPARE_BITS + math.ceil(math.log2(grams)))
+    grams = max(2, ORDER * n_words)
+    bits = hash_bits(grams)
     blocks, parts = max(1, math.ceil(n_bytes / BLOCK_BYTES)), max(1, math.ceil(grams / PART_GRAMS))
     kind = dict(rows.dtypes)["id"]
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    exploded = blocked.groupBy("block").applyInArrow(_explode(parts, bits), "part int, block int, grams binary, counts binary")
+    arrow_kind = to_arrow_type(rows.schema["id"].dataType)
+    placed = rows.select("id", "text", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"))
+    blocked = placed.mapInArrow(_gathered(), f"block int, ids array<{kind}>, texts binary").repartition(blocks, "block")
+    exploded = blocked.groupBy("block").applyInArrow(_explode(parts, bits), "part int, block int, grams binary, tails binary, counts binary")
     counted = exploded.groupBy("part").applyInArrow(_count, "block int, part int, elsewhere binary")
     schema = f"doc_id {kind}, n_words long, log_score double, " + ", ".join(f"n_order{k} long" for k in range(ORDER + 1))
-    return blocked.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_score(bits, n_words), schema)
+    return blocked.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_score(bits, n_words, arrow_kind), schema)
 
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import struct
 import textwrap
 from collections import Counter
 
+import numpy as np
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -225,6 +226,25 @@ def test_backoff_is_brute_force(spark, monkeypatch, small):
     assert Counter((r[0], r[1], round(r[2], 4) + 0.0, *r[3:]) for r in got) == brute_scores(docs.rows())
 
 
+def test_backoff_with_wide_hashes(spark, monkeypatch):
+    monkeypatch.setattr(stupid_backoff, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(stupid_backoff, "GATHER_BYTES", 200_000)
+    monkeypatch.setattr(stupid_backoff, "LEAST_BITS", 77)
+    got = stupid_backoff.score_documents(docs.frame(spark)).collect()
+    assert Counter((r[0], r[1], round(r[2], 4) + 0.0, *r[3:]) for r in got) == brute_scores(docs.rows())
+
+
+def test_hashes_grow_with_the_corpus():
+    for words in (1, 10**6, 10**9, 10**13):
+        bits = stupid_backoff.hash_bits(3 * words)
+        assert bits >= 64 and (3 * words) ** 2 / 2 ** (bits + 1) <= 1 / 64
+    few, many = np.arange(7, dtype=np.uint64) * np.uint64(2**61), np.arange(1000, dtype=np.uint64) ** np.uint64(6)
+    assert all((stupid_backoff._unpack(stupid_backoff._pack(x)) == x).all() for x in (few, many, many[:0], many[:16]))
+    heads, tails = np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 9, 2, 1, 9], np.uint64)
+    h, t, which = stupid_backoff._distinct(heads, tails)
+    assert h.tolist() == [3, 5, 5] and t.tolist() == [9, 1, 2] and which.tolist() == [1, 0, 2, 1, 0]
+
+
 def test_backoff_of_nothing(spark):
     assert stupid_backoff.score_documents(docs.frame(spark, [])).collect() == []
 
