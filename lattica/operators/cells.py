@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from itertools import product
+from collections.abc import Iterable
+from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.geometry import AXES, linear_index, snap, width
+from lattica.operators.numbering import ordinal
 from lattica.storage import materialise
 
 #: Corners of a hexahedron in VTK order, as (x, y, z) of the unit cube. A fixed value.
 CORNERS = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
 #: Faces in the order in which they are tried: bottom, top, front, back, left, right; each as the axis and its side.
 FACES = [(2, 0), (2, 1), (1, 0), (1, 1), (0, 0), (0, 1)]
+#: The same faces in the order in which their parallel edges are tried. A fixed value.
+EDGE_FACES = [(1, 0), (1, 1), (2, 1), (2, 0), (0, 0), (0, 1)]
 
 
 def levels(cells: DataFrame) -> list[int]:
@@ -84,6 +89,37 @@ def _across(corner: int, axis: int) -> int:
     return CORNERS.index(tuple(1 - v if k == axis else v for k, v in enumerate(CORNERS[corner])))
 
 
+#: Pairs of corners, in the order of the bits that say that a pair is one cell.
+PAIRS = list(combinations(range(8), 2))
+
+
+def _bits(*groups: Iterable[int]) -> int:
+    """The mask in which all corners of each group are one cell."""
+    return sum({1 << PAIRS.index(p) for g in groups for p in combinations(sorted(g), 2)})
+
+
+def _rules() -> list[tuple[str, int | None, int, list[int]]]:
+    """Kind ("" for nothing), number of distinct corners (None for any), mask, and the corners that make the element.
+
+    Faces that are one corner are tried in the order of FACES, then parallel edges of faces in that of EDGE_FACES.
+    """
+    out: list[tuple[str, int | None, int, list[int]]] = []
+    for axis, side in FACES:
+        gone, ring = _of_face(axis, side), _of_face(axis, 1 - side)
+        out.append(("pyr", 5, _bits(gone), [*ring, gone[0]]))
+        for k in range(4):
+            ends = ring[k], ring[(k + 1) % 4]
+            if sum(a != b for a, b in zip(CORNERS[ends[0]], CORNERS[ends[1]])) == 1:
+                out.append(("tet", 4, _bits(gone, ends), [ring[(k + 1 + j) % 4] for j in range(3)] + [gone[0]]))
+        out.append(("", None, _bits(gone), []))
+    for face in EDGE_FACES:
+        for axis in (k for k in range(3) if k != face[0]):
+            (a, b), (c, d) = _edges(axis, face)
+            # each collapsed edge is the tip of a triangle whose other corners are across the face
+            out.append(("wedge", None, _bits((a, b), (c, d)), [a, _across(b, face[0]), _across(a, face[0]), c, _across(d, face[0]), _across(c, face[0])]))
+    return out
+
+
 def classify(dual: DataFrame) -> DataFrame:
     """Elements (cell_id, octant, kind, perfect_level, vertex_ids) of dual cells; degenerate ones have no row.
 
@@ -91,38 +127,22 @@ def classify(dual: DataFrame) -> DataFrame:
     A face that is one corner: a pyramid over the other side if five corners are left; if four, a tet, provided that an
     edge of the other side has collapsed, else nothing. Two parallel edges of a face: a wedge. Else a hex with corners
     that coincide. The first rule that holds counts; faces are tried in the order of FACES.
+
+    Which of the 28 pairs of corners are one cell is one number a row; a rule is a test of its bits.
     """
-    v = [F.col("corners")[i]["id"] for i in range(8)]
-    same = lambda ids: F.array_max(F.array(*[v[i] for i in ids])) == F.array_min(F.array(*[v[i] for i in ids]))
-    n = F.col("n_unique")
-    element = lambda kind, ids, level=None: F.struct(F.lit(kind).alias("kind"), F.lit(-1).alias("perfect_level") if level is None else level.alias("perfect_level"), F.array(*[v[i] for i in ids]).alias("vertex_ids"))
-    nothing = F.lit(None)
-    rules: list[tuple[Column, Column]] = [
-        (F.col("min_level") == F.col("max_level"), element("hex", range(8), F.col("min_level").cast("int"))),
-        (n == 8, element("hex", range(8))),
-        (n < 4, nothing),
-    ]
-    for axis, side in FACES:
-        gone, base = _of_face(axis, side), _of_face(axis, 1 - side)
-        ring = [base[0], base[1], base[2], base[3]]
-        flat = same(gone)
-        rules.append((flat & (n == 5), element("pyr", [*ring, gone[0]])))
-        for k in range(4):
-            if sum(a != b for a, b in zip(CORNERS[ring[k]], CORNERS[ring[(k + 1) % 4]])) == 1:
-                rest = [ring[(k + 1 + j) % 4] for j in range(3)]
-                rules.append((flat & (n == 4) & (v[ring[k]] == v[ring[(k + 1) % 4]]), element("tet", [*rest, gone[0]])))
-        rules.append((flat, nothing))
-    for face in ((1, 0), (1, 1), (2, 1), (2, 0), (0, 0), (0, 1)):
-        for axis in (k for k in range(3) if k != face[0]):
-            (a, b), (c, d) = _edges(axis, face)
-            # each collapsed edge is the tip of a triangle whose other corners are across the face
-            ends = [a, _across(b, face[0]), _across(a, face[0]), c, _across(d, face[0]), _across(c, face[0])]
-            rules.append(((v[a] == v[b]) & (v[c] == v[d]), element("wedge", ends)))
-    chosen = F.when(*rules[0])
-    for rule in rules[1:]:
-        chosen = chosen.when(*rule)
-    out = dual.withColumn("_e", chosen.otherwise(element("hex", range(8))))
-    return out.where("_e IS NOT NULL").select("cell_id", "octant", "_e.*")
+    ids = F.col("corners.id")
+    mask = reduce(lambda x, y: x.bitwiseOR(y), [F.when(ids[a] == ids[b], F.lit(1 << n)).otherwise(F.lit(0)) for n, (a, b) in enumerate(PAIRS)])
+    marked = dual.withColumn("_mask", mask.cast("long"))
+    whole, rules = F.lit(-1), _rules()
+    rule = F.when((F.col("min_level") == F.col("max_level")) | (F.col("n_unique") == 8), whole).when(F.col("n_unique") < 4, F.lit(None).cast("int"))
+    for number, (kind, n, bits, _) in enumerate(rules):
+        holds = F.col("_mask").bitwiseAND(F.lit(bits)) == bits
+        rule = rule.when(holds & (F.col("n_unique") == n) if n else holds, F.lit(number if kind else None).cast("int"))
+    found = marked.withColumn("_rule", rule.otherwise(whole)).where("_rule IS NOT NULL")
+    kinds, orders = (F.array(*values) for values in (map(F.lit, ["hex", *[r[0] for r in rules]]), [F.array(*map(F.lit, r)) for r in [list(range(8)), *[r[3] for r in rules]]]))
+    ordered = F.transform(F.element_at(orders, F.col("_rule") + 2), lambda i: F.get(ids, i))
+    perfect = F.when(F.col("min_level") == F.col("max_level"), F.col("min_level").cast("int")).otherwise(F.lit(-1))
+    return found.select("cell_id", "octant", F.element_at(kinds, F.col("_rule") + 2).alias("kind"), perfect.alias("perfect_level"), ordered.alias("vertex_ids"))
 
 
 def element_counts(elements: DataFrame) -> DataFrame:
@@ -172,3 +192,12 @@ def gridlet_scalars(gridlets: DataFrame, cells: DataFrame) -> DataFrame:
 
 def gridlet_counts(gridlets: DataFrame) -> DataFrame:
     return gridlets.agg(F.count(F.lit(1)).alias("gridlets"), F.sum("n_cubes").alias("cubes"), F.sum(F.size("ids")).alias("slots"), F.sum(F.size(F.filter("ids", lambda i: i.isNull()))).alias("empty"))
+
+
+def in_order(cells: DataFrame) -> DataFrame:
+    """Cells with their place (from 0) in the order of (y, x, level, z), each as an unsigned number, then of the id.
+
+    That is the order of a record of x, y, z and level read as two little-endian 64-bit numbers.
+    """
+    unsigned = {f"_u{a}": F.pmod(F.col(a).cast("long"), F.lit(1 << 32)) for a in ("y", "x", "level", "z")}
+    return ordinal(cells.withColumns(unsigned), ["_uy", "_ux", "_ulevel", "_uz", "cell_id"], "place").drop(*unsigned)

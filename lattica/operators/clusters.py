@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.codes import hilbert, morton, quantised
-from lattica.operators.numbering import dense_ids
+from lattica.operators.numbering import dense_ids, ordinal
 from lattica.storage import materialise
 
 AXES = ("x", "y", "z")
@@ -31,9 +31,9 @@ def sorted_by_code(points: DataFrame, key: str, partitions: int) -> DataFrame:
     return points.repartitionByRange(partitions, "code", key).sortWithinPartitions("code", key)
 
 
-def with_rank(points: DataFrame, key: str, bits: int = 48) -> DataFrame:
-    """Place of each point in code order, ties by key."""
-    return dense_ids(points, "code", "rank", [key], width=2 ** max(1, bits - 12))
+def with_rank(points: DataFrame, key: str) -> DataFrame:
+    """Place of each point in code order, ties by key, however the codes are spread."""
+    return ordinal(points, ["code", key], "rank")
 
 
 def merge(ranked: DataFrame, most: int) -> DataFrame:

@@ -18,25 +18,35 @@ def weighted_mean(hits: DataFrame, key: list[str]) -> DataFrame:
     return summed.where("_w > 0").select(*key, (F.col("_wv") / F.col("_w")).alias("value"))
 
 
+def lattice_blocks(cells: DataFrame) -> DataFrame:
+    """(_level, _ix, _iy, _iz, s0..s7, n0..n7): for each place between cell centres of a level the eight cells around it.
+
+    s is the sum of their values and n their number (0 where there is no cell; more than 1 where cells coincide), x
+    fastest. Depends on the cells alone: make it once for many samples.
+    """
+    sound = cells.where("value IS NOT NULL AND NOT isnan(value)").withColumn("_w", width("level"))
+    at = F.array(*[F.struct(F.lit(k).alias("k"), *[(F.floor(F.col(a) / F.col("_w")) - (k >> i & 1)).cast("int").alias(f"_i{a}") for i, a in enumerate(AXES)]) for k in range(8)])
+    each = sound.select(F.col("level").alias("_level"), F.col("value").cast("double").alias("value"), F.explode(at).alias("c")).select("_level", "value", "c.*")
+    mine = lambda k, v: F.when(F.col("k") == k, v).otherwise(F.lit(0.0))
+    return each.groupBy("_level", *[f"_i{a}" for a in AXES]).agg(*[F.sum(mine(k, F.col("value"))).alias(f"s{k}") for k in range(8)], *[F.sum(mine(k, F.lit(1.0))).alias(f"n{k}") for k in range(8)])
+
+
 def sample_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
     """(pid, value) by the basis functions of all cells that reach a point, of whatever level.
 
-    Cells lie on their level's lattice, so on each level eight places can reach a point: they are looked up by an
-    equi-join, with the weight, which the place alone decides, already there.
+    Cells lie on their level's lattice, so on each level eight places can reach a point. The cells are put together by
+    these eights first; a point then goes to one row a level, by an equi-join, and the weights follow from its place.
     """
     known = levels(cells)
     if not known:
         return points.select("pid", F.lit(0.0).alias("value")).limit(0)
     probes = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in known]))).withColumn("_w", width("_level"))
-    probes = probes.withColumns({f"_q{a}": F.col(f"p{a}") / F.col("_w") - 0.5 for a in AXES}).withColumns({f"_i{a}": F.floor(f"_q{a}") for a in AXES})
-    share = lambda a, o: (F.col(f"_q{a}") - F.col(f"_i{a}")) if o else (1 - (F.col(f"_q{a}") - F.col(f"_i{a}")))
-    corners = [
-        F.struct(*[((F.col(f"_i{a}") + o) * F.col("_w")).cast("int").alias(f"_{a}") for a, o in zip(AXES, at)], (share("x", at[0]) * share("y", at[1]) * share("z", at[2])).alias("weight"))
-        for at in ((k & 1, k >> 1 & 1, k >> 2) for k in range(8))
-    ]
-    probes = probes.select("pid", "_level", F.explode(F.array(*corners)).alias("c")).select("pid", "_level", "c.*").where("weight > 0")
-    side = cells.where("value IS NOT NULL AND NOT isnan(value)").select(F.col("level").alias("_level"), *[F.col(a).alias(f"_{a}") for a in AXES], "value")
-    return weighted_mean(probes.join(side, ["_level", "_x", "_y", "_z"]), ["pid"])
+    probes = probes.withColumns({f"_q{a}": F.col(f"p{a}") / F.col("_w") - 0.5 for a in AXES})
+    probes = probes.select("pid", "_level", *[F.floor(f"_q{a}").cast("int").alias(f"_i{a}") for a in AXES], *[(F.col(f"_q{a}") - F.floor(f"_q{a}")).alias(f"_f{a}") for a in AXES])
+    met = probes.join(lattice_blocks(cells), ["_level", *[f"_i{a}" for a in AXES]])
+    share = [reduce(lambda x, y: x * y, [F.col(f"_f{a}") if k >> i & 1 else 1 - F.col(f"_f{a}") for i, a in enumerate(AXES)]) for k in range(8)]
+    summed = met.groupBy("pid").agg(*[F.sum(reduce(lambda x, y: x + y, [w * F.col(f"{c}{k}") for k, w in enumerate(share)])).alias(name) for c, name in (("s", "_wv"), ("n", "_w"))])
+    return summed.where("_w > 0").select("pid", (F.col("_wv") / F.col("_w")).alias("value"))
 
 
 def brick_hits(met: DataFrame) -> DataFrame:

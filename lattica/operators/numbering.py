@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.storage import materialise
+
 #: Keys of a bucket: rows of one bucket are sorted by one task.
 BUCKET = 65_536
 
@@ -25,6 +27,20 @@ def dense_ids(df: DataFrame, key: str, name: str, ties: list[str] | None = None,
     return _bucketed(df, key, F.lit(1), width).withColumn(name, (F.col("_before") + F.row_number().over(order) - 1).cast("long")).drop("_bucket", "_before")
 
 
+def ordinal(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Numbers from 0 in the order of any columns, as a long column.
+
+    Rows are dealt to ranges between sampled quantiles, so that keys may lie as unevenly as they like; ranges are written
+    with each row's place in its own, and earlier ranges' sizes, a number a range, are added. Rows that agree in all of
+    these columns are numbered in any order.
+    """
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    written = materialise(ranged)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = written.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))  # a row a range
+    return written.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
 def running_sum(df: DataFrame, key: str, value: str, name: str, width: int = BUCKET) -> DataFrame:
     """Sum of value over all rows up to this one, in order of a unique integer key."""
     order = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)

@@ -26,16 +26,25 @@ def uniform(*key: Column | str) -> Column:
 
 
 def tentative(rays: DataFrame, majorants: DataFrame, low, high, dims, scale: float, seed: int) -> DataFrame:
-    """(ray_id, mc_id, k, t, mu): the Poisson process along each ray; mu = scale * max_opacity of the macrocell."""
+    """(ray_id, mc_id, k, t, mu): the Poisson process along each ray; mu = scale * max_opacity of the macrocell.
+
+    How many points a segment has is drawn by adding up exponential steps until they pass its mean, a running sum of two
+    numbers; the points themselves are then uniform in the segment.
+    """
     seg = walk(rays, low, high, dims).join(majorants.where("max_opacity > 0").select("mc_id", (F.col("max_opacity") * scale).alias("mu")), "mc_id")
     mean = F.col("mu") * (F.col("t1") - F.col("t0"))
     # far more steps than a segment can have: eight deviations above the mean
-    seg = seg.withColumn("_n", F.ceil(mean + 8 * F.sqrt(mean) + 12).cast("int"))
-    steps = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda k: -F.log((F.pmod(F.xxhash64("ray_id", "mc_id", k, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
-    each = seg.select("ray_id", "mc_id", "t0", "t1", "mu", steps.alias("_s"))
-    sums = F.transform("_s", lambda _, i: F.aggregate(F.slice("_s", F.lit(1), i + 1), F.lit(0.0), lambda a, b: a + b))
-    at = each.select("ray_id", "mc_id", "t0", "t1", "mu", F.posexplode(sums).alias("k", "_d")).withColumn("t", F.col("t0") + F.col("_d") / F.col("mu"))
-    return at.where("t < t1").select("ray_id", "mc_id", "k", "t", "mu")
+    seg = seg.withColumns({"_mean": mean, "_most": F.ceil(mean + 8 * F.sqrt(mean) + 12).cast("int")})
+    none = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+
+    def add(state: Column, k: Column) -> Column:
+        far = state["sum"] - F.log(uniform("ray_id", "mc_id", k, F.lit(seed)))
+        return F.struct(far.alias("sum"), (state["n"] + (far < F.col("_mean")).cast("int")).alias("n"))
+
+    seg = seg.withColumn("_n", F.aggregate(F.sequence(F.lit(1), F.col("_most")), none, add, lambda s: s["n"])).where("_n > 0")
+    each = seg.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    at = F.col("t0") + (F.col("t1") - F.col("t0")) * uniform("ray_id", "mc_id", "k", F.lit(seed), F.lit("place"))
+    return each.select("ray_id", "mc_id", "k", at.alias("t"), "mu")
 
 
 def with_extinction(collisions: DataFrame, rays: DataFrame, cells: DataFrame, alpha: Callable[[Column], Column], scale: float) -> DataFrame:
@@ -87,15 +96,22 @@ def _around(axis: list[Column], cosine: Column, v: Column) -> list[Column]:
     return [F.cos(turn) * sine * p + F.sin(turn) * sine * q + cosine * r for p, q, r in zip(t, s, axis)]
 
 
-def light_rays(points: DataFrame, light: tuple[float, float, float]) -> DataFrame:
-    """Rays from (ray_id, px, py, pz) to a point light, t in lengths up to the light, with its falloff 1 / distance^2."""
-    d = [F.lit(float(l)) - F.col(f"p{a}") for a, l in zip("xyz", light)]
+def light_rays(points: DataFrame, light: tuple[float, float, float] | list[tuple[float, float, float, float]], seed: int = 0) -> DataFrame:
+    """Rays from (ray_id, px, py, pz) to a point light, t in lengths up to the light, with its falloff: intensity / distance^2.
+
+    light is a place, or a list of places with intensities: each point then asks one of them, drawn evenly.
+    """
+    lights = [(*light, 1.0)] if isinstance(light, tuple) else list(light)
+    places = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("x", "y", "z", "intensity"), one)]) for one in lights])
+    drawn = F.floor(uniform("ray_id", F.lit(seed), F.lit("light")) * len(lights)).cast("int")
+    points = points.withColumn("_light", F.get(places, drawn))
+    d = [F.col(f"_light.{a}") - F.col(f"p{a}") for a in "xyz"]
     far = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    return points.withColumn("_far", far).where("_far > 0").select("ray_id", *[F.col(f"p{a}").alias(f"o{a}") for a in "xyz"], *[(x / F.col("_far")).alias(f"d{a}") for a, x in zip("xyz", d)], F.lit(0.0).alias("tmin"), F.col("_far").alias("tmax"), (1 / (F.col("_far") * F.col("_far"))).alias("falloff"))
+    return points.withColumn("_far", far).where("_far > 0").select("ray_id", *[F.col(f"p{a}").alias(f"o{a}") for a in "xyz"], *[(x / F.col("_far")).alias(f"d{a}") for a, x in zip("xyz", d)], F.lit(0.0).alias("tmin"), F.col("_far").alias("tmax"), (F.col("_light.intensity") / (F.col("_far") * F.col("_far"))).alias("falloff"))
 
 
-def trace(rays: DataFrame, cells: DataFrame, majorants: DataFrame, alpha: Callable[[Column], Column], low, high, dims, *, scale: float = 1.0, light: tuple[float, float, float], bounces: int = 1024, roulette: float = 0.2, albedo: float = 0.8, seed: int = 1) -> DataFrame:
-    """(ray_id, radiance) of rays with unit directions: light from a point, scattered until no path is left; 1 bounce is direct lighting.
+def trace(rays: DataFrame, cells: DataFrame, majorants: DataFrame, alpha: Callable[[Column], Column], low, high, dims, *, scale: float = 1.0, light: tuple[float, float, float] | list[tuple[float, float, float, float]], bounces: int = 1024, roulette: float = 0.2, albedo: float = 0.8, seed: int = 1) -> DataFrame:
+    """(ray_id, radiance) of rays with unit directions: light from points (see light_rays), scattered until no path is left; 1 bounce is direct lighting.
 
     A bounce finds free paths, adds the light that reaches the collisions through the volume, and goes on in a new
     direction; a path of throughput below roulette survives with that probability, which ends all paths: bounces is
@@ -112,7 +128,7 @@ def trace(rays: DataFrame, cells: DataFrame, majorants: DataFrame, alpha: Callab
         own = seed + 10 * bounce
         hits = with_extinction(tentative(paths, majorants, low, high, dims, scale, own), paths, cells, alpha, scale)
         met = materialise(free_paths(hits, own).join(paths, "ray_id").select("ray_id", "weight", *[(F.col(f"o{a}") + F.col("t") * F.col(f"d{a}")).alias(f"p{a}") for a in "xyz"], "dx", "dy", "dz"))
-        shadow = light_rays(met, light)
+        shadow = light_rays(met, light, own + 4)
         through = transmittance(shadow, with_extinction(tentative(shadow, majorants, low, high, dims, scale, own + 3), shadow, cells, alpha, scale))
         lit = met.join(through, "ray_id").join(shadow.select("ray_id", "falloff"), "ray_id").select("ray_id", (F.col("weight") * albedo * F.col("transmittance") * F.col("falloff") / 12.566370614359172).alias("light"))
         gathered.append(materialise(lit))

@@ -18,7 +18,6 @@ from lattica.plans.geometry_queries import RAMP, rounded
 from lattica.plans.volume_queries import DIMS, HIGH, LOW, bricks
 from lattica.sources import binary
 from lattica.storage import materialise, shared_dir
-from lattica.streaming.accumulate import accumulated
 
 
 def p27_morton_codes(s, d):
@@ -140,13 +139,7 @@ def c1_rendered_volume(s, d):
     return rounded(v.render(view, 16, 16, 2.0), "r", "g", "b", "alpha")
 
 
-def stream_accumulation(s, d):
-    """Events as frames: the running image a pixel and hour, as the stream ends up."""
-    f = R(s, d, "frames").select(F.col("frame").alias("epoch"), "pixel", "value")
-    return rounded(accumulated(f), "mean")
-
-
-_NAMES = "p27_morton_codes p28_hilbert_codes o2_code_order a21_centroid_bounds a22_merged_clusters a23_cluster_boxes g6_majorant_tree t1_free_paths t2_transmittance t5_path_traced t6_direct_light s1_cell_files s3_brick_files s9_triangle_files s15_blocks k8_box_faces c1_rendered_volume stream_accumulation".split()
+_NAMES = "p27_morton_codes p28_hilbert_codes o2_code_order a21_centroid_bounds a22_merged_clusters a23_cluster_boxes g6_majorant_tree t1_free_paths t2_transmittance t5_path_traced t6_direct_light s1_cell_files s3_brick_files s9_triangle_files s15_blocks k8_box_faces c1_rendered_volume".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _Q = lambda c: f"CAST(least(65535, greatest(0, floor(({c} + 1) / 2 * 65536))) AS BIGINT)"
@@ -162,6 +155,5 @@ ORACLES = {
         "s3_brick_files": "SELECT brick_id, lx, ly, lz, sx, sy, sz, level, sx * sy * sz AS n FROM {bricks}",
         "s9_triangle_files": "SELECT count(*) AS n, sum(ax) AS x1, sum(cz) AS z3 FROM {triangles}",
         "k8_box_faces": "SELECT brick_id, CAST(f AS INT) AS face, round(CASE f WHEN 4 THEN 4 * x0 WHEN 5 THEN 4 * x1 ELSE 2 * x0 + 2 * x1 END, 4) AS x, round(CASE f WHEN 0 THEN 4 * z0 WHEN 1 THEN 4 * z1 ELSE 2 * z0 + 2 * z1 END, 4) AS z FROM (SELECT brick_id, CAST(lx AS DOUBLE) AS x0, lx + sx * power(2e0, level) AS x1, CAST(lz AS DOUBLE) AS z0, lz + sz * power(2e0, level) AS z1 FROM {bricks}) CROSS JOIN (SELECT range AS f FROM range(6))",
-        "stream_accumulation": "SELECT frame AS epoch, pixel, count(*) AS frames, round(avg(value), 6) AS mean FROM {frames} GROUP BY frame, pixel",
     }.items()
 }

@@ -137,10 +137,6 @@ def e5_hexahedra(s, d):
     return rounded(hits(s, d).where("kind = 'hex'").select("pid", "elem_id", "value"), "value")
 
 
-def e7_all_elements(s, d):
-    return rounded(hits(s, d), "value")
-
-
 def e6_plane_ratios(s, d):
     packed = join_points(R(s, d, "brick_points"), U.packed(U.corners(elements(s, d), R(s, d, "vertices"))))
     found = E.with_plane_ratio_value(packed.where("kind = 'hex'"), "hex")
@@ -160,20 +156,16 @@ def j3_sample_bricks(s, d):
     return rounded(S.sample_bricks(R(s, d, "brick_points"), bricks(s, d)), "value")
 
 
-def j5_stitched(s, d):
-    return rounded(S.stitched(S.sample_gridlets(R(s, d, "brick_points"), gridlets(s, d)), hits(s, d)), "value")
-
-
 def j9_find_cells(s, d):
     return C.find_cells(R(s, d, "points"), R(s, d, "cells"), ["pid"], keep=["value"])
 
 
 def j10_dual_cells(s, d):
-    return C.dual_cells(R(s, d, "patch")).select("cell_id", "min_level", "max_level", "n_unique", F.array_join(F.array_sort(F.col("corners.id")), ",").alias("corners"))
+    return C.dual_cells(R(s, d, "patch")).select("cell_id", "min_level", "max_level", "n_unique", F.array_join(F.col("corners.id"), ",").alias("corners"))
 
 
 def g3_dual_elements(s, d):
-    return C.classify(C.dual_cells(R(s, d, "patch"))).select("cell_id", "kind", "perfect_level", F.array_join(F.array_sort(F.array_distinct("vertex_ids")), ",").alias("vertices"))
+    return C.classify(C.dual_cells(R(s, d, "patch"))).select("cell_id", "kind", "perfect_level", F.array_join("vertex_ids", ",").alias("vertices"))
 
 
 def a20_element_counts(s, d):
@@ -292,7 +284,7 @@ def w8_run_lengths(s, d):
     return N.run_lengths(o, "o_orderkey", "status", width=1024).groupBy("status", "n").agg(F.count(F.lit(1)).alias("runs"))
 
 
-_NAMES = "a1_bounds_and_range a2_dense_macrocells a3_element_ranges a4_gridlet_ranges a5_cell_ranges a7_brick_ranges a8_largest_gridlet a9_gridlet_value_ranges a10_macrocell_majorants g8_active_macrocells a11_splatted_ranges a12_vertex_compaction a13_elements_by_kind a14_memory_statistics a24_distinct_vertices a27_accumulated_pixels a28_frame_times e1_gridlet_trilinear e2_tetrahedra e5_hexahedra e6_plane_ratios e7_all_elements j1_sample_cells j2_sample_regions j3_sample_bricks j5_stitched j9_find_cells j10_dual_cells g3_dual_elements a20_element_counts g4_gridlets a19_gridlet_counts g5_regions a15_region_ranges a16_region_statistics g9_shared_faces j11_scalar_lookup j12_vertex_lookup j14_adjacent_bricks j15_rays_and_boxes o6_first_box j16_rays_and_triangles j17_box_ranges w1_grid_walk w4_composite w5_first_step w6_region_steps t7_ray_march w7_running_sum w8_run_lengths".split()
+_NAMES = "a1_bounds_and_range a2_dense_macrocells a3_element_ranges a4_gridlet_ranges a5_cell_ranges a7_brick_ranges a8_largest_gridlet a9_gridlet_value_ranges a10_macrocell_majorants g8_active_macrocells a11_splatted_ranges a12_vertex_compaction a13_elements_by_kind a14_memory_statistics a24_distinct_vertices a27_accumulated_pixels a28_frame_times e1_gridlet_trilinear e2_tetrahedra e5_hexahedra e6_plane_ratios j1_sample_cells j2_sample_regions j3_sample_bricks j9_find_cells j10_dual_cells g3_dual_elements a20_element_counts g4_gridlets a19_gridlet_counts g5_regions a15_region_ranges a16_region_statistics g9_shared_faces j11_scalar_lookup j12_vertex_lookup j14_adjacent_bricks j15_rays_and_boxes o6_first_box j16_rays_and_triangles j17_box_ranges w1_grid_walk w4_composite w5_first_step w6_region_steps t7_ray_march w7_running_sum w8_run_lengths".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _ALPHA = "(CASE i " + " ".join(f"WHEN {i} THEN {e[3]!r}e0" for i, e in enumerate(RAMP)) + " ELSE 0e0 END)"
@@ -357,6 +349,17 @@ _WEDGE = " OR ".join(f"(v{a} = v{b} AND v{c} = v{e}) OR (v{a} = v{e} AND v{b} =
 _KIND = f"""kinds AS (SELECT *, CASE WHEN min_level = max_level OR n_unique = 8 THEN 'hex' WHEN n_unique < 4 THEN NULL
     WHEN {' OR '.join('(' + _eq(*f) + ')' for f in _FACE.values())} THEN CASE WHEN n_unique = 5 THEN 'pyr' WHEN n_unique = 4 AND (CASE {_TET} END) THEN 'tet' END
     WHEN {_WEDGE} THEN 'wedge' ELSE 'hex' END AS kind, CASE WHEN min_level = max_level THEN min_level ELSE -1 END AS perfect_level FROM dual)"""
+#: Vertices in VTK order. Pyramids: the other side of the collapsed face, then the tip. Tets: that side without the first
+#: corner of its first collapsed edge, in turn, then the tip. Wedges: two triangles, each with a collapsed edge as its tip.
+_RINGS = {"bottom": (4, 5, 6, 7), "top": (0, 1, 2, 3), "front": (2, 3, 6, 7), "back": (0, 1, 4, 5), "left": (1, 2, 5, 6), "right": (0, 3, 4, 7)}
+_joined = lambda ids: "concat_ws(',', " + ", ".join(f"v{i}" for i in ids) + ")"
+_PYR_ORDER = " ".join(f"WHEN {_eq(*sorted(_FACE[f]))} THEN {_joined((*r, min(_FACE[f])))}" for f, r in _RINGS.items())
+_beside = lambda a, b: (a, b) in {tuple(sorted(e)) for q in _FACE.values() for e in zip(q, q[1:] + q[:1])} or (b, a) in {tuple(sorted(e)) for q in _FACE.values() for e in zip(q, q[1:] + q[:1])}
+_TET_ORDER = " ".join(f"WHEN {_eq(*sorted(_FACE[f]))} AND v{r[k]} = v{r[(k + 1) % 4]} THEN {_joined((r[(k + 1) % 4], r[(k + 2) % 4], r[(k + 3) % 4], min(_FACE[f])))}" for f, r in _RINGS.items() for k in range(4) if _beside(r[k], r[(k + 1) % 4]))
+_WEDGES = ((0, 1, 4, 5, 3, 2, 7, 6), (0, 4, 1, 5, 3, 7, 2, 6), (3, 2, 7, 6, 0, 1, 4, 5), (3, 7, 2, 6, 0, 4, 1, 5), (4, 5, 7, 6, 0, 1, 3, 2), (4, 7, 5, 6, 0, 3, 1, 2), (0, 1, 3, 2, 4, 5, 7, 6), (0, 3, 1, 2, 4, 7, 5, 6), (0, 3, 4, 7, 1, 2, 5, 6), (0, 4, 3, 7, 1, 5, 2, 6), (1, 2, 5, 6, 0, 3, 4, 7), (1, 5, 2, 6, 0, 4, 3, 7))
+#: a = b and c = d are the collapsed edges; a2, b2, c2 and d2 are across the face from them.
+_WEDGE_ORDER = " ".join(f"WHEN v{a} = v{b} AND v{c} = v{e} THEN {_joined((a, b2, a2, c, e2, c2))}" for a, b, c, e, a2, b2, c2, e2 in _WEDGES)
+_ORDERED = f"CASE kind WHEN 'hex' THEN {_joined(range(8))} WHEN 'pyr' THEN CASE {_PYR_ORDER} END WHEN 'tet' THEN CASE {_TET_ORDER} END ELSE CASE {_WEDGE_ORDER} END END"
 _CUBES = "cubes AS (SELECT perfect_level AS level, CAST(floor(c.x / power(2e0, c.level)) AS INT) AS ix, CAST(floor(c.y / power(2e0, c.level)) AS INT) AS iy, CAST(floor(c.z / power(2e0, c.level)) AS INT) AS iz, " + ", ".join(f"v{n}" for n in range(8)) + " FROM kinds JOIN {patch} c ON c.cell_id = v0 WHERE kind = 'hex' AND perfect_level >= 0)"
 _VERT = "vert AS (" + " UNION ".join(f"SELECT level, ix // 8 AS mx, iy // 8 AS my, iz // 8 AS mz, ix + {c[0]} AS vx, iy + {c[1]} AS vy, iz + {c[2]} AS vz, v{n} AS id FROM cubes" for n, c in enumerate(C.CORNERS)) + ")"
 _BND = "bnd AS (SELECT level, ix // 8 AS mx, iy // 8 AS my, iz // 8 AS mz, " + ", ".join(f"min(i{a}) AS l{a}, max(i{a}) - min(i{a}) + 1 AS d{a}" for a in "xyz") + ", count(*) AS n_cubes FROM cubes GROUP BY ALL)"
@@ -395,8 +398,8 @@ ORACLES = {
         "j2_sample_regions": _BRICK_VALUE,
         "j3_sample_bricks": _BRICK_VALUE,
         "j9_find_cells": "SELECT pid, arg_min(cell_id, c.level) AS found_id, min(c.level) AS found_level, arg_min(value, c.level) AS value FROM {points} CROSS JOIN (SELECT DISTINCT level FROM {cells}) v JOIN {cells} c ON c.level = v.level AND " + " AND ".join(f"c.{a} = CAST(floor(p{a} / power(2e0, v.level)) * power(2e0, v.level) AS INT)" for a in "xyz") + " GROUP BY pid",
-        "j10_dual_cells": f"WITH {_DUAL} SELECT cell_id, min_level, max_level, CAST(n_unique AS INT) AS n_unique, array_to_string(ids, ',') AS corners FROM dual",
-        "g3_dual_elements": f"WITH {_DUAL}, {_KIND} SELECT cell_id, kind, perfect_level, array_to_string(list_sort(list_distinct(ids)), ',') AS vertices FROM kinds WHERE kind IS NOT NULL",
+        "j10_dual_cells": f"WITH {_DUAL} SELECT cell_id, min_level, max_level, CAST(n_unique AS INT) AS n_unique, concat_ws(',', {', '.join(f'v{n}' for n in range(8))}) AS corners FROM dual",
+        "g3_dual_elements": f"WITH {_DUAL}, {_KIND} SELECT cell_id, kind, perfect_level, {_ORDERED} AS vertices FROM kinds WHERE kind IS NOT NULL",
         "a20_element_counts": f"WITH {_DUAL}, {_KIND} SELECT kind, perfect_level >= 0 AS perfect, count(*) AS n FROM kinds WHERE kind IS NOT NULL GROUP BY ALL",
         "g4_gridlets": f"WITH {_DUAL}, {_KIND}, {_CUBES}, {_VERT}, {_BND} SELECT b.*, f.filled, f.total FROM bnd b JOIN (SELECT v.level, mx, my, mz, CAST(count(*) AS INT) AS filled, round(sum(c.value), 6) AS total FROM vert v JOIN {{patch}} c ON c.cell_id = v.id GROUP BY ALL) f USING (level, mx, my, mz)",
         "a19_gridlet_counts": f"WITH {_DUAL}, {_KIND}, {_CUBES}, {_VERT}, {_BND} SELECT count(*) AS gridlets, CAST(sum(n_cubes) AS BIGINT) AS cubes, CAST(sum((dx + 1) * (dy + 1) * (dz + 1)) AS BIGINT) AS slots, CAST(sum((dx + 1) * (dy + 1) * (dz + 1)) AS BIGINT) - (SELECT count(*) FROM vert) AS empty FROM bnd",

@@ -1,7 +1,7 @@
 """Binary files of volumes and meshes: readers that give DataFrames and writers of the same layouts.
 
 Values are little-endian, without headers unless said. Readers go through Spark's binaryFile source, so any file system
-that Spark knows will do. A data set is a file or a folder of part files in name order; records are numbered over all
+that Spark knows will do. Long files of fixed records are split between tasks. A data set is a file or a folder of part files in name order; records are numbered over all
 of it: parts are sized first (from their lengths, which need no data), so decoding is one task a part.
 """
 
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: What begins a transfer-function file. A fixed value.
 TRANSFER_MAGIC = 0x1235ABC000
 
+#: Bytes from which a file is split between tasks.
+LONG_FILE = 1 << 28
+
 CELL = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("level", "<i4")])
 SCALAR = np.dtype("<f4")
 CUBE = np.dtype([("lower", "<f4", 3), ("level", "<i4"), ("ids", "<i4", 8)])
@@ -30,8 +33,19 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-def _fixed(spark: SparkSession, path: str, record: int, schema: str, decode: Callable[[bytes, int], dict]) -> DataFrame:
-    """Records of fixed size; decode gets the bytes of a part and the number of its first record."""
+def _pieces(spark: SparkSession, path: str, records: int, record: int, first: int) -> DataFrame:
+    """(content, first) of one long file of fixed records: Hadoop's splits, in values of some records each."""
+    some = next(k for k in range(min(4096, records), 0, -1) if records % k == 0)  # a value must not cross the file's end
+    conf = {"fixedlengthinputformat.record.length": str(some * record)}
+    read = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+    return spark.createDataFrame(read.map(lambda at: (bytes(at[1]), first + at[0] // record)), "content binary, first long")
+
+
+def _fixed(spark: SparkSession, path: str, record: int, schema: str, decode: Callable[[bytes, int], dict], long_file: int = LONG_FILE) -> DataFrame:
+    """Records of fixed size; decode gets the bytes of a part and the number of its first record.
+
+    Files of more than long_file bytes are split between tasks, so one file may have any size; smaller ones are one task.
+    """
     listed = _files(spark, path).select("path", "length").orderBy("path").collect()  # names and sizes only
     bad = [r["path"] for r in listed if r["length"] % record]
     if bad:
@@ -49,7 +63,11 @@ def _fixed(spark: SparkSession, path: str, record: int, schema: str, decode: Cal
                 for i in range(0, len(data), record * 100_000):
                     yield pa.RecordBatch.from_pydict(decode(data[i : i + record * 100_000], first.as_py() + i // record))
 
-    return _files(spark, path).join(offsets, "path").select("content", "first").mapInArrow(run, schema)
+    parts = _files(spark, path).where(F.col("length") <= long_file).join(offsets, "path").select("content", "first")
+    for (name, first), r in zip(starts, listed):
+        if r["length"] > long_file:
+            parts = parts.unionByName(_pieces(spark, name, r["length"] // record, record, first))
+    return parts.mapInArrow(run, schema)
 
 
 def _whole(spark: SparkSession, path: str, schema: str, decode: Callable[[bytes, str], Iterator[dict]]) -> DataFrame:
@@ -188,7 +206,7 @@ def transfer_function_bytes(tf: dict) -> bytes:
     return struct.pack("<Q5fi", TRANSFER_MAGIC, tf["opacity_scale"], *tf["absolute"], *tf["relative"], len(e)) + e.tobytes()
 
 
-def _put(spark: SparkSession, path: str, name: str, data: bytes) -> None:
+def put(spark: SparkSession, path: str, name: str, data: bytes) -> None:
     """Write a part through Hadoop's file system, so that any store will do."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
@@ -209,10 +227,10 @@ def write_records(df: DataFrame, path: str, order: list[str], suffix: str, encod
         held.append(row)
         n += 1
         if len(held) == rows_a_part:
-            _put(spark, path, f"part-{part:06d}{suffix}", encode(pd.DataFrame(held, columns=df.columns)))
+            put(spark, path, f"part-{part:06d}{suffix}", encode(pd.DataFrame(held, columns=df.columns)))
             part, held = part + 1, []
     if held or not part:
-        _put(spark, path, f"part-{part:06d}{suffix}", encode(pd.DataFrame(held, columns=df.columns)) if held else b"")
+        put(spark, path, f"part-{part:06d}{suffix}", encode(pd.DataFrame(held, columns=df.columns)) if held else b"")
     return n
 
 
@@ -268,6 +286,11 @@ def write_domains(domains: DataFrame, path: str) -> int:
     return write_records(domains, path, ["domain_id"], ".majorants", encode, rows_a_part=1 << 30)
 
 
+def write_leaf_counts(trees: dict[int, DataFrame], path: str) -> dict[int, int]:
+    """Majorant domains of a tree at several numbers of leaves: a folder for each number, named .n and the number."""
+    return {n: write_domains(domains, f"{path}.n{n}") for n, domains in sorted(trees.items())}
+
+
 def write_triangles(triangles: DataFrame, path: str) -> int:
     def encode(p: pd.DataFrame) -> bytes:
         out = b""

@@ -31,3 +31,19 @@ def stream(spark, path: str, schema: str, per_trigger: int = 1) -> DataFrame:
 def start(accumulating: DataFrame, name: str, checkpoint: str, mode: str = "update"):
     """Run to the end of what is there, into an in-memory table."""
     return accumulating.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run(spark, path: str, schema: str, folder: str) -> DataFrame:
+    """The running images (see accumulated) of a folder of frames, streamed to the end of what is there.
+
+    Every trigger writes the pixels it changed, with its number, below folder; what is returned is each pixel's latest. A
+    trigger that is run again after a failure overwrites its own files.
+    """
+
+    def write(changed: DataFrame, trigger: int) -> None:
+        changed.withColumn("trigger", F.lit(trigger)).write.mode("overwrite").parquet(f"{folder}/images/n={trigger}")
+
+    images = accumulated(stream(spark, path, schema))
+    images.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{folder}/images").groupBy("epoch", "pixel").agg(F.max(F.struct("trigger", "frames", "mean")).alias("l"))
+    return last.select("epoch", "pixel", "l.frames", "l.mean")
