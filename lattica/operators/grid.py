@@ -91,8 +91,8 @@ def _crossed(low: float, edge: float, origin: Column, direction: Column) -> Call
     return lambda k: (low + k * edge - origin) / direction
 
 
-def walk(rays: DataFrame, low: tuple[float, ...], high: tuple[float, ...], dims: tuple[int, int, int], carry: list[str] | None = None) -> DataFrame:
-    """(ray_id, carried columns, mc_id, t0, t1): the macrocells each ray crosses, with where it enters and leaves.
+def walk(rays: DataFrame, low: tuple[float, ...], high: tuple[float, ...], dims: tuple[int, int, int]) -> DataFrame:
+    """(ray_id, mc_id, t0, t1): the macrocells each ray crosses, with where it enters and leaves.
 
     A ray is clipped to the grid; the planes it crosses are a sequence on each axis; the sorted distinct crossings
     bound the segments, and a segment's midpoint tells its cell. Everything stays within the ray's row.
@@ -108,15 +108,15 @@ def walk(rays: DataFrame, low: tuple[float, ...], high: tuple[float, ...], dims:
         ends = [(o + F.col(t) * v - l) / edge for t in ("_t0", "_t1")]
         # one plane more on either side, as ends are rounded
         first, last = F.greatest(F.lit(1.0), F.floor(F.least(*ends))).cast("int"), F.least(F.lit(d - 1.0), F.ceil(F.greatest(*ends))).cast("int")
-        planes = F.transform(F.sequence(first, last), _crossed(l, edge, o, v))
-        crossings.append(F.when((v != 0) & (first <= last), planes).otherwise(F.array().cast("array<double>")))
+        r = r.withColumns({f"_p{a}": first, f"_q{a}": last})
+        planes = F.transform(F.sequence(f"_p{a}", f"_q{a}"), _crossed(l, edge, o, v))
+        crossings.append(F.when((v != 0) & (F.col(f"_p{a}") <= F.col(f"_q{a}")), planes).otherwise(F.array().cast("array<double>")))
     inside = F.filter(F.concat(*crossings), lambda t: (t >= F.col("_t0")) & (t <= F.col("_t1")))
     r = r.withColumn("_t", F.array_sort(F.array_distinct(inside)))
     pairs = F.arrays_zip(F.slice("_t", F.lit(1), F.size("_t") - 1).alias("a"), F.slice("_t", F.lit(2), F.size("_t") - 1).alias("b"))
-    keep = ["ray_id", *(carry or [])]
-    s = r.select("ray_id", *[c for c in r.columns if c in (carry or []) or c in ("ox", "oy", "oz", "dx", "dy", "dz")], F.explode(pairs).alias("s")).select("*", F.col("s.a").alias("t0"), F.col("s.b").alias("t1")).where("t0 < t1")
+    s = r.select("ray_id", *[f"o{a}" for a in AXES], *[f"d{a}" for a in AXES], F.explode(pairs).alias("s")).select("*", F.col("s.a").alias("t0"), F.col("s.b").alias("t1")).where("t0 < t1")
     middle = [project_on_grid(F.col(f"o{a}") + (F.col("t0") + F.col("t1")) / 2 * F.col(f"d{a}"), l, h, d) for a, l, h, d in zip(AXES, low, high, dims)]
-    return s.select(*keep, linear_index(*middle, dims[0], dims[1]).cast("long").alias("mc_id"), "t0", "t1")
+    return s.select("ray_id", linear_index(*middle, dims[0], dims[1]).cast("long").alias("mc_id"), "t0", "t1")
 
 
 def first_active(segments: DataFrame, majorants: DataFrame) -> DataFrame:

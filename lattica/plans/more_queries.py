@@ -105,7 +105,7 @@ def w3_tree_traversal(s, d):
         nodes.append((8 * at, axis << 30 | len(open_), 0))
         open_ += [(low, tuple(at if k == axis else v for k, v in enumerate(high))), (tuple(at if k == axis else v for k, v in enumerate(low)), high)]
     at = shared_dir(s)
-    binary.put(s, at, "tree.kd", b"".join(struct.pack("<IIi", *n) for n in nodes))
+    binary._put(s, at, "tree.kd", b"".join(struct.pack("<IIi", *n) for n in nodes))
     leaves = tree_leaves(binary.read_tree(s, at), V.LOW, V.HIGH).withColumnRenamed("first_prim", "mc_id_")
     hits = Y.box_hits(R(s, d, "rays"), leaves, "mc_id_", V.LOW, V.HIGH, (4, 4, 4))
     return rounded(hits.select("ray_id", F.col("mc_id_").alias("mc_id"), "t0", "t1").where("t1 - t0 > 1e-9"), "t0", "t1")
@@ -138,7 +138,7 @@ def s11_domain_files(s, d):
 
 def s12_transfer_function(s, d):
     at = shared_dir(s)
-    binary.put(s, at, "ramp.xf", binary.transfer_function_bytes({"opacity_scale": 1.0, "absolute": (0.0, 1.0), "relative": (0.0, 100.0), "entries": V.RAMP}))
+    binary._put(s, at, "ramp.xf", binary.transfer_function_bytes({"opacity_scale": 1.0, "absolute": (0.0, 1.0), "relative": (0.0, 100.0), "entries": V.RAMP}))
     found = binary.read_transfer_function(s, at)
     rows = [(i, found["opacity_scale"], *found["relative"], e[0], e[3]) for i, e in enumerate(found["entries"])]
     return rounded(s.createDataFrame(rows, "i long, scale double, low double, high double, r double, a double"), "r", "a")

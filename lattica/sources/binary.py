@@ -41,11 +41,12 @@ def _pieces(spark: SparkSession, path: str, records: int, record: int, first: in
     return spark.createDataFrame(read.map(lambda at: (bytes(at[1]), first + at[0] // record)), "content binary, first long")
 
 
-def _fixed(spark: SparkSession, path: str, record: int, schema: str, decode: Callable[[bytes, int], dict], long_file: int = LONG_FILE) -> DataFrame:
+def _fixed(spark: SparkSession, path: str, record: int, schema: str, decode: Callable[[bytes, int], dict], long_file: int | None = None) -> DataFrame:
     """Records of fixed size; decode gets the bytes of a part and the number of its first record.
 
-    Files of more than long_file bytes are split between tasks, so one file may have any size; smaller ones are one task.
+    Files of more than long_file bytes (LONG_FILE) are split between tasks, so one file may have any size; smaller ones are one task.
     """
+    long_file = LONG_FILE if long_file is None else long_file
     listed = _files(spark, path).select("path", "length").orderBy("path").collect()  # names and sizes only
     bad = [r["path"] for r in listed if r["length"] % record]
     if bad:
@@ -206,7 +207,7 @@ def transfer_function_bytes(tf: dict) -> bytes:
     return struct.pack("<Q5fi", TRANSFER_MAGIC, tf["opacity_scale"], *tf["absolute"], *tf["relative"], len(e)) + e.tobytes()
 
 
-def put(spark: SparkSession, path: str, name: str, data: bytes) -> None:
+def _put(spark: SparkSession, path: str, name: str, data: bytes) -> None:
     """Write a part through Hadoop's file system, so that any store will do."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
@@ -227,10 +228,10 @@ def write_records(df: DataFrame, path: str, order: list[str], suffix: str, encod
         held.append(row)
         n += 1
         if len(held) == rows_a_part:
-            put(spark, path, f"part-{part:06d}{suffix}", encode(pd.DataFrame(held, columns=df.columns)))
+            _put(spark, path, f"part-{part:06d}{suffix}", encode(pd.DataFrame(held, columns=df.columns)))
             part, held = part + 1, []
     if held or not part:
-        put(spark, path, f"part-{part:06d}{suffix}", encode(pd.DataFrame(held, columns=df.columns)) if held else b"")
+        _put(spark, path, f"part-{part:06d}{suffix}", encode(pd.DataFrame(held, columns=df.columns)) if held else b"")
     return n
 
 

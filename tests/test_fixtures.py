@@ -11,7 +11,7 @@ from lattica.functions import codes, elements
 from lattica.functions import geometry as G
 from lattica.operators import bricks as B
 from lattica.operators import cells as C
-from lattica.operators import clusters, fields, grid, majorant_tree, mesh, numbering, rays, tracking
+from lattica.operators import clusters, fields, grid, majorant_tree, mesh, numbering, rays, tracking, tree
 from lattica.operators.range_join import join_boxes, join_points
 from lattica.schema import BRICKS, CELLS
 
@@ -315,3 +315,27 @@ def test_transforms(spark):
     assert by == [(0.5, 10.0), (2.0, 10.0), (1.0, 10.0)]
     power = spark.createDataFrame([(5.0,), (1000.0,), (1001.0,), (5e6,)], "e double").select(G.rescale_power(F.col("e")).alias("p"))
     assert [r.p for r in power.collect()] == [0, 0, 1, 2]
+
+
+def test_leaves_of_a_tree(spark):
+    inner, leaf = (lambda axis, child: axis << 30 | child), tree.LEAF << 30 | 1
+    nodes = [(0, (1 << 32) - 2, inner(0, 1)), (1, 7, leaf), (2, 3, inner(2, 3)), (3, 8, leaf), (4, 9, leaf)]  # the first plane is at -2
+    found = tree.tree_leaves(spark.createDataFrame(nodes, "idx long, split long, bits long"), (-4, 0, 0), (4, 5, 6))
+    got = {r.first_prim: (r.n_prims, r.lx, r.ly, r.lz, r.hx, r.hy, r.hz) for r in found.collect()}
+    assert got == {7: (1, -4, 0, 0, -2, 5, 6), 8: (1, -2, 0, 0, 4, 5, 3), 9: (1, -2, 0, 3, 4, 5, 6)}
+    assert tree.tree_leaves(spark.createDataFrame([], "idx long, split long, bits long"), (0, 0, 0), (1, 1, 1)).collect() == []
+
+
+def test_lights_are_drawn_evenly(spark):
+    points = spark.range(4000).selectExpr("id AS ray_id", "0D AS px", "0D AS py", "0D AS pz")
+    lit = tracking.light_rays(points, [(0.0, 0.0, 2.0, 8.0), (3.0, 0.0, 0.0, 1.0)], 5).groupBy("dx", "dz", "tmax", "falloff").count().collect()
+    assert {(r.dx, r.dz, r.tmax, round(r.falloff, 9)) for r in lit} == {(0, 1, 2, 2), (1, 0, 3, round(1 / 9, 9))}
+    assert all(1800 < r["count"] < 2200 for r in lit)
+    one = tracking.light_rays(points, (0.0, 0.0, 2.0)).first()
+    assert (one.tmax, one.falloff) == (2, 0.25)
+
+
+def test_order_of_cells(spark):
+    rows = [(1, 5, 0, 0, 0), (2, -1, 0, 0, 0), (3, 0, -1, 0, 0), (4, 0, 0, 9, 0), (5, 0, 0, 0, 1), (6, 0, 0, 0, 1)]
+    got = C.in_order(spark.createDataFrame(rows, "cell_id long, x int, y int, z int, level int")).orderBy("place").collect()
+    assert [(r.cell_id, r.place) for r in got] == [(4, 0), (5, 1), (6, 2), (1, 3), (2, 4), (3, 5)]

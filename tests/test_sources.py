@@ -26,6 +26,18 @@ def test_cells_and_scalars_in_parts(spark, tmp_path):
         binary.read_scalars(spark, f"{tmp_path}/bad")
 
 
+def test_long_files_are_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "LONG_FILE", 1000)
+    values = np.random.default_rng(2).normal(size=30_011).astype("<f4")  # a prime: records one by one
+    for i, part in enumerate((values[:20_000], values[20_000:20_100], values[20_100:])):
+        put(spark, f"{tmp_path}/s/part-{i}", part.tobytes())
+    got = binary.read_scalars(spark, f"{tmp_path}/s").orderBy("idx").collect()
+    assert [r.idx for r in got] == list(range(len(values))) and [r.value for r in got] == values.astype(float).tolist()
+    domains = spark.createDataFrame([(i, 0.0, 0.0, 0.0, 1.0, 1.0, float(i + 1), 0.5) for i in range(6)], "domain_id long, lx double, ly double, lz double, hx double, hy double, hz double, majorant double")
+    assert binary.write_leaf_counts({6: domains, 2: domains.where("domain_id < 2")}, f"{tmp_path}/leaves") == {2: 2, 6: 6}
+    assert binary.read_domains(spark, f"{tmp_path}/leaves.n2").count() == 2
+
+
 def test_gridlets_and_bricks(spark, tmp_path):
     g = spark.createDataFrame([(0, 0, 0, 0, 1, 2, 3, 1, 1, 1, [0, 1, 2, None, 4, 5, 6, 99])], "level int, mx int, my int, mz int, lx int, ly int, lz int, dx int, dy int, dz int, ids array<int>")
     binary.write_gridlets(g, f"{tmp_path}/g")
