@@ -130,17 +130,18 @@ def classify(dual: DataFrame) -> DataFrame:
 
     Which of the 28 pairs of corners are one cell is one number a row; a rule is a test of its bits.
     """
-    ids = F.col("corners.id")
+    ids = [F.col("corners")[k]["id"] for k in range(8)]
     mask = reduce(lambda x, y: x.bitwiseOR(y), [F.when(ids[a] == ids[b], F.lit(1 << n)).otherwise(F.lit(0)) for n, (a, b) in enumerate(PAIRS)])
-    marked = dual.withColumn("_mask", mask.cast("long"))
+    # a generator's column, which the optimiser does not write out again in every rule
+    marked = dual.select("*", F.explode(F.array(mask.cast("long"))).alias("_mask"))
     whole, rules = F.lit(-1), _rules()
     rule = F.when((F.col("min_level") == F.col("max_level")) | (F.col("n_unique") == 8), whole).when(F.col("n_unique") < 4, F.lit(None).cast("int"))
     for number, (kind, n, bits, _) in enumerate(rules):
         holds = F.col("_mask").bitwiseAND(F.lit(bits)) == bits
         rule = rule.when(holds & (F.col("n_unique") == n) if n else holds, F.lit(number if kind else None).cast("int"))
-    found = marked.withColumn("_rule", rule.otherwise(whole)).where("_rule IS NOT NULL")
+    found = marked.select("*", F.explode(F.array(rule.otherwise(whole))).alias("_rule")).where("_rule IS NOT NULL")
     kinds, orders = (F.array(*values) for values in (map(F.lit, ["hex", *[r[0] for r in rules]]), [F.array(*map(F.lit, r)) for r in [list(range(8)), *[r[3] for r in rules]]]))
-    ordered = F.transform(F.element_at(orders, F.col("_rule") + 2), lambda i: F.get(ids, i))
+    ordered = F.transform(F.element_at(orders, F.col("_rule") + 2), lambda i: F.get("corners", i)["id"])
     perfect = F.when(F.col("min_level") == F.col("max_level"), F.col("min_level").cast("int")).otherwise(F.lit(-1))
     return found.select("cell_id", "octant", F.element_at(kinds, F.col("_rule") + 2).alias("kind"), perfect.alias("perfect_level"), ordered.alias("vertex_ids"))
 
