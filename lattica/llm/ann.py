@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ REPLICAS, BOUNDARY = 4, 0.15
 REACH = 0.98
 #: Neighbours in the centroid graph, nodes that a step expands; vectors and queries that meet in one block at most.
 DEGREE, EXPAND, BLOCK, QUERIES = 16, 4, 1024, 512
-#: A query looks into lists of so many vectors together at least.
-LEAST = 64
+#: A query looks into lists of so many vectors together at least, and into WIDER times as many while it has too few neighbours.
+LEAST, WIDER = 64, 8
 
 
 @dataclass
@@ -83,17 +84,17 @@ class Index:
         at, which = np.nonzero(near)
         return at, lists[at, which]
 
-    def probed(self, vectors: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists to look into: those within the ratio of the nearest, and more until LEAST is met."""
+    def probed(self, vectors: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the lists to look into: those within the ratio of the nearest, and more until least is met."""
         lists, d = self.search(vectors, 2 * self.probes)
         wanted = (d <= self.ratio * d[:, :1] + 1e-6) & np.isfinite(d)
-        short = np.flatnonzero(np.where(wanted, sizes[lists], 0).sum(1) < min(LEAST, int(sizes.sum())))
+        short = np.flatnonzero(np.where(wanted, sizes[lists], 0).sum(1) < min(least, int(sizes.sum())))
         at, which = np.nonzero(wanted)
         out = [(at, lists[at, which])]
         if len(short):
             full = np.argsort(_distances(vectors[short], self.centroids), axis=1, kind="stable")
             before = np.cumsum(sizes[full], axis=1) - sizes[full]
-            at, which = np.nonzero(before < LEAST)
+            at, which = np.nonzero(before < least)
             out.append((short[at], full[at, which]))
         pairs = np.unique(np.stack([np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])], 1), axis=0)
         return pairs[:, 0], pairs[:, 1]
@@ -161,7 +162,7 @@ def _vectors(column: pa.Array, dimension: int | None = None) -> tuple[np.ndarray
     return np.asarray(rows, np.int64), (np.stack(out) if out and len({len(x) for x in out}) == 1 else np.zeros((0, dimension or 0)))
 
 
-def _posted(index: Index, dimension: int, sizes: np.ndarray | None, columns: tuple[str, str]):
+def _posted(index: Index, dimension: int, columns: tuple[str, str], sizes: np.ndarray | None = None, least: int = LEAST):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -170,7 +171,7 @@ def _posted(index: Index, dimension: int, sizes: np.ndarray | None, columns: tup
                 if not len(rows):
                     continue
                 units = _unit(vectors)
-                which, lists = index.homes(units) if sizes is None else index.probed(units, sizes)
+                which, lists = index.homes(units) if sizes is None else index.probed(units, sizes, least)
                 take = pa.array(rows[which])
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column(0).take(take), part.column(1).take(take)], ["list", *columns])
 
@@ -187,7 +188,8 @@ def _meet(top: int):
             v = np.array(vectors.column("vector").to_pylist(), np.float64)[order]
             q = np.array(queries.column("vector").to_pylist(), np.float64)
             asked = queries.column("query_id").to_numpy()
-            scores = cosines(q, v)
+            ids, first = np.unique(ids, return_index=True)
+            scores = np.maximum.reduceat(cosines(q, v), first, axis=1)  # the best of the rows that share an id
             scores[asked[:, None] == ids[None, :]] = -np.inf
             for i, query in enumerate(asked.tolist()):
                 # stable by id, so equal scores keep the smaller ids
@@ -224,7 +226,10 @@ def nearest_neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col
     rows = pick(vectors, vec_id=id_col, vector=vector_col).where("vec_id IS NOT NULL AND vector IS NOT NULL").withColumn("vec_id", F.col("vec_id").cast("long"))
     kind = dict(rows.dtypes)["vector"]
     schema = "query_id long, rank int, vec_id long, score double"
-    sampled = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().column("vector").combine_chunks()
+    usable = rows.where(F.forall("vector", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False))) & F.exists("vector", lambda x: x != 0))
+    by_hash = [F.xxhash64("vec_id"), F.col("vec_id")]
+    ids = usable.select("vec_id").distinct().orderBy(*by_hash).limit(SAMPLE)  # broadcast below: SAMPLE numbers at most
+    sampled = usable.join(F.broadcast(ids), "vec_id").groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy(*by_hash).toArrow().column("vector").combine_chunks()
     dimensions = Counter(len(v.as_py()) for v in sampled if len(_vectors(pa.array([v.as_py()]))[0]))
     if not dimensions:
         return spark.createDataFrame([], schema)
@@ -232,23 +237,41 @@ def nearest_neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col
     sample = _unit(_vectors(sampled, dimension)[1])
     index = fit(sample, min(LISTS, -(-rows.count() // LIST)), top)
 
-    posted = materialise(rows.mapInArrow(_posted(index, dimension, None, ("vec_id", "vector")), f"list int, vec_id long, vector {kind}"))
+    posted = materialise(rows.mapInArrow(_posted(index, dimension, ("vec_id", "vector")), f"list int, vec_id long, vector {kind}"))
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in posted.groupBy("list").count().collect():  # a row for each list
         sizes[r["list"]] = r["count"]
     asking = rows.where(F.col("vec_id") % every == 0)
-    asked = materialise(asking.mapInArrow(_posted(index, dimension, sizes, ("query_id", "vector")), f"list int, query_id long, vector {kind}"))
-    asked_of = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
+    best, least = [], LEAST
+    while True:
+        asked = materialise(asking.mapInArrow(_posted(index, dimension, ("query_id", "vector"), sizes, least), f"list int, query_id long, vector {kind}"))
+        best.append(materialise(_best(posted, asked, sizes, top)))
+        filled = best[-1].groupBy("query_id").count().where(F.col("count") >= top)
+        if least >= sizes.sum() or not (short := asked.join(filled, "query_id", "left_anti").select("query_id").distinct()).take(1):
+            break
+        # too few distinct ids in the lists that they have read, so these queries read more, all lists in the end
+        short = materialise(short)
+        best[-1] = best[-1].join(short, "query_id", "left_anti")
+        asking = asking.join(short.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_semi")
+        least *= WIDER
+    return reduce(DataFrame.unionByName, best).select("query_id", "rank", "vec_id", "score")
+
+
+def _best(posted: DataFrame, asked: DataFrame, sizes: np.ndarray, top: int) -> DataFrame:
+    """query_id, vec_id, score, rank: the nearest of what is in the lists that each query looks into."""
+    asked_of = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}  # a row for each list
     cut = [(k, max(1, -(-int(sizes[k]) // BLOCK)), -(-n // QUERIES)) for k, n in asked_of.items()]
-    cuts = F.broadcast(spark.createDataFrame(cut, "list int, parts int, turns int"))
+    cuts = F.broadcast(posted.sparkSession.createDataFrame(cut, "list int, parts int, turns int"))
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = posted.join(cuts, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), span("turns").alias("turn"), "vec_id", "vector")
-    right = asked.join(cuts, "list").select("list", span("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int").alias("turn"), "query_id", "vector")
+    share = lambda n: F.pmod(F.col("_n"), F.col(n)).cast("int")  # noqa: E731  # by place in the written table: repeated rows are spread, too
+    left, right = (side.withColumn("_n", F.monotonically_increasing_id()).join(cuts, "list") for side in (posted, asked))
+    left = left.select("list", share("parts").alias("part"), span("turns").alias("turn"), "vec_id", "vector")
+    right = right.select("list", span("parts").alias("part"), share("turns").alias("turn"), "query_id", "vector")
     keys = ["list", "part", "turn"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(top), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    pairs = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def op1_posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,6 +283,18 @@ def test_few_vectors(spark):
     assert ann.nearest_neighbours(vectors(spark, [(0, None), (50, [0.0, 0.0])])).collect() == []
 
 
+def test_neighbours_behind_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 10)
+    monkeypatch.setattr(ann, "SAMPLE", 40)
+    rng = np.random.default_rng(12)
+    near = [1.0] + [0.0] * 7
+    rows = [(50, near)] + [(1, near)] * 300 + [(i, (-np.abs(rng.normal(size=8))).tolist()) for i in range(2, 40)]
+    rows += [(100_000 + i, [0.0] * 8) for i in range(500)]  # unusable vectors must not fill the sample
+    got = [(r.vec_id, r.score) for r in ann.nearest_neighbours(vectors(spark, rows)).where("query_id = 50").orderBy("rank").collect()]
+    best, scores = brute_nearest(rows)[50]
+    assert got == [(i, scores[i]) for i in best]
+
+
 def test_graph_search_finds_the_nearest_lists():
     rng = np.random.default_rng(8)
     sample = ann._unit(rng.normal(size=(4000, 16)))
