@@ -27,6 +27,8 @@ REACH = 0.98
 DEGREE, EXPAND, BLOCK, QUERIES = 16, 4, 1024, 512
 #: A query looks into lists of so many vectors together at least, and into WIDER times as many while it has too few neighbours.
 LEAST, WIDER = 64, 8
+#: More than a product of matrices in double precision errs by in a cosine.
+ROUGH = 1e-9
 
 
 @dataclass
@@ -104,10 +106,14 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * a @ b.T))
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    """Directions in single precision; scaled by the largest component first, so lengths don't overflow."""
+def _directions(vectors: np.ndarray) -> np.ndarray:
+    """Scaled by the largest component first, so lengths don't overflow."""
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return _directions(vectors).astype(np.float32)
 
 
 def fit(sample: np.ndarray, lists: int, near: int) -> Index:
@@ -189,12 +195,17 @@ def _meet(top: int):
             q = np.array(queries.column("vector").to_pylist(), np.float64)
             asked = queries.column("query_id").to_numpy()
             ids, first = np.unique(ids, return_index=True)
-            scores = np.maximum.reduceat(cosines(q, v), first, axis=1)  # the best of the rows that share an id
-            scores[asked[:, None] == ids[None, :]] = -np.inf
+            owner = np.repeat(np.arange(len(ids)), np.diff(np.append(first, len(v))))
+            rough = np.maximum.reduceat(_directions(q) @ _directions(v).T, first, axis=1)  # the best of the rows that share an id
+            rough[asked[:, None] == ids[None, :]] = -np.inf
+            least = np.partition(rough, max(0, len(ids) - top), axis=1)[:, max(0, len(ids) - top)] - ROUGH
             for i, query in enumerate(asked.tolist()):
-                # stable by id, so equal scores keep the smaller ids
-                best = np.argsort(-scores[i], kind="stable")[:top]
-                found += [(query, int(ids[j]), float(scores[i, j])) for j in best if scores[i, j] > -np.inf]
+                # ids that rounding may bring among the best are measured exactly; equal scores keep the smaller ids
+                rows = np.flatnonzero(((rough[i] >= least[i]) & (rough[i] > -np.inf))[owner])
+                if len(rows):
+                    chosen, first = np.unique(owner[rows], return_index=True)
+                    exact = np.maximum.reduceat(cosines(q[i : i + 1], v[rows])[0], first)
+                    found += [(query, int(ids[chosen[j]]), float(exact[j])) for j in np.argsort(-exact, kind="stable")[:top]]
         return pa.table({"query_id": pa.array([x[0] for x in found], pa.int64()), "vec_id": pa.array([x[1] for x in found], pa.int64()), "score": pa.array([x[2] for x in found], pa.float64())})
 
     return run
