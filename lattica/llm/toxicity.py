@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import compression
-from .common import pick, table
+from .common import materialise, pick, table
 
-#: Documents and characters that are sampled from each class, all on the driver. Thresholds are
-#: calibrated on margins of each of FOLDS parts under dictionaries of the others.
+#: Documents and characters that are sampled from each class, all on the driver, for the dictionaries. Thresholds are
+#: calibrated on all labelled documents: sampled ones by margins of each of FOLDS parts under dictionaries of the others.
 SAMPLE_DOCS, SAMPLE_CHARS = 4000, 12_000_000
 FOLDS = 6
 #: Score from which a document counts as toxic.
@@ -60,14 +63,14 @@ class Scorer:
         return min(1.0, self.curve[max(0, min(self.place(*found), len(self.curve) - 1))] + 1e-3 * (1 - 1 / (1 + found[0])))
 
 
-def calibrated(places: list[tuple[int, bool]], weights: dict[bool, float], bins: int = TOP * STEPS) -> list[float]:
+def calibrated(places: dict[tuple[int, bool], int], weights: dict[bool, float], bins: int = TOP * STEPS) -> list[float]:
     """Share of toxic documents by place on a scale, never falling: neighbours that would fall are pooled."""
     hits, all_, seen = [0.0] * bins, [0.0] * bins, [0] * bins
-    for place, toxic in places:
+    for (place, toxic), n in places.items():
         k = max(0, min(place, bins - 1))
-        hits[k] += weights[toxic] * toxic
-        all_[k] += weights[toxic]
-        seen[k] += 1
+        hits[k] += weights[toxic] * toxic * n
+        all_[k] += weights[toxic] * n
+        seen[k] += n
     pools: list[list[float]] = []
     for h, n, docs in zip(hits, all_, seen):
         pools.append([h, n, docs, 1])
@@ -83,18 +86,31 @@ def calibrated(places: list[tuple[int, bool]], weights: dict[bool, float], bins:
     return list(accumulate(out, max))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None) -> Scorer:
-    """Fit on a seeded, bounded sample of labelled documents (SAMPLE_DOCS and SAMPLE_CHARS of either class).
+def _evidence(scorer: Scorer):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for t in batch.column(1):
+                text = compression.normal(t.as_py() or "")
+                found.append((xxhash.xxh3_64_intdigest(text) - 2**63, *scorer.positive(text)))
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "mark", "saved", "hits", "windows"])
 
-    keep is a condition on "id". Labels other than 0 and 1 are left out; a document that has both counts as toxic; of
-    rows that repeat an id the smallest text is read.
-    With no toxic or no ordinary documents every text gets the same score, their share.
-    """
-    rows = pick(docs, id=id_col, text=text_col).where("id IS NOT NULL AND text IS NOT NULL")
-    marks = pick(labels, id=id_col, toxic=label_col).where("toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    marks = marks if keep is None else marks.where(keep)
+    return run
+
+
+def _place(scorer: Scorer) -> Column:
+    """Scorer.place as an expression, the same steps in the same order."""
+    by_sum, by_hits = (F.lit(float(rate)) * F.col("windows") for rate in (scorer.saved, scorer.hits))
+    of_sum, of_hits = (F.col("saved") - by_sum) / F.sqrt(F.lit(3.0) * by_sum + F.lit(9.0)), (F.col("hits") - by_hits) / F.sqrt(by_hits + F.lit(0.5))
+    return F.least(F.greatest(F.floor(F.lit(float(STEPS)) * (of_sum + of_hits)), F.lit(0)), F.lit(TOP * STEPS - 1))
+
+
+def _trained(rows: DataFrame, marks: DataFrame) -> tuple[Scorer, DataFrame]:
+    """The scorer, and (id, mark, saved, hits, windows) of all rows (id, text) under it; marks: id, toxic."""
+    known = rows.where("id IS NOT NULL AND text IS NOT NULL")
     counts = {bool(r["toxic"]): r["count"] for r in marks.groupBy("toxic").count().collect()}
-    sized = rows.select("id", F.length("text").alias("chars")).join(marks, "id")
+    sized = known.select("id", F.length("text").alias("chars")).join(marks, "id")
     chosen: list[tuple[int, bool]] = []
     for toxic in (True, False):
         some = sized.where(F.col("toxic") == int(toxic)).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).collect()
@@ -103,22 +119,47 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             if r["chars"] <= left:
                 chosen.append((r["id"], toxic))
                 left -= r["chars"]
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame(chosen, "id long, toxic boolean")
-    texts = rows.join(F.broadcast(wanted), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id").collect()
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(chosen, "id long, toxic boolean"))  # 2 * SAMPLE_DOCS at most
+    texts = known.join(wanted, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id").collect()
     # near copies count once, also so that they don't stand on both sides of a fold
     distinct = {toxic: compression.diverse(compression.normal(r["text"]) for r in texts if r["toxic"] == toxic) for toxic in (True, False)}
-    weights = {toxic: counts.get(toxic, 0) / max(1, len(own)) for toxic, own in distinct.items()}
     *parts, scorer = [Scorer(*pair) for pair in compression.train(distinct[True], distinct[False], FOLDS)]
-    found = [(part.positive(t), toxic) for toxic, own in distinct.items() for f, part in enumerate(parts) for t in own[f::FOLDS]]
+    evidence = materialise(rows.mapInArrow(_evidence(scorer), f"id {dict(rows.dtypes)['id']}, mark long, saved long, hits long, windows long"))
     if not scorer.toxic:
         scorer.curve = [counts.get(True, 0) / max(1, sum(counts.values()))]
-        return scorer
-    by_chance = [e for e, toxic in found if not toxic]
-    windows = max(1, sum(n for _, _, n in by_chance))
-    scorer.saved, scorer.hits = sum(s for s, _, _ in by_chance) / windows, sum(h for _, h, _ in by_chance) / windows
-    scorer.curve = calibrated([(scorer.place(*e), toxic) for e, toxic in found], weights)
-    return scorer
+        return scorer, evidence
+    found = [(part.positive(t), toxic) for toxic, own in distinct.items() for f, part in enumerate(parts) for t in own[f::FOLDS]]
+    # what isn't in the sample is counted on the cluster, equal texts once; the dictionaries haven't seen it
+    numbers = [F.first(c).alias(c) for c in ("saved", "hits", "windows")]
+    others = evidence.groupBy("id", "mark").agg(*numbers).join(marks, "id").join(wanted, "id", "left_anti").groupBy("mark", "toxic").agg(*numbers)
+    others = materialise(others)
+    all_ = others.groupBy("toxic").agg(F.count(F.lit(1)), *[F.sum(c) for c in ("saved", "hits", "windows")]).collect()
+    by_chance = next((list(r)[2:] for r in all_ if not r["toxic"]), [0, 0, 0])
+    saved, hits, windows = (sum(e[k] for e, toxic in found if not toxic) + more for k, more in enumerate(by_chance))
+    scorer.saved, scorer.hits = saved / max(1, windows), hits / max(1, windows)
+    places = Counter((scorer.place(*e), toxic) for e, toxic in found)
+    for r in others.groupBy(_place(scorer).alias("place"), "toxic").count().collect():  # TOP * STEPS places
+        places[r["place"], bool(r["toxic"])] += r["count"]
+    seen = Counter({toxic: len(own) for toxic, own in distinct.items()}) + Counter({bool(r["toxic"]): r[1] for r in all_})
+    scorer.curve = calibrated(places, {toxic: counts.get(toxic, 0) / max(1, seen[toxic]) for toxic in (True, False)})
+    return scorer, evidence
+
+
+def _marks(labels: DataFrame, id_col: str, label_col: str, keep: Column | None) -> DataFrame:
+    marks = pick(labels, id=id_col, toxic=label_col).where("toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    return marks if keep is None else marks.where(keep)
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None) -> Scorer:
+    """Dictionaries from a seeded, bounded sample of labelled documents (SAMPLE_DOCS and SAMPLE_CHARS of either class),
+    thresholds from all of them.
+
+    keep is a condition on "id". Labels other than 0 and 1 are left out; a document that has both counts as toxic; of
+    rows that repeat an id the smallest text is in the sample, and outside it each counts.
+    With no toxic or no ordinary documents every text gets the same score, their share.
+    """
+    rows = pick(docs, id=id_col, text=text_col)
+    return _trained(rows if keep is None else rows.where(keep), _marks(labels, id_col, label_col, keep))[0]
 
 
 def score_column(scorer: Scorer, text: Column) -> Column:
@@ -136,9 +177,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     texts score what no margin means. The whole text is scored, window by window, from its bytes alone. Null ids are
     not held out; repeated rows each give a row; other columns are ignored; an empty table gives no rows.
     """
-    scorer = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, keep=~is_held_out(F.col("id")))
-    rows = pick(docs, doc_id=id_col, text=text_col)
-    scored = rows.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), score_column(scorer, F.col("text")).alias("score"))
+    scorer, evidence = _trained(pick(docs, id=id_col, text=text_col), _marks(labels, id_col, label_col, ~is_held_out(F.col("id"))))
+    share = F.get(F.lit(scorer.curve), _place(scorer)) if scorer.toxic else F.lit(scorer.curve[0])
+    score = F.least(F.lit(1.0), share + F.lit(1e-3) * (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.col("saved"))))
+    scored = evidence.select(F.col("id").alias("doc_id"), is_held_out(F.col("id")).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 

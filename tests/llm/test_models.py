@@ -209,6 +209,27 @@ def test_toxicity_scores_are_brute_force(spark):
         assert r.score == pytest.approx(plainly_scored(scorer, texts[r.doc_id]), abs=1e-12)
 
 
+def test_toxicity_thresholds_are_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 120)
+    some, labels = toxic_rows(1500, 13)
+    some += [(8000, some[0][1], "en", "s", 1), (8000, "twice", "en", "s", 1)]
+    frame, keep = docs.frame(spark, some), ~toxicity.is_held_out(toxicity.F.col("id"))
+    scorer = toxicity.train(frame, spark.createDataFrame(labels, LABELS), keep=keep)
+    texts, truth = {i: t for i, t, *_ in some}, {i: t for i, _, t, _ in labels}
+    got = toxicity.score_toxicity(frame, spark.createDataFrame(labels, LABELS)).collect()
+    assert len(got) == len(some)
+    for r in got:
+        if r.doc_id != 8000:
+            assert r.score == pytest.approx(plainly_scored(scorer, texts[r.doc_id]), abs=1e-12)
+    held = [(truth[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in truth]
+    assert sum(t and p for t, p in held) >= 0.8 * sum(t for t, _ in held) and sum(p and not t for t, p in held) <= 0.02 * len(held)
+    # without the labels outside the sample, the same dictionaries are calibrated otherwise
+    learn = spark.createDataFrame([(i, t) for i, _, t, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1], "doc_id long, toxic int")
+    by_class = [learn.where(f"toxic = {k}").orderBy(toxicity.F.xxhash64("doc_id"), "doc_id").limit(120) for k in (0, 1)]
+    fewer = toxicity.train(frame, by_class[0].unionByName(by_class[1]), keep=keep)
+    assert (fewer.toxic, fewer.ordinary) == (scorer.toxic, scorer.ordinary) and fewer.curve != scorer.curve
+
+
 def test_dictionaries_cover_their_own_class():
     ordinary = [b" the cat sat on a mat %d " % i for i in range(40)]
     toxic = [b" the cat sat grobble on a mat %d " % i for i in range(40)]
