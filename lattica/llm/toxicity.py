@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import compression
-from .common import materialise, pick, table
+from .common import materialise, pick, release, table
 
 #: Documents and characters that are sampled from each class, all on the driver, for the dictionaries. Thresholds are
 #: calibrated on all labelled documents: sampled ones by margins of each of FOLDS parts under dictionaries of the others.
@@ -95,6 +95,7 @@ def _evidence(scorer: Scorer):
                 found.append((xxhash.xxh3_64_intdigest(text) - 2**63, *scorer.positive(text)))
             columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "mark", "saved", "hits", "windows"])
+            release()
 
     return run
 
@@ -165,7 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score_column(scorer: Scorer, text: Column) -> Column:
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())
+        scores = pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())
+        release()
+        return scores
 
     return scored(text)
 
