@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, attach, materialise, pick, table
+from .common import BROADCAST_KEYS, attach, materialise, pick, release, table
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -75,6 +75,7 @@ def _sketch(width: int):
             keys = np.concatenate(bands) if bands else np.zeros((0, BINS // ROWS), np.uint64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BINS // ROWS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), flat], ["id", "text_key", "n_shingles", "digest", "bands"])
+            release()
 
     return run, schema
 
@@ -91,6 +92,7 @@ def _sets(width: int):
                 digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([digests, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], ["digest", "shingles"])
                 at += 256
+            release()
 
     return run, "digest binary, shingles array<long>"
 
