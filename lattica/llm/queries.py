@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, clustering, exact_dedup, licenses, minhash, mixing, sentencepieces, stupid_backoff, token_counts, toxicity
+from . import ann, chat, clustering, exact_dedup, licenses, minhash, mixing, prefix_trie, sentencepieces, stupid_backoff, token_counts, toxicity
 
 QUERIES = {
     "op1_posting_list_search": ann.op1_posting_list_search,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe_token_counts": token_counts.op8_bpe_token_counts,
     "op9_sentencepiece": sentencepieces.op9_sentencepiece,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op13_centroid_clustering": clustering.op13_centroid_clustering,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op6_chat_formatting": chat.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_license_scan": licenses.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op13_centroid_clustering": clustering.ORACLE,
 }
