@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, clustering, exact_dedup, licenses, minhash, mixing, prefix_trie, sentencepieces, stupid_backoff, token_counts, toxicity
+from . import ann, chat, clustering, exact_dedup, html_extract, licenses, minhash, mixing, prefix_trie, sentencepieces, stupid_backoff, token_counts, toxicity
 
 QUERIES = {
     "op1_posting_list_search": ann.op1_posting_list_search,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sentencepiece": sentencepieces.op9_sentencepiece,
     "op10_license_scan": licenses.op10_license_scan,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_html_extraction": html_extract.op12_html_extraction,
     "op13_centroid_clustering": clustering.op13_centroid_clustering,
 }
 
