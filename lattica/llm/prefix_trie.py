@@ -118,9 +118,11 @@ def subtree_sums(nodes: DataFrame, values: list[str]) -> DataFrame:
     """
     nodes = materialise(nodes.select("key", "parent", "depth", "head", "level", *values))
     deepest = nodes.agg(F.max("level")).first()[0]
+    if deepest is None:
+        return nodes.select("key", *values)
     hung, out = None, []
     down = Window.partitionBy("head").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
-    for level in range(deepest if deepest is not None else -1, -1, -1):
+    for level in range(deepest, -1, -1):
         own = nodes.where(F.col("level") == level)
         if hung is not None:
             added = hung.groupBy("parent").agg(*[F.sum(v).alias(f"_{v}") for v in values]).withColumnRenamed("parent", "key")
