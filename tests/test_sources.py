@@ -1,8 +1,10 @@
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.sources import binary
+from lattica.sources import binary, layouts, records
 from lattica.storage import shared_dir
 
 
@@ -26,13 +28,68 @@ def test_cells_and_scalars_in_parts(spark, tmp_path):
         binary.read_scalars(spark, f"{tmp_path}/bad")
 
 
+def tasks(df):
+    """How many partitions have rows."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
 def test_long_files_are_split(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(binary, "LONG_FILE", 1000)
-    values = np.random.default_rng(2).normal(size=30_011).astype("<f4")  # a prime: records one by one
+    monkeypatch.setattr(records, "SPLIT", 1000)
+    values = np.random.default_rng(2).normal(size=30_011).astype("<f4")  # a prime number of records
     for i, part in enumerate((values[:20_000], values[20_000:20_100], values[20_100:])):
         put(spark, f"{tmp_path}/s/part-{i}", part.tobytes())
-    got = binary.read_scalars(spark, f"{tmp_path}/s").orderBy("idx").collect()
+    read = binary.read_scalars(spark, f"{tmp_path}/s")
+    got = read.orderBy("idx").collect()
     assert [r.idx for r in got] == list(range(len(values))) and [r.value for r in got] == values.astype(float).tolist()
+    assert tasks(read) == 80 + 1 + 40
+    assert binary.read_scalars(spark, f"{tmp_path}/s/part-1").count() == 100
+
+
+def test_one_file_of_varying_records_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layouts, "WINDOW", 100)  # records cross windows, and some are longer than one
+    rng = np.random.default_rng(3)
+    bricks = [(*map(int, rng.integers(1, 5, 3)), *map(int, rng.integers(-9, 9, 3)), int(rng.integers(0, 3))) for _ in range(997)]
+    bricks[500] = (20, 20, 9, 1, 2, 3, 0)
+    ids = [np.arange(sx * sy * sz) * 7 + i for i, (sx, sy, sz, *_) in enumerate(bricks)]
+    one = b"".join(struct.pack("<7i", *b) + x.astype("<i4").tobytes() for b, x in zip(bricks, ids))
+    put(spark, f"{tmp_path}/one.bricks", one)
+    want = [(i, *b, x.tolist()) for i, (b, x) in enumerate(zip(bricks, ids))]
+    for split in (1, 3000, 1 << 26):
+        monkeypatch.setattr(records, "SPLIT", split)
+        read = binary.read_bricks(spark, f"{tmp_path}/one.bricks")
+        got = read.orderBy("n").select("n", "sx", "sy", "sz", "lx", "ly", "lz", "level", "ids").collect()
+        assert [tuple(r) for r in got] == want
+        assert tasks(read) == {1: 997, 1 << 26: 1}.get(split, tasks(read))
+        assert split != 3000 or tasks(read) > 30
+    put(spark, f"{tmp_path}/cut.bricks", one[:-3])
+    with pytest.raises(Exception, match="beyond the end"):
+        binary.read_bricks(spark, f"{tmp_path}/cut.bricks")
+    put(spark, f"{tmp_path}/endless.bricks", struct.pack("<7i", -7, 1, 1, 0, 0, 0, 0) * 2)
+    with pytest.raises(Exception, match="a record of 0 bytes"):
+        binary.read_bricks(spark, f"{tmp_path}/endless.bricks")
+
+
+def test_parts_are_written_by_tasks_and_renamed_on_commit(spark, tmp_path):
+    cells = spark.range(0, 5000, 1, 7).select(F.pmod(F.col("id") * 2654435761, F.lit(5003)).alias("cell_id"), *[(F.col("id") % (k + 5)).cast("int").alias(a) for k, a in enumerate("xyz")], F.lit(0).alias("level"))
+    assert records.write(cells, f"{tmp_path}/cells", "cells", ["cell_id"], ".cells", parts=6) == 5000
+    names = sorted(p.name for p in (tmp_path / "cells").iterdir())
+    assert names == ["_records.cells", *[f"part-{i:06d}.cells" for i in range(6)]]
+    want = [tuple(r) for r in cells.orderBy("cell_id").select("x", "y", "z").collect()]
+    assert [tuple(r) for r in binary.read_cells(spark, f"{tmp_path}/cells").orderBy("cell_id").select("x", "y", "z").collect()] == want
+    # written again, with fewer rows: no old part stays
+    assert binary.write_cells(cells.where("cell_id < 10"), f"{tmp_path}/cells") == binary.read_cells(spark, f"{tmp_path}/cells").count()
+    assert binary.write_cells(cells.where("cell_id < 0"), f"{tmp_path}/none") == 0 and binary.read_cells(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_a_failed_task_leaves_no_part(spark, tmp_path):
+    # the last of four parts can't be written; the others are, under names of their own
+    bad = spark.range(1000).select(F.col("id").alias("idx"), F.when(F.col("id") != 990, 0.5).alias("value"))
+    with pytest.raises(Exception, match="a null value can't be written"):
+        records.write(bad, f"{tmp_path}/s", "scalars", ["idx"], ".scalars", parts=4)
+    assert [p for p in tmp_path.rglob("*") if p.is_file() and not p.name.endswith(".crc")] == []
+
+
+def test_leaf_counts(spark, tmp_path):
     domains = spark.createDataFrame([(i, 0.0, 0.0, 0.0, 1.0, 1.0, float(i + 1), 0.5) for i in range(6)], "domain_id long, lx double, ly double, lz double, hx double, hy double, hz double, majorant double")
     assert binary.write_leaf_counts({6: domains, 2: domains.where("domain_id < 2")}, f"{tmp_path}/leaves") == {2: 2, 6: 6}
     assert binary.read_domains(spark, f"{tmp_path}/leaves.n2").count() == 2
@@ -63,7 +120,7 @@ def test_domains_trees_and_triangles(spark, tmp_path):
     d = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 0.5), (1, 1.0, 0.0, 0.0, 2.0, 1.0, 1.0, 0.25)], "domain_id long, lx double, ly double, lz double, hx double, hy double, hz double, majorant double")
     binary.write_domains(d, f"{tmp_path}/d")
     assert sorted(map(tuple, binary.read_domains(spark, f"{tmp_path}/d").collect())) == sorted(map(tuple, d.collect()))
-    put(spark, f"{tmp_path}/k/tree", np.array([(1, 2, 3), (4, 5, -6)], binary.NODE).tobytes())
+    put(spark, f"{tmp_path}/k/tree", np.array([(1, 2, 3), (4, 5, -6)], layouts.NODE).tobytes())
     assert [tuple(r) for r in binary.read_tree(spark, f"{tmp_path}/k").collect()] == [(0, 1, 2, 3), (1, 4, 5, -6)]
     t = spark.createDataFrame([(m, i, [0.0, 0.0, float(i)], [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]) for m in (0, 1) for i in range(2)], "mesh_id long, tri_id long, v1 array<double>, v2 array<double>, v3 array<double>")
     binary.write_triangles(t, f"{tmp_path}/t")
