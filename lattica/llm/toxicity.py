@@ -86,7 +86,7 @@ def calibrated(places: dict[tuple[int, bool], int], weights: dict[bool, float],
     return list(accumulate(out, max))
 
 
-def _evidence(scorer: Scorer):
+def _evidence(scorer: Scorer, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -94,7 +94,8 @@ def _evidence(scorer: Scorer):
                 text = compression.normal(t.as_py() or "")
                 found.append((xxhash.xxh3_64_intdigest(text) - 2**63, *scorer.positive(text)))
             columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "mark", "saved", "hits", "windows"])
+            kept = batch.columns if carry else batch.columns[:1]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], [*batch.schema.names[: len(kept)], "mark", "saved", "hits", "windows"])
             release()
 
     return run
@@ -107,8 +108,11 @@ def _place(scorer: Scorer) -> Column:
     return F.least(F.greatest(F.floor(F.lit(float(STEPS)) * (of_sum + of_hits)), F.lit(0)), F.lit(TOP * STEPS - 1))
 
 
-def _trained(rows: DataFrame, marks: DataFrame) -> tuple[Scorer, DataFrame]:
-    """The scorer, and (id, mark, saved, hits, windows) of all rows (id, text) under it; marks: id, toxic."""
+def _trained(rows: DataFrame, marks: DataFrame, carry: bool = False) -> tuple[Scorer, DataFrame]:
+    """The scorer, and (id, mark, saved, hits, windows) of all rows (id, text, ...) under it; marks: id, toxic.
+
+    With carry the evidence has all columns of rows, so texts that are scored needn't be met again.
+    """
     known = rows.where("id IS NOT NULL AND text IS NOT NULL")
     counts = {bool(r["toxic"]): r["count"] for r in marks.groupBy("toxic").count().collect()}
     sized = known.select("id", F.length("text").alias("chars")).join(marks, "id")
@@ -125,7 +129,8 @@ def _trained(rows: DataFrame, marks: DataFrame) -> tuple[Scorer, DataFrame]:
     # near copies count once, also so that they don't stand on both sides of a fold
     distinct = {toxic: compression.diverse(compression.normal(r["text"]) for r in texts if r["toxic"] == toxic) for toxic in (True, False)}
     *parts, scorer = [Scorer(*pair) for pair in compression.train(distinct[True], distinct[False], FOLDS)]
-    evidence = materialise(rows.mapInArrow(_evidence(scorer), f"id {dict(rows.dtypes)['id']}, mark long, saved long, hits long, windows long"))
+    kept = ", ".join(f"`{name}` {kind}" for name, kind in (rows.dtypes if carry else rows.dtypes[:1]))
+    evidence = materialise(rows.mapInArrow(_evidence(scorer, carry), f"{kept}, mark long, saved long, hits long, windows long"))
     if not scorer.toxic:
         scorer.curve = [counts.get(True, 0) / max(1, sum(counts.values()))]
         return scorer, evidence
@@ -180,10 +185,28 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     texts score what no margin means. The whole text is scored, window by window, from its bytes alone. Null ids are
     not held out; repeated rows each give a row; other columns are ignored; an empty table gives no rows.
     """
-    scorer, evidence = _trained(pick(docs, id=id_col, text=text_col), _marks(labels, id_col, label_col, ~is_held_out(F.col("id"))))
+    return _scored(pick(docs, id=id_col, text=text_col), labels, id_col, label_col).select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of docs, all their columns, whose score is below THRESHOLD; scores are those of score_toxicity.
+
+    Each text is scored once: rows are written with what is found in them, and filtered when thresholds are known.
+    """
+    names = list(docs.columns)
+    others = [i for i, name in enumerate(names) if i not in (names.index(id_col), names.index(text_col))]
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    rows = plain.select(F.col(f"_c{names.index(id_col)}").alias("id"), F.col(f"_c{names.index(text_col)}").alias("text"), *[f"_c{i}" for i in others])
+    clean = _scored(rows, labels, id_col, label_col, carry=True).where("predicted = 0")
+    return clean.select(*[F.col("id" if i == names.index(id_col) else "text" if i == names.index(text_col) else f"_c{i}").alias(name) for i, name in enumerate(names)])
+
+
+def _scored(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, carry: bool = False) -> DataFrame:
+    """id (and all of rows, with carry), held_out, score, predicted."""
+    scorer, evidence = _trained(rows, _marks(labels, id_col, label_col, ~is_held_out(F.col("id"))), carry)
     share = F.get(F.lit(scorer.curve), _place(scorer)) if scorer.toxic else F.lit(scorer.curve[0])
     score = F.least(F.lit(1.0), share + F.lit(1e-3) * (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.col("saved"))))
-    scored = evidence.select(F.col("id").alias("doc_id"), is_held_out(F.col("id")).alias("held_out"), score.alias("score"))
+    scored = evidence.select(*(rows.columns if carry else ["id"]), is_held_out(F.col("id")).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 

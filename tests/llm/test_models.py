@@ -249,6 +249,16 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert score(labels) == score(flipped)
 
 
+def test_clean_rows_are_carried(spark):
+    some, labels = toxic_rows(300, 11)
+    some += [(9000, None, "en", "s", 1), (9001, "", None, None, None), (None, "grobble ### grobble", "en", "s", 1), (9001, "", None, None, None)]
+    frames = docs.frame(spark, some), spark.createDataFrame(labels, LABELS)
+    bad = {r.doc_id for r in toxicity.score_toxicity(*frames).collect() if r.predicted}
+    clean = toxicity.keep_clean(*frames)
+    assert bad and clean.schema == frames[0].schema
+    assert sorted(map(str, clean.collect())) == sorted(str(r) for r in frames[0].collect() if r.doc_id not in bad or r.doc_id is None)
+
+
 def test_toxicity_without_labels(spark):
     got = toxicity.score_toxicity(docs.frame(spark), spark.createDataFrame([], LABELS)).collect()
     assert len(got) == len(docs.rows()) and {r.predicted for r in got} == {0}
