@@ -19,9 +19,7 @@ ORACLE_SQL: str | None = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the compression classifier predicts to be toxic."""
-    scorer = toxicity.train(docs, table(spark, sf_dir, "labels"), keep=~toxicity.is_held_out(F.col("id")))
-    scored = docs.withColumn("_score", toxicity.score_column(scorer, docs["text"]))
-    return scored.where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
