@@ -168,16 +168,6 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return _trained(rows if keep is None else rows.where(keep), _marks(labels, id_col, label_col, keep))[0]
 
 
-def score_column(scorer: Scorer, text: Column) -> Column:
-    @F.arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
-        scores = pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())
-        release()
-        return scores
-
-    return scored(text)
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted (1 where score >= THRESHOLD).
 
