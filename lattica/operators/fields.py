@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lattica.functions.geometry import AXES, brick_domain, linear_index, width
 from lattica.operators.cells import levels
 from lattica.operators.range_join import join_boxes, join_points
+from lattica.storage import materialise
 
 
 def weighted_mean(hits: DataFrame, key: list[str]) -> DataFrame:
@@ -31,19 +33,31 @@ def lattice_blocks(cells: DataFrame) -> DataFrame:
     return each.groupBy("_level", *[f"_i{a}" for a in AXES]).agg(*[F.sum(mine(k, F.col("value"))).alias(f"s{k}") for k in range(8)], *[F.sum(mine(k, F.lit(1.0))).alias(f"n{k}") for k in range(8)])
 
 
-def sample_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Lattice:
+    """The blocks of some cells, written once for many samples, and their levels."""
+
+    blocks: DataFrame
+    levels: list[int]
+
+    @classmethod
+    def of(cls, cells: DataFrame) -> Lattice:
+        return cls(materialise(lattice_blocks(cells)), levels(cells))
+
+
+def sample_cells(points: DataFrame, cells: DataFrame | Lattice) -> DataFrame:
     """(pid, value) by the basis functions of all cells that reach a point, of whatever level.
 
     Cells lie on their level's lattice, so on each level eight places can reach a point. The cells are put together by
     these eights first; a point then goes to one row a level, by an equi-join, and the weights follow from its place.
     """
-    known = levels(cells)
+    known, blocks = (cells.levels, cells.blocks) if isinstance(cells, Lattice) else (levels(cells), None)
     if not known:
         return points.select("pid", F.lit(0.0).alias("value")).limit(0)
     probes = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in known]))).withColumn("_w", width("_level"))
     probes = probes.withColumns({f"_q{a}": F.col(f"p{a}") / F.col("_w") - 0.5 for a in AXES})
     probes = probes.select("pid", "_level", *[F.floor(f"_q{a}").cast("int").alias(f"_i{a}") for a in AXES], *[(F.col(f"_q{a}") - F.floor(f"_q{a}")).alias(f"_f{a}") for a in AXES])
-    met = probes.join(lattice_blocks(cells), ["_level", *[f"_i{a}" for a in AXES]])
+    met = probes.join(lattice_blocks(cells) if blocks is None else blocks, ["_level", *[f"_i{a}" for a in AXES]])
     share = [reduce(lambda x, y: x * y, [F.col(f"_f{a}") if k >> i & 1 else 1 - F.col(f"_f{a}") for i, a in enumerate(AXES)]) for k in range(8)]
     summed = met.groupBy("pid").agg(*[F.sum(reduce(lambda x, y: x + y, [w * F.col(f"{c}{k}") for k, w in enumerate(share)])).alias(name) for c, name in (("s", "_wv"), ("n", "_w"))])
     return summed.where("_w > 0").select("pid", (F.col("_wv") / F.col("_w")).alias("value"))

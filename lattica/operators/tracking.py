@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.fields import sample_cells
+from lattica.operators.fields import Lattice, sample_cells
 from lattica.operators.grid import walk
 from lattica.storage import materialise
 
@@ -47,7 +47,7 @@ def tentative(rays: DataFrame, majorants: DataFrame, low, high, dims, scale: flo
     return each.select("ray_id", "mc_id", "k", at.alias("t"), "mu")
 
 
-def with_extinction(collisions: DataFrame, rays: DataFrame, cells: DataFrame, alpha: Callable[[Column], Column], scale: float) -> DataFrame:
+def with_extinction(collisions: DataFrame, rays: DataFrame, cells: DataFrame | Lattice, alpha: Callable[[Column], Column], scale: float) -> DataFrame:
     """Collisions with sigma, the field's extinction there (0 where there is no field)."""
     at = collisions.join(rays.select("ray_id", "ox", "oy", "oz", "dx", "dy", "dz"), "ray_id")
     points = at.select(F.struct("ray_id", "mc_id", "k").alias("pid"), *[(F.col(f"o{a}") + F.col("t") * F.col(f"d{a}")).alias(f"p{a}") for a in "xyz"])
@@ -117,7 +117,7 @@ def trace(rays: DataFrame, cells: DataFrame, majorants: DataFrame, alpha: Callab
     direction; a path of throughput below roulette survives with that probability, which ends all paths: bounces is
     only a guard. Each bounce and its light are written, and the light is summed up now and then, so plans don't grow.
     """
-    cells, majorants = materialise(cells), materialise(majorants)
+    lattice, majorants = Lattice.of(cells), materialise(majorants)
     paths = rays.withColumn("weight", F.lit(1.0))
     gathered: list[DataFrame] = []
 
@@ -126,10 +126,10 @@ def trace(rays: DataFrame, cells: DataFrame, majorants: DataFrame, alpha: Callab
 
     for bounce in range(bounces):
         own = seed + 10 * bounce
-        hits = with_extinction(tentative(paths, majorants, low, high, dims, scale, own), paths, cells, alpha, scale)
+        hits = with_extinction(tentative(paths, majorants, low, high, dims, scale, own), paths, lattice, alpha, scale)
         met = materialise(free_paths(hits, own).join(paths, "ray_id").select("ray_id", "weight", *[(F.col(f"o{a}") + F.col("t") * F.col(f"d{a}")).alias(f"p{a}") for a in "xyz"], "dx", "dy", "dz"))
-        shadow = light_rays(met, light, own + 4)
-        through = transmittance(shadow, with_extinction(tentative(shadow, majorants, low, high, dims, scale, own + 3), shadow, cells, alpha, scale))
+        shadow = materialise(light_rays(met, light, own + 4))
+        through = transmittance(shadow, with_extinction(tentative(shadow, majorants, low, high, dims, scale, own + 3), shadow, lattice, alpha, scale))
         lit = met.join(through, "ray_id").join(shadow.select("ray_id", "falloff"), "ray_id").select("ray_id", (F.col("weight") * albedo * F.col("transmittance") * F.col("falloff") / 12.566370614359172).alias("light"))
         gathered.append(materialise(lit))
         if len(gathered) == 16:

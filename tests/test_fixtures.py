@@ -273,16 +273,26 @@ def test_tracking_agrees_with_the_integral(spark):
     assert abs(free - want) < 0.03 and abs(mean - want) < 0.02
 
 
-def test_paths_go_on_until_none_is_left(spark):
+def test_light_along_paths(spark):
+    """In a homogeneous box, light at the first collision has a known mean, and later collisions add to it."""
+    n, sigma, albedo = 600, 0.25, 0.7
     c = uniform(spark, 4, 4, 4).withColumn("value", F.lit(1.0))
-    r = spark.range(6).select(F.col("id").alias("ray_id"), F.lit(-1.0).alias("ox"), F.lit(2.0).alias("oy"), F.lit(2.0).alias("oz"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"), F.lit(0.0).alias("tmin"), F.lit(1e20).alias("tmax"))
-    m = grid.cell_ranges(c, (0, 0, 0), (4, 4, 4), (1, 1, 1)).withColumn("max_opacity", F.lit(1.0))
-
-    def radiance(**most):
-        return {x.ray_id: x.radiance for x in tracking.trace(r, c, m, lambda v: v, (0, 0, 0), (4, 4, 4), (1, 1, 1), scale=2.0, light=(2.0, 2.0, -1.0), albedo=0.7, **most).collect()}
-
-    four, all_ = radiance(bounces=4), radiance()
-    assert all(four[i] <= all_[i] for i in range(6)) and sum(four.values()) < sum(all_.values())
+    r = spark.range(n).select(F.col("id").alias("ray_id"), F.lit(-1.0).alias("ox"), F.lit(2.0).alias("oy"), F.lit(2.0).alias("oz"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"), F.lit(0.0).alias("tmin"), F.lit(1e20).alias("tmax"))
+    m = grid.cell_ranges(c, (0, 0, 0), (4, 4, 4), (1, 1, 1)).withColumn("max_opacity", F.lit(2.0))  # twice what the field has
+
+    def mean(**most):
+        found = tracking.trace(r, c, m, lambda v: v, (0, 0, 0), (4, 4, 4), (1, 1, 1), scale=sigma, light=(2.0, 2.0, -1.0), albedo=albedo, roulette=0.5, **most)
+        return found.agg(F.avg("radiance")).first()[0]
+
+    def light(x):  # two thirds of the way to the light are in the box
+        far = math.hypot(x - 2, 3)
+        return sigma * math.exp(-sigma * x) * albedo * math.exp(-sigma * far * 2 / 3) / (4 * math.pi * far * far)
+
+    want = sum(light((k + 0.5) / 250) for k in range(1000)) / 250
+    direct, all_ = mean(bounces=1), mean()
+    assert abs(direct / want - 1) < 0.12
+    # a first collision's light is albedo times as bright at the next one, if there is one: at most a geometric series
+    assert 1.1 * direct < all_ < direct / (1 - albedo)
 
 
 def test_directions(spark):
