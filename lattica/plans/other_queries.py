@@ -15,7 +15,7 @@ from lattica.operators import tracking as X
 from lattica.plans.derived import oracle
 from lattica.plans.derived import relation as R
 from lattica.plans.geometry_queries import RAMP, rounded
-from lattica.plans.volume_queries import DIMS, HIGH, LOW, bricks
+from lattica.plans.volume_queries import _BRICK_CELLS, DIMS, HIGH, LOW, bricks
 from lattica.sources import binary
 from lattica.storage import materialise, shared_dir
 
@@ -54,10 +54,10 @@ def a23_cluster_boxes(s, d):
 
 
 def g6_majorant_tree(s, d):
-    b = bricks(s, d).select("*", F.array_min("scalars").alias("b_vmin"), F.array_max("scalars").alias("b_vmax"))
-    boxes = materialise(b.select(*[c.alias(f"b_{n}") for n, c in zip(("lx", "ly", "lz", "hx", "hy", "hz"), G.brick_domain())], "b_vmin", "b_vmax"))
-    leaves = T.build(s, boxes, (-4.0,) * 3, (124.0,) * 3, RAMP, (0.0, 1.0), [2, 6])
-    return T.domains(s, leaves[6])
+    """The tree over all cells of bricks, each half a cell wider, at 10 and at 1,000 leaves."""
+    cells = M.brick_cells(bricks(s, d))
+    boxes = cells.select(*[c.alias(f"b_{n}") for n, c in zip(T.SIDES, G.cell_box(0.5))], F.col("value").alias("b_vmin"), F.col("value").alias("b_vmax"))
+    return rounded(T.build(s, boxes, (-4.0,) * 3, (124.0,) * 3, RAMP, (0.0, 1.0), [10, 1000]), "majorant")
 
 
 def _unit_rays(s, d):
@@ -145,12 +145,47 @@ QUERIES = {n: globals()[n] for n in _NAMES}
 _Q = lambda c: f"CAST(least(65535, greatest(0, floor(({c} + 1) / 2 * 65536))) AS BIGINT)"
 _interleave = lambda axes: " + ".join(f"(({c} >> {k}) & 1) * {1 << (k * len(axes) + i)}::BIGINT" if k * len(axes) + i < 63 else f"CASE WHEN (({c} >> {k}) & 1) = 1 THEN -9223372036854775807 - 1 ELSE 0 END" for i, c in enumerate(axes) for k in range(16))
 _CODES = "(SELECT vec_id, " + ", ".join(f"{_Q(c)} AS {c}" for c in "xyzw") + " FROM {vectors})"
+
+
+def _tree_sql(targets: tuple[int, ...], rounds: int) -> str:
+    """The same tree against the cells themselves: rounds of fronts, written out one after the other; those after the last are empty."""
+    sides = [f"{e}{a}" for e in "lh" for a in "xyz"]
+    columns = ", ".join(sides)
+    alphas = "[" + ", ".join(f"{e[3]!r}e0" if "e" not in repr(e[3]) else repr(e[3]) for e in RAMP) + "]"
+    last = len(RAMP) - 1
+    place = lambda v, more: f"least({last}, greatest(0, CAST(floor({v} * {last}) AS INT) + {more}))"
+    extent = "(hx > lx OR hy > ly OR hz > lz)"
+    cut = lambda side, edge: ", ".join(f"CASE WHEN axis = {i} AND side = {side} THEN plane ELSE {edge}{a} END AS {edge}{a}" for i, a in enumerate("xyz"))
+    steps = [
+        f"boxes AS MATERIALIZED (SELECT " + ", ".join(f"{a} - 0.5e0 * w AS b_l{a}, {a} + 1.5e0 * w AS b_h{a}" for a in "xyz") + f", value FROM ({_BRICK_CELLS}))",
+        "k0 AS MATERIALIZED (SELECT '' AS path, 0 AS depth, " + ", ".join(f"{-4.0 if c[0] == 'l' else 124.0}e0 AS {c}" for c in sides) + ", 1e0 AS majorant, CAST('infinity' AS DOUBLE) AS cost)",
+        "s0 AS (SELECT '' AS path WHERE false)",
+    ]
+    for r in range(rounds):
+        steps += [
+            f"f{r} AS MATERIALIZED (SELECT * FROM (SELECT * FROM k{r} WHERE {extent} ORDER BY cost DESC, depth, path LIMIT {max(targets) - 1}) WHERE path NOT IN (SELECT path FROM s{r}))",
+            f"p{r} AS (SELECT *, CASE axis WHEN 0 THEN lx + k * ((hx - lx) / 8) WHEN 1 THEN ly + k * ((hy - ly) / 8) ELSE lz + k * ((hz - lz) / 8) END AS plane FROM f{r}, range(3) a(axis), range(1, 8) b(k), range(2) c(side) WHERE CASE axis WHEN 0 THEN hx > lx WHEN 1 THEN hy > ly ELSE hz > lz END)",
+            f"h{r} AS MATERIALIZED (SELECT path, depth, axis, k, side, {cut(1, 'l')}, {cut(0, 'h')} FROM p{r})",
+            f"v{r} AS (SELECT path, axis, k, side, min(value) AS vmin, max(value) AS vmax FROM h{r} JOIN boxes ON " + " AND ".join(f"b_l{a} < h{a} AND b_h{a} > l{a}" for a in "xyz") + " GROUP BY path, axis, k, side)",
+            f"c{r} AS MATERIALIZED (SELECT *, 2e0 * ((hx - lx) * (hy - ly) + (hy - ly) * (hz - lz) + (hz - lz) * (hx - lx)) * sqrt((hx - lx) * (hx - lx) + (hy - ly) * (hy - ly) + (hz - lz) * (hz - lz)) * majorant AS cost FROM (SELECT h.*, coalesce(list_max(list_slice({alphas}, {place('vmin', 0)} + 1, {place('vmax', 1)} + 1)), 0e0) AS majorant FROM h{r} h LEFT JOIN v{r} v USING (path, axis, k, side)))",
+            f"b{r} AS (SELECT path, axis, k FROM (SELECT path, axis, k, row_number() OVER (PARTITION BY path ORDER BY sum(CASE WHEN side = 0 THEN cost END) + sum(CASE WHEN side = 1 THEN cost END), axis, k) AS n FROM c{r} GROUP BY path, axis, k) WHERE n = 1)",
+            f"k{r + 1} AS MATERIALIZED (SELECT * FROM k{r} UNION ALL SELECT c.path || side, depth + 1, {columns}, majorant, cost FROM c{r} c JOIN b{r} USING (path, axis, k))",
+            f"s{r + 1} AS MATERIALIZED (SELECT path FROM s{r} UNION ALL SELECT path FROM f{r})",
+        ]
+    found = []
+    for n in targets:
+        first = f"(SELECT path FROM k{rounds} WHERE {extent} ORDER BY cost DESC, depth, path LIMIT {n - 1})"
+        found.append(f"SELECT {n} AS leaves, row_number() OVER (ORDER BY {columns}) - 1 AS domain_id, {columns}, round(majorant, 6) AS majorant FROM k{rounds} WHERE path NOT IN {first} AND (path = '' OR substr(path, 1, length(path) - 1) IN {first})")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(found)
+
+
 ORACLES = {
     k: oracle(v)
     for k, v in {
         "p27_morton_codes": f"SELECT vec_id, {_interleave('xyz')} AS m3, {_interleave('xyzw')} AS m4 FROM {_CODES}",
         "o2_code_order": f"SELECT vec_id, code, row_number() OVER (ORDER BY code, vec_id) - 1 AS rank FROM (SELECT vec_id, ({_interleave('xyzw')}) >> 20 AS code FROM {_CODES})",
         "a21_centroid_bounds": "SELECT min(least(a, b, c)) AS low, max(greatest(a, b, c)) AS high FROM (SELECT " + ", ".join(f"(l{a} + l{a} + s{a} * power(2e0, level)) / 2 AS {n}" for a, n in zip("xyz", "abc")) + " FROM {bricks})",
+        "g6_majorant_tree": _tree_sql((10, 1000), 40),
         "s1_cell_files": "SELECT x, y, z, level, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) AS value FROM {cells}",
         "s3_brick_files": "SELECT brick_id, lx, ly, lz, sx, sy, sz, level, sx * sy * sz AS n FROM {bricks}",
         "s9_triangle_files": "SELECT count(*) AS n, sum(ax) AS x1, sum(cz) AS z3 FROM {triangles}",

@@ -13,6 +13,7 @@ from lattica.operators import fields as S
 from lattica.operators import grid as M
 from lattica.operators import mesh as U
 from lattica.operators import numbering as N
+from lattica.operators import pyramid as P
 from lattica.operators import rays as Y
 from lattica.operators.range_join import join_points
 from lattica.plans.derived import oracle
@@ -233,7 +234,7 @@ def j16_rays_and_triangles(s, d):
 def j17_box_ranges(s, d):
     probes = R(s, d, "bricks").select(F.col("brick_id").alias("probe_id"), *[c.alias(f"a_{n}") for n, c in zip(B.SIDES, G.brick_domain())])
     boxes = R(s, d, "cells").select(*[c.alias(f"b_{n}") for n, c in zip(B.SIDES, G.cell_box())], F.col("value").alias("b_vmin"), F.col("value").alias("b_vmax"))
-    return S.box_ranges(probes, boxes)
+    return P.ranges(P.build(boxes), probes)
 
 
 def w1_grid_walk(s, d):

@@ -11,7 +11,7 @@ from lattica.functions import codes, elements
 from lattica.functions import geometry as G
 from lattica.operators import bricks as B
 from lattica.operators import cells as C
-from lattica.operators import clusters, fields, grid, majorant_tree, mesh, numbering, rays, tracking, tree
+from lattica.operators import clusters, fields, grid, majorant_tree, mesh, numbering, pyramid, rays, tracking, tree
 from lattica.operators.range_join import join_boxes, join_points
 from lattica.schema import BRICKS, CELLS
 
@@ -249,16 +249,67 @@ def test_clusters_merge_to_a_fixpoint(spark):
     assert all(a + b > 8 for a, b in zip(sizes[::2], sizes[1::2]))
 
 
-def test_majorant_tree(spark):
-    boxes = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0, 1.0)], "b_lx double, b_ly double, b_lz double, b_hx double, b_hy double, b_hz double, b_vmin double, b_vmax double")
-    tf = [(0, 0, 0, i / 7) for i in range(8)]
-    out = majorant_tree.build(spark, boxes, (0, 0, 0), (8, 8, 8), tf, (0.0, 1.0), [2, 4])
-    assert sorted(out) == [2, 4] and [len(v) for _, v in sorted(out.items())] == [2, 4]
-    cost = lambda leaves: sum(majorant_tree._size(x.low, x.high) * x.majorant for x in leaves)
-    assert cost(out[4]) <= cost(out[2]) <= majorant_tree._size((0, 0, 0), (8, 8, 8))
-    holds = [x for x in out[4] if x.majorant > 0]
-    assert len(holds) == 1 and holds[0].majorant == 1.0
-    assert majorant_tree.domains(spark, out[4]).count() == 4
+BOXES = "b_lx double, b_ly double, b_lz double, b_hx double, b_hy double, b_hz double, b_vmin double, b_vmax double"
+
+
+def test_ranges_by_summary_equal_all_boxes(spark):
+    rng = np.random.default_rng(4)
+    low = np.concatenate([rng.uniform(0, 100, (2000, 3)), rng.normal(50, 0.5, (1500, 3))])  # evenly, and most of the rest in one place
+    high = low + rng.choice([0.25, 1.0, 30.0], (len(low), 3), p=[0.6, 0.39, 0.01])
+    high[5] = low[5]  # no volume
+    values = np.sort(rng.normal(size=(len(low), 2)), axis=1)
+    rows = [(*map(float, l), *map(float, h), *map(float, v)) for l, h, v in zip(low, high, values)] + [(0.0, 0.0, 0.0, 100.0, 100.0, 100.0, float("nan"), 1.0), (0.0, 0.0, 0.0, 100.0, 100.0, 100.0, None, None)]
+    held = pyramid.build(spark.createDataFrame(rows, BOXES))
+    assert held.sizes[-1] <= 8 < held.sizes[0] and held.sizes == sorted(held.sizes, reverse=True)
+    plow = np.concatenate([rng.uniform(-5, 100, (60, 3)), rng.uniform(48, 52, (20, 3)), [[-10.0] * 3, [500.0] * 3, [1.0] * 3]])
+    phigh = plow + np.concatenate([rng.uniform(0, 60, (60, 3)), rng.uniform(0, 2, (20, 3)), [[200.0] * 3, [1.0] * 3, [0.0] * 3]])
+    probes = spark.createDataFrame([(i, *map(float, l), *map(float, h)) for i, (l, h) in enumerate(zip(plow, phigh))], "probe_id int, a_lx double, a_ly double, a_lz double, a_hx double, a_hy double, a_hz double")
+    want = {}
+    for i, (l, h) in enumerate(zip(plow, phigh)):
+        met = ((low < h) & (high > l) & (low < high)).all(1) & (l < h).all()
+        if met.any():
+            want[i] = (values[met, 0].min(), values[met, 1].max())
+    assert {r.probe_id: (r.vmin, r.vmax) for r in pyramid.ranges(held, probes).collect()} == want and len(want) > 60
+    assert pyramid.ranges(pyramid.build(spark.createDataFrame([], BOXES)), probes).collect() == []
+
+
+def plain_tree(boxes, low, high, alphas, leaves):
+    """The costliest leaf is split, one at a time."""
+    n = len(alphas)
+
+    def cost(l, h):
+        met = [b for b in boxes if all(b[i] < h[i] and b[3 + i] > l[i] for i in range(3))]
+        if not met:
+            return 0.0, 0.0
+        first, last = (min(n - 1, max(0, math.floor(v * (n - 1)) + k)) for v, k in ((min(b[6] for b in met), 0), (max(b[7] for b in met), 1)))
+        x, y, z = (b - a for a, b in zip(l, h))
+        m = max(alphas[first : last + 1])
+        return 2.0 * (x * y + y * z + z * x) * math.sqrt(x * x + y * y + z * z) * m, m
+
+    open_ = [(math.inf, 0, "", tuple(low), tuple(high), 1.0)]
+    while len(open_) < leaves:
+        at = min(range(len(open_)), key=lambda i: (-open_[i][0], open_[i][1], open_[i][2]))
+        _, depth, path, l, h, _ = open_.pop(at)
+        best = None
+        for axis in range(3):
+            for k in range(1, 8):
+                plane = l[axis] + k * ((h[axis] - l[axis]) / 8)
+                a, b = (l, tuple(plane if i == axis else v for i, v in enumerate(h))), (tuple(plane if i == axis else v for i, v in enumerate(l)), h)
+                total = cost(*a)[0] + cost(*b)[0]
+                if best is None or total < best[0]:
+                    best = (total, a, b)
+        open_ += [(cost(*part)[0], depth + 1, path + str(side), *part, cost(*part)[1]) for side, part in enumerate(best[1:])]
+    return sorted((*l, *h, m) for _, _, _, l, h, m in open_)
+
+
+def test_majorant_tree_by_fronts_is_the_greedy_tree(spark):
+    rng = np.random.default_rng(6)
+    boxes = [(*map(float, l), *(float(x + 1) for x in l), *sorted(map(float, rng.uniform(0, 1, 2)))) for l in rng.integers(0, 8, (12, 3))]
+    alphas = [(i / 7) ** 2 for i in range(8)]
+    out = majorant_tree.build(spark, spark.createDataFrame(boxes, BOXES), (0, 0, 0), (8, 8, 8), [(0, 0, 0, a) for a in alphas], (0.0, 1.0), [1, 2, 24])
+    for n in (1, 2, 24):
+        got = out.where(F.col("leaves") == n).orderBy("domain_id").drop("leaves", "domain_id").collect()
+        assert np.array(sorted(map(tuple, got))) == pytest.approx(np.array(plain_tree(boxes, (0, 0, 0), (8, 8, 8), alphas, n)))
 
 
 def test_tracking_agrees_with_the_integral(spark):
