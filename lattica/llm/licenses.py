@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import pick, table
 from .license_rules import MORE
 
+#: Sentences of the public notices of licences. Fixed values.
 _APACHE = [
     'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
     "You may obtain a copy of the License at",
@@ -61,7 +62,9 @@ _LEADER = r"\n[^\p{L}\p{N}\n\u0001]*+(?:(?:rem|dnl)(?![\p{L}\p{N}_])[^\p{L}\p{N}
 
 
 _SPDX = "spdx license identifier "
-_HOLDER = r"(neither[ \n]+the[ \n]+name[ \n]+of)[ \n\u0001][a-z0-9 \n\u0001]{1,160}?[ \n\u0001]+nor[ \n]+the[ \n]+names[ \n]+of[ \n]+its[ \n]+contributors"
+_MARKER = "spdx-license-identifier:"
+_NAME_OF = r"neither[ \n]+the[ \n]+name[ \n]+of"
+_HOLDER = rf"\A({_NAME_OF})[ \n\u0001][a-z0-9 \n\u0001]+?[ \n\u0001]+nor[ \n]+the[ \n]+names[ \n]+of[ \n]+its[ \n]+contributors"
 
 
 def normal(sentence: str) -> str:
@@ -132,10 +135,18 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     out = pick(docs, doc_id=id_col, text=text_col)
     lines = F.regexp_replace(F.concat(F.lit("\n"), F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)), _LEADER, "\n")
     out = out.select("doc_id", lines.alias("_l"))
-    plus = F.when(F.contains("_l", F.lit("spdx-license-identifier")), F.regexp_replace("_l", r"(?<=spdx-license-identifier:[^\n]{0,200}[a-z0-9])\+", " or later")).otherwise(F.col("_l"))
+
+    def later(line: Column) -> Column:
+        """A line with "or later" for each plus that ends an identifier behind the marker."""
+        before = F.concat(F.substring_index(line, _MARKER, 1), F.lit(_MARKER))
+        behind = F.regexp_replace(F.substr(line, F.length(before) + 1), r"([a-z0-9])\+", "$1 or later")
+        return F.when(F.contains(line, F.lit(_MARKER)), F.concat(before, behind)).otherwise(line)
+
+    plus = F.when(F.contains("_l", F.lit(_MARKER)), F.array_join(F.transform(F.split("_l", "\n"), later), "\n")).otherwise(F.col("_l"))
     marked = F.regexp_replace(plus, r"([.!?])[ \t\r\n]+|\n\n+", "\u0001")
     out = out.select("doc_id", F.regexp_replace(marked, "[^a-z0-9\n\u0001]+", " ").alias("_p"))
-    plain = F.regexp_replace("_p", _HOLDER, "$1 the copyright holder nor the names of its contributors")
+    named = F.transform(F.split("_p", f"(?={_NAME_OF})"), lambda part: F.regexp_replace(part, _HOLDER, "$1 the copyright holder nor the names of its contributors"))
+    plain = F.when(F.contains("_p", F.lit("neither")), F.array_join(named, "")).otherwise(F.col("_p"))
     out = out.select("doc_id", F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(_pattern(ids)), F.lit(1)), units)).alias("_numbers"))
     out = out.select("doc_id", F.size(F.filter("_numbers", lambda n: n > 0)).cast("long").alias("n_known"), F.array_join(F.transform("_numbers", lambda n: F.concat(F.lit("<"), n.cast("string"), F.lit(">"))), "").alias("_s"))
     # rules of several sentences one after another, each over what the ones before it left; a rule of one sentence is a number's name

@@ -162,6 +162,23 @@ def test_more_licences(spark):
     assert all(r.licenses for r in licenses.scan_licenses(docs.frame(spark, lines)).collect())
 
 
+def test_licences_have_no_caps(spark):
+    bsd = dict((n, r) for n, r in reversed(licenses.RULES) if n.startswith("BSD-") and len(r) > 1)["BSD-3-Clause"]
+    full = "\n".join(bsd)
+    holder = "Example " + "Research and Manufacturing Cooperative of many Members, Inc. " * 20
+    long_line = "SPDX-License-Identifier: " + " OR ".join(["MIT", "Apache-2.0"] * 60) + " OR GPL-2.0+"
+    texts = {
+        1: full.replace("the copyright holder nor", f"{holder} nor"),
+        2: full.replace("the copyright holder nor", "\n".join(holder.split()) + "\nnor"),
+        3: long_line,
+        4: "1+1 is two. // " + long_line + "\na+b",
+        5: "Neither the name of the game is known. " + full,  # the nearer one is the licence's
+        6: "Neither the name of " + "x " * 300_000,
+    }
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs.frame(spark, [(i, t, "en", "s", 1) for i, t in texts.items()])).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: "Apache-2.0,GPL-2.0-or-later,MIT", 4: "Apache-2.0,GPL-2.0-or-later,MIT", 5: "BSD-3-Clause", 6: ""}
+
+
 MESSAGES = "tree_id long, node_id long, parent_id long, role string, text string, score double, TREE_ID int, key string"
 
 
