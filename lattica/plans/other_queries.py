@@ -183,6 +183,7 @@ ORACLES = {
     k: oracle(v)
     for k, v in {
         "p27_morton_codes": f"SELECT vec_id, {_interleave('xyz')} AS m3, {_interleave('xyzw')} AS m4 FROM {_CODES}",
+        "p28_hilbert_codes": f"SELECT vec_id, list_reduce(list_prepend(CAST({K.START} AS BIGINT), list_transform(range(15, -1, -1), lambda k: CAST((x >> k & 1) + 2 * (y >> k & 1) + 4 * (z >> k & 1) AS BIGINT))), lambda a, o: (a // 32 * 8 + {K.BY_OCTANT}[a % 32 * 8 + o + 1] % 8) * 32 + {K.BY_OCTANT}[a % 32 * 8 + o + 1] // 8) // 32 AS code FROM {_CODES}",
         "o2_code_order": f"SELECT vec_id, code, row_number() OVER (ORDER BY code, vec_id) - 1 AS rank FROM (SELECT vec_id, ({_interleave('xyzw')}) >> 20 AS code FROM {_CODES})",
         "a21_centroid_bounds": "SELECT min(least(a, b, c)) AS low, max(greatest(a, b, c)) AS high FROM (SELECT " + ", ".join(f"(l{a} + l{a} + s{a} * power(2e0, level)) / 2 AS {n}" for a, n in zip("xyz", "abc")) + " FROM {bricks})",
         "g6_majorant_tree": _tree_sql((10, 1000), 40),

@@ -144,6 +144,15 @@ def e6_plane_ratios(s, d):
     return rounded(found.select("pid", "elem_id", "value").where("value IS NOT NULL"), "value")
 
 
+def e6_tilted_hexes(s, d):
+    """Hexes whose right face leans outwards, by 1.5 over their height."""
+    corner = F.col("vertex_id") % 8
+    leaning = R(s, d, "vertices").withColumn("x", F.col("x") + F.when((corner % 2 == 1) & (corner >= 4), 1.5).otherwise(0.0))
+    packed = U.packed(U.corners(elements(s, d).where("kind = 'hex'"), leaning))
+    found = E.with_plane_ratio_value(join_points(R(s, d, "brick_points"), packed), "hex")
+    return rounded(found.select("pid", "elem_id", "value").where("value IS NOT NULL"), "value")
+
+
 def j1_sample_cells(s, d):
     return rounded(S.sample_cells(R(s, d, "points"), R(s, d, "cells")), "value")
 
@@ -285,7 +294,7 @@ def w8_run_lengths(s, d):
     return N.run_lengths(o, "o_orderkey", "status", width=1024).groupBy("status", "n").agg(F.count(F.lit(1)).alias("runs"))
 
 
-_NAMES = "a1_bounds_and_range a2_dense_macrocells a3_element_ranges a4_gridlet_ranges a5_cell_ranges a7_brick_ranges a8_largest_gridlet a9_gridlet_value_ranges a10_macrocell_majorants g8_active_macrocells a11_splatted_ranges a12_vertex_compaction a13_elements_by_kind a14_memory_statistics a24_distinct_vertices a27_accumulated_pixels a28_frame_times e1_gridlet_trilinear e2_tetrahedra e5_hexahedra e6_plane_ratios j1_sample_cells j2_sample_regions j3_sample_bricks j9_find_cells j10_dual_cells g3_dual_elements a20_element_counts g4_gridlets a19_gridlet_counts g5_regions a15_region_ranges a16_region_statistics g9_shared_faces j11_scalar_lookup j12_vertex_lookup j14_adjacent_bricks j15_rays_and_boxes o6_first_box j16_rays_and_triangles j17_box_ranges w1_grid_walk w4_composite w5_first_step w6_region_steps t7_ray_march w7_running_sum w8_run_lengths".split()
+_NAMES = "a1_bounds_and_range a2_dense_macrocells a3_element_ranges a4_gridlet_ranges a5_cell_ranges a7_brick_ranges a8_largest_gridlet a9_gridlet_value_ranges a10_macrocell_majorants g8_active_macrocells a11_splatted_ranges a12_vertex_compaction a13_elements_by_kind a14_memory_statistics a24_distinct_vertices a27_accumulated_pixels a28_frame_times e1_gridlet_trilinear e2_tetrahedra e5_hexahedra e6_plane_ratios e6_tilted_hexes j1_sample_cells j2_sample_regions j3_sample_bricks j9_find_cells j10_dual_cells g3_dual_elements a20_element_counts g4_gridlets a19_gridlet_counts g5_regions a15_region_ranges a16_region_statistics g9_shared_faces j11_scalar_lookup j12_vertex_lookup j14_adjacent_bricks j15_rays_and_boxes o6_first_box j16_rays_and_triangles j17_box_ranges w1_grid_walk w4_composite w5_first_step w6_region_steps t7_ray_march w7_running_sum w8_run_lengths".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _ALPHA = "(CASE i " + " ".join(f"WHEN {i} THEN {e[3]!r}e0" for i, e in enumerate(RAMP)) + " ELSE 0e0 END)"
@@ -394,6 +403,7 @@ ORACLES = {
         "e1_gridlet_trilinear": f"SELECT pid, gridlet_id, CAST(cell AS INT) AS cell, round(value, 6) + 0e0 AS value FROM ({_GVALUE})",
         "e2_tetrahedra": f"SELECT pid, p_partkey AS elem_id, round({_TETVAL}, 6) AS value FROM {_LOCAL} WHERE p_partkey % 4 = 1 AND r + s + t <= 1",
         "e5_hexahedra": f"SELECT pid, p_partkey AS elem_id, round({_HEXVAL}, 6) AS value FROM {_LOCAL} WHERE p_partkey % 4 = 0",
+        "e6_tilted_hexes": "SELECT pid, elem_id, round(" + " + ".join(f"{'r' if c & 1 else '(1 - r)'} * {'s' if c & 2 else '(1 - s)'} * {'t' if c & 4 else '(1 - t)'} * ((elem_id * 13 + {c * 29}) % 100 / 100e0)" for c in range(8)) + ", 6) AS value FROM (SELECT pid, elem_id, (px - x) / ((px - x) + (x + w + 1.5e0 * (pz - z) / w - px) / sqrt(1 + (1.5e0 / w) * (1.5e0 / w))) AS r, (py - y) / w AS s, (pz - z) / w AS t FROM {brick_points} JOIN (SELECT p_partkey AS elem_id, CAST(p_partkey * 37 % 97 AS DOUBLE) AS x, CAST(p_partkey * 53 % 101 AS DOUBLE) AS y, CAST(p_partkey * 71 % 103 AS DOUBLE) AS z, 2e0 + p_size % 5 AS w FROM part WHERE p_partkey % 4 = 0) ON px >= x AND px <= x + w + 1.5e0 * (pz - z) / w AND py BETWEEN y AND y + w AND pz BETWEEN z AND z + w)",
         "e6_plane_ratios": f"SELECT pid, p_partkey AS elem_id, round({_HEXVAL}, 6) AS value FROM {_LOCAL} WHERE p_partkey % 4 = 0",
         "j1_sample_cells": f"SELECT pid, round(value, 6) AS value FROM {_SAMPLE.replace('POINTS', '{points}')}",
         "j2_sample_regions": _BRICK_VALUE,

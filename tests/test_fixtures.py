@@ -230,16 +230,39 @@ def test_numbering(spark):
     assert runs == [tuple(x) for x in want]
 
 
-def test_curves():
-    grid_ = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
-    index = codes.hilbert_index(grid_, 3)
-    assert sorted(index.tolist()) == list(range(512))
-    walked = grid_[np.argsort(index)]
-    assert (np.abs(np.diff(walked, axis=0)).sum(1) == 1).all()
-    assert (codes.hilbert_point(index, 3, 3) == grid_).all()
+#: Codes of Moore's coordinates-to-index procedure for 16 bits an axis. Fixed values.
+HILBERT = {(0, 0, 0): 0, (1, 0, 0): 1, (0, 1, 0): 3, (0, 0, 1): 7, (65535, 0, 0): 49146424505035, (0, 65535, 0): 111696419329625, (0, 0, 65535): 281474976710655, (65535, 65535, 65535): 189883912860363, (12345, 54321, 33333): 149299103185477}
+
+
+def test_curves(spark):
+    bits = 3
+    at = [((F.col("id") / 8**i) % 8).cast("long") for i in range(3)]
+    all_ = spark.range(8**3).select(*[c.alias(a) for a, c in zip("xyz", at)]).withColumn("code", codes.hilbert(F.col("x"), F.col("y"), F.col("z"), bits))
+    rows = all_.withColumn("back", codes.hilbert_point(F.col("code"), bits)).orderBy("code").collect()
+    assert [r.code for r in rows] == list(range(512)) and all((r.back.x, r.back.y, r.back.z) == (r.x, r.y, r.z) for r in rows)
+    walked = np.array([(r.x, r.y, r.z) for r in rows])
+    assert (np.abs(np.diff(walked, axis=0)).sum(1) == 1).all()  # neighbours along the curve are neighbours in space
+    known = spark.createDataFrame([(*p, c) for p, c in HILBERT.items()], "x long, y long, z long, want long")
+    assert all(r.code == r.want for r in known.withColumn("code", codes.hilbert(F.col("x"), F.col("y"), F.col("z"))).collect())
     rng = np.random.default_rng(0)
-    p = rng.integers(0, 65536, (100, 3))
-    assert (codes.hilbert_point(codes.hilbert_index(p)) == p).all()
+    p = spark.createDataFrame([tuple(map(int, x)) for x in rng.integers(0, 65536, (100, 3))], "x long, y long, z long")
+    code = codes.hilbert(F.col("x"), F.col("y"), F.col("z"))
+    assert all((r.b.x, r.b.y, r.b.z) == (r.x, r.y, r.z) for r in p.withColumn("code", code).withColumn("b", codes.hilbert_point(F.col("code"))).collect())
+
+
+def test_tilted_hexes_and_tet_pairs(spark):
+    hexed = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1.8, 0, 1), (1.8, 1, 1), (0, 1, 1)]
+    f = lambda p: 2.0 * p[0] + p[1] + 3.0 * p[2]
+    one = lambda corners, points: spark.createDataFrame([(i, 0, *map(float, p), *[[float(c[a]) for c in corners] for a in range(3)], [f(c) for c in corners]) for i, p in enumerate(points)], "pid long, elem_id long, px double, py double, pz double, xs array<double>, ys array<double>, zs array<double>, vs array<double>")
+    points = [(1.2, 0.5, 0.8), (0.5, 0.5, 0.5), (1.39, 0.5, 0.5), (1.41, 0.5, 0.5), (1.8, 1.0, 1.0), (0.0, 0.0, 0.0), (-0.01, 0.5, 0.5)]
+    got = [r.value for r in elements.with_plane_ratio_value(one(hexed, points), "hex").orderBy("pid").collect()]
+    x = 1.2 / (1.2 + 0.44 / math.sqrt(1.64))
+    assert got[0] == pytest.approx(0.2 * (2 * x + 0.5) + 0.8 * (3.6 * x + 3.5)) and got[1] == pytest.approx(3.16, abs=0.01)
+    assert got[2] is not None and got[3] is None and got[4] == pytest.approx(7.6) and got[5] == pytest.approx(0.0) and got[6] is None
+    tip = [(0, 0, 0), (1, 0, 0), (1.2, 1.1, 0), (0, 1, 0.2), (0.4, 0.5, 1)]
+    inside = [(0.4, 0.5, 0.5), (0.5, 0.2, 0.05), (0.2, 0.6, 0.25), (0.4, 0.5, 1.0), (0.4, 0.5, 1.1), (2.0, 2.0, 0.1)]
+    values = [r.value for r in elements.with_tet_pair_value(one(tip, inside)).orderBy("pid").collect()]
+    assert values[:4] == pytest.approx([f(p) for p in inside[:4]]) and values[4:] == [None, None]  # linear fields are met exactly
 
 
 def test_clusters_merge_to_a_fixpoint(spark):
