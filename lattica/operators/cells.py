@@ -158,6 +158,45 @@ def faces_shared(elements: DataFrame) -> DataFrame:
     return each.groupBy("face").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("faces"))
 
 
+#: Faces of elements in VTK order, seen from outside turning one way.
+ORIENTED = {
+    "tet": ((0, 2, 1), (0, 1, 3), (1, 2, 3), (0, 3, 2)),
+    "pyr": ((0, 3, 2, 1), (0, 1, 4), (1, 2, 4), (2, 3, 4), (3, 0, 4)),
+    "wedge": ((0, 2, 1), (3, 4, 5), (0, 1, 4, 3), (1, 2, 5, 4), (2, 0, 3, 5)),
+    "hex": ((0, 3, 2, 1), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7)),
+}
+
+
+def oriented_faces(elements: DataFrame) -> DataFrame:
+    """(elem, face, sign) of the triangles and quads that bound elements (kind, vertex_ids, and elem, any key).
+
+    face is the ring of corners from its smallest one on, in the direction of the smaller neighbour; sign tells whether the
+    element turns that way (1) or the other (-1). Corners that coincide are one corner; what is left of a face with fewer than three, or
+    one that is folded onto itself, bounds nothing and has no row.
+    """
+    rings = F.when(F.lit(False), F.array().cast("array<array<int>>"))
+    for kind, faces in ORIENTED.items():
+        rings = rings.when(F.col("kind") == kind, F.array(*[F.array(*map(F.lit, f)) for f in faces]))
+    ring = elements.select("elem", F.explode(F.transform(rings, lambda f: F.transform(f, lambda i: F.get("vertex_ids", i)))).alias("_r"))
+    previous = lambda i: F.get("_r", F.pmod(i - 1 + F.size("_r"), F.size("_r")))
+    ring = ring.withColumn("_r", F.filter("_r", lambda x, i: x != previous(i))).where((F.size("_r") >= 3) & (F.size(F.array_distinct("_r")) == F.size("_r")))
+    first = F.array_position("_r", F.array_min("_r")).cast("int") - 1
+    ring = ring.withColumn("_r", F.concat(F.slice("_r", first + 1, F.size("_r") - first), F.slice("_r", F.lit(1), first)))
+    other = F.concat(F.slice("_r", 1, 1), F.reverse(F.slice("_r", F.lit(2), F.size("_r") - 1)))
+    forward = F.get("_r", F.lit(1)) < F.get("_r", F.size("_r") - 1)
+    return ring.select("elem", F.when(forward, F.col("_r")).otherwise(other).alias("face"), F.when(forward, 1).otherwise(-1).alias("sign"))
+
+
+def conformity(faces: DataFrame) -> DataFrame:
+    """(face, n, net, state) of oriented faces: an inner face has two elements that turn it opposite ways and cancel.
+
+    state: boundary (one element), inner (two that cancel), inverted (two that turn it alike), multiple (more than two).
+    """
+    summed = faces.groupBy("face").agg(F.count(F.lit(1)).alias("n"), F.sum("sign").alias("net"))
+    state = F.when(F.col("n") == 1, "boundary").when(F.col("n") > 2, "multiple").when(F.col("net") == 0, "inner").otherwise("inverted")
+    return summed.withColumn("state", state)
+
+
 def cubes(elements: DataFrame, cells: DataFrame) -> DataFrame:
     """Perfect cubes (level, ix, iy, iz, ids): the level's index of the cell at their lower corner, ids in VTK order."""
     own = cells.select(F.col("cell_id").alias("_id"), *AXES, F.col("level").alias("_l"))

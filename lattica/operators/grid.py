@@ -94,7 +94,7 @@ def _crossed(low: float, edge: float, origin: Column, direction: Column) -> Call
 def walk(rays: DataFrame, low: tuple[float, ...], high: tuple[float, ...], dims: tuple[int, int, int]) -> DataFrame:
     """(ray_id, mc_id, t0, t1): the macrocells each ray crosses, with where it enters and leaves.
 
-    A ray is clipped to the grid; the planes it crosses are a sequence on each axis; the sorted distinct crossings
+    A ray is clipped to the grid; the planes it crosses are a sequence on each axis; the sorted crossings
     bound the segments, and a segment's midpoint tells its cell. Everything stays within the ray's row.
     """
     bounds = {f"l{a}": F.lit(float(l)) for a, l in zip(AXES, low)} | {f"h{a}": F.lit(float(h)) for a, h in zip(AXES, high)}
@@ -112,13 +112,34 @@ def walk(rays: DataFrame, low: tuple[float, ...], high: tuple[float, ...], dims:
         planes = F.transform(F.sequence(f"_p{a}", f"_q{a}"), _crossed(l, edge, o, v))
         crossings.append(F.when((v != 0) & (F.col(f"_p{a}") <= F.col(f"_q{a}")), planes).otherwise(F.array().cast("array<double>")))
     inside = F.filter(F.concat(*crossings), lambda t: (t >= F.col("_t0")) & (t <= F.col("_t1")))
-    r = r.withColumn("_t", F.array_sort(F.array_distinct(inside)))
+    r = r.withColumn("_t", F.array_sort(inside))  # equal ones bound no segment
     pairs = F.arrays_zip(F.slice("_t", F.lit(1), F.size("_t") - 1).alias("a"), F.slice("_t", F.lit(2), F.size("_t") - 1).alias("b"))
     s = r.select("ray_id", *[f"o{a}" for a in AXES], *[f"d{a}" for a in AXES], F.explode(pairs).alias("s")).select("*", F.col("s.a").alias("t0"), F.col("s.b").alias("t1")).where("t0 < t1")
     middle = [project_on_grid(F.col(f"o{a}") + (F.col("t0") + F.col("t1")) / 2 * F.col(f"d{a}"), l, h, d) for a, l, h, d in zip(AXES, low, high, dims)]
     return s.select("ray_id", linear_index(*middle, dims[0], dims[1]).cast("long").alias("mc_id"), "t0", "t1")
 
 
+def mirrored_walk(rays: DataFrame, low: tuple[float, ...], high: tuple[float, ...], dims: tuple[int, int, int], axis: int, plane: float) -> DataFrame:
+    """(ray_id, mc_id, t0, t1, mirrored): macrocells along rays through a volume and its reflection in a plane.
+
+    The volume is what lies below the plane on the axis; beyond it a ray sees the reflection. A ray's interval is cut at the
+    plane, and the part beyond goes, reflected, through the volume that there is: nothing is doubled. t stays the ray's own, so
+    the parts are in order along it.
+    """
+    a = AXES[axis]
+    o, d = F.col(f"o{a}"), F.col(f"d{a}")
+    at = F.try_divide(F.lit(float(plane)) - o, d)
+    within = F.when(d == 0, F.when(o < plane, F.col("tmax")).otherwise(F.col("tmin"))).otherwise(F.greatest("tmin", F.least("tmax", at)))
+    r = rays.withColumn("_at", within)
+    below_first = (d > 0) | ((d == 0) & (o < plane))
+    near, far = F.struct(F.col("tmin").alias("a"), F.col("_at").alias("b"), (~below_first).alias("mirrored")), F.struct(F.col("_at").alias("a"), F.col("tmax").alias("b"), below_first.alias("mirrored"))
+    parts = r.withColumn("_p", F.explode(F.array(near, far))).where("_p.a < _p.b")
+    turned = F.col("_p.mirrored")
+    parts = parts.withColumns({f"o{a}": F.when(turned, 2 * plane - o).otherwise(o), f"d{a}": F.when(turned, -d).otherwise(d), "tmin": F.col("_p.a"), "tmax": F.col("_p.b")})
+    walked = walk(parts.withColumn("ray_id", F.struct("ray_id", turned.alias("mirrored"))).drop("_p", "_at"), low, high, dims)
+    return walked.select("ray_id.ray_id", "mc_id", "t0", "t1", "ray_id.mirrored")
+
+
 def first_active(segments: DataFrame, majorants: DataFrame) -> DataFrame:
     """Segments in cells whose majorant isn't 0, numbered along each ray."""
     active = segments.join(majorants.where("max_opacity > 0"), "mc_id")

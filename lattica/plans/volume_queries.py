@@ -15,6 +15,7 @@ from lattica.operators import mesh as U
 from lattica.operators import numbering as N
 from lattica.operators import pyramid as P
 from lattica.operators import rays as Y
+from lattica.operators import wavefront as W
 from lattica.operators.range_join import join_points
 from lattica.plans.derived import oracle
 from lattica.plans.derived import relation as R
@@ -284,6 +285,27 @@ def t7_ray_march(s, d):
     return rounded(Y.composite(lit, ("r",)), "r", "alpha")
 
 
+def w4_wavefront_march(s, d):
+    """The rows of t7_ray_march, in fronts that leave out what opaque rays don't see."""
+    cells = materialise(R(s, d, "cells"))
+    maj = M.with_majorants(M.cell_ranges(cells, LOW, HIGH, DIMS), RAMP, 0.0, 0.0837)
+    rays = R(s, d, "rays")
+    seg = M.walk(rays, LOW, HIGH, DIMS).join(maj.where("max_opacity > 0").select("mc_id"), "mc_id", "left_semi")
+    lattice = S.Lattice.of(cells)
+    shade = lambda v: {c: lookup(v, RAMP, 0.0, 0.0837)[c] for c in "ra"}
+    return rounded(W.march(rays, seg, lambda points: S.sample_cells(points, lattice), shade, 2.0, ("r",)), "r", "alpha")
+
+
+def p30_mirrored_walk(s, d):
+    return rounded(M.mirrored_walk(R(s, d, "rays"), LOW, HIGH, DIMS, 1, 64.0), "t0", "t1")
+
+
+def g9_oriented_faces(s, d):
+    elements = C.classify(C.dual_cells(R(s, d, "patch"))).withColumn("elem", F.struct("cell_id", "octant"))
+    found = C.conformity(C.oriented_faces(elements))
+    return found.groupBy(F.size("face").cast("long").alias("corners"), "state").agg(F.count(F.lit(1)).alias("faces"))
+
+
 def w7_running_sum(s, d):
     o = R(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 7).alias("v"))
     return N.running_sum(o, "o_orderkey", "v", "total", width=1024).select("o_orderkey", "total")
@@ -294,7 +316,7 @@ def w8_run_lengths(s, d):
     return N.run_lengths(o, "o_orderkey", "status", width=1024).groupBy("status", "n").agg(F.count(F.lit(1)).alias("runs"))
 
 
-_NAMES = "a1_bounds_and_range a2_dense_macrocells a3_element_ranges a4_gridlet_ranges a5_cell_ranges a7_brick_ranges a8_largest_gridlet a9_gridlet_value_ranges a10_macrocell_majorants g8_active_macrocells a11_splatted_ranges a12_vertex_compaction a13_elements_by_kind a14_memory_statistics a24_distinct_vertices a27_accumulated_pixels a28_frame_times e1_gridlet_trilinear e2_tetrahedra e5_hexahedra e6_plane_ratios e6_tilted_hexes j1_sample_cells j2_sample_regions j3_sample_bricks j9_find_cells j10_dual_cells g3_dual_elements a20_element_counts g4_gridlets a19_gridlet_counts g5_regions a15_region_ranges a16_region_statistics g9_shared_faces j11_scalar_lookup j12_vertex_lookup j14_adjacent_bricks j15_rays_and_boxes o6_first_box j16_rays_and_triangles j17_box_ranges w1_grid_walk w4_composite w5_first_step w6_region_steps t7_ray_march w7_running_sum w8_run_lengths".split()
+_NAMES = "a1_bounds_and_range a2_dense_macrocells a3_element_ranges a4_gridlet_ranges a5_cell_ranges a7_brick_ranges a8_largest_gridlet a9_gridlet_value_ranges a10_macrocell_majorants g8_active_macrocells a11_splatted_ranges a12_vertex_compaction a13_elements_by_kind a14_memory_statistics a24_distinct_vertices a27_accumulated_pixels a28_frame_times e1_gridlet_trilinear e2_tetrahedra e5_hexahedra e6_plane_ratios e6_tilted_hexes j1_sample_cells j2_sample_regions j3_sample_bricks j9_find_cells j10_dual_cells g3_dual_elements a20_element_counts g4_gridlets a19_gridlet_counts g5_regions a15_region_ranges a16_region_statistics g9_shared_faces j11_scalar_lookup j12_vertex_lookup j14_adjacent_bricks j15_rays_and_boxes o6_first_box j16_rays_and_triangles j17_box_ranges w1_grid_walk w4_composite w5_first_step w6_region_steps t7_ray_march w4_wavefront_march p30_mirrored_walk g9_oriented_faces w7_running_sum w8_run_lengths".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _ALPHA = "(CASE i " + " ".join(f"WHEN {i} THEN {e[3]!r}e0" for i, e in enumerate(RAMP)) + " ELSE 0e0 END)"
@@ -380,6 +402,11 @@ seg AS (SELECT ray_id, t AS t0, lead(t) OVER (PARTITION BY ray_id ORDER BY t) AS
 walk AS (SELECT ray_id, CAST(mx + 8 * (my + 8 * mz) AS BIGINT) AS mc_id, t0, t1 FROM (SELECT s.*, """ + ", ".join(f"{_bin(f'(o{a} + (t0 + t1) / 2 * d{a})', 0, 64, 8)} AS m{a}" for a in "xyz") + " FROM seg s JOIN ent USING (ray_id) WHERE t0 < t1))"
 _COMPOSITE = "SELECT ray_id, round(sum(c * a * r), 6) AS r, round(sum(c * a), 6) AS alpha FROM (SELECT *, exp(coalesce(sum(CASE WHEN a < 1 THEN ln(1 - a) ELSE -1e3 END) OVER (PARTITION BY ray_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS c FROM smp) WHERE 1 - c < 0.99e0 GROUP BY ray_id"
 
+#: The walk through the volume and its reflection above y = 64, as one grid of twice the cells along y.
+_DOUBLED = _WALK.replace("(64 - oy)", "(128 - oy)").replace("UNION SELECT ray_id, (k * 8 - oy) / dy FROM ent CROSS JOIN (SELECT range + 1 AS k FROM range(7))", "UNION SELECT ray_id, (k * 8 - oy) / dy FROM ent CROSS JOIN (SELECT range + 1 AS k FROM range(15))").replace(f"{_bin('(oy + (t0 + t1) / 2 * dy)', 0, 64, 8)} AS my", f"{_bin('(oy + (t0 + t1) / 2 * dy)', 0, 128, 16)} AS my").replace("CAST(mx + 8 * (my + 8 * mz) AS BIGINT) AS mc_id", "CAST(mx + 8 * (CASE WHEN my < 8 THEN my ELSE 15 - my END + 8 * mz) AS BIGINT) AS mc_id, my >= 8 AS mirrored")
+_RING = "list_filter(list_transform(range(1, len(f) + 1), lambda i: CASE WHEN f[i] <> f[CASE WHEN i = 1 THEN len(f) ELSE i - 1 END] THEN f[i] END), lambda x: x IS NOT NULL)"
+_FACES_OF = " UNION ALL ".join(f"SELECT [{', '.join(f'ids[{i + 1}]' for i in f)}] AS f FROM els WHERE kind = '{kind}'" for kind, faces in C.ORIENTED.items() for f in faces)
+
 ORACLES = {
     k: oracle(v)
     for k, v in {
@@ -432,6 +459,9 @@ ORACLES = {
         "w5_first_step": f"WITH {_WALK} SELECT ray_id, count(*) AS n, min(i) AS first, max(i) AS last FROM (SELECT ray_id, unnest(range(CAST(ceil(t0 / 1.5e0) AS BIGINT), CAST(ceil(t1 / 1.5e0) AS BIGINT))) AS i FROM walk) GROUP BY ray_id",
         "w6_region_steps": f"SELECT ray_id, count(*) AS n, round(sum(1 - power(0.7e0, w * 0.5e0)), 6) AS a FROM (SELECT ray_id, w, unnest(range(CAST(ceil(t0 / (w * 0.5e0)) AS BIGINT), CAST(ceil(t1 / (w * 0.5e0)) AS BIGINT))) AS i FROM ({_RAYBOX}) WHERE t0 < t1) GROUP BY ray_id",
         "t7_ray_march": f"WITH {_WALK}, st AS (SELECT DISTINCT ray_id, i FROM (SELECT ray_id, unnest(range(CAST(ceil(t0 / 2e0) AS BIGINT), CAST(ceil(t1 / 2e0) AS BIGINT))) AS i FROM walk WHERE mc_id IN (SELECT mc_id FROM {_maj('0e0', '0.0837e0')} WHERE max_opacity > 0))), pt AS (SELECT ray_id * 10000 + i AS pid, {', '.join(f'o{a} + i * 2e0 * d{a} AS p{a}' for a in 'xyz')} FROM st JOIN {{rays}} USING (ray_id)), smp AS (SELECT pid // 10000 AS ray_id, pid % 10000 AS t, power(i / 15e0, 2) AS a, i / 15e0 AS r FROM (SELECT pid, least(15, CAST(floor(least(1e0, greatest(0e0, value / 0.0837e0)) * 16) AS INT)) AS i FROM {_SAMPLE.replace('POINTS', 'pt')})) {_COMPOSITE}",
+        "w4_wavefront_march": f"WITH {_WALK}, st AS (SELECT DISTINCT ray_id, i FROM (SELECT ray_id, unnest(range(CAST(ceil(t0 / 2e0) AS BIGINT), CAST(ceil(t1 / 2e0) AS BIGINT))) AS i FROM walk WHERE mc_id IN (SELECT mc_id FROM {_maj('0e0', '0.0837e0')} WHERE max_opacity > 0))), pt AS (SELECT ray_id * 10000 + i AS pid, {', '.join(f'o{a} + i * 2e0 * d{a} AS p{a}' for a in 'xyz')} FROM st JOIN {{rays}} USING (ray_id)), smp AS (SELECT pid // 10000 AS ray_id, pid % 10000 AS t, power(i / 15e0, 2) AS a, i / 15e0 AS r FROM (SELECT pid, least(15, CAST(floor(least(1e0, greatest(0e0, value / 0.0837e0)) * 16) AS INT)) AS i FROM {_SAMPLE.replace('POINTS', 'pt')})) {_COMPOSITE}",
+        "p30_mirrored_walk": f"WITH {_DOUBLED} SELECT ray_id, mc_id, round(t0, 6) AS t0, round(t1, 6) AS t1, mirrored FROM walk",
+        "g9_oriented_faces": f"WITH {_DUAL}, {_KIND}, els AS (SELECT kind, list_transform(string_split({_ORDERED}, ','), lambda x: CAST(x AS BIGINT)) AS ids FROM kinds WHERE kind IS NOT NULL), rings AS (SELECT {_RING} AS r FROM ({_FACES_OF})), turned AS (SELECT list_concat(r[list_position(r, list_min(r)):], r[:list_position(r, list_min(r)) - 1]) AS r FROM rings WHERE len(r) >= 3 AND len(list_distinct(r)) = len(r)), signed AS (SELECT CASE WHEN r[2] < r[len(r)] THEN r ELSE list_concat([r[1]], list_reverse(r[2:])) END AS face, CASE WHEN r[2] < r[len(r)] THEN 1 ELSE -1 END AS sign FROM turned) SELECT CAST(len(face) AS BIGINT) AS corners, state, count(*) AS faces FROM (SELECT face, CASE WHEN count(*) = 1 THEN 'boundary' WHEN count(*) > 2 THEN 'multiple' WHEN sum(sign) = 0 THEN 'inner' ELSE 'inverted' END AS state FROM signed GROUP BY face) GROUP BY ALL",
         "w7_running_sum": "SELECT o_orderkey, CAST(sum(o_orderkey % 7) OVER (ORDER BY o_orderkey) AS BIGINT) AS total FROM orders",
         "w8_run_lengths": "SELECT status, n, count(*) AS runs FROM (SELECT status, g, count(*) AS n FROM (SELECT o_orderstatus AS status, row_number() OVER (ORDER BY o_orderkey) - row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS g FROM orders) GROUP BY status, g) GROUP BY status, n",
     }.items()

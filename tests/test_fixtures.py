@@ -11,7 +11,7 @@ from lattica.functions import codes, elements
 from lattica.functions import geometry as G
 from lattica.operators import bricks as B
 from lattica.operators import cells as C
-from lattica.operators import clusters, fields, grid, majorant_tree, mesh, numbering, pyramid, rays, tracking, tree
+from lattica.operators import clusters, fields, grid, majorant_tree, mesh, numbering, pyramid, rays, tracking, tree, wavefront
 from lattica.operators.range_join import join_boxes, join_points
 from lattica.schema import BRICKS, CELLS
 
@@ -234,6 +234,61 @@ def test_numbering(spark):
 HILBERT = {(0, 0, 0): 0, (1, 0, 0): 1, (0, 1, 0): 3, (0, 0, 1): 7, (65535, 0, 0): 49146424505035, (0, 65535, 0): 111696419329625, (0, 0, 65535): 281474976710655, (65535, 65535, 65535): 189883912860363, (12345, 54321, 33333): 149299103185477}
 
 
+HEXES = "elem long, kind string, vertex_ids array<long>"
+
+
+def test_faces_cancel_or_are_found(spark):
+    at = lambda x, y, z: x + 3 * y + 6 * z  # noqa: E731  vertices of two cells side by side
+    cube = lambda x: [at(x + a, b, c) for c in (0, 1) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))]
+    left, right = cube(0), cube(1)
+    pyramid = [*left[4:], 100]  # on top of the left one
+    whole = [(0, "hex", left), (1, "hex", right), (2, "pyr", pyramid)]
+    states = lambda rows: {r.state: r["count"] for r in C.conformity(C.oriented_faces(spark.createDataFrame(rows, HEXES))).groupBy("state").count().collect()}
+    assert states(whole) == {"inner": 2, "boundary": 13}
+    inside_out = [right[i] for i in (0, 3, 2, 1, 4, 7, 6, 5)]
+    assert states([whole[0], (1, "hex", inside_out), whole[2]]) == {"inner": 1, "inverted": 1, "boundary": 13}
+    assert states([*whole, (3, "hex", left)]) == {"multiple": 2, "inverted": 4, "boundary": 9}  # one element twice
+    # a wedge as a hex with two edges collapsed bounds what a wedge bounds
+    wedge = [0, 1, 2, 10, 11, 12]
+    collapsed = [0, 1, 2, 2, 10, 11, 12, 12]
+    faces = lambda kind, ids: {(tuple(r.face), r.sign) for r in C.oriented_faces(spark.createDataFrame([(0, kind, ids)], HEXES)).collect()}
+    assert faces("wedge", wedge) == faces("hex", collapsed) and len(faces("wedge", wedge)) == 5
+    assert len(faces("tet", [3, 1, 2, 0])) == 4 and {(f, -g) for f, g in faces("tet", [3, 1, 2, 0])} == faces("tet", [1, 3, 2, 0])
+    assert faces("tet", [1, 1, 2, 3]) == {((1, 2, 3), g) for g in (1, -1)}  # flat: its two sides cancel
+
+
+def test_a_mirrored_walk_is_the_walk_through_both(spark):
+    rng = np.random.default_rng(8)
+    o, d = rng.uniform((-0.5, -1, -0.5), (4.5, 9, 4.5), (80, 3)), rng.normal(size=(80, 3))
+    d[:6, 1] = 0.0
+    rows = [(i, *map(float, a), *map(float, b), 0.0, 1e20 if i % 3 else 6.0) for i, (a, b) in enumerate(zip(o, d))]
+    r = spark.createDataFrame(rows, "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double, tmin double, tmax double")
+    got = grid.mirrored_walk(r, (0.0,) * 3, (4.0, 4.0, 4.0), (2, 2, 2), 1, 4.0).collect()
+    both = grid.walk(r, (0.0,) * 3, (4.0, 8.0, 4.0), (2, 4, 2)).collect()
+    unfold = lambda m, far: m % 2 + 2 * ((3 - m // 2 % 2 if far else m // 2 % 2) + 4 * (m // 4))
+    key = lambda rows: sorted((r[0], round(r[2], 9), round(r[3], 9), r[1]) for r in rows if r[3] - r[2] > 1e-9)
+    assert key([(r.ray_id, unfold(r.mc_id, r.mirrored), r.t0, r.t1) for r in got]) == key(map(tuple, both)) and len(both) > 100
+
+
+def test_fronts_stop_at_opaque_rays(spark):
+    n, length = 40, 64
+    r = spark.range(n).select(F.col("id").alias("ray_id"), *[F.lit(v).alias(c) for c, v in zip(("ox", "oy", "oz", "dx", "dy", "dz"), (0.0, 0.0, 0.0, 1.0, 0.0, 0.0))])
+    seg = r.select("ray_id", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("k")).select("ray_id", F.col("k").cast("double").alias("t0"), (F.col("k") + 1.0).alias("t1"))
+    asked = []
+
+    def sample(points):
+        asked.append(points.count())
+        return points.select("pid", F.when(F.col("pid.ray_id") % 4 == 0, 0.01).otherwise(0.9).alias("value"))
+
+    shade = lambda v: {"r": v, "a": v}
+    got = {x.ray_id: (x.r, x.alpha) for x in wavefront.march(r, seg, sample, shade, 0.5, ("r",)).collect()}
+    plain = rays.steps(seg, 0.5).withColumn("r", F.when(F.col("ray_id") % 4 == 0, 0.01).otherwise(0.9)).withColumn("a", F.col("r"))
+    want = {x.ray_id: (x.r, x.alpha) for x in rays.composite(plain, ("r",)).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+    # three in four rays are opaque after two samples, in the first front of four segments; the others go all the way
+    assert sum(asked) == n * 8 + n // 4 * (2 * length - 8) and len(asked) == 5
+
+
 def test_curves(spark):
     bits = 3
     at = [((F.col("id") / 8**i) % 8).cast("long") for i in range(3)]
