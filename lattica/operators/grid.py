@@ -129,7 +129,7 @@ def mirrored_walk(rays: DataFrame, low: tuple[float, ...], high: tuple[float, ..
     a = AXES[axis]
     o, d = F.col(f"o{a}"), F.col(f"d{a}")
     at = F.try_divide(F.lit(float(plane)) - o, d)
-    within = F.when(d == 0, F.when(o < plane, F.col("tmax")).otherwise(F.col("tmin"))).otherwise(F.greatest("tmin", F.least("tmax", at)))
+    within = F.when(d == 0, F.col("tmax")).otherwise(F.greatest("tmin", F.least("tmax", at)))
     r = rays.withColumn("_at", within)
     below_first = (d > 0) | ((d == 0) & (o < plane))
     near, far = F.struct(F.col("tmin").alias("a"), F.col("_at").alias("b"), (~below_first).alias("mirrored")), F.struct(F.col("_at").alias("a"), F.col("tmax").alias("b"), below_first.alias("mirrored"))
