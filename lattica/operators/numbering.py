@@ -8,49 +8,59 @@ from pyspark.sql.window import Window
 
 from lattica.storage import materialise
 
-#: Keys of a bucket: rows of one bucket are sorted by one task.
-BUCKET = 65_536
 
+def _ranged(df: DataFrame, by: list[str], ranges: int | None) -> DataFrame:
+    """df, written in ranges between sampled quantiles, with each row's range and place in it.
 
-def _bucketed(df: DataFrame, key: str, weight: Column, width: int) -> DataFrame:
-    """_before: weights of all earlier buckets. Buckets are counted first (map-side combined), then summed up."""
-    marked = df.withColumn("_bucket", F.floor(F.col(key) / width).cast("long"))
-    sums = marked.groupBy("_bucket").agg(F.sum(weight).alias("_sum"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))  # a row a bucket
-    return marked.join(before, "_bucket")
+    Keys may lie as unevenly as they like; rows that agree in all of these columns stand in any order, and rows that agree in the
+    first may be cut by the next. There are as many ranges as shuffle partitions, or the number given.
+    """
+    dealt = df.repartitionByRange(*([ranges] if ranges else []), *by).sortWithinPartitions(*by)
+    return materialise(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
 
 
-def dense_ids(df: DataFrame, key: str, name: str, ties: list[str] | None = None, width: int = BUCKET) -> DataFrame:
-    """Numbers from 0 in order of an integer key (then of ties), as a long column."""
-    order = Window.partitionBy("_bucket").orderBy(key, *(ties or []))
-    return _bucketed(df, key, F.lit(1), width).withColumn(name, (F.col("_before") + F.row_number().over(order) - 1).cast("long")).drop("_bucket", "_before")
+def _before(written: DataFrame, weight: Column) -> DataFrame:
+    """(_range, _before): what the earlier ranges weigh; a row a range, so it can be broadcast."""
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = written.groupBy("_range").agg(F.sum(weight).alias("_sum"))
+    return F.broadcast(sums.select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")))
 
 
-def ordinal(df: DataFrame, by: list[str], name: str) -> DataFrame:
+def ordinal(df: DataFrame, by: list[str], name: str, ranges: int | None = None) -> DataFrame:
     """Numbers from 0 in the order of any columns, as a long column.
 
-    Rows are dealt to ranges between sampled quantiles, so that keys may lie as unevenly as they like; ranges are written
-    with each row's place in its own, and earlier ranges' sizes, a number a range, are added. Rows that agree in all of
-    these columns are numbered in any order.
+    A range is written with each row's place in it, and the sizes of earlier ranges are added.
     """
-    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    written = materialise(ranged)
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = written.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))  # a row a range
-    return written.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+    written = _ranged(df, by, ranges)
+    return written.join(_before(written, F.lit(1)), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
 
+def dense_ids(df: DataFrame, key: str, name: str, ties: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """Numbers from 0 in order of a key (then of ties), as a long column."""
+    return ordinal(df, [key, *(ties or [])], name, ranges)
 
-def running_sum(df: DataFrame, key: str, value: str, name: str, width: int = BUCKET) -> DataFrame:
-    """Sum of value over all rows up to this one, in order of a unique integer key."""
-    order = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return _bucketed(df, key, F.col(value), width).withColumn(name, F.col("_before") + F.sum(value).over(order)).drop("_bucket", "_before")
 
+def running_sum(df: DataFrame, key: str, value: str, name: str, ranges: int | None = None) -> DataFrame:
+    """Sum of value over all rows up to this one, in order of a unique key: within a range, and what the earlier ones add up to."""
+    written = _ranged(df, [key], ranges)
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = written.withColumn("_own", F.sum(value).over(inside))
+    return summed.join(_before(written, F.col(value)), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_at", "_own", "_before")
 
-def run_lengths(df: DataFrame, key: str, value: str, width: int = BUCKET) -> DataFrame:
-    """(run, value, n): runs of equal values in order of a unique integer key, numbered from 0."""
-    numbered = dense_ids(df.select(key, value), key, "_n")
-    earlier = numbered.select((F.col("_n") + 1).alias("_n"), F.col(value).alias("_last"))
-    starts = numbered.join(earlier, "_n", "left").withColumn("_new", F.when((F.col("_n") == 0) | ~F.col(value).eqNullSafe(F.col("_last")), 1).otherwise(0))
-    runs = running_sum(starts, "_n", "_new", "_run", width)
+
+def run_lengths(df: DataFrame, key: str, value: str, ranges: int | None = None) -> DataFrame:
+    """(run, value, n): runs of equal values in order of a unique key, numbered from 0.
+
+    Within a range a run starts where the value changes; across ranges each first row is held against the last row of the
+    nearest earlier range that has rows, which is one row a range.
+    """
+    written = _ranged(df.select(key, value), [key], ranges)
+    inside = Window.partitionBy("_range").orderBy("_at")
+    ends = written.groupBy("_range").agg(F.max_by(F.struct(F.col(value).alias("v")), "_at").alias("_last"))
+    last = F.broadcast(ends.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_earlier")))
+    placed = written.withColumn("_previous", F.lag(F.struct(F.col(value).alias("v"))).over(inside)).join(last, "_range")
+    previous = F.coalesce("_previous", "_earlier")
+    marked = placed.withColumn("_new", F.when(previous.isNull() | ~F.col(value).eqNullSafe(previous["v"]), 1).otherwise(0)).drop("_previous", "_earlier")
+    started = marked.withColumn("_own", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = started.join(_before(marked, F.col("_new")), "_range").withColumn("_run", F.col("_before") + F.col("_own"))
     return runs.groupBy((F.col("_run") - 1).cast("long").alias("run"), value).agg(F.count(F.lit(1)).alias("n"))

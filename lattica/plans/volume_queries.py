@@ -308,12 +308,12 @@ def g9_oriented_faces(s, d):
 
 def w7_running_sum(s, d):
     o = R(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 7).alias("v"))
-    return N.running_sum(o, "o_orderkey", "v", "total", width=1024).select("o_orderkey", "total")
+    return N.running_sum(o, "o_orderkey", "v", "total").select("o_orderkey", "total")
 
 
 def w8_run_lengths(s, d):
     o = R(s, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    return N.run_lengths(o, "o_orderkey", "status", width=1024).groupBy("status", "n").agg(F.count(F.lit(1)).alias("runs"))
+    return N.run_lengths(o, "o_orderkey", "status").groupBy("status", "n").agg(F.count(F.lit(1)).alias("runs"))
 
 
 _NAMES = "a1_bounds_and_range a2_dense_macrocells a3_element_ranges a4_gridlet_ranges a5_cell_ranges a7_brick_ranges a8_largest_gridlet a9_gridlet_value_ranges a10_macrocell_majorants g8_active_macrocells a11_splatted_ranges a12_vertex_compaction a13_elements_by_kind a14_memory_statistics a24_distinct_vertices a27_accumulated_pixels a28_frame_times e1_gridlet_trilinear e2_tetrahedra e5_hexahedra e6_plane_ratios e6_tilted_hexes j1_sample_cells j2_sample_regions j3_sample_bricks j9_find_cells j10_dual_cells g3_dual_elements a20_element_counts g4_gridlets a19_gridlet_counts g5_regions a15_region_ranges a16_region_statistics g9_shared_faces j11_scalar_lookup j12_vertex_lookup j14_adjacent_bricks j15_rays_and_boxes o6_first_box j16_rays_and_triangles j17_box_ranges w1_grid_walk w4_composite w5_first_step w6_region_steps t7_ray_march w4_wavefront_march p30_mirrored_walk g9_oriented_faces w7_running_sum w8_run_lengths".split()

@@ -215,12 +215,12 @@ def test_numbering(spark):
     rng = np.random.default_rng(4)
     keys = sorted(set(rng.integers(0, 5000, 800).tolist()))
     df = spark.createDataFrame([(k, int(k % 3)) for k in keys], "k long, v long")
-    got = {r.k: (r.n, r.total) for r in numbering.running_sum(numbering.dense_ids(df, "k", "n", width=64), "k", "v", "total", width=64).collect()}
+    got = {r.k: (r.n, r.total) for r in numbering.running_sum(numbering.dense_ids(df, "k", "n", ranges=7), "k", "v", "total", ranges=7).collect()}
     total = 0
     for n, k in enumerate(keys):
         total += k % 3
         assert got[k] == (n, total)
-    runs = [(r.v, r.n) for r in numbering.run_lengths(df, "k", "v", width=64).orderBy("run").collect()]
+    runs = [(r.v, r.n) for r in numbering.run_lengths(df, "k", "v", ranges=7).orderBy("run").collect()]
     want = []
     for k in keys:
         if want and want[-1][0] == k % 3:
