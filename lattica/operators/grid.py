@@ -23,11 +23,16 @@ def value_ranges(boxes: DataFrame, low: Bounds | tuple[float, ...], high: tuple[
     Boxes are exploded to the macrocells they touch and reduced with map-side combination, so what is shuffled is
     a row for each macrocell and task.
     """
+    return touched(boxes, low, high, dims, vmin, vmax).groupBy("mc_id").agg(F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
+
+
+def touched(boxes: DataFrame, low: tuple[float, ...], high: tuple[float, ...], dims: tuple[int, int, int], vmin: str = "vmin", vmax: str = "vmax") -> DataFrame:
+    """(mc_id, vmin, vmax): a row for each box and macrocell that it touches."""
     found = boxes.where(F.col(vmin).isNotNull() & ~F.isnan(vmin) & F.col(vmax).isNotNull() & ~F.isnan(vmax))
     for a, l, h, d in zip(AXES, low, high, dims):
         found = found.withColumn(f"_m{a}", F.explode(F.sequence(project_on_grid(F.col(f"l{a}"), l, h, d), project_on_grid(F.col(f"h{a}"), l, h, d))))
     mc = linear_index(F.col("_mx"), F.col("_my"), F.col("_mz"), dims[0], dims[1]).cast("long")
-    return found.groupBy(mc.alias("mc_id")).agg(F.min(vmin).alias("vmin"), F.max(vmax).alias("vmax"))
+    return found.select(mc.alias("mc_id"), F.col(vmin).alias("vmin"), F.col(vmax).alias("vmax"))
 
 
 def cell_ranges(cells: DataFrame, low: tuple[float, ...], high: tuple[float, ...], dims: tuple[int, int, int]) -> DataFrame:

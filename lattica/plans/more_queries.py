@@ -154,7 +154,21 @@ def stream_accumulation(s, d):
     return rounded(accumulate.run(s, f"{at}/frames", "epoch int, pixel long, value double", at), "mean")
 
 
-_NAMES = "e3_pyramids e4_wedges e7_all_elements e6_pyramid_ratios e6_wedge_ratios j5_stitched g5_points_in_regions a16_brick_volume a6_region_macrocells a23_morton_boxes o1_cell_order w3_tree_traversal s6_gridlet_files s14_cube_files s11_domain_files s12_transfer_function stream_accumulation".split()
+def stream_majorants(s, d):
+    """a10_macrocell_majorants as a stream leaves them: cells in two parts, a transfer function between them, another one after them."""
+    from lattica.streaming import majorants
+
+    at = shared_dir(s)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("version", "long"), ("alphas", "array<double>"), ("low", "double"), ("high", "double"))]
+    cells = R(s, d, "cells").select("cell_id", "x", "y", "z", "level", "value", *none)
+    function = lambda version, power: s.createDataFrame([(None, None, None, None, None, version, [e[3] ** power for e in V.RAMP], 0.0, 0.08)], majorants.CHANGES)
+    for change in (cells.where("cell_id % 2 = 0").drop("cell_id"), function(1, 2.0), cells.where("cell_id % 2 <> 0").drop("cell_id"), function(2, 1.0)):
+        change.write.mode("append").parquet(f"{at}/changes")
+    changed = majorants.run(s, f"{at}/changes", at, V.LOW, V.HIGH, V.DIMS)
+    return rounded(majorants.latest(changed), "max_opacity")
+
+
+_NAMES = "e3_pyramids e4_wedges e7_all_elements e6_pyramid_ratios e6_wedge_ratios j5_stitched g5_points_in_regions a16_brick_volume a6_region_macrocells a23_morton_boxes o1_cell_order w3_tree_traversal s6_gridlet_files s14_cube_files s11_domain_files s12_transfer_function stream_accumulation stream_majorants".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _PYR = f"(SELECT *, r / (1 - t) AS u, s / (1 - t) AS v FROM {V._LOCAL} WHERE p_partkey % 4 = 2 AND t < 1)"
@@ -193,6 +207,7 @@ ORACLES = {
         "s11_domain_files": f"SELECT row_number() OVER (ORDER BY brick_id) - 1 AS domain_id, {', '.join(f'dl{a} AS l{a}, dh{a} AS h{a}' for a in 'xyz')}, round(CAST(CAST(brick_id % 100 / 100e0 AS FLOAT) AS DOUBLE), 6) AS majorant FROM (SELECT brick_id, {V._DOMAIN} FROM {{bricks}})",
         "s12_transfer_function": "SELECT range AS i, 1e0 AS scale, 0e0 AS low, 100e0 AS high, round(CAST(CAST(range / 15e0 AS FLOAT) AS DOUBLE), 6) AS r, round(CAST(CAST(power(range / 15e0, 2) AS FLOAT) AS DOUBLE), 6) AS a FROM range(16)",
         "s15_blocks": "SELECT pid, round(sum(wt * v) / sum(wt), 6) AS value FROM (SELECT p.range AS pid, v, greatest(0e0, 1 - abs(p.range / 10e0 - (x + 0.5e0 * w)) / w) * greatest(0e0, 1 - abs(1 - (y + 0.5e0 * w)) / w) * greatest(0e0, 1 - abs(1 - (z + 0.5e0 * w)) / w) AS wt FROM range(41) p CROSS JOIN (SELECT range % 2 AS x, range // 2 % 2 AS y, range // 4 AS z, 1e0 AS w, range / 8e0 AS v FROM range(8) UNION ALL SELECT 2, 0, 0, 2e0, 1e0)) GROUP BY pid HAVING sum(wt) > 0",
+        "stream_majorants": f"SELECT mc_id, vmin, vmax, round(max_opacity, 6) AS max_opacity FROM {V._maj('0e0', '0.08e0')}",
         "stream_accumulation": "SELECT frame AS epoch, pixel, count(*) AS frames, round(avg(value), 6) AS mean FROM {frames} GROUP BY frame, pixel",
     }.items()
 }
