@@ -76,6 +76,21 @@ def a16_brick_volume(s, d):
     return r.select(F.round(F.col("volume") * F.col("mean_by_volume"), 3).alias("volume"))
 
 
+def _region_rows(s, d):
+    b = V.bricks(s, d)
+    return B.regions(b).withColumn("bricks", F.array_join("brick_ids", ",")), b
+
+
+def g5_region_boxes(s, d):
+    """The regions by their boxes, which SQL can name, too."""
+    return _region_rows(s, d)[0].select(*B.SIDES, "bricks")
+
+
+def a15_region_values(s, d):
+    found, b = _region_rows(s, d)
+    return B.region_ranges(found.drop("bricks"), b).join(found, "region_id").select(*B.SIDES, "vmin", "vmax", "finest_w")
+
+
 def a6_region_macrocells(s, d):
     b = V.bricks(s, d)
     regions = materialise(B.regions(b))
@@ -168,7 +183,7 @@ def stream_majorants(s, d):
     return rounded(majorants.latest(changed), "max_opacity")
 
 
-_NAMES = "e3_pyramids e4_wedges e7_all_elements e6_pyramid_ratios e6_wedge_ratios j5_stitched g5_points_in_regions a16_brick_volume a6_region_macrocells a23_morton_boxes o1_cell_order w3_tree_traversal s6_gridlet_files s14_cube_files s11_domain_files s12_transfer_function stream_accumulation stream_majorants".split()
+_NAMES = "e3_pyramids e4_wedges e7_all_elements e6_pyramid_ratios e6_wedge_ratios j5_stitched g5_points_in_regions g5_region_boxes a15_region_values a16_brick_volume a6_region_macrocells a23_morton_boxes o1_cell_order w3_tree_traversal s6_gridlet_files s14_cube_files s11_domain_files s12_transfer_function stream_accumulation stream_majorants".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _PYR = f"(SELECT *, r / (1 - t) AS u, s / (1 - t) AS v FROM {V._LOCAL} WHERE p_partkey % 4 = 2 AND t < 1)"
@@ -187,6 +202,30 @@ _N = "(SELECT count(*) FROM {vectors})"
 #: Clusters of at most 12 from single points: pairs, fours, eights; a rest of 4 or fewer joins the eight before it if that is its pair.
 _CLUSTER = f"CASE WHEN rank // 8 = {_N} // 8 AND {_N} % 8 <= 4 AND ({_N} // 8) % 2 = 1 THEN rank // 8 - 1 ELSE rank // 8 END"
 
+
+def _regions_sql() -> str:
+    """regs (node, lx..hz, ids): space cut at faces of bricks, level by level, as a recursion; leaves are nodes that were not cut."""
+    inside = lambda c, a: f"CASE WHEN {c}{a} > dl{a} AND {c}{a} < dh{a} THEN abs({c}{a} - (dl{a} + dh{a}) / 2) END"
+    near = ", ".join(f"least(coalesce(min({inside('l', a)}) OVER w, 1e30), coalesce(min({inside('h', a)}) OVER w, 1e30)) AS f{a}" for a in "xyz")
+    at = ", ".join(f"CASE WHEN f{a} < 1e30 THEN least(coalesce(min(CASE WHEN {inside('l', a)} = f{a} THEN l{a} END) OVER w, 1e30), coalesce(min(CASE WHEN {inside('h', a)} = f{a} THEN h{a} END) OVER w, 1e30)) END AS p{a}" for a in "xyz")
+    span = {a: f"(dh{a} - dl{a})" for a in "xyz"}
+    wide = f"greatest({', '.join(span.values())})"
+    order = {"x": "xyz", "y": "yzx", "z": "zxy"}
+    axis = "CASE " + " ".join(f"WHEN {span[a]} = {wide} THEN " + "CASE " + " ".join(f"WHEN p{b} IS NOT NULL THEN '{b}'" for b in order[a]) + " END" for a in "xyz") + " END"
+    clipped = ", ".join([f"CASE WHEN axis = '{a}' AND side = 'r' THEN greatest(l{a}, p{a}) ELSE l{a} END AS l{a}, CASE WHEN axis = '{a}' AND side = 'l' THEN least(h{a}, p{a}) ELSE h{a} END AS h{a}" for a in "xyz"])
+    domain = ", ".join([f"CASE WHEN axis = '{a}' AND side = 'r' THEN p{a} ELSE dl{a} END AS dl{a}, CASE WHEN axis = '{a}' AND side = 'l' THEN p{a} ELSE dh{a} END AS dh{a}" for a in "xyz"])
+    every = ", ".join(f"l{a}, h{a}" for a in "xyz") + ", " + ", ".join(f"dl{a}, dh{a}" for a in "xyz")
+    return f"""prims AS (SELECT brick_id, {", ".join(f"dl{a} AS l{a}, dh{a} AS h{a}" for a in "xyz")} FROM (SELECT brick_id, {V._DOMAIN} FROM {{bricks}})),
+parts AS (
+  SELECT 'r' AS node, brick_id, {", ".join(f"l{a}, h{a}" for a in "xyz")}, {", ".join(f"min(l{a}) OVER () AS dl{a}, max(h{a}) OVER () AS dh{a}" for a in "xyz")} FROM prims
+  UNION ALL
+  SELECT * FROM (SELECT node || side AS node, brick_id, {clipped}, {domain} FROM (SELECT *, {axis} AS axis FROM (SELECT node, brick_id, {every}, {", ".join(f"f{a}" for a in "xyz")}, {at} FROM (SELECT *, {near} FROM parts WINDOW w AS (PARTITION BY node)) WINDOW w AS (PARTITION BY node))), (VALUES ('l'), ('r')) v(side) WHERE axis IS NOT NULL)
+  WHERE lx < hx AND ly < hy AND lz < hz),
+regs AS MATERIALIZED (SELECT node, {", ".join(f"min(dl{a}) AS l{a}, min(dh{a}) AS h{a}" for a in "xyz")}, string_agg(CAST(brick_id AS VARCHAR), ',' ORDER BY brick_id) AS bricks FROM parts WHERE node NOT IN (SELECT substr(node, 1, length(node) - 1) FROM parts) GROUP BY node)"""
+
+
+_VALUED = "valued AS (SELECT r.node, " + ", ".join(f"any_value(r.l{a}) AS l{a}, any_value(r.h{a}) AS h{a}" for a in "xyz") + f", min(value) AS vmin, max(value) AS vmax, min(w) AS finest_w FROM (SELECT node, lx, ly, lz, hx, hy, hz, CAST(unnest(string_split(bricks, ',')) AS BIGINT) AS brick_id FROM regs) r JOIN ({V._BRICK_CELLS}) c ON c.brick_id = r.brick_id AND " + " AND ".join(f"c.{a} + 1.5e0 * w >= r.l{a} AND c.{a} - 0.5e0 * w <= r.h{a}" for a in "xyz") + " GROUP BY r.node)"
+
 ORACLES = {
     k: oracle(v)
     for k, v in {
@@ -207,6 +246,9 @@ ORACLES = {
         "s11_domain_files": f"SELECT row_number() OVER (ORDER BY brick_id) - 1 AS domain_id, {', '.join(f'dl{a} AS l{a}, dh{a} AS h{a}' for a in 'xyz')}, round(CAST(CAST(brick_id % 100 / 100e0 AS FLOAT) AS DOUBLE), 6) AS majorant FROM (SELECT brick_id, {V._DOMAIN} FROM {{bricks}})",
         "s12_transfer_function": "SELECT range AS i, 1e0 AS scale, 0e0 AS low, 100e0 AS high, round(CAST(CAST(range / 15e0 AS FLOAT) AS DOUBLE), 6) AS r, round(CAST(CAST(power(range / 15e0, 2) AS FLOAT) AS DOUBLE), 6) AS a FROM range(16)",
         "s15_blocks": "SELECT pid, round(sum(wt * v) / sum(wt), 6) AS value FROM (SELECT p.range AS pid, v, greatest(0e0, 1 - abs(p.range / 10e0 - (x + 0.5e0 * w)) / w) * greatest(0e0, 1 - abs(1 - (y + 0.5e0 * w)) / w) * greatest(0e0, 1 - abs(1 - (z + 0.5e0 * w)) / w) AS wt FROM range(41) p CROSS JOIN (SELECT range % 2 AS x, range // 2 % 2 AS y, range // 4 AS z, 1e0 AS w, range / 8e0 AS v FROM range(8) UNION ALL SELECT 2, 0, 0, 2e0, 1e0)) GROUP BY pid HAVING sum(wt) > 0",
+        "g5_region_boxes": f"WITH RECURSIVE {_regions_sql()} SELECT {', '.join(B.SIDES)}, bricks FROM regs",
+        "a15_region_values": f"WITH RECURSIVE {_regions_sql()}, {_VALUED} SELECT {', '.join(B.SIDES)}, vmin, vmax, finest_w FROM valued",
+        "a6_region_macrocells": f"WITH RECURSIVE {_regions_sql()}, {_VALUED} " + V._ranges("SELECT lx, ly, lz, hx, hy, hz, vmin, vmax FROM valued", -4, 124, 16),
         "stream_majorants": f"SELECT mc_id, vmin, vmax, round(max_opacity, 6) AS max_opacity FROM {V._maj('0e0', '0.08e0')}",
         "stream_accumulation": "SELECT frame AS epoch, pixel, count(*) AS frames, round(avg(value), 6) AS mean FROM {frames} GROUP BY frame, pixel",
     }.items()
