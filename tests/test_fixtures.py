@@ -11,7 +11,7 @@ from lattica.functions import codes, elements
 from lattica.functions import geometry as G
 from lattica.operators import bricks as B
 from lattica.operators import cells as C
-from lattica.operators import clusters, fields, grid, majorant_tree, mesh, numbering, pyramid, rays, tracking, tree, wavefront
+from lattica.operators import clusters, fields, grid, majorant_tree, mesh, numbering, pyramid, quantiles, rays, tracking, tree, wavefront
 from lattica.operators.range_join import join_boxes, join_points
 from lattica.schema import BRICKS, CELLS
 
@@ -327,6 +327,27 @@ def test_clusters_merge_to_a_fixpoint(spark):
     assert all(a + b > 8 for a, b in zip(sizes[::2], sizes[1::2]))
 
 
+def test_crowded_points_are_spread(spark):
+    rng = np.random.default_rng(12)
+    crowd = rng.uniform(40.0, 40.5, (18_000, 3))
+    at = np.concatenate([crowd, rng.uniform(0, 100, (2000, 3)), [[40.25, 40.25, 40.25]] * 5])
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at)], "pid long, px double, py double, pz double")
+    low = np.concatenate([rng.uniform(0, 100, (150, 3)), rng.uniform(39.9, 40.5, (30, 3)), [[0.0] * 3]])
+    high = low + np.concatenate([rng.uniform(0.1, 8, (150, 3)), rng.uniform(0.01, 0.2, (30, 3)), [[100.0] * 3]])
+    boxes = spark.createDataFrame([(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(low, high))], "box_id long, lx double, ly double, lz double, hx double, hy double, hz double")
+    cuts = quantiles.planes(points)
+    sizes = sorted(r["count"] for r in points.groupBy(quantiles.part_of(cuts).alias("part")).count().collect())
+    assert len(sizes) == 2**quantiles.LEVELS and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    met = quantiles.join_crowded(points, boxes)
+    want = ((at[:, None, :] >= low[None]) & (at[:, None, :] <= high[None])).all(2)
+    assert met.select("pid", "box_id").distinct().count() == met.count() == want.sum()
+    plain = join_points(points, boxes).groupBy("box_id").agg(F.sum("pid").alias("s"), F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, met.groupBy("box_id").agg(F.sum("pid"), F.count(F.lit(1))).collect())) == sorted(map(tuple, plain.collect()))
+    one_place = points.where("pid >= 20000")
+    assert quantiles.join_crowded(one_place, boxes).count() == want[20_000:].sum()
+    assert quantiles.join_crowded(points.where("pid < 0"), boxes).count() == 0 == quantiles.join_crowded(points, boxes.where("box_id < 0")).count()
+
+
 BOXES = "b_lx double, b_ly double, b_lz double, b_hx double, b_hy double, b_hz double, b_vmin double, b_vmax double"
 
 
