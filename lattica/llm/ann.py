@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -155,17 +156,25 @@ def fit(sample: np.ndarray, lists: int, near: int) -> Index:
     return index
 
 
-def _vectors(column: pa.Array, dimension: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that hold a usable vector (of the dimension, if given), and these vectors in double precision."""
-    rows, out = [], []
-    for i, v in enumerate(column):
-        value = v.as_py()
-        if value and None not in value and (dimension is None or len(value) == dimension):
-            x = np.asarray(value, np.float64)
-            if np.isfinite(x).all() and x.any():
-                rows.append(i)
-                out.append(x)
-    return np.asarray(rows, np.int64), (np.stack(out) if out and len({len(x) for x in out}) == 1 else np.zeros((0, dimension or 0)))
+def _usable(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a row holds a usable vector, its length, where it begins among all numbers, all numbers in double precision)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    numbers = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)  # nulls become NaN
+    starts = np.cumsum(lengths) - lengths
+    good, some = np.zeros(len(lengths), bool), lengths > 0
+    if some.any():
+        finite = np.logical_and.reduceat(np.isfinite(numbers), starts[some])
+        good[some] = finite & np.logical_or.reduceat(numbers != 0, starts[some])
+    return good, lengths, starts, numbers
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that hold a usable vector of the dimension, and these vectors in double precision."""
+    good, lengths, starts, numbers = _usable(column)
+    rows = np.flatnonzero(good & (lengths == dimension))
+    return rows, numbers[starts[rows][:, None] + np.arange(dimension)]
 
 
 def _posted(index: Index, dimension: int, columns: tuple[str, str], sizes: np.ndarray | None = None, least: int = LEAST):
@@ -184,15 +193,15 @@ def _posted(index: Index, dimension: int, columns: tuple[str, str], sizes: np.nd
     return run
 
 
-def _meet(top: int):
+def _meet(top: int, dimension: int):
     def run(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float]] = []
         if vectors.num_rows and queries.num_rows:
             ids = vectors.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
-            v = np.array(vectors.column("vector").to_pylist(), np.float64)[order]
-            q = np.array(queries.column("vector").to_pylist(), np.float64)
+            v = _vectors(vectors.column("vector"), dimension)[1][order]
+            q = _vectors(queries.column("vector"), dimension)[1]
             asked = queries.column("query_id").to_numpy()
             ids, first = np.unique(ids, return_index=True)
             owner = np.repeat(np.arange(len(ids)), np.diff(np.append(first, len(v))))
@@ -241,7 +250,8 @@ def nearest_neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col
     by_hash = [F.xxhash64("vec_id"), F.col("vec_id")]
     ids = usable.select("vec_id").distinct().orderBy(*by_hash).limit(SAMPLE)  # broadcast below: SAMPLE numbers at most
     sampled = usable.join(F.broadcast(ids), "vec_id").groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy(*by_hash).toArrow().column("vector").combine_chunks()
-    dimensions = Counter(len(v.as_py()) for v in sampled if len(_vectors(pa.array([v.as_py()]))[0]))
+    good, lengths, _, _ = _usable(sampled)
+    dimensions = Counter(lengths[good].tolist())
     if not dimensions:
         return spark.createDataFrame([], schema)
     dimension = min(dimensions, key=lambda d: (-dimensions[d], d))
@@ -256,7 +266,7 @@ def nearest_neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col
     best, least = [], LEAST
     while True:
         asked = materialise(asking.mapInArrow(_posted(index, dimension, ("query_id", "vector"), sizes, least), f"list int, query_id long, vector {kind}"))
-        best.append(materialise(_best(posted, asked, sizes, top)))
+        best.append(materialise(_best(posted, asked, sizes, top, dimension)))
         filled = best[-1].groupBy("query_id").count().where(F.col("count") >= top)
         if least >= sizes.sum() or not (short := asked.join(filled, "query_id", "left_anti").select("query_id").distinct()).take(1):
             break
@@ -268,7 +278,7 @@ def nearest_neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col
     return reduce(DataFrame.unionByName, best).select("query_id", "rank", "vec_id", "score")
 
 
-def _best(posted: DataFrame, asked: DataFrame, sizes: np.ndarray, top: int) -> DataFrame:
+def _best(posted: DataFrame, asked: DataFrame, sizes: np.ndarray, top: int, dimension: int) -> DataFrame:
     """query_id, vec_id, score, rank: the nearest of what is in the lists that each query looks into."""
     asked_of = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}  # a row for each list
     cut = [(k, max(1, -(-int(sizes[k]) // BLOCK)), -(-n // QUERIES)) for k, n in asked_of.items()]
@@ -279,7 +289,7 @@ def _best(posted: DataFrame, asked: DataFrame, sizes: np.ndarray, top: int) -> D
     left = left.select("list", share("parts").alias("part"), span("turns").alias("turn"), "vec_id", "vector")
     right = right.select("list", span("parts").alias("part"), share("turns").alias("turn"), "query_id", "vector")
     keys = ["list", "part", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(top), "query_id long, vec_id long, score double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(top, dimension), "query_id long, vec_id long, score double")
     pairs = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
