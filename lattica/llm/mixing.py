@@ -201,9 +201,10 @@ def mix_sources(
         k, rest = divmod(flow, capacity) if capacity else (0, 0)
         state.append({"p": p, "pattern": r["pattern"], "k": k, "rest": rest, "n": r["n"], "lo": 0, "hi": TOP if rest else 0})
     spark = docs.sparkSession
-    facts = lambda: F.broadcast(spark.createDataFrame([(s["pattern"], s["p"], s["k"], s["lo"], s["hi"]) for s in state], "pattern string, p int, k long, lo long, hi long"))
+    facts = lambda: F.broadcast(spark.createDataFrame([(s["pattern"], s["p"], s["k"], s["lo"], s["hi"], s["p"] in wide) for s in state], "pattern string, p int, k long, lo long, hi long, wide boolean"))
+    wide: dict[int, dict] = {}
     while wide := {s["p"]: s for s in state if s["rest"] and s["n"] > BOUNDARY and s["hi"] - s["lo"] >= SLOTS}:
-        inside = slim.join(facts(), "pattern").where(F.col("p").isin(list(wide)) & F.col("h").between(F.col("lo"), F.col("hi") - 1))
+        inside = slim.join(facts(), "pattern").where(F.col("wide") & F.col("h").between(F.col("lo"), F.col("hi") - 1))
         slot = F.expr(f"(h - lo) div ((hi - lo) div {SLOTS})")
         counts = inside.groupBy("p", slot.alias("slot")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).orderBy("p", "slot").collect()  # SLOTS rows a pattern
         slots = defaultdict(list)
