@@ -179,29 +179,64 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    ids, coded = _compile(FIRST)
+    """All rules in SQL: lines without comment leaders, runs of lines that make a known sentence, the longest from the left, then rules."""
+    ids, coded = _compile(RULES)
     pairs = ", ".join(f"('{k}', {v})" for k, v in ids.items())
-    plain = f"trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+    several = [x for x in coded if x[1].count("<") > 1]
+    names: dict[str, str] = {}
+    for licence, code in coded:
+        if code.count("<") == 1:
+            names.setdefault(code[1:-1], licence)
+    singles = ", ".join(f"({n}, '{licence}')" for n, licence in names.items())
+    marker, contributors = _MARKER, "[ \\n]+".join(["nor", "the", "names", "of", "its", "contributors"])
     steps, last = [], "coded"
-    for n, (_, code) in enumerate(coded):
+    for n, (_, code) in enumerate(several):
         carried = "".join(f", m{k}" for k in range(n))
-        steps.append(f"s{n} AS (SELECT rid, doc_id, n_known, replace(s, '{code}', '#') AS s{carried}, (length(s) - length(replace(s, '{code}', '#'))) // {len(code) - 1} AS m{n} FROM {last})")
+        steps.append(f"s{n} AS (SELECT rid, n_known, replace(s, '{code}', '#') AS s{carried}, (length(s) - length(replace(s, '{code}', '#'))) // {len(code) - 1} AS m{n} FROM {last})")
         last = f"s{n}"
-    names = ", ".join(f"CASE WHEN m{n} > 0 THEN '{licence}' END" for n, (licence, _) in enumerate(coded))
+    used = ", ".join(f"CASE WHEN m{n} > 0 THEN '{licence}' END" for n, (licence, _) in enumerate(several))
+    stripped = "regexp_replace(regexp_replace(x, '^[^\\p{L}\\p{N}\\x01]*', ''), '^(rem|dnl)([^\\p{L}\\p{N}_\\x01][^\\p{L}\\p{N}\\x01]*|$)', '')"
+    later = f"CASE WHEN contains(x, '{marker}') THEN substr(x, 1, strpos(x, '{marker}') + {len(marker) - 1}) || regexp_replace(substr(x, strpos(x, '{marker}') + {len(marker)}), '([a-z0-9])\\+', '\\1 or later', 'g') ELSE x END"
+    holder = f"CASE WHEN i > 1 THEN 'neither the name of' || regexp_replace(x, '^[ \\n\\x01][a-z0-9 \\n\\x01]+?[ \\n\\x01]+{contributors}', ' the copyright holder nor the names of its contributors') ELSE x END"
     return f"""
-WITH known(sentence, n) AS (VALUES {pairs}),
+WITH RECURSIVE known(sentence, num) AS MATERIALIZED (VALUES {pairs}),
+single(num, name) AS MATERIALIZED (VALUES {singles}),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+bare AS (SELECT rid, chr(10) || array_to_string(list_transform(list_transform(string_split(t, chr(10)), lambda x: {stripped}), lambda x: {later}), chr(10)) AS t FROM docs),
+marked AS (SELECT rid, regexp_replace(regexp_replace(t, '([.!?])[ \t\r\n]+|\n\n+', chr(1), 'g'), '[^a-z0-9\n\x01]+', ' ', 'g') AS t FROM bare),
+plain AS (SELECT rid, CASE WHEN contains(t, 'neither') THEN array_to_string(list_transform(string_split_regex(t, 'neither[ \n]+the[ \n]+name[ \n]+of'), lambda x, i: {holder}), '') ELSE t END AS t FROM marked),
+lines AS MATERIALIZED (
+  SELECT rid, seg, trim(x) AS s, row_number() OVER (PARTITION BY rid ORDER BY seg, i) AS n FROM (
+    SELECT rid, seg, unnest(string_split(part, chr(10))) AS x, unnest(range(len(string_split(part, chr(10))))) AS i FROM (
+      SELECT rid, unnest(string_split(t, chr(1))) AS part, unnest(range(len(string_split(t, chr(1))))) AS seg FROM plain)) WHERE trim(x) <> ''),
+runs AS (
+  SELECT rid, seg, n, CAST(1 AS BIGINT) AS k, s FROM lines l WHERE EXISTS (SELECT 1 FROM known WHERE starts_with(sentence || ' ', l.s || ' '))
+  UNION ALL
+  SELECT r.rid, r.seg, r.n, r.k + 1, r.s || ' ' || l.s FROM runs r JOIN lines l ON l.rid = r.rid AND l.n = r.n + r.k AND l.seg = r.seg
+  WHERE EXISTS (SELECT 1 FROM known WHERE starts_with(sentence || ' ', r.s || ' ' || l.s || ' '))),
+whole AS (SELECT rid, n, max(k) AS k, [arg_max(num, k)] AS nums FROM runs JOIN known ON s = sentence GROUP BY rid, n),
+spdx AS (
+  SELECT rid, n, list(coalesce(a.num, b.num, 0) ORDER BY j) AS nums FROM (
+    SELECT rid, n, j, '{_SPDX}' || trim(replace(x, ' or_later', ' or later')) AS name FROM (
+      SELECT rid, n, unnest(parts) AS x, unnest(range(len(parts))) AS j FROM (
+        SELECT rid, n, string_split_regex(replace(substr(s, {len(_SPDX) + 1}), ' or later', ' or_later'), ' or | and ') AS parts FROM lines WHERE starts_with(s, '{_SPDX}'))))
+  LEFT JOIN known a ON a.sentence = name LEFT JOIN known b ON b.sentence = regexp_replace(name, ' with .*', '') GROUP BY rid, n),
+hits AS MATERIALIZED (
+  SELECT rid, n, k, nums FROM whole UNION ALL SELECT rid, n, 1, nums FROM spdx WHERE (rid, n) NOT IN (SELECT (rid, n) FROM whole)),
+walk AS (
+  SELECT rid, CAST(1 AS BIGINT) AS n FROM hits GROUP BY rid
+  UNION ALL SELECT w.rid, w.n + coalesce(h.k, 1) FROM walk w LEFT JOIN hits h ON h.rid = w.rid AND h.n = w.n WHERE EXISTS (SELECT 1 FROM lines l WHERE l.rid = w.rid AND l.n = w.n)),
 units AS (
-  SELECT rid, doc_id, i, unnest(CASE WHEN x IN (SELECT x) AND {plain} IN (SELECT sentence FROM known) THEN [x] ELSE string_split(x, chr(10)) END) AS x,
-    generate_subscripts(CASE WHEN {plain} IN (SELECT sentence FROM known) THEN [x] ELSE string_split(x, chr(10)) END, 1) AS j
-  FROM (SELECT rid, doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS i
-    FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r\\n]+|\\n[ \\t\\r]*\\n', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents))),
-coded AS (
-  SELECT rid, doc_id, count(n) AS n_known, string_agg('<' || coalesce(n, 0) || '>', '' ORDER BY i, j) AS s
-  FROM units LEFT JOIN known ON {plain} = sentence GROUP BY rid, doc_id),
-{", ".join(steps)}
-SELECT doc_id, n_known, array_to_string(list_sort(list_distinct(list_filter([{names}], lambda v: v IS NOT NULL))), ',') AS licenses,
-  CAST({" + ".join(f"m{n}" for n in range(len(coded)))} AS BIGINT) AS n_matches FROM {last}
+  SELECT rid, n, unnest(nums) AS num, unnest(range(len(nums))) AS j FROM (
+    SELECT w.rid, w.n, coalesce(h.nums, CASE WHEN regexp_matches(l.s, '^([0-9]{{1,2}}|[a-z])$') THEN CAST([] AS INTEGER[]) ELSE [0] END) AS nums
+    FROM walk w JOIN lines l ON l.rid = w.rid AND l.n = w.n LEFT JOIN hits h ON h.rid = w.rid AND h.n = w.n)),
+coded AS (SELECT rid, count(*) FILTER (WHERE num > 0) AS n_known, string_agg('<' || num || '>', '' ORDER BY n, j) AS s FROM units GROUP BY rid),
+{", ".join(steps)},
+alone AS (SELECT rid, list(name) AS names FROM (SELECT rid, CAST(unnest(regexp_extract_all(s, '<([1-9][0-9]*)>', 1)) AS BIGINT) AS num FROM {last}) JOIN single USING (num) GROUP BY rid),
+found AS (SELECT rid, n_known, list_filter([{used}], lambda v: v IS NOT NULL) || coalesce(names, CAST([] AS VARCHAR[])) AS names, {" + ".join(f"m{n}" for n in range(len(several)))} + coalesce(len(names), 0) AS n_matches FROM {last} LEFT JOIN alone USING (rid))
+SELECT doc_id, CAST(coalesce(n_known, 0) AS BIGINT) AS n_known, coalesce(array_to_string(list_sort(list_distinct(names)), ','), '') AS licenses, CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches
+FROM docs LEFT JOIN found USING (rid)
 """
 
 
-ORACLE = _oracle().replace("x IN (SELECT x) AND ", "")
+ORACLE = _oracle()

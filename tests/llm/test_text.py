@@ -5,7 +5,9 @@ import struct
 import textwrap
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -179,6 +181,28 @@ def test_licences_have_no_caps(spark):
     assert got == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: "Apache-2.0,GPL-2.0-or-later,MIT", 4: "Apache-2.0,GPL-2.0-or-later,MIT", 5: "BSD-3-Clause", 6: ""}
 
 
+def test_all_rules_equal_sql_on_planted_texts(spark):
+    """Every rule's sentences, plain and wrapped in comments, alone and among other text; and what the scanner's own tests hold."""
+    rnd = random.Random(9)
+    leaders = ["#", " *", "//", "--", ";", "REM", "dnl", "%%", "é"]
+    bsd = dict((n, r) for n, r in reversed(licenses.RULES) if n.startswith("BSD-") and len(r) > 1)["BSD-3-Clause"]
+    texts = [None, "", "1.", "a", "x\n\n12\n\n中文\n", "Neither the name of the game.\nnor anything. " + "\n".join(bsd), "\n".join(bsd).replace("the copyright holder nor", "Some, Inc. and\nothers nor")]
+    for k, (_, sentences) in enumerate(licenses.RULES):
+        plain = " ".join(sentences)
+        leader = leaders[k % len(leaders)]
+        texts += ["\n".join(sentences), f"int x;\n{leader} By me.\n" + commented(sentences, leader, rnd.choice([30, 60, 200])) + "\nint y;"]
+        if k % 3 == 0:
+            texts.append(f"Before it. {plain} 3.\n\n {plain.upper()}\n b)\n{rnd.choice(licenses.RULES)[1][0]}")
+    texts += [f"/* SPDX-License-Identifier: ({a} OR {b}+) AND {c} WITH Some-exception */\nx + y+" for a, b, c in (rnd.sample(SPDX, 3) for _ in range(60))]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    duck = duckdb.connect()
+    duck.register("documents", pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}))
+    got = {r.doc_id: (r.n_known, r.licenses, r.n_matches) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {r[0]: tuple(r[1:]) for r in duck.sql(f"SELECT doc_id, n_known, licenses, n_matches FROM ({licenses.ORACLE})").fetchall()}
+    assert {i: (texts[i], got[i], want[i]) for i in got if got[i] != want[i]} == {}
+    assert len(got) == len(texts) > 3000 and sum(bool(x[1]) for x in got.values()) > 0.9 * len(texts)
+
+
 MESSAGES = "tree_id long, node_id long, parent_id long, role string, text string, score double, TREE_ID int, key string"
 
 
