@@ -12,7 +12,7 @@ from .common import materialise, pick, table
 from .page_tree import CONTAINERS, Page
 
 #: A subtree is a template if so many different pages of its host have it, and one in so many of them.
-LEAST, ONE_IN = 5, 500
+LEAST, ONE_IN = 3, 500
 
 
 def host_of(url: Column) -> Column:

@@ -36,7 +36,7 @@ ROLES_MAIN = frozenset({"main", "article"})
 ROLES_NEVER = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form alert tablist".split())
 #: Words of class and id attributes that name what isn't the main text.
 WORDS_NEVER = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promoted promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription signup signin login paywall sidebar sidebars widget widgets related recommended recommendations trending popular share sharing social comment comments disqus replies respond breadcrumb breadcrumbs menu menus nav navbar navigation pagination pager footer foot topbar toolbar search skip taboola outbrain teaser teasers".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promoted promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription signup signin login paywall sidebar sidebars widget widgets related recommended recommendations trending popular share sharing social comment comments disqus replies respond breadcrumb breadcrumbs menu menus nav navbar navigation pagination pager footer foot topbar toolbar search skip taboola outbrain teaser teasers copyright colophon".split()
 )
 #: The same, but only outside the main text: an article's own head is a part of it.
 WORDS_OUTSIDE = frozenset("header head masthead".split())
@@ -264,8 +264,8 @@ class Page:
     def removed(self) -> bytearray:
         """Which elements aren't main text by name, role or class; they and all in them go.
 
-        Main text is what the outermost article and main elements hold, or the whole page where there are none. A form that
-        wraps main text is none.
+        Main text is what the outermost article and main elements hold, or the whole page, without lists of links, where there
+        are none. A form that wraps main text is none.
         """
         names, kinds, parents = self.names, self.kinds, self.parents
         n = len(names)
@@ -294,8 +294,22 @@ class Page:
                     letters = self.letters()
                 gone[e] = in_main[e] or 2 * letters[e] < letters[0]
         self.in_main, self.any_main, self.holds = in_main, any_main, holds
+        if not any_main:
+            self._without_menus(gone)
         return gone
 
+    def _without_menus(self, gone: bytearray) -> None:
+        """Where no element is named as main text: lists and the like of which four fifths are several links, but less than half of the page."""
+        letters, links = self.letters(), [int(name == "a") for name in self.names]
+        for e in range(len(links) - 1, 0, -1):
+            links[self.parents[e]] += links[e]
+        if links[0] < 2:
+            return
+        linked = self.letters(linked=True)
+        for e in range(1, len(links)):
+            if gone[self.parents[e]] or self.names[e] in CONTAINERS and links[e] > 1 and 0 < 4 * letters[e] <= 5 * linked[e] and 2 * letters[e] < letters[0]:
+                gone[e] = 1
+
     def letters(self, linked: bool = False) -> list[int]:
         """Characters of text in each element's subtree; linked: those in links only."""
         out = [0] * len(self.names)
