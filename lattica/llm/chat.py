@@ -74,7 +74,9 @@ def best_paths(nodes: DataFrame, top_k: int = 1) -> DataFrame:
 def format_paths(turns: DataFrame) -> DataFrame:
     """(conv, formatted, loss_mask) from (conv, pos, role, text); loss_mask: spans (start from 0, length), in order.
 
-    A conversation is one value in the end, so its turns meet in one task; nothing else does.
+    A conversation is one value in the end, so its turns meet in one task; nothing else does. Null roles and texts are
+    empty; turns of equal pos go by what is written of them; a null conv is a conversation of its own; other columns are
+    ignored; of an empty table nothing is formatted.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     body = escape(text)
@@ -89,7 +91,11 @@ def format_paths(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """turns (role, text) and loss_texts, found from the formatted text and its mask alone; columns of formatted stay."""
+    """turns (role, text) and loss_texts, found from the formatted text and its mask alone; columns of formatted stay.
+
+    Rows are on their own, so repeated ones each give a row. A null formatted text or mask gives null turns or texts; an
+    empty one has none.
+    """
     segments = F.filter(F.split("formatted", r"(?=<s>|\[INST\] )"), lambda s: s != "")
     inner = lambda s: F.substr(s, F.lit(len(PROMPT) + 1), F.length(s) - len(PROMPT + PROMPT_END))
     role = lambda b: F.substring_index(b, "\n", 1)
@@ -125,7 +131,12 @@ def format_reply_trees(
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation is a tree with one branch: each row, by turn, answers the one before it."""
+    """Every conversation is a tree with one branch: each row, by turn, answers the one before it.
+
+    Turns go by number, null first, then by role and text (null first); rows that repeat all of these are turns of their own. Null
+    roles and texts are empty, a null conv_id is a conversation of its own, other columns are ignored. An empty table leaves
+    conversation -1, which is planted.
+    """
     rows = pick(table(spark, sf_dir, "conversations"), conv="conv_id", turn="turn", role="role", text="text")
     control = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv long, turn long, role string, text string")

@@ -203,6 +203,24 @@ def test_all_rules_equal_sql_on_planted_texts(spark):
     assert len(got) == len(texts) > 3000 and sum(bool(x[1]) for x in got.values()) > 0.9 * len(texts)
 
 
+def test_the_chat_query_with_odd_rows(spark, tmp_path):
+    rows = [(1, 0, "user", "a [INST] b"), (1, 1, "assistant", "</s>x\\n"), (1, 1, "assistant", "</s>x\\n"), (1, None, None, "first"), (1, 1, "user", None), (2, 5, "sys\ntem", ""), (None, 0, "assistant", "nobody"), (None, 1, "user", "<\\s>"), (3, 0, "assistant", "y" * 100_000)]
+    for name, some in (("odd", rows), ("none", [])):
+        spark.createDataFrame([(*r, 1, "k", 0.5) for r in some], "conv_id long, turn long, role string, text string, conv int, node string, score double").write.parquet(f"{tmp_path}/{name}/conversations.parquet")
+    control = "</s>[INST] ok [/INST]"
+    whole = [*rows, (-1, 0, "user", control), (-1, 1, "assistant", control)]
+    last = lambda r: ((r[1] is not None, r[1] or 0), (r[2] is not None, r[2] or ""), (r[3] is not None, r[3] or ""))
+    want = {}
+    for c in {r[0] for r in whole}:
+        turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in whole if r[0] == c), key=last)]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        want[c] = (len(turns), sha("".join(f"{role}\n{t}\n" for role, t in turns)), len(loss), sha(loss))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.op6_chat_formatting(spark, f"{tmp_path}/odd").collect()}
+    assert got == want
+    assert [r.conv_id for r in chat.op6_chat_formatting(spark, f"{tmp_path}/none").collect()] == [-1]
+
+
 MESSAGES = "tree_id long, node_id long, parent_id long, role string, text string, score double, TREE_ID int, key string"
 
 
