@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions import elements
 from lattica.functions import geometry as G
 from lattica.functions.transfer import lookup, opacity_scale
-from lattica.operators import fields, grid, rays, tracking
+from lattica.operators import bricks, fields, grid, mesh, rays, tracking
+from lattica.operators.range_join import join_points
 from lattica.schema import BRICKS
+from lattica.storage import materialise
 
 
 class Field(Protocol):
@@ -21,35 +25,129 @@ class Field(Protocol):
 
     def ranges(self, low: tuple, high: tuple, dims: tuple) -> DataFrame: ...
 
-    def cells(self) -> DataFrame: ...
+    @property
+    def spark(self) -> SparkSession: ...
+
+
+def _one(hits: DataFrame, key: str) -> DataFrame:
+    """(pid, value): of several hits of a point that of the smallest key."""
+    return hits.groupBy("pid").agg(F.min_by("value", key).alias("value"))
 
 
 @dataclass(frozen=True)
 class CellField:
     table: DataFrame
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.table.sparkSession
+
     def sample(self, points: DataFrame) -> DataFrame:
         return fields.sample_cells(points, self.table)
 
     def ranges(self, low, high, dims) -> DataFrame:
         return grid.cell_ranges(self.table, low, high, dims)
 
-    def cells(self) -> DataFrame:
-        return self.table
-
 
 @dataclass(frozen=True)
 class BrickField:
     table: DataFrame
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.table.sparkSession
+
     def sample(self, points: DataFrame) -> DataFrame:
         return fields.sample_bricks(points, self.table)
 
     def ranges(self, low, high, dims) -> DataFrame:
         return grid.brick_ranges(self.table, low, high, dims)
 
-    def cells(self) -> DataFrame:
-        return grid.brick_cells(self.table)
+
+@dataclass(frozen=True)
+class RegionField:
+    """Bricks by way of disjoint regions that know which bricks reach them; regions are made once."""
+
+    table: DataFrame
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.table.sparkSession
+
+    @cached_property
+    def regions(self) -> DataFrame:
+        return materialise(bricks.regions(self.table))
+
+    def sample(self, points: DataFrame) -> DataFrame:
+        return fields.sample_regions(points, self.regions, self.table)
+
+    def ranges(self, low, high, dims) -> DataFrame:
+        valued = self.regions.join(bricks.region_ranges(self.regions, self.table), "region_id")
+        return grid.value_ranges(valued, low, high, dims)
+
+
+@dataclass(frozen=True)
+class ElementField:
+    """An unstructured mesh: elements (elem_id, kind, vertex_ids) and vertices (vertex_id, x, y, z, value)."""
+
+    elements: DataFrame
+    vertices: DataFrame
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.elements.sparkSession
+
+    @cached_property
+    def packed(self) -> DataFrame:
+        return materialise(mesh.packed(mesh.corners(self.elements, self.vertices)))
+
+    def hits(self, points: DataFrame) -> DataFrame:
+        return elements.element_values(join_points(points, self.packed))
+
+    def sample(self, points: DataFrame) -> DataFrame:
+        return _one(self.hits(points), "elem_id")
+
+    def ranges(self, low, high, dims) -> DataFrame:
+        return grid.element_ranges(mesh.corners(self.elements, self.vertices), low, high, dims)
+
+
+@dataclass(frozen=True)
+class GridletField:
+    """Gridlets (gridlet_id, l*, level, d*, scalars at vertices, null where empty)."""
+
+    table: DataFrame
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.table.sparkSession
+
+    def hits(self, points: DataFrame) -> DataFrame:
+        return fields.sample_gridlets(points, self.table)
+
+    def sample(self, points: DataFrame) -> DataFrame:
+        return _one(self.hits(points), "gridlet_id")
+
+    def ranges(self, low, high, dims) -> DataFrame:
+        return grid.gridlet_ranges(self.table, low, high, dims)
+
+
+@dataclass(frozen=True)
+class StitchedField:
+    """Gridlets where there are any, and a mesh that stitches them together."""
+
+    gridlets: GridletField
+    mesh: ElementField
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.mesh.spark
+
+    def sample(self, points: DataFrame) -> DataFrame:
+        return fields.stitched(self.gridlets.hits(points), self.mesh.hits(points)).select("pid", "value")
+
+    def ranges(self, low, high, dims) -> DataFrame:
+        both = self.gridlets.ranges(low, high, dims).unionByName(self.mesh.ranges(low, high, dims))
+        return both.groupBy("mc_id").agg(F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
 
 
 def bricks_from_blocks(spark: SparkSession, blocks: list[tuple[tuple[int, ...], int, list[float]]]) -> DataFrame:
@@ -101,10 +199,11 @@ class Volume:
         return rays.composite(lit)
 
     def trace(self, lines: DataFrame, light: tuple[float, float, float], bounces: int = 1024, scale: float = 1.0, seed: int = 1) -> DataFrame:
-        return tracking.trace(lines, self.field.cells(), self.majorants(), self._alpha, self.low, self.high, self.dims, scale=scale, light=light, bounces=bounces, seed=seed)
+        field = self.field.table if isinstance(self.field, CellField) else self.field.sample
+        return tracking.trace(lines, field, self.majorants(), self._alpha, self.low, self.high, self.dims, scale=scale, light=light, bounces=bounces, seed=seed)
 
     def render(self, view: dict, columns: int, rows: int, dt: float) -> DataFrame:
         """(ray_id, r, g, b, alpha) of every pixel; rays that meet nothing are clear."""
-        lines = G.primary_rays(self.field.cells().sparkSession, view, columns, rows)
+        lines = G.primary_rays(self.field.spark, view, columns, rows)
         seen = self.march(lines, dt)
         return lines.select("ray_id").join(seen, "ray_id", "left").na.fill(0.0)

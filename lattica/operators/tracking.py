@@ -47,11 +47,11 @@ def tentative(rays: DataFrame, majorants: DataFrame, low, high, dims, scale: flo
     return each.select("ray_id", "mc_id", "k", at.alias("t"), "mu")
 
 
-def with_extinction(collisions: DataFrame, rays: DataFrame, cells: DataFrame | Lattice, alpha: Callable[[Column], Column], scale: float) -> DataFrame:
-    """Collisions with sigma, the field's extinction there (0 where there is no field)."""
+def with_extinction(collisions: DataFrame, rays: DataFrame, cells: DataFrame | Lattice | Callable[[DataFrame], DataFrame], alpha: Callable[[Column], Column], scale: float) -> DataFrame:
+    """Collisions with sigma, the field's extinction there (0 where there is no field); cells may be any way to sample points."""
     at = collisions.join(rays.select("ray_id", "ox", "oy", "oz", "dx", "dy", "dz"), "ray_id")
     points = at.select(F.struct("ray_id", "mc_id", "k").alias("pid"), *[(F.col(f"o{a}") + F.col("t") * F.col(f"d{a}")).alias(f"p{a}") for a in "xyz"])
-    found = sample_cells(points, cells).select("pid.ray_id", "pid.mc_id", "pid.k", (alpha(F.col("value")) * scale).alias("sigma"), "value")
+    found = (cells(points) if callable(cells) else sample_cells(points, cells)).select("pid.ray_id", "pid.mc_id", "pid.k", (alpha(F.col("value")) * scale).alias("sigma"), "value")
     return collisions.join(found, ["ray_id", "mc_id", "k"], "left").withColumn("sigma", F.coalesce("sigma", F.lit(0.0)))
 
 
@@ -110,14 +110,14 @@ def light_rays(points: DataFrame, light: tuple[float, float, float] | list[tuple
     return points.withColumn("_far", far).where("_far > 0").select("ray_id", *[F.col(f"p{a}").alias(f"o{a}") for a in "xyz"], *[(x / F.col("_far")).alias(f"d{a}") for a, x in zip("xyz", d)], F.lit(0.0).alias("tmin"), F.col("_far").alias("tmax"), (F.col("_light.intensity") / (F.col("_far") * F.col("_far"))).alias("falloff"))
 
 
-def trace(rays: DataFrame, cells: DataFrame, majorants: DataFrame, alpha: Callable[[Column], Column], low, high, dims, *, scale: float = 1.0, light: tuple[float, float, float] | list[tuple[float, float, float, float]], bounces: int = 1024, roulette: float = 0.2, albedo: float = 0.8, seed: int = 1) -> DataFrame:
+def trace(rays: DataFrame, cells: DataFrame | Callable[[DataFrame], DataFrame], majorants: DataFrame, alpha: Callable[[Column], Column], low, high, dims, *, scale: float = 1.0, light: tuple[float, float, float] | list[tuple[float, float, float, float]], bounces: int = 1024, roulette: float = 0.2, albedo: float = 0.8, seed: int = 1) -> DataFrame:
     """(ray_id, radiance) of rays with unit directions: light from points (see light_rays), scattered until no path is left; 1 bounce is direct lighting.
 
     A bounce finds free paths, adds the light that reaches the collisions through the volume, and goes on in a new
     direction; a path of throughput below roulette survives with that probability, which ends all paths: bounces is
     only a guard. Each bounce and its light are written, and the light is summed up now and then, so plans don't grow.
     """
-    lattice, majorants = Lattice.of(cells), materialise(majorants)
+    lattice, majorants = cells if callable(cells) else Lattice.of(cells), materialise(majorants)
     paths = rays.withColumn("weight", F.lit(1.0))
     gathered: list[DataFrame] = []
 

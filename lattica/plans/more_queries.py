@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import struct
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import elements as E
@@ -65,6 +67,20 @@ def j5_stitched(s, d):
     return found.select("pid", _four(F.col("value")).alias("value"), "cell")
 
 
+def _fields(s, d):
+    from lattica import api
+
+    b, g, e = V.bricks(s, d), api.GridletField(V.gridlets(s, d)), api.ElementField(V.elements(s, d), R(s, d, "vertices"))
+    return {"bricks": api.BrickField(b), "regions": api.RegionField(b), "gridlets": g, "elements": e, "stitched": api.StitchedField(g, e)}
+
+
+def c2_field_samples(s, d):
+    """Every kind of field behind the volume's interface, at the same points."""
+    points = materialise(R(s, d, "brick_points"))
+    parts = [f.sample(points).select(F.lit(name).alias("field"), "pid", _four(F.col("value")).alias("value")) for name, f in _fields(s, d).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def j3_crowded_points(s, d):
     """Bricks at points of which nine in ten lie in one cube of half a cell's edge."""
     p = R(s, d, "brick_points")
@@ -193,7 +209,7 @@ def stream_majorants(s, d):
     return rounded(majorants.latest(changed), "max_opacity")
 
 
-_NAMES = "e3_pyramids e4_wedges e7_all_elements e6_pyramid_ratios e6_wedge_ratios j5_stitched j3_crowded_points g5_points_in_regions g5_region_boxes a15_region_values a16_brick_volume a6_region_macrocells a23_morton_boxes o1_cell_order w3_tree_traversal s6_gridlet_files s14_cube_files s11_domain_files s12_transfer_function stream_accumulation stream_majorants".split()
+_NAMES = "e3_pyramids e4_wedges e7_all_elements e6_pyramid_ratios e6_wedge_ratios j5_stitched c2_field_samples j3_crowded_points g5_points_in_regions g5_region_boxes a15_region_values a16_brick_volume a6_region_macrocells a23_morton_boxes o1_cell_order w3_tree_traversal s6_gridlet_files s14_cube_files s11_domain_files s12_transfer_function stream_accumulation stream_majorants".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _PYR = f"(SELECT *, r / (1 - t) AS u, s / (1 - t) AS v FROM {V._LOCAL} WHERE p_partkey % 4 = 2 AND t < 1)"
@@ -256,6 +272,8 @@ ORACLES = {
         "s11_domain_files": f"SELECT row_number() OVER (ORDER BY brick_id) - 1 AS domain_id, {', '.join(f'dl{a} AS l{a}, dh{a} AS h{a}' for a in 'xyz')}, round(CAST(CAST(brick_id % 100 / 100e0 AS FLOAT) AS DOUBLE), 6) AS majorant FROM (SELECT brick_id, {V._DOMAIN} FROM {{bricks}})",
         "s12_transfer_function": "SELECT range AS i, 1e0 AS scale, 0e0 AS low, 100e0 AS high, round(CAST(CAST(range / 15e0 AS FLOAT) AS DOUBLE), 6) AS r, round(CAST(CAST(power(range / 15e0, 2) AS FLOAT) AS DOUBLE), 6) AS a FROM range(16)",
         "s15_blocks": "SELECT pid, round(sum(wt * v) / sum(wt), 6) AS value FROM (SELECT p.range AS pid, v, greatest(0e0, 1 - abs(p.range / 10e0 - (x + 0.5e0 * w)) / w) * greatest(0e0, 1 - abs(1 - (y + 0.5e0 * w)) / w) * greatest(0e0, 1 - abs(1 - (z + 0.5e0 * w)) / w) AS wt FROM range(41) p CROSS JOIN (SELECT range % 2 AS x, range // 2 % 2 AS y, range // 4 AS z, 1e0 AS w, range / 8e0 AS v FROM range(8) UNION ALL SELECT 2, 0, 0, 2e0, 1e0)) GROUP BY pid HAVING sum(wt) > 0",
+        "c2_field_samples": f"WITH g AS (SELECT pid, gridlet_id AS id, value FROM ({V._GVALUE})), e AS (SELECT pid, elem_id AS id, value FROM ({_ALL})), b AS (SELECT pid, value FROM ({V._BRICK_VALUE.replace('round(sum(wt * value) / sum(wt), 6)', 'sum(wt * value) / sum(wt)')})) "
+        f"SELECT field, pid, {_R4} FROM (SELECT 'bricks' AS field, pid, value FROM b UNION ALL SELECT 'regions', pid, value FROM b UNION ALL SELECT 'gridlets', pid, arg_min(value, id) FROM g GROUP BY pid UNION ALL SELECT 'elements', pid, arg_min(value, id) FROM e GROUP BY pid UNION ALL SELECT 'stitched', pid, arg_min(value, k) FROM (SELECT pid, [0, id] AS k, value FROM g UNION ALL SELECT pid, [1, id], value FROM e) GROUP BY pid)",
         "j3_crowded_points": "SELECT pid, count(*) AS n, min(brick_id) AS first, max(brick_id) AS last FROM (SELECT pid, " + ", ".join(f"CASE WHEN pid % 10 > 0 THEN p{a} / 200 + 40 ELSE p{a} END AS p{a}" for a in "xyz") + f" FROM {{brick_points}}) JOIN (SELECT brick_id, {V._DOMAIN} FROM {{bricks}}) ON " + " AND ".join(f"p{a} BETWEEN dl{a} AND dh{a}" for a in "xyz") + " GROUP BY pid",
         "g5_region_boxes": f"WITH RECURSIVE {_regions_sql()} SELECT {', '.join(B.SIDES)}, bricks FROM regs",
         "a15_region_values": f"WITH RECURSIVE {_regions_sql()}, {_VALUED} SELECT {', '.join(B.SIDES)}, vmin, vmax, finest_w FROM valued",

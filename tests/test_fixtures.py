@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.api import BrickField, CellField, Volume, bricks_from_blocks
+from lattica.api import BrickField, CellField, ElementField, GridletField, RegionField, StitchedField, Volume, bricks_from_blocks
 from lattica.functions import codes, elements
 from lattica.functions import geometry as G
 from lattica.operators import bricks as B
@@ -348,6 +348,30 @@ def test_crowded_points_are_spread(spark):
     assert quantiles.join_crowded(points.where("pid < 0"), boxes).count() == 0 == quantiles.join_crowded(points, boxes.where("box_id < 0")).count()
 
 
+def test_every_field_behind_a_volume(spark):
+    v = spark.createDataFrame([(8 + k, 4.0 + x, y, z, 0.5 + 0.1 * x) for k, (x, y, z) in enumerate([(0.0, 0.5, 0.5), (2.0, 0.5, 0.5), (2.0, 2.5, 0.5), (0.0, 2.5, 0.5), (0.0, 0.5, 2.5), (2.0, 0.5, 2.5), (2.0, 2.5, 2.5), (0.0, 2.5, 2.5)])], "vertex_id long, x double, y double, z double, value double")
+    e = ElementField(spark.createDataFrame([(3, "hex", list(range(8, 16)))], "elem_id long, kind string, vertex_ids array<long>"), v)
+    g = GridletField(spark.createDataFrame([(0, 0, 0, 0, 0, 2, 2, 2, [0.1 * (i % 3) for i in range(27)])], "gridlet_id long, lx int, ly int, lz int, level int, dx int, dy int, dz int, scalars array<double>"))
+    points = spark.createDataFrame([(0, 1.0, 1.5, 1.5), (1, 5.0, 1.5, 1.5), (2, 9.0, 9.0, 9.0), (3, 2.0, 1.0, 1.0)], "pid long, px double, py double, pz double")
+    sampled = lambda f: {r.pid: round(r.value, 9) for r in f.sample(points).collect()}
+    assert sampled(e) == {1: 0.6} and sampled(g) == {0: 0.05, 3: 0.15} and sampled(StitchedField(g, e)) == {0: 0.05, 1: 0.6, 3: 0.15}
+    b = spark.createDataFrame([(0, 0, 0, 0, 2, 2, 2, 0, [0.1] * 8), (1, 2, 0, 0, 2, 2, 2, 0, [0.3] * 8)], BRICKS)
+    assert sampled(RegionField(b)) == sampled(BrickField(b)) == {0: 0.1, 3: 0.2}
+    low, high, dims = (0.0,) * 3, (8.0,) * 3, (4, 4, 4)
+    for field in (e, g, StitchedField(g, e), RegionField(b)):
+        ranges = {r.mc_id: (r.vmin, r.vmax) for r in field.ranges(low, high, dims).collect()}
+        at = {r.pid: (r.px, r.py, r.pz) for r in points.collect()}
+        for pid, value in sampled(field).items():
+            x, y, z = (int(c // 2) for c in at[pid])
+            lo, hi = ranges[x + 4 * (y + 4 * z)]
+            assert lo <= value <= hi
+    volume = Volume(StitchedField(g, e), low, high, dims).transfer_function([(1.0, 0.5, 0.0, 0.5)] * 2, (0.0, 1.0))
+    ray = spark.createDataFrame([(0, -1.0, 1.5, 1.5, 1.0, 0.0, 0.0, 0.0, 1e20)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double, tmin double, tmax double")
+    seen = volume.march(ray, 0.5).first()
+    assert seen.alpha > 0.9 and seen.g == pytest.approx(seen.r / 2)
+    assert volume.trace(ray, (4.0, 20.0, 4.0), bounces=1).count() == 1
+
+
 BOXES = "b_lx double, b_ly double, b_lz double, b_hx double, b_hy double, b_hz double, b_vmin double, b_vmax double"
 
 
