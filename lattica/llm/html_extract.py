@@ -103,9 +103,8 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     kind = dict(rows.dtypes)["page_id"]
     read = rows.where("host <> ''").select(*_same("host", "html"), "host", "html").mapInArrow(_counted, "k0 long, k1 long, host string, main long, trees array<long>")
     trees = materialise(read.dropDuplicates(["k0", "k1"]))
-    known = materialise(templates(trees, least, one_in))
-    held = trees.select("k0", "k1", "host", F.explode("trees").alias("tree")).join(known, ["host", "tree"], "left_semi")
-    cut = materialise(held.groupBy("k0", "k1").agg(F.collect_set("tree").alias("cut")))
+    held = trees.select("k0", "k1", "host", F.explode("trees").alias("tree")).join(templates(trees, least, one_in), ["host", "tree"], "left_semi")
+    cut = held.groupBy("k0", "k1").agg(F.collect_set("tree").alias("cut"))
     keyed = rows.select("page_id", "url", "html", *_same("host", "html"))
     return keyed.join(cut, ["k0", "k1"], "left").select("page_id", "url", "html", "cut").mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
 
