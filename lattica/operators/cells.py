@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.geometry import AXES, linear_index, snap, width
+from lattica.operators.joins import by_key
 from lattica.operators.numbering import ordinal
 from lattica.storage import materialise
 
@@ -36,7 +37,7 @@ def find_cells(points: DataFrame, cells: DataFrame, key: list[str], xyz: tuple[s
     probes = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in known]))) if known else points.limit(0).withColumn("_level", F.lit(0))
     probes = probes.select(*key, "_level", *[snap(F.col(c), F.col("_level")).cast("int").alias(f"_{a}") for a, c in zip(AXES, xyz)])
     side = cells.select(F.col("level").alias("_level"), *[F.col(a).alias(f"_{a}") for a in AXES], F.struct("level", "cell_id", *keep).alias("_found"))
-    met = probes.join(side, ["_level", "_x", "_y", "_z"]).groupBy(*key).agg(F.min("_found").alias("f"))
+    met = by_key(probes, side, ["_level", "_x", "_y", "_z"]).groupBy(*key).agg(F.min("_found").alias("f"))
     return met.select(*key, F.col("f.cell_id").alias("found_id"), F.col("f.level").alias("found_level"), *[F.col(f"f.{k}").alias(k) for k in keep])
 
 
@@ -58,7 +59,7 @@ def dual_cells(cells: DataFrame) -> DataFrame:
     asked = cells.select("cell_id", F.explode(places).alias("p")).select("cell_id", "p.*")
     found = find_cells(asked, cells, ["cell_id", "n"])
     have = found.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("n", F.struct(F.col("found_id").alias("id"), F.col("found_level").alias("level"))))).alias("m"))
-    own = cells.select("cell_id", "level").join(have, "cell_id")
+    own = by_key(cells.select("cell_id", "level"), have, "cell_id")
 
     def octant(number: int, step: tuple[int, int, int]) -> Column:
         at = []
@@ -200,7 +201,7 @@ def conformity(faces: DataFrame) -> DataFrame:
 def cubes(elements: DataFrame, cells: DataFrame) -> DataFrame:
     """Perfect cubes (level, ix, iy, iz, ids): the level's index of the cell at their lower corner, ids in VTK order."""
     own = cells.select(F.col("cell_id").alias("_id"), *AXES, F.col("level").alias("_l"))
-    perfect = elements.where("perfect_level >= 0").join(own, F.col("vertex_ids")[0] == F.col("_id"))
+    perfect = elements.where("perfect_level >= 0").join(own.hint("merge"), F.col("vertex_ids")[0] == F.col("_id"))
     return perfect.select(F.col("perfect_level").alias("level"), *[F.floor(F.col(a) / width("_l")).cast("int").alias(f"i{a}") for a in AXES], F.col("vertex_ids").alias("ids"))
 
 
@@ -216,18 +217,18 @@ def cluster_gridlets(cubes: DataFrame, edge: int = 8) -> DataFrame:
     corner = F.array(*[F.struct(*[(F.col(f"i{a}") + o).alias(f"v{a}") for a, o in zip(AXES, offset)], F.col("ids")[n].alias("id")) for n, offset in enumerate(CORNERS)])
     vertices = c.select(*key, F.explode(corner).alias("v")).select(*key, "v.*").groupBy(*key, "vx", "vy", "vz").agg(F.min("id").alias("id"), F.max("id").alias("_other"))
     vertices = vertices.withColumn("id", F.when(F.col("id") == F.col("_other"), F.col("id")).otherwise(F.raise_error(F.lit("cubes disagree on a vertex")).cast("long")))
-    slots = vertices.join(bounds, key).withColumn("slot", linear_index(*[F.col(f"v{a}") - F.col(f"l{a}") for a in AXES], F.col("dx") + 1, F.col("dy") + 1))
+    slots = by_key(vertices, bounds, key).withColumn("slot", linear_index(*[F.col(f"v{a}") - F.col(f"l{a}") for a in AXES], F.col("dx") + 1, F.col("dy") + 1))
     filled = slots.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "id"))).alias("m"))
     n = (F.col("dx") + 1) * (F.col("dy") + 1) * (F.col("dz") + 1)
-    return bounds.join(filled, key).withColumn("ids", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.try_element_at("m", i))).drop("m")
+    return by_key(bounds, filled, key).withColumn("ids", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.try_element_at("m", i))).drop("m")
 
 
 def gridlet_scalars(gridlets: DataFrame, cells: DataFrame) -> DataFrame:
     """Gridlets with scalars for ids (null where there is none): a left join by cell."""
     key = ["level", "mx", "my", "mz"]
     slots = gridlets.select(*key, F.posexplode("ids").alias("slot", "cell_id"))
-    values = slots.join(cells.select("cell_id", "value"), "cell_id", "left").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("s"))
-    return gridlets.join(values.select(*key, F.col("s.value").alias("scalars")), key)
+    values = by_key(slots, cells.select("cell_id", "value"), "cell_id", "left").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("s"))
+    return by_key(gridlets, values.select(*key, F.col("s.value").alias("scalars")), key)
 
 
 def gridlet_counts(gridlets: DataFrame) -> DataFrame:

@@ -58,4 +58,4 @@ def merge(ranked: DataFrame, most: int) -> DataFrame:
 
 def cluster_boxes(points: DataFrame, clusters: DataFrame) -> DataFrame:
     """(cluster, n, lx..hz) over the points (rank, x, y, z) of each cluster."""
-    return points.join(clusters, "rank").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"l{a}") for a in AXES], *[F.max(a).alias(f"h{a}") for a in AXES])
+    return points.join(clusters.hint("merge"), "rank").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.min(a).alias(f"l{a}") for a in AXES], *[F.max(a).alias(f"h{a}") for a in AXES])

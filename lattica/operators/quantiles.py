@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.geometry import AXES
+from lattica.operators.joins import by_key
 from lattica.operators.range_join import BIN, bin_boxes, bin_points, box_classes
 
 #: Points of the sample, and levels of cuts: 2^LEVELS parts.
@@ -82,6 +83,6 @@ def join_crowded(points: DataFrame, boxes: DataFrame, xyz: tuple[str, str, str]
     cuts = planes(points, xyz, levels)
     left = bin_points(points.withColumn("_part", part_of(cuts, xyz)), xyz, classes)
     right = bin_boxes(boxes.withColumn("_part", F.explode(parts_of_box(cuts))))
-    met = left.join(right, ["_part", *BIN])
+    met = by_key(left, right, ["_part", *BIN])
     inside = " AND ".join(f"{c} >= l{a} AND {c} <= h{a}" for a, c in zip(AXES, xyz))
     return met.where(inside).drop("_part", *BIN)

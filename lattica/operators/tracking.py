@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators.fields import Lattice, sample_cells
 from lattica.operators.grid import walk
+from lattica.operators.joins import by_key
 from lattica.storage import materialise
 
 
@@ -31,7 +32,7 @@ def tentative(rays: DataFrame, majorants: DataFrame, low, high, dims, scale: flo
     How many points a segment has is drawn by adding up exponential steps until they pass its mean, a running sum of two
     numbers; the points themselves are then uniform in the segment.
     """
-    seg = walk(rays, low, high, dims).join(majorants.where("max_opacity > 0").select("mc_id", (F.col("max_opacity") * scale).alias("mu")), "mc_id")
+    seg = by_key(walk(rays, low, high, dims), majorants.where("max_opacity > 0").select("mc_id", (F.col("max_opacity") * scale).alias("mu")), "mc_id")
     mean = F.col("mu") * (F.col("t1") - F.col("t0"))
     # far more steps than a segment can have: eight deviations above the mean
     seg = seg.withColumns({"_mean": mean, "_most": F.ceil(mean + 8 * F.sqrt(mean) + 12).cast("int")})
@@ -49,10 +50,10 @@ def tentative(rays: DataFrame, majorants: DataFrame, low, high, dims, scale: flo
 
 def with_extinction(collisions: DataFrame, rays: DataFrame, cells: DataFrame | Lattice | Callable[[DataFrame], DataFrame], alpha: Callable[[Column], Column], scale: float) -> DataFrame:
     """Collisions with sigma, the field's extinction there (0 where there is no field); cells may be any way to sample points."""
-    at = collisions.join(rays.select("ray_id", "ox", "oy", "oz", "dx", "dy", "dz"), "ray_id")
+    at = by_key(collisions, rays.select("ray_id", "ox", "oy", "oz", "dx", "dy", "dz"), "ray_id")
     points = at.select(F.struct("ray_id", "mc_id", "k").alias("pid"), *[(F.col(f"o{a}") + F.col("t") * F.col(f"d{a}")).alias(f"p{a}") for a in "xyz"])
     found = (cells(points) if callable(cells) else sample_cells(points, cells)).select("pid.ray_id", "pid.mc_id", "pid.k", (alpha(F.col("value")) * scale).alias("sigma"), "value")
-    return collisions.join(found, ["ray_id", "mc_id", "k"], "left").withColumn("sigma", F.coalesce("sigma", F.lit(0.0)))
+    return by_key(collisions, found, ["ray_id", "mc_id", "k"], "left").withColumn("sigma", F.coalesce("sigma", F.lit(0.0)))
 
 
 def free_paths(collisions: DataFrame, seed: int) -> DataFrame:
@@ -65,7 +66,7 @@ def transmittance(rays: DataFrame, collisions: DataFrame) -> DataFrame:
     """(ray_id, transmittance) by ratio tracking: the product of 1 - sigma / mu over the tentative collisions."""
     kept = F.greatest(F.lit(0.0), 1 - F.col("sigma") / F.col("mu"))
     product = collisions.groupBy("ray_id").agg(F.sum(F.when(kept > 0, F.log(kept)).otherwise(F.lit(-1e3))).alias("_l"))
-    return rays.select("ray_id").join(product, "ray_id", "left").select("ray_id", F.exp(F.coalesce("_l", F.lit(0.0))).alias("transmittance"))
+    return by_key(rays.select("ray_id"), product, "ray_id", "left").select("ray_id", F.exp(F.coalesce("_l", F.lit(0.0))).alias("transmittance"))
 
 
 def phase_direction(u: Column, v: Column, along: list[Column], g: float = 0.0) -> list[Column]:
@@ -127,10 +128,10 @@ def trace(rays: DataFrame, cells: DataFrame | Callable[[DataFrame], DataFrame],
     for bounce in range(bounces):
         own = seed + 10 * bounce
         hits = with_extinction(tentative(paths, majorants, low, high, dims, scale, own), paths, lattice, alpha, scale)
-        met = materialise(free_paths(hits, own).join(paths, "ray_id").select("ray_id", "weight", *[(F.col(f"o{a}") + F.col("t") * F.col(f"d{a}")).alias(f"p{a}") for a in "xyz"], "dx", "dy", "dz"))
+        met = materialise(by_key(free_paths(hits, own), paths, "ray_id").select("ray_id", "weight", *[(F.col(f"o{a}") + F.col("t") * F.col(f"d{a}")).alias(f"p{a}") for a in "xyz"], "dx", "dy", "dz"))
         shadow = materialise(light_rays(met, light, own + 4))
         through = transmittance(shadow, with_extinction(tentative(shadow, majorants, low, high, dims, scale, own + 3), shadow, lattice, alpha, scale))
-        lit = met.join(through, "ray_id").join(shadow.select("ray_id", "falloff"), "ray_id").select("ray_id", (F.col("weight") * albedo * F.col("transmittance") * F.col("falloff") / 12.566370614359172).alias("light"))
+        lit = by_key(by_key(met, through, "ray_id"), shadow.select("ray_id", "falloff"), "ray_id").select("ray_id", (F.col("weight") * albedo * F.col("transmittance") * F.col("falloff") / 12.566370614359172).alias("light"))
         gathered.append(materialise(lit))
         if len(gathered) == 16:
             gathered = [materialise(total())]
@@ -140,4 +141,4 @@ def trace(rays: DataFrame, cells: DataFrame | Callable[[DataFrame], DataFrame],
         paths = materialise(on.where((F.col("weight") >= roulette) | survives).withColumn("weight", F.when(F.col("weight") < roulette, F.col("weight") / roulette).otherwise(F.col("weight"))))
         if paths.isEmpty():
             break
-    return rays.select("ray_id").join(total(), "ray_id", "left").select("ray_id", F.coalesce("light", F.lit(0.0)).alias("radiance"))
+    return by_key(rays.select("ray_id"), total(), "ray_id", "left").select("ray_id", F.coalesce("light", F.lit(0.0)).alias("radiance"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.functions.geometry import AXES
+from lattica.operators.joins import by_key
 from lattica.operators.rays import OPAQUE, steps
 from lattica.storage import materialise
 
@@ -40,8 +41,8 @@ def march(rays: DataFrame, segments: DataFrame, sample: Callable[[DataFrame], Da
         if not live.take(1):
             break
         done.append(state.where((F.col("last") < low) | (1 - F.exp("clear") >= OPAQUE)))
-        now = queue.where((F.col("n") >= low) & (F.col("n") < low + width)).join(live.select("ray_id", "clear"), "ray_id")
-        at = steps(now, dt).join(lines, "ray_id")
+        now = by_key(queue.where((F.col("n") >= low) & (F.col("n") < low + width)), live.select("ray_id", "clear"), "ray_id")
+        at = by_key(steps(now, dt), lines, "ray_id")
         points = at.select(F.struct("ray_id", "t", "clear").alias("pid"), *[(F.col(f"o{a}") + F.col("t") * F.col(f"d{a}")).alias(f"p{a}") for a in AXES])
         met = sample(points)
         shade = colour(F.col("value"))
@@ -51,7 +52,7 @@ def march(rays: DataFrame, segments: DataFrame, sample: Callable[[DataFrame], Da
         through = lit.withColumn("_step", step).withColumn("_clear", F.exp(F.col("clear") + F.coalesce(F.sum("_step").over(before), F.lit(0.0))))
         seen = through.where(1 - F.col("_clear") < OPAQUE)
         more = seen.groupBy("ray_id").agg(*[F.sum(F.col("_clear") * F.col("a") * F.col(c)).alias(f"_{c}") for c in colours], F.sum(F.col("_clear") * F.col("a")).alias("_alpha"), F.sum("_step").alias("_more"), F.count(F.lit(1)).alias("_n"))
-        joined = live.join(more, "ray_id", "left")
+        joined = by_key(live, more, "ray_id", "left")
         state = materialise(joined.select("ray_id", "last", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0.0))).alias(c) for c in sums], (F.col("clear") + F.coalesce("_more", F.lit(0.0))).alias("clear"), (F.col("samples") + F.coalesce("_n", F.lit(0))).alias("samples")))
         low, width = low + width, 2 * width
     out = state
