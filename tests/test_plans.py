@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lattica.functions import elements as E
+from lattica.operators import bricks as B
 from lattica.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -26,3 +27,11 @@ def test_tets_and_planes_of_arrays():
     cube = np.array([[[x, y, z] for x, y, z in ((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1))]] * 2, float)
     found = E.plane_ratios("hex", cube, np.array([np.arange(8.0)] * 2), np.array([[1, 0, 0], [1.1, 0, 0]]))
     assert found[0] == 1.0 and np.isnan(found[1])
+
+
+def test_cells_of_regions_are_not_broadcast(spark):
+    bricks = spark.createDataFrame([(1, 0, 0, 0, 1, 1, 1, 0, [0.5])], "brick_id long, lx int, ly int, lz int, sx int, sy int, sz int, level int, scalars array<double>")
+    regions = spark.createDataFrame([(7, *[-0.5] * 3, *[1.5] * 3, [1])], "region_id long, lx double, ly double, lz double, hx double, hy double, hz double, brick_ids array<long>")
+    found = B.region_ranges(regions, bricks)
+    assert "BroadcastHashJoin" not in plan(found)
+    assert [tuple(r) for r in found.collect()] == [(7, 0.5, 0.5, 1.0)]
