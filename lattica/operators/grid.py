@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from lattica.functions.geometry import AXES, cell_box, linear_index, project_on_grid, ray_box
 from lattica.functions.transfer import majorant
+from lattica.operators.columns import once, spread
 from lattica.operators.joins import by_key
 
 Bounds = tuple[float, float]
@@ -114,28 +115,26 @@ def walk_with_rays(rays: DataFrame, low: tuple[float, ...], high: tuple[float, .
 
 def _segments(rays: DataFrame, low: tuple[float, ...], high: tuple[float, ...], dims: tuple[int, int, int]) -> DataFrame:
     bounds = {f"l{a}": F.lit(float(l)) for a, l in zip(AXES, low)} | {f"h{a}": F.lit(float(h)) for a, h in zip(AXES, high)}
-    r = rays.withColumns(bounds)
     t0, t1 = ray_box()
-    r = r.withColumns({"_t0": t0, "_t1": t1}).where("_t0 < _t1").drop(*bounds)
+    r = once(spread(rays, "ray_id").withColumns(bounds), _t0=t0, _t1=t1).where("_t0 < _t1").drop(*bounds)
     crossings: list[Column] = [F.array("_t0", "_t1")]
+    planned: dict[str, Column] = {}
     for a, l, h, d in zip(AXES, low, high, dims):
         edge = (h - l) / d
         o, v = F.col(f"o{a}"), F.col(f"d{a}")
         ends = [(o + F.col(t) * v - l) / edge for t in ("_t0", "_t1")]
         # one plane more on either side, as ends are rounded
-        first, last = F.greatest(F.lit(1.0), F.floor(F.least(*ends))).cast("int"), F.least(F.lit(d - 1.0), F.ceil(F.greatest(*ends))).cast("int")
-        r = r.withColumns({f"_p{a}": first, f"_q{a}": last})
+        planned[f"_p{a}"], planned[f"_q{a}"] = F.greatest(F.lit(1.0), F.floor(F.least(*ends))).cast("int"), F.least(F.lit(d - 1.0), F.ceil(F.greatest(*ends))).cast("int")
         planes = F.transform(F.sequence(f"_p{a}", f"_q{a}"), _crossed(l, edge, o, v))
         crossings.append(F.when((v != 0) & (F.col(f"_p{a}") <= F.col(f"_q{a}")), planes).otherwise(F.array().cast("array<double>")))
     inside = F.filter(F.concat(*crossings), lambda t: (t >= F.col("_t0")) & (t <= F.col("_t1")))
     # equal ones bound no segment; 0.0 is added as -0.0 is no other place
-    r = r.withColumn("_t", F.array_distinct(F.array_sort(F.transform(inside, lambda t: t + F.lit(0.0)))))
+    r = once(once(r, **planned), _t=F.array_distinct(F.array_sort(F.transform(inside, lambda t: t + F.lit(0.0))))).where(F.size("_t") > 1)
     earlier = F.concat(F.array(F.lit(None).cast("double")), F.slice("_t", F.lit(1), F.size("_t") - 2))
     pairs = F.arrays_zip(F.slice("_t", F.lit(1), F.size("_t") - 1).alias("a"), F.slice("_t", F.lit(2), F.size("_t") - 1).alias("b"), earlier.alias("p"))
-    r = r.where(F.size("_t") > 1)
-    s = r.select(*rays.columns, F.explode(pairs).alias("s")).select("*", F.col("s.a").alias("t0"), F.col("s.b").alias("t1"), F.col("s.p").alias("_before")).where("t0 < t1")
+    s = r.select(*rays.columns, F.explode(pairs).alias("s")).select(*rays.columns, F.col("s.a").alias("t0"), F.col("s.b").alias("t1"), F.col("s.p").alias("_before")).where("t0 < t1")
     middle = [project_on_grid(F.col(f"o{a}") + (F.col("t0") + F.col("t1")) / 2 * F.col(f"d{a}"), l, h, d) for a, l, h, d in zip(AXES, low, high, dims)]
-    return s.withColumn("mc_id", linear_index(*middle, dims[0], dims[1]).cast("long"))
+    return once(s, mc_id=linear_index(*middle, dims[0], dims[1]).cast("long"))
 
 
 def mirrored_walk(rays: DataFrame, low: tuple[float, ...], high: tuple[float, ...], dims: tuple[int, int, int], axis: int, plane: float) -> DataFrame:

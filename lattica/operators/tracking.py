@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.columns import once
 from lattica.operators.fields import Lattice, sample_cells
 from lattica.operators.grid import walk
 from lattica.operators.joins import by_key
@@ -34,22 +35,27 @@ def tentative(rays: DataFrame, majorants: DataFrame, low, high, dims, scale: flo
     """
     seg = by_key(walk(rays, low, high, dims), majorants.where("max_opacity > 0").select("mc_id", (F.col("max_opacity") * scale).alias("mu")), "mc_id")
     mean = F.col("mu") * (F.col("t1") - F.col("t0"))
+    seg = once(seg, _mean=mean)
     # far more steps than a segment can have: eight deviations above the mean
-    seg = seg.withColumns({"_mean": mean, "_most": F.ceil(mean + 8 * F.sqrt(mean) + 12).cast("int")})
+    most = F.ceil(F.col("_mean") + 8 * F.sqrt("_mean") + 12).cast("int")
     none = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
 
     def add(state: Column, k: Column) -> Column:
         far = state["sum"] - F.log(uniform("ray_id", "mc_id", k, F.lit(seed)))
         return F.struct(far.alias("sum"), (state["n"] + (far < F.col("_mean")).cast("int")).alias("n"))
 
-    seg = seg.withColumn("_n", F.aggregate(F.sequence(F.lit(1), F.col("_most")), none, add, lambda s: s["n"])).where("_n > 0")
+    seg = once(seg, _n=F.aggregate(F.sequence(F.lit(1), most), none, add, lambda s: s["n"])).where("_n > 0")
     each = seg.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     at = F.col("t0") + (F.col("t1") - F.col("t0")) * uniform("ray_id", "mc_id", "k", F.lit(seed), F.lit("place"))
     return each.select("ray_id", "mc_id", "k", at.alias("t"), "mu")
 
 
 def with_extinction(collisions: DataFrame, rays: DataFrame, cells: DataFrame | Lattice | Callable[[DataFrame], DataFrame], alpha: Callable[[Column], Column], scale: float) -> DataFrame:
-    """Collisions with sigma, the field's extinction there (0 where there is no field); cells may be any way to sample points."""
+    """Collisions with sigma, the field's extinction there (0 where there is no field); cells may be any way to sample points.
+
+    Collisions are asked for twice, so they are written first: the walk is done once, and is no part of the plan of what follows.
+    """
+    collisions = materialise(collisions)
     at = by_key(collisions, rays.select("ray_id", "ox", "oy", "oz", "dx", "dy", "dz"), "ray_id")
     points = at.select(F.struct("ray_id", "mc_id", "k").alias("pid"), *[(F.col(f"o{a}") + F.col("t") * F.col(f"d{a}")).alias(f"p{a}") for a in "xyz"])
     found = (cells(points) if callable(cells) else sample_cells(points, cells)).select("pid.ray_id", "pid.mc_id", "pid.k", (alpha(F.col("value")) * scale).alias("sigma"), "value")

@@ -70,13 +70,13 @@ def _alpha(value):
     return lookup(value, RAMP, 0.0, 0.08)["a"]
 
 
-def _majorants(s, d):
-    return M.with_majorants(M.cell_ranges(R(s, d, "cells"), LOW, HIGH, DIMS), RAMP, 0.0, 0.08)
+def _majorants(cells):
+    return M.with_majorants(M.cell_ranges(cells, LOW, HIGH, DIMS), RAMP, 0.0, 0.08)
 
 
 def _collisions(s, d):
-    r = _unit_rays(s, d)
-    return r, materialise(X.with_extinction(X.tentative(r, _majorants(s, d), LOW, HIGH, DIMS, 0.05, 3), r, R(s, d, "cells"), _alpha, 0.05))
+    r, cells = _unit_rays(s, d), materialise(R(s, d, "cells"))
+    return r, materialise(X.with_extinction(X.tentative(r, materialise(_majorants(cells)), LOW, HIGH, DIMS, 0.05, 3), r, X.Lattice.of(cells), _alpha, 0.05))
 
 
 def t1_free_paths(s, d):
@@ -88,11 +88,13 @@ def t2_transmittance(s, d):
 
 
 def t5_path_traced(s, d):
-    return X.trace(_unit_rays(s, d), R(s, d, "cells"), _majorants(s, d), _alpha, LOW, HIGH, DIMS, scale=0.05, light=(32.0, 80.0, 32.0))
+    cells = materialise(R(s, d, "cells"))
+    return X.trace(_unit_rays(s, d), cells, _majorants(cells), _alpha, LOW, HIGH, DIMS, scale=0.05, light=(32.0, 80.0, 32.0))
 
 
 def t6_direct_light(s, d):
-    return X.trace(_unit_rays(s, d), R(s, d, "cells"), _majorants(s, d), _alpha, LOW, HIGH, DIMS, scale=0.05, light=(32.0, 80.0, 32.0), bounces=1)
+    cells = materialise(R(s, d, "cells"))
+    return X.trace(_unit_rays(s, d), cells, _majorants(cells), _alpha, LOW, HIGH, DIMS, scale=0.05, light=(32.0, 80.0, 32.0), bounces=1)
 
 
 def s1_cell_files(s, d):

@@ -35,3 +35,15 @@ def test_cells_of_regions_are_not_broadcast(spark):
     found = B.region_ranges(regions, bricks)
     assert "BroadcastHashJoin" not in plan(found)
     assert [tuple(r) for r in found.collect()] == [(7, 0.5, 0.5, 1.0)]
+
+
+def test_walks_and_collisions_have_short_plans(spark):
+    """Columns of a walk were written out again in each that uses them: the driver planned for most of a minute, in 1.3 GB."""
+    from lattica.operators import tracking as X
+    from lattica.plans import other_queries as O
+
+    rays = O._unit_rays(spark, DATA)
+    majorants = spark.createDataFrame([(0, 1.0)], "mc_id long, max_opacity double")
+    found = X.tentative(rays, majorants, O.LOW, O.HIGH, O.DIMS, 0.05, 3)
+    assert len(plan(found)) < 20_000
+    assert "REPARTITION_BY_NUM" in plan(found)  # rays of one small file are spread
