@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.geometry import AXES, brick_domain, linear_index, width
 from lattica.operators.cells import levels
+from lattica.operators.grid import brick_cells
 from lattica.operators.joins import by_key
 from lattica.operators.range_join import join_boxes, join_points
 from lattica.storage import materialise
@@ -55,13 +56,19 @@ def sample_cells(points: DataFrame, cells: DataFrame | Lattice) -> DataFrame:
     known, blocks = (cells.levels, cells.blocks) if isinstance(cells, Lattice) else (levels(cells), None)
     if not known:
         return points.select("pid", F.lit(0.0).alias("value")).limit(0)
+    summed = _lattice_sums(points, known, lattice_blocks(cells) if blocks is None else blocks)
+    return summed.where("_w > 0").select("pid", (F.col("_wv") / F.col("_w")).alias("value"))
+
+
+def _lattice_sums(points: DataFrame, known: list[int], blocks: DataFrame) -> DataFrame:
+    """(pid, _wv, _w): sums of weight times value, and of weight, at points, from blocks of the levels known."""
     probes = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in known]))).withColumn("_w", width("_level"))
     probes = probes.withColumns({f"_q{a}": F.col(f"p{a}") / F.col("_w") - 0.5 for a in AXES})
+    probes = probes.where(" AND ".join(f"abs(_q{a}) < 2147483647" for a in AXES))  # no cell is further, or at NaN
     probes = probes.select("pid", "_level", *[F.floor(f"_q{a}").cast("int").alias(f"_i{a}") for a in AXES], *[(F.col(f"_q{a}") - F.floor(f"_q{a}")).alias(f"_f{a}") for a in AXES])
-    met = by_key(probes, lattice_blocks(cells) if blocks is None else blocks, ["_level", *[f"_i{a}" for a in AXES]])
+    met = by_key(probes, blocks, ["_level", *[f"_i{a}" for a in AXES]])
     share = [reduce(lambda x, y: x * y, [F.col(f"_f{a}") if k >> i & 1 else 1 - F.col(f"_f{a}") for i, a in enumerate(AXES)]) for k in range(8)]
-    summed = met.groupBy("pid").agg(*[F.sum(reduce(lambda x, y: x + y, [w * F.col(f"{c}{k}") for k, w in enumerate(share)])).alias(name) for c, name in (("s", "_wv"), ("n", "_w"))])
-    return summed.where("_w > 0").select("pid", (F.col("_wv") / F.col("_w")).alias("value"))
+    return met.groupBy("pid").agg(*[F.sum(reduce(lambda x, y: x + y, [w * F.col(f"{c}{k}") for k, w in enumerate(share)])).alias(name) for c, name in (("s", "_wv"), ("n", "_w"))])
 
 
 def brick_hits(met: DataFrame) -> DataFrame:
@@ -82,24 +89,58 @@ def brick_hits(met: DataFrame) -> DataFrame:
     return each.select("pid", "brick_id", weight.alias("weight"), value.cast("double").alias("value")).where("value IS NOT NULL AND NOT isnan(value)")
 
 
+def _on_lattice() -> Column:
+    """Whether a brick's cells lie on the lattice of its level, as those of a mesh do."""
+    return reduce(lambda x, y: x & y, [F.pmod(F.col(f"l{a}").cast("double"), width("level")) == 0 for a in AXES])
+
+
+def _brick_places(bricks: DataFrame) -> DataFrame:
+    """Blocks of eight (see lattice_blocks) around the places of the bricks' cells, of which cells that coincide are put together first."""
+    cells = brick_cells(bricks).where("value IS NOT NULL AND NOT isnan(value)")
+    # the place a row, not its eight blocks a cell: rows are as many as places, however many bricks overlap
+    met = cells.groupBy("level", *AXES).agg(F.sum("value").alias("_s"), F.count(F.lit(1)).cast("double").alias("_n")).withColumn("_w", width("level"))
+    at = F.array(*[F.struct(F.lit(k).alias("k"), *[(F.floor(F.col(a) / F.col("_w")) - (k >> i & 1)).cast("int").alias(f"_i{a}") for i, a in enumerate(AXES)]) for k in range(8)])
+    each = met.select(F.col("level").alias("_level"), "_s", "_n", F.explode(at).alias("c")).select("_level", "_s", "_n", "c.*")
+    mine = lambda k, v: F.when(F.col("k") == k, F.col(v)).otherwise(F.lit(0.0))
+    return each.groupBy("_level", *[f"_i{a}" for a in AXES]).agg(*[F.sum(mine(k, "_s")).alias(f"s{k}") for k in range(8)], *[F.sum(mine(k, "_n")).alias(f"n{k}") for k in range(8)])
+
+
+def brick_sums(points: DataFrame, bricks: DataFrame) -> DataFrame:
+    """(pid, _wv, _w): sums of weight times value and of weight of the cells of all bricks around each point.
+
+    Bricks of a level share a lattice, so a cell's weight at a point depends on its place alone, whichever brick it is of. Cells are
+    added up by place, and a point then meets one row a level, not one for each brick that holds it: bricks that overlap n-fold
+    cost no more pairs than one. Bricks off their level's lattice are met one by one.
+    """
+    aligned, stray = bricks.where(_on_lattice()), bricks.where(~F.coalesce(_on_lattice(), F.lit(False)))
+    known = levels(aligned)
+    parts = []
+    if known:
+        parts.append(_lattice_sums(points, known, _brick_places(aligned)))
+    if not known or not stray.isEmpty():
+        names = ("lx", "ly", "lz")
+        held = stray.select(*[F.col(c).alias(f"b{c}" if c in names else c) for c in stray.columns], *brick_domain())
+        met = join_points(points, held).drop("lx", "ly", "lz", "hx", "hy", "hz").withColumnsRenamed({f"b{n}": n for n in names})
+        parts.append(brick_hits(met).groupBy("pid").agg(F.sum(F.col("weight") * F.col("value")).alias("_wv"), F.sum("weight").alias("_w")))
+    if len(parts) == 1:
+        return parts[0]
+    return parts[0].unionByName(parts[1]).groupBy("pid").agg(F.sum("_wv").alias("_wv"), F.sum("_w").alias("_w"))
+
+
 def sample_bricks(points: DataFrame, bricks: DataFrame) -> DataFrame:
-    """(pid, value) from all bricks whose domain holds a point."""
-    names = ("lx", "ly", "lz")
-    held = bricks.select(*[F.col(c).alias(f"b{c}" if c in names else c) for c in bricks.columns], *brick_domain())
-    met = join_points(points, held).drop("lx", "ly", "lz", "hx", "hy", "hz").withColumnsRenamed({f"b{n}": n for n in names})
-    return weighted_mean(brick_hits(met), ["pid"])
+    """(pid, value) from all bricks whose domain holds a point; see brick_sums."""
+    return brick_sums(points, bricks).where("_w > 0").select("pid", (F.col("_wv") / F.col("_w")).alias("value"))
 
 
 def sample_regions(points: DataFrame, regions: DataFrame, bricks: DataFrame) -> DataFrame:
-    """(pid, value) by way of disjoint regions that know their bricks: equal to sample_bricks.
+    """(pid, value) by way of disjoint regions of these bricks (see bricks.regions): equal to sample_bricks.
 
-    A point on the common face of regions is in several; each brick counts once.
+    Regions tell which points lie where a brick reaches; the bricks of a region are all that reach into it, so the sums at its points
+    are those of brick_sums. A region's list of bricks is not expanded at its points: that is a row for each point and brick. A
+    point on the common face of regions is in several, and counts once.
     """
-    held = join_points(points, regions).select("pid", "px", "py", "pz", F.explode("brick_ids").alias("brick_id")).distinct()
-    domain = [c.alias(f"_{n}") for n, c in zip(("lx", "ly", "lz", "hx", "hy", "hz"), brick_domain())]
-    met = by_key(held, bricks.select(*bricks.columns, *domain), "brick_id")
-    inside = " AND ".join(f"p{a} >= _l{a} AND p{a} <= _h{a}" for a in AXES)
-    return weighted_mean(brick_hits(met.where(inside)), ["pid"])
+    held = join_points(points, regions.select("lx", "ly", "lz", "hx", "hy", "hz")).select("pid", "px", "py", "pz").distinct()
+    return sample_bricks(held, bricks)
 
 
 def sample_gridlets(points: DataFrame, gridlets: DataFrame) -> DataFrame:

@@ -47,3 +47,26 @@ def test_walks_and_collisions_have_short_plans(spark):
     found = X.tentative(rays, majorants, O.LOW, O.HIGH, O.DIMS, 0.05, 3)
     assert len(plan(found)) < 20_000
     assert "REPARTITION_BY_NUM" in plan(found)  # rays of one small file are spread
+
+
+def test_bricks_that_overlap_are_added_up_by_place(spark):
+    """Bricks on and off their level's lattice, copies, and points at no number: as by pairs, without a pair of each point and brick."""
+    from lattica.functions.geometry import brick_domain
+    from lattica.operators import fields as S
+    from lattica.operators.range_join import join_points
+
+    kinds = "brick_id long, lx int, ly int, lz int, sx int, sy int, sz int, level int, scalars array<double>"
+    copies = [(i, 0, 0, 0, 2, 1, 1, 0, [0.1 * i, None]) for i in range(50)]
+    others = [(90, 2, 0, 0, 1, 1, 2, 1, [5.0, float("nan")]), (91, 1, 1, 1, 1, 1, 1, 1, [7.0]), (92, -2, 0, 0, 1, 1, 1, 1, [1.0])]
+    bricks = spark.createDataFrame(copies + others, kinds)
+    places = [(i, i * 0.31 - 2.0, i * 0.17 - 0.5, i * 0.11 - 0.4) for i in range(25)] + [(98, float("nan"), 0.5, 0.5), (99, 0.5, float("inf"), 0.5)]
+    points = spark.createDataFrame(places, "pid long, px double, py double, pz double")
+    held = bricks.select("brick_id", *[f"s{a}" for a in "xyz"], "level", "scalars", *[bricks[f"l{a}"].alias(f"b{a}") for a in "xyz"], *brick_domain())
+    met = join_points(points, held).drop("lx", "ly", "lz", "hx", "hy", "hz").withColumnsRenamed({f"b{a}": f"l{a}" for a in "xyz"})
+    want = {r.pid: round(r.value, 9) for r in S.weighted_mean(S.brick_hits(met), ["pid"]).collect()}
+    assert len(want) > 10
+    for found in (S.sample_bricks(points, bricks), S.sample_regions(points, B.regions(bricks), bricks)):
+        assert {r.pid: round(r.value, 9) for r in found.collect()} == want
+    assert "brick_ids" not in plan(S.sample_regions(points, B.regions(bricks), bricks)).split("Scan")[0]
+    aligned = bricks.where("brick_id <> 91")
+    assert "_class" not in plan(S.sample_bricks(points, aligned))
