@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from lattica.functions.geometry import AXES
 from lattica.functions.transfer import majorant
 from lattica.operators import pyramid as P
+from lattica.operators.joins import by_key
 from lattica.storage import materialise
 
 #: Planes that are tried on each axis are the inner ones of so many bins. A fixed value.
@@ -38,10 +39,10 @@ def _halves(leaves: DataFrame) -> DataFrame:
 
 def _children(leaves: DataFrame, pyramid: P.Pyramid, entries: list, domain: tuple[float, float]) -> DataFrame:
     """Both halves of each leaf at its best plane: that for which sizes times majorants add up to least, then the first by axis and place."""
-    halves = _halves(leaves).withColumn("probe_id", F.struct("path", "axis", "k", "side"))
+    halves = materialise(_halves(leaves).withColumn("probe_id", F.struct("path", "axis", "k", "side")))  # probed, and then met by what was found
     valued = P.ranges(pyramid, halves).select("probe_id", majorant(F.col("vmin"), F.col("vmax"), entries, *domain).alias("_m"))
     corner = lambda s: [F.col(f"a_{s}{a}") for a in AXES]
-    costed = halves.join(valued, "probe_id", "left").withColumn("majorant", F.coalesce("_m", F.lit(0.0))).withColumn("cost", size(corner("l"), corner("h")) * F.col("majorant"))
+    costed = by_key(halves, valued, "probe_id", "left").withColumn("majorant", F.coalesce("_m", F.lit(0.0))).withColumn("cost", size(corner("l"), corner("h")) * F.col("majorant"))
     half = F.struct("side", *[F.col(f"a_{s}").alias(s) for s in SIDES], "majorant", "cost")
     planes = costed.groupBy("path", "depth", "axis", "k").agg(F.max(F.when(F.col("side") == 0, half)).alias("a"), F.max(F.when(F.col("side") == 1, half)).alias("b"))
     best = planes.groupBy("path", "depth").agg(F.min_by(F.array("a", "b"), F.struct(F.col("a.cost") + F.col("b.cost"), "axis", "k")).alias("parts"))

@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.geometry import AXES
+from lattica.operators.joins import by_key
 from lattica.storage import materialise
 
 SIDES = ("lx", "ly", "lz", "hx", "hy", "hz")
 BLOCK = ("_kx", "_ky", "_kz")
-#: Boxes that a lowest block has on average, and blocks of a level that may be broadcast (some 100 bytes each).
-FILL, BROADCAST = 32, 100_000
+#: Boxes that a lowest block has on average, and blocks of a level that may be broadcast (some 100 bytes each). More would be
+#: held by the driver, once for each level of each call.
+FILL, BROADCAST = 32, 1_000
 #: Levels above the lowest, at most.
 LEVELS = 40
 
@@ -37,6 +39,8 @@ class Pyramid:
 def build(boxes: DataFrame, fill: int = FILL) -> Pyramid:
     """boxes: b_lx..b_hz, b_vmin, b_vmax. Boxes without volume, and null or NaN values, don't count."""
     sound = boxes.where(" AND ".join(f"b_l{a} < b_h{a}" for a in AXES)).where("NOT isnan(coalesce(b_vmin, double('NaN'))) AND NOT isnan(coalesce(b_vmax, double('NaN')))")
+    # boxes of the same place are one, with the range of them all
+    sound = materialise(sound.groupBy(*[f"b_{s}" for s in SIDES]).agg(F.min("b_vmin").alias("b_vmin"), F.max("b_vmax").alias("b_vmax")))
     whole = sound.agg(F.count(F.lit(1)).alias("n"), *[F.min(f"b_l{a}").alias(f"l{a}") for a in AXES], *[F.max(f"b_l{a}").alias(f"m{a}") for a in AXES]).first()
     if not whole["n"]:
         return Pyramid(sound, [], [])
@@ -77,7 +81,7 @@ def ranges(pyramid: Pyramid, probes: DataFrame, key: str = "probe_id") -> DataFr
     found: list[DataFrame] = []
     for level in range(len(pyramid.levels) - 1, -1, -1):
         blocks = pyramid.levels[level]
-        met = open_.join(F.broadcast(blocks) if pyramid.sizes[level] <= BROADCAST else blocks, list(BLOCK))
+        met = open_.join(F.broadcast(blocks), list(BLOCK)) if pyramid.sizes[level] <= BROADCAST else by_key(open_, blocks, list(BLOCK))
         met = met.where(" AND ".join(f"l{a} < a_h{a} AND h{a} > a_l{a}" for a in AXES))
         # every box begins before the probe ends, and ends after it begins
         whole = reduce(lambda x, y: x & y, [(F.col(f"m{a}") < F.col(f"a_h{a}")) & (F.col(f"n{a}") > F.col(f"a_l{a}")) for a in AXES])
@@ -87,6 +91,6 @@ def ranges(pyramid: Pyramid, probes: DataFrame, key: str = "probe_id") -> DataFr
         if level:
             some = F.filter(F.array(*[F.lit(c) for c in range(8)]), lambda c: F.call_function("shiftright", F.col("mask"), c).bitwiseAND(F.lit(1)) == 1)
             open_ = open_.withColumn("_c", F.explode(some)).select(key, *corners, *[(F.col(k) * 2 + F.call_function("shiftright", F.col("_c"), F.lit(i)).bitwiseAND(F.lit(1))).cast("long").alias(k) for i, k in enumerate(BLOCK)])
-    cut = open_.select(key, *corners, *BLOCK).join(pyramid.boxes, list(BLOCK)).where(" AND ".join(f"b_l{a} < a_h{a} AND b_h{a} > a_l{a}" for a in AXES))
+    cut = by_key(open_.select(key, *corners, *BLOCK), pyramid.boxes, list(BLOCK)).where(" AND ".join(f"b_l{a} < a_h{a} AND b_h{a} > a_l{a}" for a in AXES))
     found.append(cut.groupBy(key).agg(F.min("b_vmin").alias("vmin"), F.max("b_vmax").alias("vmax")))
     return reduce(DataFrame.unionByName, found).groupBy(key).agg(F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))

@@ -86,3 +86,16 @@ def test_lists_of_regions_meet_points_by_region(spark):
     boxes = [line for line in text.splitlines() if "Exchange hashpartitioning(_class" in line]
     assert len(boxes) == 2 and text.count("lx") > 0
     assert not any("bricks" in line or "brick_ids" in line for line in text[text.index("_class") :].splitlines() if "Generate" in line)
+
+
+def test_copies_of_boxes_are_one_box_of_a_pyramid(spark):
+    """Boxes of the same place were kept apart, and up to 100,000 blocks of a level were sent to all through the driver."""
+    from lattica.operators import pyramid as P
+
+    boxes = spark.range(4000).selectExpr("id % 40 AS n", "id / 4000 AS v").selectExpr(*[f"double(n) AS b_l{a}" for a in "xyz"], *[f"double(n + 1) AS b_h{a}" for a in "xyz"], "v AS b_vmin", "v AS b_vmax")
+    held = P.build(boxes)
+    assert held.boxes.count() == 40 and P.BROADCAST <= 1_000
+    probes = spark.createDataFrame([(1, *[3.5] * 3, *[4.5] * 3)], "probe_id int, " + ", ".join(f"a_{s} double" for s in P.SIDES))
+    found = P.ranges(held, probes)
+    assert [tuple(r) for r in found.collect()] == [(1, 3 / 4000, 3964 / 4000)]
+    assert plan(found).count("BroadcastHashJoin") == 0
