@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.geometry import AXES
+from lattica.operators.columns import once
 from lattica.operators.joins import by_key
 from lattica.operators.range_join import BIN, bin_boxes, bin_points, box_classes
 
@@ -86,3 +87,27 @@ def join_crowded(points: DataFrame, boxes: DataFrame, xyz: tuple[str, str, str]
     met = by_key(left, right, ["_part", *BIN])
     inside = " AND ".join(f"{c} >= l{a} AND {c} <= h{a}" for a, c in zip(AXES, xyz))
     return met.where(inside).drop("_part", *BIN)
+
+
+def holders(points: DataFrame, boxes: DataFrame, key: str, xyz: tuple[str, str, str] = ("px", "py", "pz"), levels: int = LEVELS) -> DataFrame:
+    """(pid, n, first, last): how many boxes hold each point, bounds included, and their smallest and largest key; points in none have no row.
+
+    A box that holds all points of a part is counted once for the part, not once for each of its points; only boxes that cut the
+    bounds of a part's points meet these one by one.
+    """
+    classes = box_classes(boxes)
+    cuts = planes(points, xyz, levels)
+    sound = points.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in xyz))
+    left = once(sound.select("pid", *xyz), _part=part_of(cuts, xyz))
+    bounds = left.groupBy("_part").agg(*[f(c).alias(f"_{e}{a}") for a, c in zip(AXES, xyz) for e, f in (("l", F.min), ("h", F.max))])
+    touched = once(boxes.select(key, *[f"{e}{a}" for e in "lh" for a in AXES]), _parts=parts_of_box(cuts)).withColumn("_part", F.explode("_parts")).drop("_parts")
+    reach = by_key(touched, bounds, "_part").where(" AND ".join(f"l{a} <= _h{a} AND h{a} >= _l{a} AND l{a} <= h{a}" for a in AXES))
+    whole = F.expr(" AND ".join(f"l{a} <= _l{a} AND h{a} >= _h{a}" for a in AXES))
+    counted = [F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")]
+    found = by_key(left.select("pid", "_part"), reach.where(whole).groupBy("_part").agg(*counted), "_part").select("pid", "n", "first", "last")
+    if classes:
+        some = reach.where(~whole).drop(*[f"_{e}{a}" for e in "lh" for a in AXES])
+        met = by_key(bin_points(left, xyz, classes), bin_boxes(some), ["_part", *BIN])
+        pairs = met.where(" AND ".join(f"{c} >= l{a} AND {c} <= h{a}" for a, c in zip(AXES, xyz)))
+        found = found.unionByName(pairs.groupBy("pid").agg(*counted))
+    return found.groupBy("pid").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))

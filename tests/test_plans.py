@@ -99,3 +99,14 @@ def test_copies_of_boxes_are_one_box_of_a_pyramid(spark):
     found = P.ranges(held, probes)
     assert [tuple(r) for r in found.collect()] == [(1, 3 / 4000, 3964 / 4000)]
     assert plan(found).count("BroadcastHashJoin") == 0
+
+
+def test_points_of_a_part_count_its_boxes_once(spark):
+    """Boxes over all points of a part were paired with each of them."""
+    from lattica.operators import quantiles as Q
+
+    points = spark.createDataFrame([(i, 5 + i / 1e4, 5.0, 5.0) for i in range(300)] + [(900, 0.0, 0.0, 0.0), (901, None, 5.0, 5.0), (902, float("nan"), 5.0, 5.0), (903, 99.0, 99.0, 99.0)], "pid long, px double, py double, pz double")
+    boxes = spark.createDataFrame([(i, *[0.0] * 3, *[9.0] * 3) for i in range(20)] + [(77, 5.01, 4.0, 4.0, 6.0, 6.0, 6.0)], "brick_id long, lx double, ly double, lz double, hx double, hy double, hz double")
+    want = {r.pid: (r.n, r["first"], r["last"]) for r in Q.join_crowded(points, boxes, levels=3).groupBy("pid").agg(*[f for f in (Q.F.count("*").alias("n"), Q.F.min("brick_id").alias("first"), Q.F.max("brick_id").alias("last"))]).collect()}
+    assert len(want) == 301 and want[200] == (21, 0, 77)
+    assert {r.pid: (r.n, r["first"], r["last"]) for r in Q.holders(points, boxes, "brick_id", levels=3).collect()} == want
