@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.geometry import AXES
-from lattica.operators.columns import once
+from lattica.operators.columns import once, spread
 from lattica.operators.joins import by_key
 from lattica.operators.range_join import BIN, bin_boxes, bin_points, box_classes
 
@@ -100,7 +100,7 @@ def holders(points: DataFrame, boxes: DataFrame, key: str, xyz: tuple[str, str,
     sound = points.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in xyz))
     left = once(sound.select("pid", *xyz), _part=part_of(cuts, xyz))
     bounds = left.groupBy("_part").agg(*[f(c).alias(f"_{e}{a}") for a, c in zip(AXES, xyz) for e, f in (("l", F.min), ("h", F.max))])
-    touched = once(boxes.select(key, *[f"{e}{a}" for e in "lh" for a in AXES]), _parts=parts_of_box(cuts)).withColumn("_part", F.explode("_parts")).drop("_parts")
+    touched = once(spread(boxes.select(key, *[f"{e}{a}" for e in "lh" for a in AXES]), key), _parts=parts_of_box(cuts)).withColumn("_part", F.explode("_parts")).drop("_parts")
     reach = by_key(touched, bounds, "_part").where(" AND ".join(f"l{a} <= _h{a} AND h{a} >= _l{a} AND l{a} <= h{a}" for a in AXES))
     whole = F.expr(" AND ".join(f"l{a} <= _l{a} AND h{a} >= _h{a}" for a in AXES))
     counted = [F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last")]
