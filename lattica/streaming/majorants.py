@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,6 +17,8 @@ from lattica.operators.grid import touched
 CHANGES = "x int, y int, z int, level int, value double, version long, alphas array<double>, low double, high double"
 STATE = "vmin double, vmax double, version long, alphas array<double>, low double, high double, max_opacity double"
 OUT = "mc_id long, version long, vmin double, vmax double, max_opacity double"
+#: Macrocells that a partition of the state has at least: each costs a Python worker and a store a trigger, however few its keys are.
+CELLS_A_PARTITION = 64
 
 
 def largest(vmin: float, vmax: float, alphas: list[float], low: float, high: float) -> float:
@@ -48,6 +51,13 @@ class Majorants(StatefulProcessor):
         pass
 
 
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mc_id, vmin, vmax) of a batch, a row a macrocell: the state is a row a macrocell, and so is what reaches it from each batch."""
+    for b in batches:
+        found = pa.Table.from_batches([b]).group_by("mc_id").aggregate([("vmin", "min"), ("vmax", "max")])
+        yield from found.select(["mc_id", "vmin_min", "vmax_max"]).rename_columns(["mc_id", "vmin", "vmax"]).to_batches()
+
+
 def updates(changes: DataFrame, low: tuple[float, ...], high: tuple[float, ...], dims: tuple[int, int, int]) -> DataFrame:
     """A stream of (mc_id, version, vmin, vmax, max_opacity) from a stream of CHANGES.
 
@@ -55,7 +65,7 @@ def updates(changes: DataFrame, low: tuple[float, ...], high: tuple[float, ...],
     don't depend on it and must not be read again. State is one row a macrocell.
     """
     cells = changes.where("version IS NULL").select(*cell_box(0.5), F.col("value").alias("vmin"), F.col("value").alias("vmax"))
-    ranged = touched(cells, low, high, dims)
+    ranged = touched(cells, low, high, dims).mapInArrow(_combined, "mc_id long, vmin double, vmax double")
     none = {c: F.lit(None).cast(t) for c, t in (("version", "long"), ("alphas", "array<double>"), ("low", "double"), ("high", "double"))}
     ranges = ranged.select("mc_id", "vmin", "vmax", *[v.alias(c) for c, v in none.items()])
     n = dims[0] * dims[1] * dims[2]
@@ -63,22 +73,28 @@ def updates(changes: DataFrame, low: tuple[float, ...], high: tuple[float, ...],
     return ranges.unionByName(functions).groupBy("mc_id").transformWithState(statefulProcessor=Majorants(), outputStructType=OUT, outputMode="Update", timeMode="None")
 
 
-def run(spark: SparkSession, path: str, folder: str, low: tuple[float, ...], high: tuple[float, ...], dims: tuple[int, int, int]) -> DataFrame:
+def run(spark: SparkSession, path: str, folder: str, low: tuple[float, ...], high: tuple[float, ...], dims: tuple[int, int, int], files: int = 1) -> DataFrame:
     """(trigger, mc_id, version, vmin, vmax, max_opacity): what each trigger changed, of a folder of CHANGES read to its end.
 
-    A file a trigger, in the order in which they were written. A trigger that is run again overwrites its own files.
+    So many files a trigger, in the order in which they were written. A trigger that is run again overwrites its own files. A second run
+    goes on with the files that came since: a change of many files is one trigger if the stream is run after it, with files no less.
+    The state has as many partitions as its macrocells need, as many as shuffles have at most, and keeps those of the first run.
     """
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store, None)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # what this state needs
-    changes = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(path)
+    store, parts = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+    before, many = spark.conf.get(store, None), spark.conf.get(parts)
+    changes = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", files).parquet(path)
 
     def write(changed: DataFrame, trigger: int) -> None:
         changed.withColumn("trigger", F.lit(trigger)).write.mode("overwrite").parquet(f"{folder}/majorants/n={trigger}")
 
     stream = updates(changes, low, high, dims).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
-    query = stream.start()
-    spark.conf.set(store, before) if before else spark.conf.unset(store)
+    try:  # a stream keeps what is set as it starts
+        spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # what this state needs
+        spark.conf.set(parts, min(int(many), max(1, math.ceil(dims[0] * dims[1] * dims[2] / CELLS_A_PARTITION))))
+        query = stream.start()
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+        spark.conf.set(parts, many)
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/majorants").drop("n")
 

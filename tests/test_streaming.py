@@ -57,3 +57,18 @@ def test_a_stream_of_changes_equals_the_batch_after_each(spark, tmp_path):
             assert held == {r.mc_id: (r.vmin, r.vmax, r.max_opacity) for r in batch.collect()}
     assert {r.mc_id: (r.vmin, r.vmax, r.max_opacity) for r in majorants.latest(changed).collect()} == held
     assert len(held) > 40 and not [r for r in rows if r.trigger == 4]
+
+
+def test_a_change_of_many_files_is_one_trigger(spark, tmp_path):
+    """Triggers and the state's partitions depend on changes and macrocells, not on files or on the partitions that shuffles have."""
+    low, high, dims = (0.0,) * 3, (16.0,) * 3, (4, 4, 4)
+    cells = spark.range(200).select(*[((F.col("id") * k) % 16).cast("int").alias(a) for a, k in zip("xyz", (1, 3, 7))], F.lit(0).alias("level"), ((F.col("id") % 10) / 10).alias("value"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("version", "long"), ("alphas", "array<double>"), ("low", "double"), ("high", "double"))]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    for change in (cells.select("*", *none).repartition(6), spark.createDataFrame([(None, None, None, None, None, 1, [0.1, 0.5, 1.0], 0.0, 1.0)], majorants.CHANGES)):
+        change.write.mode("append").parquet(f"{tmp_path}/changes")
+        changed = majorants.run(spark, f"{tmp_path}/changes", str(tmp_path), low, high, dims, files=100)
+    assert len(list((tmp_path / "changes").glob("*.parquet"))) >= 7 and len(list((tmp_path / "progress/commits").glob("[0-9]*"))) == 2
+    assert len(list((tmp_path / "progress/state/0").glob("[0-9]*"))) == 1 < int(parts) and spark.conf.get("spark.sql.shuffle.partitions") == parts
+    batch = grid.with_majorants(grid.cell_ranges(cells, low, high, dims), [(0, 0, 0, a) for a in (0.1, 0.5, 1.0)], 0.0, 1.0)
+    assert sorted(tuple(r) for r in majorants.latest(changed).collect()) == sorted((r.mc_id, r.vmin, r.vmax, r.max_opacity) for r in batch.collect())
