@@ -31,20 +31,24 @@ def tentative(rays: DataFrame, majorants: DataFrame, low, high, dims, scale: flo
     """(ray_id, mc_id, k, t, mu): the Poisson process along each ray; mu = scale * max_opacity of the macrocell.
 
     How many points a segment has is drawn by adding up exponential steps until they pass its mean, a running sum of two
-    numbers; the points themselves are then uniform in the segment.
+    numbers; the points themselves are then uniform in the segment. Most segments have none or one, so two steps are plain
+    columns, and only what they don't pass goes on in a running sum, which Spark interprets step by step.
     """
     seg = by_key(walk(rays, low, high, dims), majorants.where("max_opacity > 0").select("mc_id", (F.col("max_opacity") * scale).alias("mu")), "mc_id")
     mean = F.col("mu") * (F.col("t1") - F.col("t0"))
     seg = once(seg, _mean=mean)
     # far more steps than a segment can have: eight deviations above the mean
     most = F.ceil(F.col("_mean") + 8 * F.sqrt("_mean") + 12).cast("int")
-    none = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    step = lambda k: F.log(uniform("ray_id", "mc_id", k, F.lit(seed)))
 
     def add(state: Column, k: Column) -> Column:
-        far = state["sum"] - F.log(uniform("ray_id", "mc_id", k, F.lit(seed)))
+        far = state["sum"] - step(k)
         return F.struct(far.alias("sum"), (state["n"] + (far < F.col("_mean")).cast("int")).alias("n"))
 
-    seg = once(seg, _n=F.aggregate(F.sequence(F.lit(1), most), none, add, lambda s: s["n"])).where("_n > 0")
+    seg = once(seg, _far=-step(F.lit(1))).where("_far < _mean")
+    seg = once(seg, _next=F.col("_far") - step(F.lit(2)))
+    more = F.aggregate(F.sequence(F.lit(3), most), F.struct(F.col("_next").alias("sum"), F.lit(2).alias("n")), add, lambda s: s["n"])
+    seg = once(seg, _n=F.when(F.col("_next") < F.col("_mean"), more).otherwise(F.lit(1)))
     each = seg.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     at = F.col("t0") + (F.col("t1") - F.col("t0")) * uniform("ray_id", "mc_id", "k", F.lit(seed), F.lit("place"))
     return each.select("ray_id", "mc_id", "k", at.alias("t"), "mu")

@@ -447,6 +447,22 @@ def test_tracking_agrees_with_the_integral(spark):
     assert abs(free - want) < 0.03 and abs(mean - want) < 0.02
 
 
+def test_collisions_are_those_of_the_running_sum(spark):
+    """Thin, thick and very thick segments have as many points as steps before their mean; only those with two or more go through the running sum."""
+    r = spark.range(200).select(F.col("id").alias("ray_id"), F.lit(-1.0).alias("ox"), (F.col("id") % 8 + 0.5).alias("oy"), F.lit(4.1).alias("oz"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"), F.lit(0.0).alias("tmin"), F.lit(1e20).alias("tmax"))
+    m = spark.range(64).select(F.col("id").alias("mc_id"), F.element_at(F.array(*map(F.lit, (0.02, 0.5, 3.0, 30.0))), (F.col("id") % 4 + 1).cast("int")).alias("max_opacity"))
+    args = (0, 0, 0), (8, 8, 8), (4, 4, 4)
+    found = tracking.tentative(r, m, *args, 0.5, 7)
+    steps = F.sequence(F.lit(1), F.lit(100))
+    far = F.transform(steps, lambda k: F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda a, i: a - F.log(tracking.uniform("ray_id", "mc_id", i, F.lit(7)))))
+    want = grid.walk(r, *args).join(m, "mc_id").select("ray_id", "mc_id", F.size(F.filter(far, lambda x: x < 0.5 * F.col("max_opacity") * (F.col("t1") - F.col("t0")))).alias("n")).where("n > 0")
+    got = found.groupBy("ray_id", "mc_id").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("last"))
+    counts = {(x.ray_id, x.mc_id): x.n for x in want.collect()}
+    assert {(x.ray_id, x.mc_id): x.n for x in got.collect()} == {(x.ray_id, x.mc_id): x.last + 1 for x in got.collect()} == counts and max(counts.values()) > 30 and min(counts.values()) == 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == plan.count("THEN aggregate(sequence(3") == 1
+
+
 def test_light_along_paths(spark):
     """In a homogeneous box, light at the first collision has a known mean, and later collisions add to it."""
     n, sigma, albedo = 600, 0.25, 0.7
