@@ -9,11 +9,9 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions import elements
 from lattica.functions import geometry as G
 from lattica.functions.transfer import lookup, opacity_scale
 from lattica.operators import bricks, fields, grid, mesh, rays, tracking
-from lattica.operators.range_join import join_points
 from lattica.schema import BRICKS
 from lattica.storage import materialise
 
@@ -102,7 +100,7 @@ class ElementField:
         return materialise(mesh.packed(mesh.corners(self.elements, self.vertices)))
 
     def hits(self, points: DataFrame) -> DataFrame:
-        return elements.element_values(join_points(points, self.packed))
+        return fields.sample_elements(points, self.packed)
 
     def sample(self, points: DataFrame) -> DataFrame:
         return _one(self.hits(points), "elem_id")

@@ -110,3 +110,35 @@ def test_points_of_a_part_count_its_boxes_once(spark):
     want = {r.pid: (r.n, r["first"], r["last"]) for r in Q.join_crowded(points, boxes, levels=3).groupBy("pid").agg(*[f for f in (Q.F.count("*").alias("n"), Q.F.min("brick_id").alias("first"), Q.F.max("brick_id").alias("last"))]).collect()}
     assert len(want) == 301 and want[200] == (21, 0, 77)
     assert {r.pid: (r.n, r["first"], r["last"]) for r in Q.holders(points, boxes, "brick_id", levels=3).collect()} == want
+
+
+def test_elements_with_parallel_edges_are_inverted_once(spark):
+    """Sheared, mirrored, flat, bent, empty-valued and touching elements give the same as pair by pair in Python; parallel ones alone don't go there at all."""
+    from pyspark.sql import functions as F
+
+    from lattica.operators import fields as S
+    from lattica.operators.range_join import join_points
+
+    rng = np.random.default_rng(4)
+    unit = {k: np.array(c, float) for k, c in E._CORNERS.items()}
+    shear, flat = np.array([[2, 0.3, 0.1], [-0.4, 3, 0.7], [0.2, 0.1, 2.5]]), np.diag([2.0, 3.0, 0.0])
+    bent = lambda c: c + np.where(np.arange(len(c)) == len(c) - 1, 0.4, 0.0)[:, None]
+    made = [(kind, unit[kind] @ m + at) for kind in unit for m, at in ((shear, (1, 2, 3)), (shear[[1, 0, 2]], (2, 2, 2)), (np.diag([2.0, 2.0, 2.0]), (0, 0, 0)), (flat, (1, 1, 1)))]
+    bends = [(kind, bent(unit[kind] @ shear)) for kind in unit] + [("tet", np.array([[0, 0, 0], [4, 0, 0], [0, 4, 0], [0, 0, 4.0]])), ("pyr", np.array([[0, 0, 0], [4, 0, 0], [4, 4, 0], [0, 4, 0], [2, 2, 3.0]]))]
+
+    def packed(some, first):
+        rows = [(first + i, kind, *map(float, [*c.min(0), *c.max(0)]), *[c[:, a].tolist() for a in range(3)], [float("nan") if (first + i, k) == (4, 1) else float(v) for k, v in enumerate(rng.uniform(0, 1, len(c)))]) for i, (kind, c) in enumerate(some)]
+        return spark.createDataFrame(rows, "elem_id long, kind string, lx double, ly double, lz double, hx double, hy double, hz double, xs array<double>, ys array<double>, zs array<double>, vs array<double>")
+
+    at = [(i, *map(float, p)) for i, p in enumerate([*rng.uniform(0, 6, (1500, 3)), (0, 0, 0), (2, 2, 2), (1, 1, 0), (1, 1, 2), (1, 1, 1), (float("nan"), 1, 1)])]
+    points = spark.createDataFrame(at, "pid long, px double, py double, pz double")
+    straight, others = packed(made, 0), packed(bends, 50)
+    for some in (straight, others, straight.unionByName(others)):
+        got = {(r.pid, r.elem_id, r.kind): r.value for r in S.sample_elements(points, some).collect()}
+        want = {(r.pid, r.elem_id, r.kind): r.value for r in E.element_values(join_points(points, some)).collect()}
+        assert got.keys() == want.keys() and len(got) > 100
+        assert np.allclose([got[k] for k in want], list(want.values()), rtol=0, atol=1e-7)
+    assert E.with_inverses(straight.unionByName(others)).where("_ox IS NOT NULL").count() == 5  # not flat ones, nor the one with NaN
+    sound = straight.where(~F.col("elem_id").isin(3, 4, 7))
+    assert "MapInArrow" not in plan(S.sample_elements(points, sound)) and "MapInArrow" in plan(S.sample_elements(points, others))
+    assert S.sample_elements(points, straight.limit(0)).count() == 0
