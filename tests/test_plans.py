@@ -142,3 +142,34 @@ def test_elements_with_parallel_edges_are_inverted_once(spark):
     sound = straight.where(~F.col("elem_id").isin(3, 4, 7))
     assert "MapInArrow" not in plan(S.sample_elements(points, sound)) and "MapInArrow" in plan(S.sample_elements(points, others))
     assert S.sample_elements(points, straight.limit(0)).count() == 0
+
+
+def test_ranges_of_regions_do_not_expand_lists(spark):
+    """A region was paired with each of its bricks and their cells; cells of one place are one, and those that only touch it count with their brick."""
+    rng = np.random.default_rng(3)
+    kinds = "brick_id long, lx int, ly int, lz int, sx int, sy int, sz int, level int, scalars array<double>"
+    rows = []
+    for i in range(40):
+        size, level = [int(k) for k in rng.integers(1, 4, 3)], int(rng.integers(0, 2))
+        low = [int(k) * (1 + level) if i % 4 else int(k) for k in rng.integers(0, 4, 3)]  # some off their level's lattice
+        values = [None if v < 0.1 else float("nan") if v < 0.2 else float(v) for v in rng.uniform(0, 1, int(np.prod(size)))]
+        rows.append((i, *low, *size, level, values))
+    rows.append((99, 30, 0, 0, 1, 1, 1, 0, [None]))  # a region without values has no row
+    bricks = spark.createDataFrame(rows, kinds)
+    regions = B.regions(bricks)
+    want, by_id = {}, {r[0]: r for r in rows}
+    for r in regions.collect():
+        found = []
+        for b in (by_id[i] for i in r.brick_ids):
+            w, size = 2.0 ** b[7], b[4:7]
+            for k, v in enumerate(b[8]):
+                at = (k % size[0], k // size[0] % size[1], k // (size[0] * size[1]))
+                centre = [b[1 + n] + (at[n] + 0.5) * w for n in range(3)]
+                if v is not None and not np.isnan(v) and all(c + w >= r[f"l{a}"] and c - w <= r[f"h{a}"] for a, c in zip("xyz", centre)):
+                    found.append((v, w))
+        if found:
+            want[r.region_id] = (min(v for v, _ in found), max(v for v, _ in found), min(w for _, w in found))
+    got = B.region_ranges(regions, bricks)
+    assert {r.region_id: (r.vmin, r.vmax, r.finest_w) for r in got.collect()} == want and len(want) > 200
+    assert "brick_ids" not in plan(got)
+    assert B.region_ranges(regions, bricks.limit(0)).count() == 0
