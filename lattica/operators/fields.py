@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lattica.functions.elements import INVERSE, element_values, inverse_values, with_inverses
 from lattica.functions.geometry import AXES, brick_domain, linear_index, width
 from lattica.operators.cells import levels
+from lattica.operators.columns import once, spread
 from lattica.operators.grid import brick_cells
 from lattica.operators.joins import by_key
 from lattica.operators.range_join import join_boxes, join_points
@@ -144,25 +145,44 @@ def sample_regions(points: DataFrame, regions: DataFrame, bricks: DataFrame) ->
     return sample_bricks(held, bricks)
 
 
+def _gridlet_voxels(gridlets: DataFrame) -> DataFrame:
+    """(gridlet_id, cell, _level, _ix, _iy, _iz, _last, _s0.._s7): voxels whose eight corners all have values, by their place on the level's lattice.
+
+    _last has a bit for each axis on which a voxel is the gridlet's last, so that its upper face is the gridlet's. Corners go x fastest.
+    """
+    size = F.col("dx") * F.col("dy") * F.col("dz")
+    each = spread(gridlets.where("dx > 0 AND dy > 0 AND dz > 0"), "gridlet_id").withColumn("cell", F.explode(F.sequence(F.lit(0), size - 1)))
+    each = once(each, _jx=F.pmod("cell", "dx").cast("int"), _jy=F.pmod(F.floor(F.col("cell") / F.col("dx")), F.col("dy")).cast("int"), _jz=F.floor(F.col("cell") / (F.col("dx") * F.col("dy"))).cast("int"))
+    at = lambda k: F.element_at("scalars", (linear_index(F.col("_jx") + (k & 1), F.col("_jy") + (k >> 1 & 1), F.col("_jz") + (k >> 2), F.col("dx") + 1, F.col("dy") + 1) + 1).cast("int")).cast("double")
+    each = once(each, **{f"_s{k}": at(k) for k in range(8)}).where(" AND ".join(f"_s{k} IS NOT NULL AND NOT isnan(_s{k})" for k in range(8)))
+    last = reduce(lambda x, y: x + y, [(F.col(f"_j{a}") == F.col(f"d{a}") - 1).cast("int") * (1 << n) for n, a in enumerate(AXES)])
+    place = [(F.col(f"l{a}") + F.col(f"_j{a}")).cast("int").alias(f"_i{a}") for a in AXES]
+    return each.select("gridlet_id", "cell", F.col("level").alias("_level"), *place, last.alias("_last"), *[f"_s{k}" for k in range(8)])
+
+
 def sample_gridlets(points: DataFrame, gridlets: DataFrame) -> DataFrame:
-    """(pid, gridlet_id, cell, value): trilinear in each gridlet that holds a point; empty corners are misses."""
-    held = gridlets.withColumnsRenamed({"lx": "gx", "ly": "gy", "lz": "gz"})
-    box = [c.alias(n) for n, c in zip(("lx", "ly", "lz", "hx", "hy", "hz"), _gridlet_box_of("g"))]
-    met = join_points(points, held.select(*held.columns, *box))
-    w = width("level")
-    met = met.withColumns({f"_q{a}": F.col(f"p{a}") / w - 0.5 - F.col(f"g{a}") for a in AXES})
-    met = met.withColumns({f"_i{a}": F.least(F.greatest(F.floor(f"_q{a}"), F.lit(0)), F.col(f"d{a}") - 1).cast("int") for a in AXES}).withColumns({f"_f{a}": F.col(f"_q{a}") - F.col(f"_i{a}") for a in AXES})
-    at = lambda i, j, k: F.element_at("scalars", (linear_index(F.col("_ix") + i, F.col("_iy") + j, F.col("_iz") + k, F.col("dx") + 1, F.col("dy") + 1) + 1).cast("int")).cast("double")
+    """(pid, gridlet_id, cell, value): trilinear in each gridlet that holds a point; empty corners are misses.
+
+    Voxels of a level share a lattice, so a point meets the voxels at its place by an equi-join, and none that doesn't hold it. A point on
+    the lower face of a voxel is in the one below only where that is the gridlet's last.
+    """
+    known = levels(gridlets)
+    if not known:
+        return points.crossJoin(gridlets.limit(0)).select("pid", "gridlet_id", F.lit(0).alias("cell"), F.lit(0.0).alias("value"))
+    probes = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in known])))
+    probes = once(probes, **{f"_q{a}": F.col(f"p{a}") / width("_level") - 0.5 for a in AXES}).where(" AND ".join(f"abs(_q{a}) < 2147483647" for a in AXES))
+    for n, a in enumerate(AXES):
+        q = F.col(f"_q{a}")
+        here = F.floor(q).cast("int")
+        own = lambda i, needs: F.struct(i.alias("i"), F.lit(needs).alias("needs"))
+        probes = probes.withColumn(f"_c{a}", F.explode(F.when(q == here, F.array(own(here, 0), own(here - 1, 1 << n))).otherwise(F.array(own(here, 0)))))
+    needs = F.col("_cx.needs") + F.col("_cy.needs") + F.col("_cz.needs")
+    probes = probes.select("pid", "_level", *[F.col(f"_c{a}.i").alias(f"_i{a}") for a in AXES], needs.alias("_needs"), *[(F.col(f"_q{a}") - F.col(f"_c{a}.i")).alias(f"_f{a}") for a in AXES])
+    met = by_key(probes, _gridlet_voxels(gridlets), ["_level", *[f"_i{a}" for a in AXES]]).where(F.col("_last").bitwiseAND(F.col("_needs")) == F.col("_needs"))
     lerp = lambda a, b, f: a * (1 - F.col(f)) + b * F.col(f)
-    rows = [lerp(at(0, j, k), at(1, j, k), "_fx") for k in (0, 1) for j in (0, 1)]
+    rows = [lerp(F.col(f"_s{k}"), F.col(f"_s{k + 1}"), "_fx") for k in (0, 2, 4, 6)]
     value = lerp(lerp(rows[0], rows[1], "_fy"), lerp(rows[2], rows[3], "_fy"), "_fz")
-    cell = linear_index(F.col("_ix"), F.col("_iy"), F.col("_iz"), F.col("dx"), F.col("dy"))
-    return met.select("pid", "gridlet_id", cell.alias("cell"), value.alias("value")).where("value IS NOT NULL AND NOT isnan(value)")
-
-
-def _gridlet_box_of(prefix: str) -> list[Column]:
-    w = width("level")
-    return [(F.col(f"{prefix}{a}") + 0.5) * w for a in AXES] + [(F.col(f"{prefix}{a}") + F.col(f"d{a}") + 0.5) * w for a in AXES]
+    return met.select("pid", "gridlet_id", "cell", value.alias("value")).where("NOT isnan(value)")
 
 
 def sample_elements(points: DataFrame, packed: DataFrame) -> DataFrame:
