@@ -224,3 +224,13 @@ def test_tets_and_pyramids_are_inverted_once(spark):
         assert got.keys() == want.keys() and len(got) > 20
         assert np.allclose([got[k] for k in want], list(want.values()), rtol=0, atol=1e-7)
     assert "MapInArrow" not in plan(S.sample_elements(points, packed(plain))) and "MapInArrow" in plan(S.sample_elements(points, packed(others)))
+
+
+def test_cells_of_overlapping_bricks_are_splatted_once(spark):
+    """Every cell met every brick around it: a hundred bricks in one place were pairs of all their cells."""
+    kinds = "brick_id long, lx int, ly int, lz int, sx int, sy int, sz int, level int, scalars array<double>"
+    bricks = spark.createDataFrame([(i, 0, 0, 0, 1, 1, 1, 0, [i / 100]) for i in range(100)] + [(200, 1, 0, 0, 1, 1, 1, 0, [None]), (201, 2, 0, 0, 1, 1, 1, 1, [5.0]), (202, 40, 0, 0, 1, 1, 1, 0, [float("nan")])], kinds)
+    found = B.splatted_ranges(bricks)
+    want = {i: (0.0, 5.0) for i in range(100)} | {200: (0.0, 5.0), 201: (0.0, 5.0)}
+    assert {r.brick_id: (r.vmin, r.vmax) for r in found.collect()} == want
+    assert "c_brick_id" not in plan(found)
