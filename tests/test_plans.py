@@ -234,3 +234,20 @@ def test_cells_of_overlapping_bricks_are_splatted_once(spark):
     want = {i: (0.0, 5.0) for i in range(100)} | {200: (0.0, 5.0), 201: (0.0, 5.0)}
     assert {r.brick_id: (r.vmin, r.vmax) for r in found.collect()} == want
     assert "c_brick_id" not in plan(found)
+
+
+def test_rays_that_are_alike_meet_boxes_and_triangles_once(spark):
+    """Copies of rays and of triangles were all paired and put in order."""
+    from lattica.operators import rays as Y
+
+    rays = spark.createDataFrame([(i, -1.0, 0.5 + i % 2, 0.5, 1.0, -0.0 if i % 4 else 0.0, 0.0, 0.0, None if i == 7 else 1e20) for i in range(8)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double, tmin double, tmax double")
+    some, members = Y._distinct(rays)
+    assert sorted(r.ray_id for r in some.collect()) == [0, 1, 7] and members.count() == 8
+    boxes = spark.createDataFrame([(b, float(b), 0.0, 0.0, b + 1.0, 1.0, 1.0) for b in (2, 1)], "box_id long, lx double, ly double, lz double, hx double, hy double, hz double")
+    grid = ((0.0,) * 3, (4.0,) * 3, (2, 2, 2))
+    assert {(r.ray_id, r.box_id, r.t0, r.n) for r in Y.box_hits(rays, boxes, "box_id", *grid).collect()} == {(i, b, b + 1.0, b) for i in (0, 2, 4, 6) for b in (1, 2)}
+    first = Y.first_box(rays, boxes, "box_id", *grid)
+    assert {(r.ray_id, r.box_id, r.t0) for r in first.collect()} == {(i, 1, 2.0) for i in (0, 2, 4, 6)} and "Window" not in plan(first)
+    corners = "ax ay az bx b_y bz cx cy cz".split()
+    triangles = spark.createDataFrame([(t, 2.0, 0.0, 0.0, 2.0, 2.0, 0.0, 2.0, 0.0, 2.0) for t in (9, 5, 6)], "tri_id long, " + ", ".join(f"{c} double" for c in corners))
+    assert {(r.ray_id, r.tri_id, r.t) for r in Y.triangle_hits(rays, triangles, *grid).collect()} == {(i, 5, 3.0) for i in range(7)}
